@@ -94,3 +94,9 @@ def parse_price(c: Column) -> Column:
 
 def price_per_unit(mrp: Column, volume: Column) -> Column:
     return F.when((mrp > 0) & (volume > 0), mrp / volume)
+
+
+def confirmed_date(dates, corrections, key: str):
+    """dates(key, m, y, nc) with corrections(key, fm, fy): a user's month/year overrides the reading and clears its flag."""
+    j = dates.join(corrections, key, "left")
+    return j.select(key, F.coalesce("fm", "m").alias("month"), F.coalesce("fy", "y").alias("year"), (F.col("fm").isNull() & F.col("nc")).alias("needs_confirm"))

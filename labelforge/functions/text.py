@@ -27,6 +27,11 @@ def nfkc(c: Column) -> Column:
     return F.coalesce(_nfkc_batch(F.when(c.rlike(_MAY_CHANGE), c)), c)
 
 
+def let(value: Column, fn) -> Column:
+    """``fn(value)`` with the value computed once, however often ``fn`` (or a lambda inside it) refers to it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+\z", "")
 
@@ -79,9 +84,9 @@ def label_norm(c: Column) -> Column:
     return strip(F.regexp_replace(t, r"\s+", " "))
 
 
-def claim_text(c: Column) -> Column:
+def claim_text(c: Column, normalise: bool = True) -> Column:
     """Lower-case words of a printed claim: apostrophes dropped, anything outside a-z 0-9 % is a blank."""
-    t = F.regexp_replace(F.lower(nfkc(c)), "[’'`]", "")
+    t = F.regexp_replace(F.lower(nfkc(c) if normalise else c), "[’'`]", "")
     return F.trim(F.regexp_replace(t, r"[^a-z0-9%]+", " "))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
+from ..runtime import durable, small
 from .dictionary import first_per
 
 
@@ -65,30 +66,27 @@ def longest_span_names(texts: DataFrame, names: DataFrame, id_col: str = "id", t
     dictionary; the greedy left-to-right cover runs over a text's few matches.
     """
     d = names.select(F.upper(F.col(names.columns[0])).alias("name")).distinct().withColumn("key", X.match_key(F.col("name"))).where("key <> ''")
-    d = first_per(d, ["key"], F.col("name").desc())
+    d = durable(first_per(d, ["key"], F.col("name").desc()))
     t = texts.select(F.col(id_col).alias("id"), X.nfkc(F.col(text_col)).alias("t"))
     whole = t.select("id", X.fold_key(F.col("t")).alias("key")).join(d, "key").select("id", F.lit(0).alias("g"), F.lit(0).alias("o"), "name")
     rest = t.join(whole.select("id"), "id", "left_anti")
     parts = rest.select("id", F.posexplode(F.split("t", "[;,]")).alias("o", "p")).withColumn("key", X.fold_key(F.col("p"))).join(d, "key").select("id", F.lit(1).alias("g"), "o", "name")
-    # a span matches a name when its words, joined, give the name's key: the lengths tried are those where the running key
-    # length equals the key length of a name starting with the same first key characters
-    head = lambda k: F.substring(k, 1, 2)
-    lens = d.select(head(F.col("key")).alias("h"), F.length("key").alias("len")).distinct().groupBy("h").agg(F.array_sort(F.collect_set("len")).alias("lens"))
+    # a span matches a name when its words, joined, give the name's key.  Every word offers its next characters (as many as the
+    # longest key has) and where words end in them; only end points at the length of a name with the same first two
+    # characters are cut out, and those keys meet the dictionary in an equi-join.
+    reach = d.agg(F.max(F.length("key"))).first()[0] or 0
+    lens = d.select(F.substring("key", 1, 2).alias("h"), F.length("key").alias("len")).distinct().groupBy("h").agg(F.collect_set("len").alias("lens"))
     words = F.split(X.strip(F.col("t")), r"\s+")
     keyed = rest.select("id", F.filter(F.transform(words, lambda x: X.fold_key(x)), lambda k: k != "").alias("ks")).where("size(ks) > 0")
-    # where each word starts in the concatenated key
     offs = F.aggregate("ks", F.array(F.lit(0)), lambda acc, k: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(k))))
-    text_key = keyed.select("id", F.array_join("ks", "").alias("all"), offs.alias("offs"))
-    words_at = F.sequence(F.lit(0), F.size("offs") - 2)
-    start = lambda i: F.substr("all", F.get("offs", i) + 1, F.lit(2))
-    starts = (text_key.select("id", F.explode(F.array_distinct(F.transform(words_at, start))).alias("h")).join(lens, "h")
-              .groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("h", "lens"))).alias("m")))
-    # every word holds a key character, so a span of key length n has at most n words
-    ends = lambda i, n: F.array_position(F.slice("offs", i + 2, n), F.get("offs", i) + n)
-    spans = F.flatten(F.transform(words_at, lambda i: F.transform(
-        F.filter(F.coalesce(F.try_element_at("m", start(i)), F.array().cast("array<int>")), lambda n: ends(i, n) > 0),
-        lambda n: F.struct(i.alias("i"), (i + ends(i, n)).cast("int").alias("j"), F.substr("all", F.get("offs", i) + 1, n).alias("key")))))
-    cand = text_key.join(starts, "id").select("id", F.explode(spans).alias("s")).select("id", "s.i", "s.j", "s.key").join(d, "key")
+    text_key = keyed.select("id", F.struct(F.array_join("ks", "").alias("all"), offs.alias("offs")).alias("s"))
+    def tails(s):
+        return F.transform(F.sequence(F.lit(0), F.size(s["offs"]) - 2), lambda i: F.struct(
+            i.alias("i"), F.substr(s["all"], F.get(s["offs"], i) + 1, F.lit(reach)).alias("tail"),
+            F.transform(F.slice(s["offs"], i + 2, reach), lambda o: o - F.get(s["offs"], i)).alias("ends")))
+    w = text_key.select("id", F.explode(X.let(F.col("s"), tails)).alias("w")).select("id", "w.i", "w.tail", "w.ends").withColumn("h", F.substring("tail", 1, 2))
+    cand = (w.join(lens, "h").select("id", "i", "tail", "ends", F.explode(F.array_intersect("lens", "ends")).alias("n"))
+            .select("id", "i", (F.col("i") + F.array_position("ends", F.col("n"))).cast("int").alias("j"), F.substr("tail", F.lit(1), F.col("n")).alias("key")).join(small(d), "key"))
     longest = cand.groupBy("id", "i").agg(F.max(F.struct("j", "name")).alias("b")).select("id", "i", "b.j", "b.name")
     per = longest.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "j", "name"))).alias("m"))
     step = lambda acc, x: F.when(x["i"] >= acc["end"], F.struct(x["j"].alias("end"), F.concat(acc["out"], F.array(F.struct(x["i"].alias("i"), x["name"].alias("name")))).alias("out"))).otherwise(acc)

@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as X
+from ..runtime import durable, small
 
 SEED_ONLY = "Name from the project seed list; not an entry of the EU glossary."
 OPTIONAL = ["cas", "ec", "functions", "description", "cosing_ref", "category"]
@@ -18,10 +19,22 @@ class NameDictionary:
     names: DataFrame
     aliases: DataFrame
     meta: dict[str, str] = field(default_factory=dict)
+    _built: dict[str, DataFrame] = field(default_factory=dict)
+
+    def materialised(self) -> "NameDictionary":
+        """The dictionary with its key tables computed once; tables of checked size are marked for broadcast."""
+        if self._built:
+            return self
+        lookup = durable(self.lookup)
+        done = NameDictionary(self.names, self.aliases, self.meta, {"lookup": lookup})
+        corpus, words = durable(done.corpus), durable(done.vocabulary)
+        return NameDictionary(self.names, self.aliases, self.meta, {"lookup": small(lookup), "corpus": small(corpus), "vocabulary": small(words)})
 
     @property
     def lookup(self) -> DataFrame:
         """One row per matching key; an official name beats an alias of the same key."""
+        if "lookup" in self._built:
+            return self._built["lookup"]
         base = self.names.select(F.col("inci_name").alias("n"), "category", "cas", "ec", "source")
         exact = self.names.select("key", F.lit(0).alias("rank"), "inci_name", F.lit(None).cast("string").alias("kind"))
         alias = self.aliases.select("key", F.lit(1).alias("rank"), "inci_name", "kind")
@@ -33,6 +46,8 @@ class NameDictionary:
     @property
     def corpus(self) -> DataFrame:
         """Fuzzy corpus: every name key and alias key with the name it stands for and that name's last-word prior."""
+        if "corpus" in self._built:
+            return self._built["corpus"]
         freq = suffix_frequency(self.lookup.select("inci_name").distinct())
         last = F.element_at(F.split("inci_name", " "), -1)
         rows = self.lookup.select("key", "inci_name", F.when(F.col("inci_name").contains(" "), last).alias("last"))
@@ -41,6 +56,8 @@ class NameDictionary:
 
     @property
     def vocabulary(self) -> DataFrame:
+        if "vocabulary" in self._built:
+            return self._built["vocabulary"]
         return name_vocabulary(self.lookup.select("inci_name").distinct())
 
 

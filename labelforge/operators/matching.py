@@ -32,7 +32,7 @@ def static_ladder(texts: DataFrame, d: NameDictionary) -> DataFrame:
     t = texts.select("raw", F.coalesce(X.classify_category(base), X.classify_category(plain)).alias("class"),
                      F.array_distinct(keys).alias("ks"), slash.alias("sl"))
     t = t.select("raw", "class", F.size("ks").alias("n"), F.posexplode_outer(F.concat("ks", "sl")).alias("pos", "key"))
-    lk = d.lookup.select("key", F.struct("layer", "inci_name", "kind", F.col("category").alias("cat"), "cas", "ec", "source").alias("hit"))
+    lk = d.materialised().lookup.select("key", F.struct("layer", "inci_name", "kind", F.col("category").alias("cat"), "cas", "ec", "source").alias("hit"))
     best = (t.join(lk, "key", "left").groupBy("raw")
             .agg(F.min_by(F.struct("hit", (F.col("pos") >= F.col("n")).alias("slash")), F.when(F.col("hit").isNotNull(), F.col("pos"))).alias("m"),
                  F.first("class").alias("class")))
@@ -99,6 +99,7 @@ def fuzzy_topk(keys: DataFrame, d: NameDictionary, limit: int = 3, floor: float
     Cheap ratio pool, glyph-aware score on the pool, best key per name, rank by score step, last-word prior, score, name;
     the readable edits are worked out for the finalists only.
     """
+    d = d.materialised()
     usable = keys.select("key").where(F.length("key").between(3, 60))
     pool = name_pool(usable, d.corpus, shard_rows=shard_rows)
     corpus = d.corpus.select(F.col("key").alias("cand_key"), "inci_name", "prior")
@@ -265,14 +266,13 @@ def compound_lookup(names: DataFrame, snapshot: DataFrame | None) -> DataFrame:
     up = F.upper(X.strip(F.col("text")))
     keyed = snapshot.select(F.upper("name").alias("k"), "cid").unionByName(snapshot.where("cas IS NOT NULL").select(F.col("cas").alias("k"), "cid"))
     exact = t.withColumn("k", up).join(keyed.groupBy("k").agg(F.min("cid").alias("cid")), "k", "left").drop("k")
-    # close names: Indel ratio >= 75, five best
+    # close names: Indel ratio of the keys >= 75, five best
     open_ = exact.where("cid IS NULL").select(up.alias("k")).distinct()
     fold = lambda c: X.fold_key(c, False)
     snap = snapshot.select(F.upper("name").alias("name")).distinct().withColumn("sk", fold(F.col("name"))).where("sk <> ''")
-    pool = name_pool(open_.select(fold(F.col("k")).alias("key")).where(F.length("key").between(1, 60)).distinct(), snap.select(F.col("sk").alias("key")), cutoff=60.0, limit=POOL_LIMIT)
-    close = (open_.withColumn("key", fold(F.col("k"))).join(pool, "key").join(snap, F.col("cand_key") == F.col("sk"))
-             .withColumn("ratio", indel_ratio("k", "name")).where("ratio >= 75"))
-    w = Window.partitionBy("k").orderBy(F.desc("ratio"), "name")
+    pool = name_pool(open_.select(fold(F.col("k")).alias("key")).where(F.length("key").between(1, 60)).distinct(), snap.select(F.col("sk").alias("key")), cutoff=75.0, limit=5)
+    close = open_.withColumn("key", fold(F.col("k"))).join(pool, "key").join(snap, F.col("cand_key") == F.col("sk"))
+    w = Window.partitionBy("k").orderBy("pool_pos", "name")
     top = (close.withColumn("rn", F.row_number().over(w)).where("rn <= 5").groupBy("k")
            .agg(F.array_sort(F.collect_list(F.struct("rn", "name"))).alias("n")).select("k", F.col("n.name").alias("names")))
     res = exact.withColumn("k", up).join(top, "k", "left")
@@ -325,10 +325,10 @@ def find_phrases(texts: DataFrame, phrases: DataFrame, id_col: str = "doc_id", t
          .select("phrase", "key", "budget", "n", F.substr("key", F.lit(1), F.lit(1)).alias("c1"),
                  F.explode(F.sequence(F.length("key") - F.col("budget"), F.length("key") + F.col("budget"))).alias("len")))
     sizes = sorted(r["n"] for r in p.select("n").distinct().collect())  # window sizes in use: a handful, a phrase has few words
-    words = F.split(X.claim_text(F.col(text_col)), " ")
-    t = texts.select(id_col, F.filter(words, lambda x: x != "").alias("ws"))
+    words = F.filter(F.split(X.claim_text(F.col("_nfkc"), normalise=False), " "), lambda x: x != "")
     # windows are built inside the row, so the word array itself is never repeated
-    w = t.select(id_col, F.explode(F.flatten(F.array(*[word_windows(F.col("ws"), n, n) for n in sizes]))).alias("w")).select(id_col, "w.n", "w.i", F.col("w.text").alias("matched"))
+    windows = X.let(words, lambda ws: F.flatten(F.array(*[word_windows(ws, n, n) for n in sizes])))
+    w = texts.select(id_col, X.nfkc(F.col(text_col)).alias("_nfkc")).select(id_col, F.explode(windows).alias("w")).select(id_col, "w.n", "w.i", F.col("w.text").alias("matched"))
     w = w.withColumn("joined", letters(F.col("matched"))).withColumn("c1", F.substr("joined", F.lit(1), F.lit(1))).withColumn("len", F.length("joined"))
     hits = w.join(p, ["n", "c1", "len"]).withColumn("edits", F.levenshtein("joined", "key", 2)).where("edits >= 0 AND edits <= budget")
     best = hits.groupBy(id_col, "phrase").agg(F.min(F.struct("n", "i", "matched", "edits")).alias("b"))

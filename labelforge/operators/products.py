@@ -17,14 +17,16 @@ def fold_all(names: Column) -> Column:
 
 
 def overlap(a: Column, b: Column) -> dict[str, Column]:
-    """Shared, only-left, only-right distinct names and their Jaccard similarity, by matching key."""
-    ka, kb = F.array_distinct(fold_all(a)), F.array_distinct(fold_all(b))
-    shared, union = F.array_intersect(ka, kb), F.array_union(ka, kb)
-    n = F.size(union)
-    # the last spelling of a key is the one shown
-    show = lambda names, keys: F.transform(keys, lambda k: F.element_at(F.filter(names, lambda x: X.fold_key(x, False) == k), -1))
-    return {"shared": show(a, shared), "only_a": show(a, F.array_except(ka, kb)), "only_b": show(b, F.array_except(kb, ka)),
-            "n_shared": F.size(shared), "similarity": F.when(n > 0, F.size(shared) / n).otherwise(0.0)}
+    """Shared, only-left, only-right distinct names and their Jaccard similarity, by matching key (the last spelling of a key is shown)."""
+    def work(s):
+        ka, kb = F.array_distinct(s["ka"]), F.array_distinct(s["kb"])
+        show = lambda names, keys, pick: F.transform(pick, lambda k: F.get(names, (F.size(keys) - F.array_position(F.reverse(keys), k)).cast("int")))
+        shared = F.array_intersect(ka, kb)
+        n = F.size(F.array_union(ka, kb))
+        return F.struct(show(s["a"], s["ka"], shared).alias("shared"), show(s["a"], s["ka"], F.array_except(ka, kb)).alias("only_a"), show(s["b"], s["kb"], F.array_except(kb, ka)).alias("only_b"),
+                        F.size(shared).alias("n_shared"), F.when(n > 0, F.size(shared) / n).otherwise(0.0).alias("similarity"))
+    o = X.let(F.struct(a.alias("a"), b.alias("b"), fold_all(a).alias("ka"), fold_all(b).alias("kb")), work)
+    return {k: o[k] for k in ("shared", "only_a", "only_b", "n_shared", "similarity")}
 
 
 def compare_products(pairs: DataFrame) -> DataFrame:
@@ -179,7 +181,7 @@ def reference_compare(pack: DataFrame, reference: DataFrame, by: str = "label_id
 
 
 def reference_lookup(queries: DataFrame, products: DataFrame, limit: int = 6) -> DataFrame:
-    """queries(query_id, barcode, q) -> up to ``limit`` reference products (1..24): by digits of the barcode, else names holding the search text.
+    """queries(query_id, barcode, q) -> up to ``limit`` reference products (1..24): by digits of the barcode, else names holding the search text from a word on.
 
     Name search meets on the first word of the query (an equi-join on exploded name words), then checks the whole text.
     """
@@ -190,7 +192,7 @@ def reference_lookup(queries: DataFrame, products: DataFrame, limit: int = 6) ->
     by_code = q.where("d <> ''").join(p.withColumn("d", F.regexp_replace("code", r"\D", "")), "d").select("query_id", "code", "name", "brands", "ingredients_text")
     words = lambda c: F.array_distinct(F.split(F.lower(c), r"\s+"))
     posts = p.select("*", F.explode(words(F.col("name"))).alias("w"))
-    by_name = (q.where("d = '' AND q <> ''").withColumn("w", F.get(F.split("q", r"\s+"), F.lit(0))).join(posts, "w").where(F.contains(F.lower("name"), F.col("q")))
+    by_name = (q.where("d = '' AND q <> ''").withColumn("w", F.get(F.split("q", r"\s+"), F.lit(0))).join(posts, "w").where(F.contains(F.concat(F.lit(" "), F.lower("name")), F.concat(F.lit(" "), "q")))
                .select("query_id", "code", "name", "brands", "ingredients_text"))
     w = Window.partitionBy("query_id").orderBy("code")
     return by_code.unionByName(by_name).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)

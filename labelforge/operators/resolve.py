@@ -93,6 +93,7 @@ def resolve_labels(labels: DataFrame, d: NameDictionary, t: Thresholds = Thresho
 
     ``no_merge(label_id, raw)`` lists fragments to keep apart; ``compounds`` is a snapshot for the compound layer.
     """
+    d = d.materialised()
     segs = durable(segment_labels(labels, one_source))
     first = static_ladder(segs.select("raw").distinct(), d)
     tagged = durable(split_non_ingredients(segs, first))
@@ -130,10 +131,20 @@ def resolve_labels(labels: DataFrame, d: NameDictionary, t: Thresholds = Thresho
     quick = facts.select("text", F.coalesce(F.get("cands", F.lit(0))["score"], F.lit(0.0)).alias("score"),
                          F.coalesce(F.get("cands", F.lit(0))["unexplained"], F.lit(99)).alias("un"), F.col("hit").isNotNull().alias("static"))
 
+    # ---- the best place to split every open text where a comma may be lost
+    q = lambda side: quick.select(F.col("text").alias(side), F.when(F.col("static"), 1.0).otherwise(F.col("score")).alias(f"{side}s"),
+                                  F.when(F.col("static"), 0).otherwise(F.col("un")).alias(f"{side}u"))
+    own = quick.select(F.col("text").alias("raw"), F.col("score").alias("own"), F.col("un").alias("own_un"))
+    h = halves.join(q("l"), "l").join(q("r"), "r").join(own, "raw")
+    lu, ru = F.when(F.col("ls") == 1.0, 0).otherwise(F.col("lu")), F.when(F.col("rs") == 1.0, 0).otherwise(F.col("ru"))
+    explained = (F.col("own_un") >= t.split_whole_unexplained) & (F.greatest(lu, ru) <= t.split_part_unexplained)
+    h = h.where((F.least("ls", "rs") >= t.split_min) & (((F.col("ls") + F.col("rs")) / 2 - F.col("own") >= t.split_gain) | explained))
+    best_cut = h.groupBy("raw").agg(F.min(F.struct((-(F.col("ls") + F.col("rs"))).alias("s"), "cut", "l", "r")).alias("b")).select("raw", F.array("b.l", "b.r").alias("halves"))
+    alone = durable(own.drop("own_un").join(best_cut, "raw", "left").where((F.col("own") > 0) | F.col("halves").isNotNull()))
+
     # ---- merge neighbouring fragments
-    own = quick.select(F.col("text").alias("raw"), F.col("score").alias("own"))
-    both = quick.select(F.col("text").alias("joined"), F.when(F.col("static"), 1.0).otherwise(F.col("score")).alias("together"))
-    states = states.join(own, "raw", "left").withColumn("own", F.coalesce("own", F.lit(0.0))).join(both, "joined", "left")
+    both = quick.select(F.col("text").alias("joined"), F.when(F.col("static"), 1.0).otherwise(F.col("score")).alias("together")).where("together > 0")
+    states = states.join(alone, "raw", "left").withColumn("own", F.coalesce("own", F.lit(0.0))).join(both, "joined", "left")
     nxt_own = F.lead("own").over(w)
     states = states.withColumn("gain", F.col("together") - F.greatest(F.col("own"), nxt_own))
     states = greedy_pairs(states, ["label_id"], "position", (F.col("together") >= t.merge_score) & (F.col("gain") >= t.merge_gain),
@@ -141,15 +152,8 @@ def resolve_labels(labels: DataFrame, d: NameDictionary, t: Thresholds = Thresho
     states = states.where(~F.col("merged_away"))
 
     # ---- split where a comma was lost
-    q = lambda side: quick.select(F.col("text").alias(side), F.when(F.col("static"), 1.0).otherwise(F.col("score")).alias(f"{side}s"),
-                                  F.when(F.col("static"), 0).otherwise(F.col("un")).alias(f"{side}u"))
-    h = halves.join(q("l"), "l").join(q("r"), "r").join(quick.select(F.col("text").alias("raw"), F.col("score").alias("whole"), F.col("un").alias("whole_un")), "raw")
-    lu, ru = F.when(F.col("ls") == 1.0, 0).otherwise(F.col("lu")), F.when(F.col("rs") == 1.0, 0).otherwise(F.col("ru"))
-    explained = (F.col("whole_un") >= t.split_whole_unexplained) & (F.greatest(lu, ru) <= t.split_part_unexplained)
-    h = h.where((F.least("ls", "rs") >= t.split_min) & (((F.col("ls") + F.col("rs")) / 2 - F.col("whole") >= t.split_gain) | explained))
-    best_cut = h.groupBy("raw").agg(F.min(F.struct((-(F.col("ls") + F.col("rs"))).alias("s"), "cut", "l", "r")).alias("b")).select("raw", F.array("b.l", "b.r").alias("halves"))
     can_split = F.col("pending") & ~F.col("merge_next") & F.col("n_words").between(2, 5)
-    states = states.withColumn("split_try", F.sum(can_split.cast("int")).over(w)).join(best_cut, "raw", "left")
+    states = states.withColumn("split_try", F.sum(can_split.cast("int")).over(w))
     within = F.lit(True) if t.max_split_tries is None else F.col("split_try") <= t.max_split_tries
     parts = F.when(can_split & within & F.col("halves").isNotNull(), F.col("halves"))
     text = F.when(F.col("merge_next"), F.col("joined")).otherwise(F.col("raw"))
@@ -157,7 +161,11 @@ def resolve_labels(labels: DataFrame, d: NameDictionary, t: Thresholds = Thresho
     states = states.select("*", F.posexplode(F.coalesce(parts, F.array(text))).alias("part", "text"))
 
     # ---- what is still open takes the static match of its new text, else its candidates
-    states = states.join(facts.withColumnRenamed("hit", "new_hit"), "text", "left")
+    named = facts.select("text", F.explode("cands.inci_name").alias("inci_name"))
+    swaps = word_swap_notes(named, d).groupBy("text").agg(F.map_from_entries(F.collect_list(F.struct("inci_name", "note"))).alias("swap"))
+    final = facts.join(swaps, "text", "left").where(F.col("hit").isNotNull() | (F.size("cands") > 0))
+    states = states.join(final.withColumnRenamed("hit", "new_hit"), "text", "left")
+    states = states.withColumn("cands", F.coalesce("cands", F.array().cast("array<struct<inci_name:string,score:double,edits:array<string>,unexplained:int>>")))
     old = F.struct("layer", "inci_name", "category", "cas", "ec", "source", "notes")
     states = states.withColumn("hit", F.when(F.col("pending"), F.col("new_hit")).otherwise(old))
     open_ = F.col("hit").isNull()
@@ -170,10 +178,6 @@ def resolve_labels(labels: DataFrame, d: NameDictionary, t: Thresholds = Thresho
         states = states.withColumn("c_status", F.when(~F.col("text").contains("?") & (F.length(X.fold_key(F.col("text"))) >= 4), F.col("c_status")))
     else:
         states = states.withColumn("c_status", F.lit(None).cast("string")).withColumn("cid", F.lit(None).cast("long")).withColumn("c_names", F.array().cast("array<string>"))
-    swaps = word_swap_notes(states.where(open_).select("text", F.explode("cands.inci_name").alias("inci_name")), d)
-    swaps = swaps.groupBy("text").agg(F.map_from_entries(F.collect_list(F.struct("inci_name", "note"))).alias("swap"))
-    states = states.join(swaps, "text", "left")
-
     compound = open_ & (F.col("c_status") == "match")
     ambiguous = open_ & (F.col("c_status") == "ambiguous")
     suggested = open_ & (F.size("cands") > 0)

@@ -47,32 +47,34 @@ def _trim_dots(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s*\.*\s*|\s*\.*\s*\z", "")
 
 
-def segment_array(raw: Column) -> Column:
-    """Array of segment structs (raw, optional, tags) of one printed text that is already NFKC."""
-    text = F.regexp_replace(X.clean_text(raw, normalise=False), LIST_LABEL, "")
-    pieces = split_top_level(text)
-    parts = F.flatten(F.transform(pieces, lambda p: F.when(X.strip(p).rlike(FIELD_LABEL), F.array(p)).otherwise(F.split(p, SENTENCE, -1))))
-    parts = F.flatten(F.transform(parts, lambda p: F.split(p, BLEND, -1)))
-    parts = F.filter(F.transform(parts, _trim_dots), lambda p: p != "")
-    marked = F.transform(parts, lambda p: F.struct(p.alias("p"), p.rlike(MAY_CONTAIN).alias("m")))
-    # from the first optional-section marker on, everything is optional
-    first = F.array_position(F.transform(marked, lambda s: s["m"]), F.lit(True))
-    bodies = F.transform(marked, lambda s, i: F.struct(
-        F.when(s["m"], X.strip(F.regexp_replace(s["p"], MAY_CONTAIN, ""))).otherwise(s["p"]).alias("b"),
-        ((first > 0) & (i + 1 >= first)).alias("o")))
-    bodies = F.filter(bodies, lambda s: s["b"] != "")
-
-    def finish(s):
-        pct = F.regexp_extract(s["b"], PERCENT, 1)
-        b = F.when(pct != "", X.strip(F.regexp_replace(s["b"], PERCENT, ""))).otherwise(s["b"])
-        star = b.rlike(FOOTNOTE)
-        tags = F.array_compact(F.array(
-            F.when(s["b"].rlike(NANO), F.lit("nano")),
-            F.when(pct != "", F.concat(F.lit("label_percent="), pct)),
-            F.when(star, F.lit("marker=*"))))
-        return F.struct(F.when(star, X.strip(F.regexp_replace(b, FOOTNOTE, ""))).otherwise(b).alias("raw"), s["o"].alias("optional"), tags.alias("tags"))
-
-    return F.transform(bodies, finish)
+def segment_bodies(raw: Column) -> Column:
+    """Array of (text, optional) of one printed text that is already NFKC, tags not yet taken off.
+
+    From the first optional-section marker on, everything is optional; the marker itself goes.
+    """
+    def split(text):
+        pieces = F.flatten(F.transform(split_top_level(text), lambda p: F.when(X.strip(p).rlike(FIELD_LABEL), F.array(p)).otherwise(F.split(p, SENTENCE, -1))))
+        parts = F.flatten(F.transform(pieces, lambda p: F.split(p, BLEND, -1)))
+        parts = F.filter(F.transform(parts, _trim_dots), lambda p: p != "")
+        return F.transform(parts, lambda p: F.struct(p.alias("p"), p.rlike(MAY_CONTAIN).alias("m")))
+
+    def flag(s):
+        return F.transform(s["marked"], lambda x, i: F.struct(
+            F.when(x["m"], X.strip(F.regexp_replace(x["p"], MAY_CONTAIN, ""))).otherwise(x["p"]).alias("b"),
+            ((s["first"] > 0) & (i + 1 >= s["first"])).alias("o")))
+
+    marked = X.let(F.regexp_replace(X.clean_text(raw, normalise=False), LIST_LABEL, ""), split)
+    both = X.let(marked, lambda m: F.struct(m.alias("marked"), F.array_position(F.transform(m, lambda x: x["m"]), F.lit(True)).alias("first")))
+    return F.filter(X.let(both, flag), lambda x: x["b"] != "")
+
+
+def take_tags(body: Column) -> tuple[Column, Column]:
+    """Text without its printed percentage and footnote mark, and the array of tags."""
+    pct = F.regexp_extract(body, PERCENT, 1)
+    b = F.when(pct != "", X.strip(F.regexp_replace(body, PERCENT, ""))).otherwise(body)
+    star = b.rlike(FOOTNOTE)
+    tags = F.array_compact(F.array(F.when(body.rlike(NANO), F.lit("nano")), F.when(pct != "", F.concat(F.lit("label_percent="), pct)), F.when(star, F.lit("marker=*"))))
+    return F.when(star, X.strip(F.regexp_replace(b, FOOTNOTE, ""))).otherwise(b), tags
 
 
 def segment_labels(labels: DataFrame, one_source: bool = False) -> DataFrame:
@@ -82,15 +84,15 @@ def segment_labels(labels: DataFrame, one_source: bool = False) -> DataFrame:
     """
     conf = F.col("ocr_conf").cast("double") if "ocr_conf" in labels.columns else F.lit(None).cast("double")
     rows = labels.withColumn("raw", X.nfkc(F.col("raw"))).select("label_id", F.col("source_index").cast("int").alias("source_index"), conf.alias("ocr_conf"),
-                         segment_array(F.col("raw")).alias("segs"))
+                                                                segment_bodies(F.col("raw")).alias("segs"))
     if one_source:
         rows = rows.withColumn("offset", F.lit(0))
     else:
         before = Window.partitionBy("label_id").orderBy("source_index").rowsBetween(Window.unboundedPreceding, -1)
         rows = rows.withColumn("offset", F.coalesce(F.sum(F.size("segs")).over(before), F.lit(0)))
-    return (rows.select("label_id", "source_index", "ocr_conf", "offset", F.posexplode("segs").alias("i", "s"))
-            .select("label_id", "source_index", (F.col("offset") + F.col("i")).cast("int").alias("position"),
-                    "s.raw", "s.optional", "s.tags", "ocr_conf"))
+    ex = rows.select("label_id", "source_index", "ocr_conf", "offset", F.posexplode("segs").alias("i", "s"))
+    text, tags = take_tags(F.col("s.b"))
+    return ex.select("label_id", "source_index", (F.col("offset") + F.col("i")).cast("int").alias("position"), text.alias("raw"), F.col("s.o").alias("optional"), tags.alias("tags"), "ocr_conf")
 
 
 def split_ingredients(labels: DataFrame, id_col: str = "label_id", raw_col: str = "raw") -> DataFrame:
@@ -129,7 +131,9 @@ def vitamin_codes(c: Column) -> Column:
 
 def word_windows(words: Column, lo: int, hi: int) -> Column:
     """Array of (n, i, text) windows of lo..hi consecutive words."""
-    def of(n):
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(n.alias("n"), i.alias("i"), F.array_join(F.slice(words, i + 1, n), " ").alias("text")))
-    return F.flatten(F.transform(F.sequence(F.lit(lo), F.lit(hi)), of))
+    def every(ws):
+        def of(n):
+            starts = F.when(F.size(ws) >= n, F.sequence(F.lit(0), F.size(ws) - n)).otherwise(F.array().cast("array<int>"))
+            return F.transform(starts, lambda i: F.struct(n.alias("n"), i.alias("i"), F.array_join(F.slice(ws, i + 1, n), " ").alias("text")))
+        return F.flatten(F.transform(F.sequence(F.lit(lo), F.lit(hi)), of))
+    return X.let(words, every)

@@ -4,7 +4,7 @@ User tables are partitioned by a hash bucket of the user, so an upsert or an era
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.dictionary import first_per
 from ..operators.resolve import Resolution
@@ -63,13 +63,12 @@ def forget_in_table(spark: SparkSession, path: str, users: DataFrame) -> None:
 
 def write_resolution(r: Resolution, path: str, meta: dict[str, str] | None = None, fmt: str = "parquet") -> dict[str, int]:
     """Items, removed fragments and run metadata; returns row counts only (no label text leaves the job)."""
+    spark = r.items.sparkSession
     counts = {}
     for name, df in (("items", r.items), ("removed", r.removed)):
-        seen = Observation(name)
         order = "idx" if name == "items" else "position"
-        df.observe(seen, F.count("*").alias("n")).repartition("label_id").sortWithinPartitions("label_id", order).write.mode("overwrite").format(fmt).save(f"{path}/{name}")
-        counts[name] = seen.get["n"]
-    spark = r.items.sparkSession
+        df.repartition("label_id").sortWithinPartitions("label_id", order).write.mode("overwrite").format(fmt).save(f"{path}/{name}")
+        counts[name] = spark.read.format(fmt).load(f"{path}/{name}").count()
     rows = sorted((meta or {}).items())
     spark.createDataFrame(rows or [("", "")], "key string, value string").where("key <> ''").write.mode("overwrite").format(fmt).save(f"{path}/meta")
     return counts

@@ -1,8 +1,6 @@
 """Continuous forms of the batch operators."""
 from __future__ import annotations
 
-from typing import Callable
-
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -41,22 +39,23 @@ def review_sessions(events: DataFrame, gap: str = "30 minutes", ts: str = "ts",
             .select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n"))
 
 
-def reaction_alerts(pairs: DataFrame, sink: Callable[[DataFrame, int], None], state_path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """pairs(user_id, product_id, key, ...) of reacted products -> alerts(user_id, key, n) when a second product shares a key.
+def reaction_alerts(pairs: DataFrame) -> DataFrame:
+    """pairs(user_id, product_id, key) of reacted products -> (user_id, key, first_product, second_product) once two products share a key.
+
+    Two products differ exactly when the smallest and the largest product id differ, so the state of a key is two values,
+    however many rows it receives.  Run in update mode; the sink upserts by (user_id, key).
+    """
+    g = pairs.groupBy("user_id", "key").agg(F.min("product_id").alias("first_product"), F.max("product_id").alias("second_product"))
+    return g.where("first_product <> second_product")
+
+
+def run_to_table(stream: DataFrame, out: str, checkpoint: str, mode: str = "update") -> DataFrame:
+    """Drive a stream over the available input into a Parquet table, one folder per micro-batch, and read it back.
 
-    Each micro-batch adds its distinct (user, key, product) rows to a table partitioned by batch (overwrite, so a repeat is
-    harmless) and recounts only the keys it touched.
+    Overwriting a batch's own folder makes a repeated batch harmless.
     """
+    schema = stream.schema
     def one(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.select("user_id", "key", "product_id").distinct()
-        fresh.write.mode("overwrite").parquet(f"{state_path}/batch={batch_id}")
-        every = spark.read.parquet(state_path).select("user_id", "key", "product_id")
-        now = spark.read.parquet(f"{state_path}/batch={batch_id}")
-        before = spark.read.parquet(state_path).where(F.col("batch") < batch_id).select("user_id", "key", "product_id").distinct()
-        touched = now.select("user_id", "key").distinct()
-        n = every.join(touched, ["user_id", "key"], "left_semi").distinct().groupBy("user_id", "key").agg(F.count("*").alias("n")).where("n >= 2")
-        old = before.join(touched, ["user_id", "key"], "left_semi").groupBy("user_id", "key").agg(F.count("*").alias("m")).where("m >= 2")
-        sink(n.join(old, ["user_id", "key"], "left_anti"), batch_id)
-    w = pairs.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
-    return (w.trigger(availableNow=True) if once else w).start()
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+    stream.writeStream.outputMode(mode).foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(schema.add("batch", "int")).parquet(out)
