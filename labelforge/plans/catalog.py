@@ -1,3 +1,3 @@
 """All registered queries."""
-from . import match_queries, sources_queries, text_queries  # noqa: F401
+from . import match_queries, rules_queries, sources_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
