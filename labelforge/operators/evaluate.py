@@ -145,7 +145,7 @@ def character_error_rate(got: Column, truth: Column) -> Column:
 def variant_compare(scores: DataFrame, a: str, b: str, by: str = "photo_id") -> DataFrame:
     """scores(by, variant, top1, cer) -> one row: photos where a or b is better, ties, net entries gained by b."""
     p = scores.where(F.col("variant").isin(a, b)).groupBy(by).agg(F.max(F.when(F.col("variant") == a, F.col("top1"))).alias("x"), F.max(F.when(F.col("variant") == b, F.col("top1"))).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
-    return p.agg(F.count_if("x > y").alias("a_better"), F.count_if("y > x").alias("b_better"), F.count_if("x = y").alias("ties"), F.coalesce(F.sum(F.col("y") - F.col("x")), F.lit(0)).alias("net_gain"))
+    return p.agg(F.count_if(F.expr("x > y")).alias("a_better"), F.count_if(F.expr("y > x")).alias("b_better"), F.count_if(F.expr("x = y")).alias("ties"), F.coalesce(F.sum(F.col("y") - F.col("x")), F.lit(0)).alias("net_gain"))
 
 
 def variant_means(scores: DataFrame) -> DataFrame:

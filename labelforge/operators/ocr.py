@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as X
+from ..runtime import durable
 from .matching import edit_similarity, nearest_name, similar_pairs
 
 # Calibrated photo and reading thresholds.
@@ -129,7 +130,7 @@ def consensus(readings: DataFrame) -> DataFrame:
     pass that is clearly closer to a name replaces it; names (or three-vote texts) the base missed are added.  Items are
     placed by relative position, one per name, fragments inside longer kept readings and near-duplicates are dropped.
     """
-    c = cluster_readings(readings)
+    c = durable(cluster_readings(readings))
     n_in_pass = F.count("*").over(Window.partitionBy("photo_id", "pass_id"))
     c = c.withColumn("n", n_in_pass).withColumn("pos", F.when(F.col("n") > 1, F.col("idx") / (F.col("n") - 1)).otherwise(0.5))
     c = c.join(base_pass(c), "photo_id").withColumn("mine", F.col("pass_id") == F.col("base_pass"))
@@ -148,7 +149,7 @@ def consensus(readings: DataFrame) -> DataFrame:
     added = added.join(have, (added["photo_id"] == have["photo_id"]) & (F.col("r.name") == have["hn"]), "left_anti")
     it = base_items.unionByName(added).select("photo_id", "cluster", "votes", "from_", "pos", "r.text", "r.name", "r.sim", "r.conf")
     w = Window.partitionBy("photo_id", "name").orderBy(F.desc("sim"), F.desc("votes"), "pos")
-    it = it.withColumn("rn", F.row_number().over(w)).where("name IS NULL OR rn = 1").drop("rn").withColumn("k", plain_key(F.col("text")))
+    it = durable(it.withColumn("rn", F.row_number().over(w)).where("name IS NULL OR rn = 1").drop("rn").withColumn("k", plain_key(F.col("text"))))
     # an unnamed fragment inside a longer kept reading: share the fragment's first four characters, then contain it
     grams = lambda c, n: F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, F.lit(n))))).otherwise(F.array(c))
     whole = it.select("photo_id", F.col("k").alias("wk"), "cluster").withColumnRenamed("cluster", "wc")
@@ -159,7 +160,7 @@ def consensus(readings: DataFrame) -> DataFrame:
               .where((F.length("wk") > F.length("k")) & F.contains("wk", F.col("k"))).select("photo_id", "cluster").distinct())
     blank = it.where("name IS NULL AND k = ''").select("photo_id", "cluster")
     it = it.join(inside, ["photo_id", "cluster"], "left_anti").join(blank, ["photo_id", "cluster"], "left_anti")
-    return drop_near_duplicates(it)
+    return drop_near_duplicates(durable(it))
 
 
 def drop_near_duplicates(items: DataFrame) -> DataFrame:
@@ -169,7 +170,7 @@ def drop_near_duplicates(items: DataFrame) -> DataFrame:
     """
     rank = [F.desc("sim"), F.desc("votes"), F.desc("conf"), F.col("pos"), F.col("cluster")]
     it = items.withColumn("q", F.row_number().over(Window.partitionBy("photo_id").orderBy(*rank)))
-    keys = it.groupBy("photo_id", "k").agg(F.min("q").alias("q"), F.min_by("name", "q").alias("name")).where("k <> ''")
+    keys = durable(it.groupBy("photo_id", "k").agg(F.min("q").alias("q"), F.min_by("name", "q").alias("name")).where("k <> ''"))
     ks = keys.select("photo_id", "k")
     pairs = similar_pairs(ks, ks, 0.72, ["photo_id"]).where("left_key <> right_key")
     side = lambda s: keys.select("photo_id", F.col("k").alias(f"{s}_key"), F.col("q").alias(f"{s}_q"), F.col("name").alias(f"{s}_name"))
@@ -212,10 +213,11 @@ def stitch_overlaps(a: DataFrame, b: DataFrame, by: str = "product_id") -> DataF
     # one place per key and occurrence on each side keeps repeated names from multiplying
     occ = lambda d, s: d.withColumn("o", F.row_number().over(Window.partitionBy(by, "k").orderBy("i"))).select(by, F.col("k").alias(f"{s}_key"), F.col("i").alias(f"{s}_i"), "o")
     m = sim.join(occ(ka, "left"), [by, "left_key"]).join(occ(kb, "right"), [by, "right_key", "o"]).select(by, F.col("left_i").alias("i"), F.col("right_i").alias("j"))
-    m = m.withColumn("dg", F.col("i") - F.col("j"))
+    m = durable(m).withColumn("dg", F.col("i") - F.col("j"))
     m = m.withColumn("run", F.col("i") - F.row_number().over(Window.partitionBy(by, "dg").orderBy("i")))
     runs = m.groupBy(by, "dg", "run").agg(F.count("*").alias("n"), F.min("i").alias("i0"))
     best = runs.groupBy(by).agg(F.max(F.struct("n", (-F.col("i0")).alias("x"), (-F.col("dg")).alias("y"))).alias("b")).where(f"b.n >= {MIN_RUN}").select(by, (-F.col("b.y")).alias("shift"), F.lit(True).alias("overlap"))
+    best = durable(best)
     pairs = m.join(best, by).where("dg = shift").select(by, "i", "j")
     la = a.groupBy(by).agg(F.max("i").alias("last_a"))
     left = a.select(by, "i", F.col("text").alias("ta"), F.col("conf").alias("ca")).join(pairs, [by, "i"], "left")

@@ -75,16 +75,15 @@ def _(spark, d):
 
 
 @query("j4_word_swap_note", f"""
-WITH {NAMES}, p AS (SELECT name AS text, lead(name) OVER (ORDER BY name) AS inci_name FROM names),
+WITH {NAMES}, p AS (SELECT DISTINCT upper(a.p_name) AS text, upper(b.p_name) AS inci_name FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1),
  x AS (SELECT text, inci_name, list_filter(regexp_extract_all(text, '[A-Z0-9]{{3,}}'), lambda w: length(w) >= 4 AND NOT list_contains(regexp_extract_all(inci_name, '[A-Z0-9]{{3,}}'), w)) AS tw,
   list_filter(regexp_extract_all(inci_name, '[A-Z0-9]{{3,}}'), lambda w: length(w) >= 4 AND NOT list_contains(regexp_extract_all(text, '[A-Z0-9]{{3,}}'), w)) AS cw FROM p WHERE inci_name IS NOT NULL)
 SELECT text, inci_name, 'Printed ''' || tw[1][1] || lower(tw[1][2:]) || ''' is a different ingredient word from ''' || cw[1][1] || lower(cw[1][2:]) || '''. This may be a different ingredient, not a misspelling: check the pack.' AS note
 FROM x WHERE len(tw) > 0 AND len(cw) > 0""")
 def _(spark, d):
-    # neighbouring names in name order, found by a range sort and a per-name successor
-    n = part_names(spark, d).select(F.col("inci_name").alias("text"))
-    nxt = n.withColumn("inci_name", F.lead("text").over(Window.partitionBy(F.lit(1)).orderBy("text")))  # the distinct names of the dictionary, a bounded reference table
-    return M.word_swap_notes(nxt.where("inci_name IS NOT NULL"), part_dictionary(spark, d))
+    p = table(spark, d, "part").select("p_partkey", F.upper("p_name").alias("text"))
+    pairs = p.join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("text").alias("inci_name")), "p_partkey").select("text", "inci_name")
+    return M.word_swap_notes(pairs, part_dictionary(spark, d))
 
 
 @query("j5_compound_lookup", """
@@ -130,7 +129,7 @@ def _(spark, d):
     return M.similar_pairs(words("documents"), words("benchmark"), 0.75).withColumn("sim", F.round("sim", 6))
 
 
-@query("m5_find_phrases", r"""
+PHRASE_SQL = r"""
 WITH ph AS (SELECT DISTINCT array_to_string(regexp_split_to_array(text, '\s+')[1:2], ' ') AS phrase FROM benchmark),
  pn AS (SELECT phrase, trim(regexp_replace(regexp_replace(lower(phrase), '[’''`]', '', 'g'), '[^a-z0-9%]+', ' ', 'g')) AS pw FROM ph),
  pk AS (SELECT phrase, regexp_replace(pw, '[^a-z0-9]', '', 'g') AS key, len(string_split(pw, ' ')) AS nw FROM pn),
@@ -139,7 +138,10 @@ WITH ph AS (SELECT DISTINCT array_to_string(regexp_split_to_array(text, '\s+')[1
  x AS (SELECT doc_id, n, unnest(range(0, CAST(len(ws) AS BIGINT) - n + 1)) AS i, ws FROM w, (SELECT DISTINCT unnest([greatest(1, nw - 1), nw, nw + 1]) AS n FROM p)),
  y AS (SELECT doc_id, n, i, array_to_string(ws[i + 1:i + n], ' ') AS matched, regexp_replace(array_to_string(ws[i + 1:i + n], ''), '[^a-z0-9]', '', 'g') AS j FROM x),
  h AS (SELECT doc_id, phrase, n, i, matched, levenshtein(j, key) AS edits FROM y JOIN p ON substr(j, 1, 1) = substr(key, 1, 1) AND n BETWEEN greatest(1, nw - 1) AND nw + 1 AND abs(length(j) - length(key)) <= budget WHERE levenshtein(j, key) <= budget)
-SELECT doc_id, phrase, matched, edits FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, phrase ORDER BY n, i) rn FROM h) WHERE rn = 1""")
+SELECT doc_id, phrase, matched, edits FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, phrase ORDER BY n, i) rn FROM h) WHERE rn = 1"""
+
+
+@query("m5_find_phrases", PHRASE_SQL)
 def _(spark, d):
     ph = table(spark, d, "benchmark").select(F.array_join(F.slice(F.split("text", r"\s+"), 1, 2), " ").alias("phrase")).distinct()
     return M.find_phrases(table(spark, d, "documents"), ph)

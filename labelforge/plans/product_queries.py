@@ -65,9 +65,9 @@ def _(spark, d):
     return c.select("a_id", "b_id", "n_shared", F.array_join(F.array_sort("shared"), ",").alias("shared"), F.size("only_a").alias("n_only_a"), F.round("similarity", 6).alias("similarity"), "reliability")
 
 
-# each product looks at the orders of the same user and the same leading part as its catalogue matches
-ALT = """b AS (SELECT pr.product_id, pr.user_id, k.ks, k.n FROM pr JOIN k ON k.id = product_id), s AS (SELECT x.product_id AS base_id, y.product_id AS cand_id, len(list_intersect(x.ks, y.ks)) AS c, len(list_intersect(x.ks, y.ks)) / (len(x.ks) + len(y.ks) - len(list_intersect(x.ks, y.ks))) AS sim, y.product_id % 6 = 0 AS bad
- FROM b x JOIN b y ON x.user_id = y.user_id AND x.product_id <> y.product_id)"""
+# the catalogue matches of a product are the user's next three products
+ALT = """b AS (SELECT pr.product_id, pr.user_id, k.ks, row_number() OVER (PARTITION BY user_id ORDER BY product_id) AS r FROM pr JOIN k ON k.id = product_id), s AS (SELECT x.product_id AS base_id, y.product_id AS cand_id, len(list_intersect(x.ks, y.ks)) AS c, len(list_intersect(x.ks, y.ks)) / (len(x.ks) + len(y.ks) - len(list_intersect(x.ks, y.ks))) AS sim, y.product_id % 6 = 0 AS bad
+ FROM b x JOIN b y ON x.user_id = y.user_id AND y.r BETWEEN x.r + 1 AND x.r + 3)"""
 
 
 @query("o2_rank_alternatives", f"""WITH {PR}, {PAIRS}, {ALT}
@@ -84,9 +84,12 @@ def _(spark, d):
 
 
 def user_pairs(spark, d):
-    """A product against the user's other saved products (a personal shelf, the candidate list of this query)."""
+    """A product against the user's next three products: a look-up result of fixed size per base, whatever a user holds."""
     p = products(spark, d).select("user_id", "product_id", "ingredients")
-    x = p.select("user_id", F.col("product_id").alias("base_id"), F.col("ingredients").alias("base_ingredients")).join(p.select("user_id", F.col("product_id").alias("cand_id"), F.col("ingredients").alias("cand_ingredients")), "user_id").where("base_id <> cand_id")
+    w = Window.partitionBy("user_id").orderBy("product_id")
+    me = F.struct("product_id", "ingredients")
+    x = p.select(F.col("product_id").alias("base_id"), F.col("ingredients").alias("base_ingredients"), F.array_compact(F.array(*[F.lead(me, k).over(w) for k in (1, 2, 3)])).alias("c"))
+    x = x.select("base_id", "base_ingredients", F.explode("c").alias("c")).select("base_id", F.col("c.product_id").alias("cand_id"), "base_ingredients", F.col("c.ingredients").alias("cand_ingredients"))
     return x, p.where("product_id % 6 = 0").select(F.col("product_id").alias("cand_id"))
 
 

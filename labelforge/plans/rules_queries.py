@@ -6,6 +6,7 @@ from pyspark.sql import Window, functions as F
 from ..functions import text as X
 from ..operators import claims, review, rules
 from ..operators.segment import split_ingredients
+from .match_queries import PHRASE_SQL
 from .registry import LI, lines, part_names, query, sql_key, table
 from .text_queries import WORDS_SQL, document_words, sql_case, term_col, TERM, ROLE
 
@@ -271,7 +272,9 @@ def _(spark, d):
     return rules.evaluate_findings(a, n).drop("user_id")
 
 
-@query("c1_extract_claims")
+@query("c1_extract_claims", f"""WITH hit AS ({PHRASE_SQL}), cl AS (SELECT 'c' || (item_id % 10) AS claim_id, CASE WHEN item_id % 2 = 0 THEN 'free_from' ELSE 'ingredient' END AS kind, item_id AS ord, array_to_string(regexp_split_to_array(text, '\\s+')[1:2], ' ') AS phrase FROM benchmark),
+ j AS (SELECT doc_id, claim_id, kind, matched, edits, row_number() OVER (PARTITION BY doc_id, claim_id ORDER BY CASE kind WHEN 'free_from' THEN 1 ELSE 4 END, ord, matched) AS rn FROM hit JOIN cl USING (phrase))
+SELECT doc_id, claim_id, kind, matched, edits FROM j WHERE rn = 1""")
 def _(spark, d):
     b = table(spark, d, "benchmark")
     ph = b.select(F.concat(F.lit("c"), (F.col("item_id") % 10).cast("string")).alias("claim_id"), F.when(F.col("item_id") % 2 == 0, "free_from").otherwise("ingredient").alias("kind"), F.col("item_id").cast("int").alias("ord"),

@@ -1,7 +1,7 @@
 """Continuous forms of the batch operators."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.dictionary import NameDictionary
@@ -58,4 +58,4 @@ def run_to_table(stream: DataFrame, out: str, checkpoint: str, mode: str = "upda
     def one(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
     stream.writeStream.outputMode(mode).foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.read.schema(schema.add("batch", "int")).parquet(out)
+    return stream.sparkSession.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())])).parquet(out)
