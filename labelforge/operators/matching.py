@@ -317,7 +317,7 @@ def find_phrases(texts: DataFrame, phrases: DataFrame, id_col: str = "doc_id", t
     first character.  Windows and phrases meet on (words, first character, length), each phrase entered under the lengths
     its budget allows, so only window/phrase pairs of a plausible length are compared.
     """
-    letters = lambda c: F.regexp_replace(c, "[^a-z0-9]", "")
+    letters = lambda c: F.translate(c, "% ", "")  # claim text holds only a-z 0-9 % and blanks
     p = phrases.select(F.col(phrase_col).alias("phrase")).distinct().withColumn("pw", X.claim_text(F.col("phrase")))
     p = p.withColumn("key", letters(F.col("pw"))).where(F.length("key") >= 5).withColumn("nw", F.size(F.split("pw", " ")))
     p = p.withColumn("budget", F.when(F.length("key") < 10, 0).when(F.length("key") < 16, 1).otherwise(2))
