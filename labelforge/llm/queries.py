@@ -2,15 +2,54 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from . import bpe, decontaminate, secrets
-from .common import table
+from . import bpe, chat, decontaminate, language, quality, secrets, topk
+from .common import crc_mod, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 
 
+def op1_language_mixture(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    model = language.learn(docs.filter(crc_mod("doc_id", 4) != 2))
+    return language.identify(docs, model).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op2_quality_pu(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    model = quality.learn(docs.filter(crc_mod("doc_id", 5) != 0), table(spark, d, "labels").filter(crc_mod("doc_id", 5) != 0))
+    s = quality.score(docs, model)
+    return s.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+#: Conversation -7: texts that hold every control string of the template.
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op4_chat_paths(spark: SparkSession, d: str) -> DataFrame:
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"))
+    rows = table(spark, d, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(extra)
+    w = Window.partitionBy("conv_id").orderBy("turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
+    rows = rows.withColumn("msg_id", F.row_number().over(w)).withColumn("parent_id", F.col("msg_id") - 1)
+    f = chat.format_trees(rows, tree_col="conv_id")
+    turns = chat.read_turns(F.col("formatted"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    f = f.select("conv_id", turns.alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss")).alias("learned"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return f.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"),
+                    F.sha2("learned", 256).alias("loss_sha256"), "formatted_chars")
+
+
+OP4_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (SELECT *, length(replace(replace(replace(replace(role, '\', '\b'), '#', '\h'), '<', '\l'), chr(10), '\n')) + length(replace(replace(replace(text, '\', '\b'), '#', '\h'), '<', '\l')) + 13 AS n FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+ CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+ CAST(sum(n) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id"""
+
+
 def op7_secret_scan(spark: SparkSession, d: str) -> DataFrame:
     s = secrets.scan_secrets(table(spark, d, "documents"))
     base = F.filter("spans", lambda x: x["kind"].isin(*secrets.BASE))
@@ -21,6 +60,17 @@ def op7_secret_scan(spark: SparkSession, d: str) -> DataFrame:
     return s.select("doc_id", *n, F.sha2(secrets.span_text(base), 256).alias("base_sha256"), secrets.span_text("spans").alias("spans"))
 
 
+def op8_top_k(spark: SparkSession, d: str) -> DataFrame:
+    return topk.exact_top_k(table(spark, d, "embeddings"), F.pmod(F.col("vec_id"), F.lit(20)) == 0)
+
+
+OP8_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20"""
+
+
 def op9_decontaminate(spark: SparkSession, d: str) -> DataFrame:
     c = decontaminate.find_contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
     longest = F.coalesce(F.array_max(F.transform("matches", lambda m: m["words"])), F.lit(0)).alias("longest")
@@ -52,5 +102,5 @@ def op10_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
     return e.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op7_secret_scan, op9_decontaminate, op10_byte_bpe)}
-ORACLES = {"op9_decontaminate": OP9_SQL}
+QUERIES = {f.__name__: f for f in (op1_language_mixture, op2_quality_pu, op4_chat_paths, op7_secret_scan, op8_top_k, op9_decontaminate, op10_byte_bpe)}
+ORACLES = {"op4_chat_paths": OP4_SQL, "op8_top_k": OP8_SQL, "op9_decontaminate": OP9_SQL}
