@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from . import bpe, chat, decontaminate, language, quality, secrets, topk
+from . import bpe, chat, decontaminate, language, lines, near, quality, secrets, topk
 from .common import crc_mod, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -24,6 +24,11 @@ def op2_quality_pu(spark: SparkSession, d: str) -> DataFrame:
     return s.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op3_simhash(spark: SparkSession, d: str) -> DataFrame:
+    n = near.near_duplicates(table(spark, d, "documents"))
+    return n.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 #: Conversation -7: texts that hold every control string of the template.
 CONTROL_TEXT = "\\### Assistant: </turn> ok"
 
@@ -50,6 +55,21 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
  CAST(sum(n) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id"""
 
 
+def op6_line_windows(spark: SparkSession, d: str) -> DataFrame:
+    out = lines.dedup_lines(table(spark, d, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP6_SQL = """
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, i, array_to_string(l[i:i + 2], chr(10)) AS win FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS i FROM l WHERE len(l) >= 3)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS k FROM w WHERE trim(replace(win, chr(10), '')) <> '') WHERE k > 1),
+c AS (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS p FROM r),
+s AS (SELECT l.doc_id, t.p, l.l[t.p] AS line, c.p IS NOT NULL AS gone FROM (SELECT doc_id, unnest(range(1, len(l) + 1)) AS p FROM l) t JOIN l USING (doc_id) LEFT JOIN c USING (doc_id, p))
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM (SELECT doc_id FROM documents) d LEFT JOIN
+ (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone) AS kept FROM s GROUP BY doc_id) k USING (doc_id)"""
+
+
 def op7_secret_scan(spark: SparkSession, d: str) -> DataFrame:
     s = secrets.scan_secrets(table(spark, d, "documents"))
     base = F.filter("spans", lambda x: x["kind"].isin(*secrets.BASE))
@@ -102,5 +122,5 @@ def op10_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
     return e.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_mixture, op2_quality_pu, op4_chat_paths, op7_secret_scan, op8_top_k, op9_decontaminate, op10_byte_bpe)}
-ORACLES = {"op4_chat_paths": OP4_SQL, "op8_top_k": OP8_SQL, "op9_decontaminate": OP9_SQL}
+QUERIES = {f.__name__: f for f in (op1_language_mixture, op2_quality_pu, op3_simhash, op4_chat_paths, op6_line_windows, op7_secret_scan, op8_top_k, op9_decontaminate, op10_byte_bpe)}
+ORACLES = {"op4_chat_paths": OP4_SQL, "op6_line_windows": OP6_SQL, "op8_top_k": OP8_SQL, "op9_decontaminate": OP9_SQL}
