@@ -1,12 +1,13 @@
 """Shared helpers: table reading, durable cuts, batch-wise maps and bounded driver reads."""
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..runtime import durable  # noqa: F401  (re-exported to the operators)
+from ..runtime import checkpoint_folder, durable  # noqa: F401  (re-exported to the operators)
 
 #: Text bytes that one step of a Python task works on at a time.
 SLICE_BYTES = 8 << 20
@@ -16,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder name under the checkpoint folder, which the driver and all executors share."""
+    return f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each carries about ``size`` bytes of the text column; a single longer text is a slice of its own."""
     for b in batches:
