@@ -11,6 +11,7 @@ an empty table gives an empty result; other columns are never read.
 from __future__ import annotations
 
 import base64
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,8 @@ from .common import TooLarge, batch, map_texts
 
 #: Largest vocabulary file that is broadcast.
 MAX_RANK_BYTES = 64 << 20
-#: Entries kept of the pieces a task has seen; the memory is cleared when full.
-CACHE = 400_000
+#: Pre-tokens and words that a worker remembers before it forgets those not in its present batch.
+CACHE = 250_000
 #: Pieces longer than this are never remembered.
 CACHE_CHARS = 40
 _GROUP = 256
@@ -189,11 +190,13 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """A single space between two characters that are no white space begins a pre-token, so texts are cut there into words, and
         each distinct word of the batch is cut and merged once. A text with another kind of space is cut whole."""
-        if len(self.pieces) > CACHE or len(self.words) > CACHE:
-            self.pieces.clear()
-            self.words.clear()
         split = [t.split(" ") for t in texts]
         heads = [s.pop(0) for s in split]
+        if len(self.pieces) > CACHE:
+            self.pieces.clear()
+        if len(self.words) > CACHE:  # words of this batch are the likeliest to come again
+            old = self.words
+            self.words = {w: old[w] for s in split for w in s if w in old}
         get = self.words.get
         found = [list(map(get, s)) for s in split]
         fresh = {w for s, ids in zip(split, found) if None in ids for w, i in zip(s, ids) if i is None}
@@ -224,6 +227,12 @@ class Encoder:
         return b"".join(map(self.m.tokens.__getitem__, memoryview(packed).cast("I")))
 
 
+@lru_cache(maxsize=1)
+def encoder(data: bytes, pattern: str) -> Encoder:
+    """One encoder for all tasks of a worker process."""
+    return Encoder(data, pattern)
+
+
 def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: the id, ``n_tokens``, ``ids`` (packed little-endian unsigned 32-bit) and ``decoded`` (bytes decoded from those ids).
 
@@ -234,7 +243,7 @@ def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
     shared = spark.sparkContext.broadcast(read_ranks(ranks_path))
 
     def make():
-        enc = Encoder(shared.value, pattern)
+        enc = encoder(shared.value, pattern)
 
         def step(b):
             ids = enc.encode([t or "" for t in b.column(1).to_pylist()])
