@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from . import bpe, chat, decontaminate, language, lines, near, quality, secrets, topk
+from . import bpe, chat, decontaminate, language, lines, near, quality, secrets, substrings, topk
 from .common import crc_mod, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -55,6 +55,21 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
  CAST(sum(n) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id"""
 
 
+def op5_phrase_automata(spark: SparkSession, d: str) -> DataFrame:
+    out = substrings.dedup_substrings(table(spark, d, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+w AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 12], ' ')) AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d WHERE len(ws) >= 13)),
+m AS (SELECT win, min(doc_id) AS low FROM w GROUP BY win HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM w JOIN m USING (win) WHERE doc_id > low),
+t AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM d),
+k AS (SELECT doc_id, count(c.p) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (c.p IS NULL) AS kept FROM t LEFT JOIN c USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
+
+
 def op6_line_windows(spark: SparkSession, d: str) -> DataFrame:
     out = lines.dedup_lines(table(spark, d, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -122,5 +137,5 @@ def op10_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
     return e.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_mixture, op2_quality_pu, op3_simhash, op4_chat_paths, op6_line_windows, op7_secret_scan, op8_top_k, op9_decontaminate, op10_byte_bpe)}
-ORACLES = {"op4_chat_paths": OP4_SQL, "op6_line_windows": OP6_SQL, "op8_top_k": OP8_SQL, "op9_decontaminate": OP9_SQL}
+QUERIES = {f.__name__: f for f in (op1_language_mixture, op2_quality_pu, op3_simhash, op4_chat_paths, op5_phrase_automata, op6_line_windows, op7_secret_scan, op8_top_k, op9_decontaminate, op10_byte_bpe)}
+ORACLES = {"op4_chat_paths": OP4_SQL, "op5_phrase_automata": OP5_SQL, "op6_line_windows": OP6_SQL, "op8_top_k": OP8_SQL, "op9_decontaminate": OP9_SQL}
