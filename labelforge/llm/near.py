@@ -211,7 +211,7 @@ def links(classes: DataFrame, radius: int = RADIUS, bands: int = BANDS, shard: i
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component) of every id in the links (u, v), u > v: the smallest id reachable. Large-star and small-star rounds until nothing
+    """(id, component) of every id in the links (u, v), u > v, but the components themselves: the smallest id reachable. Large-star and small-star rounds until nothing
     changes; each round halves paths, and no row gathers a node's neighbours."""
     def state(e):
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
