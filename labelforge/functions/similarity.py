@@ -12,7 +12,11 @@ import pandas as pd
 from pyspark.sql import functions as F, types as T
 
 # Fixed values of the glyph model: pairs that look alike, two-for-one look-alikes, narrow glyphs, droppable last words, costs.
-LOOK_ALIKE = ("IL I1 L1 IJ IT O0 OQ OD OC CE CG CQ CD EF NU NM NH UV VY VN B8 S5 Z2 G6 FP PR AO AE MW BH RK TY").split()
+LOOK_ALIKE = [
+    ("I", "L"), ("I", "1"), ("L", "1"), ("I", "J"), ("I", "T"), ("O", "0"), ("O", "Q"), ("O", "D"), ("O", "C"), ("C", "E"), ("C", "G"),
+    ("C", "Q"), ("C", "D"), ("E", "F"), ("N", "U"), ("N", "M"), ("N", "H"), ("U", "V"), ("V", "Y"), ("V", "N"), ("B", "8"), ("S", "5"),
+    ("Z", "2"), ("G", "6"), ("F", "P"), ("P", "R"), ("A", "O"), ("A", "E"), ("M", "W"), ("B", "H"), ("R", "K"), ("T", "Y"),
+]
 TWO_FOR_ONE = [("RN", "M"), ("CL", "D"), ("VV", "W")]
 NARROW = "IL1JTFR"
 GENERIC_SUFFIXES = ["OIL", "EXTRACT", "WATER", "BUTTER", "WAX", "JUICE", "POWDER", "ACID"]
@@ -20,6 +24,7 @@ COST_WILDCARD, COST_LOOK_ALIKE, COST_NARROW, COST_SUFFIX, COST_FULL = 0.1, 0.4,
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789?"
 _PAD = len(ALPHABET)
+LANE = 64  # a key shorter than this fits the bit-parallel lanes
 _CODE = np.full(128, _PAD, dtype=np.uint8)
 for _i, _ch in enumerate(ALPHABET):
     _CODE[ord(_ch)] = _i
@@ -96,8 +101,19 @@ def indel_ratio_one(a: str, b: str) -> float:
 
 @F.pandas_udf(T.DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Column form of the Indel ratio (0..100)."""
-    return pd.Series([None if x is None or y is None else indel_ratio_one(x, y) for x, y in zip(a, b)], dtype="float64")
+    """Column form of the Indel ratio (0..100): lanes over the whole batch, whole-number subsequences for long or foreign strings."""
+    out = np.full(len(a), np.nan)
+    known = set(ALPHABET)
+    there = np.flatnonzero((a.notna() & b.notna()).to_numpy())
+    x, y = a.to_numpy(object)[there], b.to_numpy(object)[there]
+    lane = np.array([0 < len(p) < LANE and 0 < len(q) < 4 * LANE and known.issuperset(p) and known.issuperset(q) for p, q in zip(x, y)], bool)
+    if lane.any():
+        (cx, lx), (cy, ly) = encode(list(x[lane])), encode(list(y[lane]))
+        i = np.arange(len(lx))
+        out[there[lane]] = 200.0 * lcs_pairs(letter_masks(cx), lx, i, cy, i) / (lx + ly)
+    for i, p, q in zip(there[~lane], x[~lane], y[~lane]):
+        out[i] = indel_ratio_one(p, q)
+    return pd.Series(out).where(~np.isnan(out), None).astype("float64")
 
 
 class NamePool:
@@ -115,20 +131,30 @@ class NamePool:
 
     @staticmethod
     def _letter_counts(codes: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(codes), _PAD + 1), dtype=np.uint8)
+        out = np.zeros((len(codes), _PAD + 1), dtype=np.uint16)
         rows = np.arange(len(codes))
         for j in range(codes.shape[1]):
             np.add.at(out, (rows, codes[:, j]), 1)
         return out[:, :_PAD]
 
     def search(self, keys: list[str]) -> pd.DataFrame:
-        """(key, cand_key, pool_pos) rows, best ratio first, ties in name order."""
+        """(key, cand_key, ratio) rows, the ``limit`` best of each key, ties in name order."""
         n_names = len(self.names)
         if not n_names or not keys:
-            return pd.DataFrame({"key": [], "cand_key": [], "pool_pos": []})
+            return pd.DataFrame({"key": [], "cand_key": [], "ratio": []})
         chunk = max(1, self.step // n_names)
-        parts = [self._search_chunk(keys[i : i + chunk]) for i in range(0, len(keys), chunk)]
-        return pd.concat(parts, ignore_index=True)
+        short, long = [k for k in keys if len(k) < LANE], [k for k in keys if len(k) >= LANE]
+        parts = [self._search_chunk(short[i : i + chunk]) for i in range(0, len(short), chunk)]
+        return pd.concat(parts + [self._search_long(k) for k in long], ignore_index=True)
+
+    def _search_long(self, key: str) -> pd.DataFrame:
+        """The same for a key that is longer than a lane, with whole-number subsequences."""
+        codes, _ = encode([key])
+        shared = np.minimum(self._letter_counts(codes)[0][None, :], self.counts).sum(axis=1)
+        near = np.flatnonzero(200.0 * shared / (len(key) + self.lens) >= self.cutoff)
+        rated = sorted((-indel_ratio_one(key, self.names[i]), self.names[i]) for i in near.tolist())
+        best = [(-r, n) for r, n in rated if -r >= self.cutoff][: self.limit]
+        return pd.DataFrame({"key": [key] * len(best), "cand_key": [n for _, n in best], "ratio": [r for r, _ in best]})
 
     def _search_chunk(self, keys: list[str]) -> pd.DataFrame:
         codes, lens = encode(keys)
@@ -153,17 +179,17 @@ class NamePool:
             floor = np.maximum(floor, np.partition(got, probe - self.limit, axis=1)[:, probe - self.limit])
         ki, ni = np.nonzero(bound >= floor[:, None])
         if not len(ki):
-            return pd.DataFrame({"key": [], "cand_key": [], "pool_pos": []})
+            return pd.DataFrame({"key": [], "cand_key": [], "ratio": []})
         ratio = ratios(ki, ni)
         ok = ratio >= floor[ki]
         ki, ni, ratio = ki[ok], ni[ok], ratio[ok]
         order = np.lexsort((ni, -ratio, ki))
-        ki, ni = ki[order], ni[order]
+        ki, ni, ratio = ki[order], ni[order], ratio[order]
         first = np.r_[True, ki[1:] != ki[:-1]] if len(ki) else np.zeros(0, bool)
         pos = np.arange(len(ki)) - np.maximum.accumulate(np.where(first, np.arange(len(ki)), 0))
         keep = pos < self.limit
         karr = np.array(keys, dtype=object)
-        return pd.DataFrame({"key": karr[ki[keep]], "cand_key": self.names[ni[keep]], "pool_pos": pos[keep].astype("int32")})
+        return pd.DataFrame({"key": karr[ki[keep]], "cand_key": self.names[ni[keep]], "ratio": ratio[keep]})
 
 
 # ---------------------------------------------------------------------------------------------------

@@ -218,4 +218,4 @@ def role_blurb(family: Column) -> Column:
 
 def pretty_function(c: Column) -> Column:
     t = F.regexp_replace(F.lower(c), r"\s*-\s*", ", ")
-    return F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 1_000_000))
+    return F.concat(F.upper(F.substring(t, 1, 1)), F.substr(t, F.lit(2)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
-from ..runtime import durable, small
+from ..runtime import durable
 from .dictionary import first_per
 
 
@@ -40,7 +40,7 @@ def annex_rows(rows: DataFrame, annex: str, name_cell: int = 2, cond_from: int =
     """Annex entries: numbered rows of four or more cells -> (annex, entry, cell, cas, conditions)."""
     c = F.col("cells")
     at = lambda i: F.coalesce(F.get(c, F.lit(i)), F.lit(""))
-    cond = F.array_join(F.filter(F.slice(c, cond_from + 1, 1000), lambda x: x != ""), " | ")
+    cond = F.array_join(F.filter(F.slice(c, F.lit(cond_from + 1), F.greatest(F.size(c), F.lit(0))), lambda x: x != ""), " | ")
     return (rows.where(F.trim(F.get(c, F.lit(0))).rlike(r"^\d+[a-z]?$") & (F.size("cells") >= 4))
             .select(F.lit(annex).alias("annex"), F.trim(F.get(c, F.lit(0))).alias("entry"), at(name_cell).alias("full_cell"), F.substring(at(name_cell), 1, 160).alias("cell"),
                     F.substring(at(3), 1, 80).alias("cas"), F.substring(cond, 1, 600).alias("conditions")))
@@ -86,7 +86,7 @@ def longest_span_names(texts: DataFrame, names: DataFrame, id_col: str = "id", t
             F.transform(F.slice(s["offs"], i + 2, reach), lambda o: o - F.get(s["offs"], i)).alias("ends")))
     w = text_key.select("id", F.explode(X.let(F.col("s"), tails)).alias("w")).select("id", "w.i", "w.tail", "w.ends").withColumn("h", F.substring("tail", 1, 2))
     cand = (w.join(lens, "h").select("id", "i", "tail", "ends", F.explode(F.array_intersect("lens", "ends")).alias("n"))
-            .select("id", "i", (F.col("i") + F.array_position("ends", F.col("n"))).cast("int").alias("j"), F.substr("tail", F.lit(1), F.col("n")).alias("key")).join(small(d), "key"))
+            .select("id", "i", (F.col("i") + F.array_position("ends", F.col("n"))).cast("int").alias("j"), F.substr("tail", F.lit(1), F.col("n")).alias("key")).join(d, "key"))
     longest = cand.groupBy("id", "i").agg(F.max(F.struct("j", "name")).alias("b")).select("id", "i", "b.j", "b.name")
     per = longest.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "j", "name"))).alias("m"))
     step = lambda acc, x: F.when(x["i"] >= acc["end"], F.struct(x["j"].alias("end"), F.concat(acc["out"], F.array(F.struct(x["i"].alias("i"), x["name"].alias("name")))).alias("out"))).otherwise(acc)

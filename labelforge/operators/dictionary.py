@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as X
-from ..runtime import durable, small
+from ..runtime import durable
 
 SEED_ONLY = "Name from the project seed list; not an entry of the EU glossary."
 OPTIONAL = ["cas", "ec", "functions", "description", "cosing_ref", "category"]
@@ -22,13 +22,13 @@ class NameDictionary:
     _built: dict[str, DataFrame] = field(default_factory=dict)
 
     def materialised(self) -> "NameDictionary":
-        """The dictionary with its key tables computed once; tables of checked size are marked for broadcast."""
+        """The dictionary with its key tables computed once; how they are joined is left to the optimizer."""
         if self._built:
             return self
         lookup = durable(self.lookup)
         done = NameDictionary(self.names, self.aliases, self.meta, {"lookup": lookup})
         corpus, words = durable(done.corpus), durable(done.vocabulary)
-        return NameDictionary(self.names, self.aliases, self.meta, {"lookup": small(lookup), "corpus": small(corpus), "vocabulary": small(words)})
+        return NameDictionary(self.names, self.aliases, self.meta, {"lookup": lookup, "corpus": corpus, "vocabulary": words})
 
     @property
     def lookup(self) -> DataFrame:

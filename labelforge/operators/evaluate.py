@@ -195,11 +195,11 @@ def failure_causes(raw: Column, best_ratio: Column, contains_two: Column, is_par
     return F.when(F.size(first) == 0, F.array(F.lit("5_unknown"))).otherwise(first)
 
 
-def best_truth_ratio(tokens: DataFrame, names: DataFrame, floor: float = 0.7) -> DataFrame:
-    """tokens(token), names(name) -> (token, best): best edit similarity of at least ``floor`` over the names, by the segment join."""
-    k = lambda d, c: d.select(X.label_norm(F.col(c)).alias("k")).where("k <> ''").distinct()
-    p = similar_pairs(k(tokens, "token"), k(names, "name"), floor).groupBy(F.col("left_key").alias("k")).agg(F.max("sim").alias("best"))
-    return tokens.select("token").distinct().withColumn("k", X.label_norm(F.col("token"))).join(p, "k", "left").select("token", F.coalesce("best", F.lit(0.0)).alias("best"))
+def best_truth_ratio(tokens: DataFrame, names: DataFrame, floor: float = 0.7, by: str = "label_id") -> DataFrame:
+    """tokens(by, token), names(by, name) -> (by, token, best): best edit similarity of at least ``floor`` over the names of the same label."""
+    k = lambda d, c: d.select(by, X.label_norm(F.col(c)).alias("k")).where("k <> ''").distinct()
+    p = similar_pairs(k(tokens, "token"), k(names, "name"), floor, [by]).groupBy(by, F.col("left_key").alias("k")).agg(F.max("sim").alias("best"))
+    return tokens.select(by, "token").distinct().withColumn("k", X.label_norm(F.col("token"))).join(p, [by, "k"], "left").select(by, "token", F.coalesce("best", F.lit(0.0)).alias("best"))
 
 
 def cause_report(causes: DataFrame) -> DataFrame:
@@ -232,7 +232,8 @@ def word_recall(pairs: DataFrame, by: str = "photo_id", cutoff: float = 80.0) ->
     """pairs(by, truth, ocr) -> (by, recall): share of truth words (4+ letters) with a similar OCR word (Indel ratio >= cutoff).
 
     Equal words are settled by a semi join.  For the rest, a ratio of 80 means an edit similarity of at least .6 of the
-    longer word, so candidates come from the segment join and the ratio is computed for those only.
+    longer word, so candidates come from the segment join within the photo and the ratio is computed for those only.  A photo
+    without truth words or without OCR words has recall 0.
     """
     up = lambda c, n: F.regexp_extract_all(F.upper(c), F.lit(f"([A-Za-z]{{{n},}})"), 1)
     t = pairs.select(by, F.explode(up("truth", 4)).alias("k"))
@@ -240,7 +241,9 @@ def word_recall(pairs: DataFrame, by: str = "photo_id", cutoff: float = 80.0) ->
     tk = t.groupBy(by, "k").agg(F.count("*").alias("n"))
     hit = tk.join(o, [by, "k"], "left_semi")
     rest = tk.join(o, [by, "k"], "left_anti")
-    near = similar_pairs(rest.select("k").distinct(), o.select("k").distinct(), 0.6).withColumn("ratio", indel_ratio("left_key", "right_key")).where(F.col("ratio") >= cutoff)
-    near_hit = rest.join(near.select(F.col("left_key").alias("k"), F.col("right_key").alias("ok")), "k").join(o.select(by, F.col("k").alias("ok")), [by, "ok"]).select(by, "k", "n").distinct()
+    near = similar_pairs(rest.select(by, "k"), o, 0.6, [by]).withColumn("ratio", indel_ratio("left_key", "right_key")).where(F.col("ratio") >= cutoff)
+    near_hit = rest.join(near.select(by, F.col("left_key").alias("k")).distinct(), [by, "k"]).select(by, "k", "n")
     got = hit.unionByName(near_hit).groupBy(by).agg(F.sum("n").alias("got"))
-    return tk.groupBy(by).agg(F.sum("n").alias("words")).join(got, by, "left").select(by, "words", F.coalesce("got", F.lit(0)).alias("found"), (F.coalesce("got", F.lit(0)) / F.col("words")).alias("recall"))
+    words = tk.groupBy(by).agg(F.sum("n").alias("words"))
+    full = pairs.select(by).distinct().join(words, by, "left").join(got, by, "left").select(by, F.coalesce("words", F.lit(0)).alias("words"), F.coalesce("got", F.lit(0)).alias("found"))
+    return full.select("*", F.when(F.col("words") > 0, F.col("found") / F.col("words")).otherwise(0.0).alias("recall"))

@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import text as X
 from ..functions.similarity import NamePool, confusion_explain, confusion_score, indel_ratio, indel_ratio_one
-from ..runtime import is_at_most
 from .dictionary import NameDictionary
 from .segment import word_windows
 
-MAX_POOL_NAMES = 200_000      # names one task holds at a time; larger dictionaries are searched shard by shard
+POOL_SHARDS = 8               # blocks a dictionary is dealt into; a task holds one
+KEY_BLOCK = 4_096             # keys of one block
 SUGGEST_FLOOR, POOL_LIMIT, POOL_CUTOFF = 0.55, 40, 45.0
 
 
@@ -56,44 +56,37 @@ def fuzzy_key(text: Column) -> Column:
     return X.fold_key(X.strip_nano(F.when(plain == "", text).otherwise(plain)))
 
 
-_POOL_SCHEMA = T.StructType([T.StructField("key", T.StringType()), T.StructField("cand_key", T.StringType()), T.StructField("pool_pos", T.IntegerType())])
+def name_pool(keys: DataFrame, corpus_keys: DataFrame, cutoff: float = POOL_CUTOFF, limit: int = POOL_LIMIT, shards: int = POOL_SHARDS) -> DataFrame:
+    """For each distinct key the ``limit`` names of best Indel ratio (>= cutoff), exactly; (key, cand_key, pool_pos).
 
+    The ratio has no useful equi-join key, so keys meet names in blocks: names are dealt by hash into ``shards`` blocks, keys are
+    packed a batch at a time, each pair of blocks is one row of a join on the shard number, and the shards' lists are merged by
+    rank.  One plan serves every dictionary size; no name passes through the driver, and a task holds one shard of names.
+    """
+    names = corpus_keys.select("key").where(F.length("key") > 0).distinct()
+    names = names.groupBy(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard")).agg(F.collect_list("key").alias("names"))
 
-def _pool_shard(keys: DataFrame, names: list[str], cutoff: float, limit: int) -> DataFrame:
-    shared = keys.sparkSession.sparkContext.broadcast(names)
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), KEY_BLOCK):
+                yield pd.DataFrame({"keys": [b["key"].iloc[at:at + KEY_BLOCK].tolist()]})
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pool = NamePool(shared.value, cutoff, limit)
+        held, pool = None, None
         for b in batches:
-            yield pool.search(b["key"].tolist())
-
-    return keys.select("key").mapInPandas(search, _POOL_SCHEMA)
-
-
-def name_pool(keys: DataFrame, corpus_keys: DataFrame, cutoff: float = POOL_CUTOFF, limit: int = POOL_LIMIT,
-              shard_rows: int = MAX_POOL_NAMES) -> DataFrame:
-    """For each distinct key the ``limit`` names of best Indel ratio (>= cutoff), exactly.
-
-    The ratio has no useful equi-join key, so the names travel to the keys: a dictionary of checked size is shipped once
-    and every task prunes it by an exact letter-count bound.  A larger dictionary is searched in hash shards whose pools
-    are merged by rank, so no task ever holds more than a shard and nothing is dropped.
-    """
-    distinct = corpus_keys.select("key").where(F.length("key") > 0).distinct()
-    if is_at_most(distinct, shard_rows):
-        return _pool_shard(keys, [r["key"] for r in distinct.toLocalIterator()], cutoff, limit)
-    shards = distinct.count() // (shard_rows // 2) + 1
-    out = None
-    for s in range(shards):
-        part = [r["key"] for r in distinct.where(F.pmod(F.xxhash64("key"), F.lit(shards)) == s).toLocalIterator()]
-        rows = _pool_shard(keys, part, cutoff, limit)
-        out = rows if out is None else out.unionByName(rows)
-    ranked = out.withColumn("ratio", indel_ratio("key", "cand_key"))
+            for shard, names, keys in zip(b["shard"], b["names"], b["keys"]):
+                if shard != held:
+                    held, pool = shard, NamePool(list(names), cutoff, limit)
+                yield pool.search(list(keys))
+    blocks = keys.select("key").mapInPandas(pack, "keys array<string>").select("keys", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    pairs = blocks.join(names, "shard").repartition("shard", "keys").sortWithinPartitions("shard")
+    found = pairs.mapInPandas(search, "key string, cand_key string, ratio double")
     w = Window.partitionBy("key").orderBy(F.desc("ratio"), "cand_key")
-    return (ranked.withColumn("pool_pos", (F.row_number().over(w) - 1).cast("int")).where(F.col("pool_pos") < limit)
+    return (found.withColumn("pool_pos", (F.row_number().over(w) - 1).cast("int")).where(F.col("pool_pos") < limit)
             .select("key", "cand_key", "pool_pos"))
 
 
-def fuzzy_topk(keys: DataFrame, d: NameDictionary, limit: int = 3, floor: float = SUGGEST_FLOOR, shard_rows: int = MAX_POOL_NAMES) -> DataFrame:
+def fuzzy_topk(keys: DataFrame, d: NameDictionary, limit: int = 3, floor: float = SUGGEST_FLOOR, shards: int = POOL_SHARDS) -> DataFrame:
     """keys(key, distinct) -> (key, cands) with up to ``limit`` candidates (inci_name, score, edits, unexplained), best first.
 
     Cheap ratio pool, glyph-aware score on the pool, best key per name, rank by score step, last-word prior, score, name;
@@ -101,7 +94,7 @@ def fuzzy_topk(keys: DataFrame, d: NameDictionary, limit: int = 3, floor: float
     """
     d = d.materialised()
     usable = keys.select("key").where(F.length("key").between(3, 60))
-    pool = name_pool(usable, d.corpus, shard_rows=shard_rows)
+    pool = name_pool(usable, d.corpus, shards=shards)
     corpus = d.corpus.select(F.col("key").alias("cand_key"), "inci_name", "prior")
     scored = pool.withColumn("score", confusion_score("key", "cand_key")).where(F.col("score") >= floor).join(corpus, "cand_key")
     # at most one pool (40 rows) per key is gathered
@@ -270,7 +263,7 @@ def compound_lookup(names: DataFrame, snapshot: DataFrame | None) -> DataFrame:
     open_ = exact.where("cid IS NULL").select(up.alias("k")).distinct()
     fold = lambda c: X.fold_key(c, False)
     snap = snapshot.select(F.upper("name").alias("name")).distinct().withColumn("sk", fold(F.col("name"))).where("sk <> ''")
-    pool = name_pool(open_.select(fold(F.col("k")).alias("key")).where(F.length("key").between(1, 60)).distinct(), snap.select(F.col("sk").alias("key")), cutoff=75.0, limit=5)
+    pool = name_pool(open_.select(fold(F.col("k")).alias("key")).where("key <> ''").distinct(), snap.select(F.col("sk").alias("key")), cutoff=75.0, limit=5)
     close = open_.withColumn("key", fold(F.col("k"))).join(pool, "key").join(snap, F.col("cand_key") == F.col("sk"))
     w = Window.partitionBy("k").orderBy("pool_pos", "name")
     top = (close.withColumn("rn", F.row_number().over(w)).where("rn <= 5").groupBy("k")

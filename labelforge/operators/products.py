@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import text as X
 from .dictionary import first_per
 
-MIN_PRODUCTS, MAX_PRODUCTS, MIN_SHARED, LOW_SHARE = 2, 6, 3, 0.25
+MIN_PRODUCTS, MIN_SHARED, LOW_SHARE = 2, 3, 0.25
 
 
 def fold_all(names: Column) -> Column:
@@ -55,11 +55,11 @@ def rank_alternatives(pairs: DataFrame, avoid_hits: DataFrame, top: int = 5) ->
 
 
 def routine_gate(products: DataFrame, by: list[str]) -> DataFrame:
-    """Products of routines with two to six products; larger collections are not a routine.
+    """Products of routines with two or more products; of any size, since what a user may select at once is the caller's matter.
 
     Counting per routine is a partial aggregate; the products are joined back, so no routine is gathered anywhere.
     """
-    n = products.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n").between(MIN_PRODUCTS, MAX_PRODUCTS)).drop("_n")
+    n = products.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") >= MIN_PRODUCTS).drop("_n")
     return products.join(n, by, "left_semi")
 
 
@@ -73,7 +73,7 @@ def product_actives(products: DataFrame, members: DataFrame, by: list[str]) -> D
 def stacking_conflicts(actives: DataFrame, stacking: DataFrame, by: list[str]) -> DataFrame:
     """(by..., rule_id, a_id, b_id, overlap, tier): two actives of a rule in different products of one routine.
 
-    The routine gate bounds a routine at six products, so the self join makes at most thirty pairs per routine and rule.
+    The pairs are the result: a routine has one per rule and pair of its products that hold the two actives.
     """
     p = actives.select(*by, "product_id", "name", "when", "class_id").distinct()
     a = p.join(stacking.select("rule_id", F.col("a").alias("class_id"), F.col("b").alias("b_class"), "tier"), "class_id")
@@ -133,7 +133,7 @@ def check_routine(products: DataFrame, members: DataFrame, classes: DataFrame, s
 
 
 def routine_slots(products: DataFrame, by: list[str], gate: bool = True) -> DataFrame:
-    """Morning, evening and unplaced product names of every routine (routines hold at most six products)."""
+    """Morning, evening and unplaced product names of every routine (its own list)."""
     p = routine_gate(products, by) if gate else products
     pick = lambda cond: F.array_join(F.array_sort(F.collect_list(F.when(cond, F.col("name")))), ", ")
     return p.groupBy(*by).agg(pick(F.col("when").isin("am", "both")).alias("am"), pick(F.col("when").isin("pm", "both")).alias("pm"), pick(F.col("when") == "").alias("unplaced"))
@@ -181,19 +181,30 @@ def reference_compare(pack: DataFrame, reference: DataFrame, by: str = "label_id
 
 
 def reference_lookup(queries: DataFrame, products: DataFrame, limit: int = 6) -> DataFrame:
-    """queries(query_id, barcode, q) -> up to ``limit`` reference products (1..24): by digits of the barcode, else names holding the search text from a word on.
+    """queries(query_id, barcode, q) -> up to ``limit`` reference products (1..24): by digits of the barcode, else names that contain the search text.
 
-    Name search meets on the first word of the query (an equi-join on exploded name words), then checks the whole text.
+    Names are indexed by their distinct trigrams (bigrams and letters for shorter texts); a query probes with its rarest gram, so a
+    word that most names hold is no join key unless all of the query is that common, then the whole text is checked.
     """
     limit = max(1, min(24, limit))
     p = products.select("code", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("name", "brands", "ingredients_text")])
     digits = F.regexp_replace(F.coalesce("barcode", F.lit("")), r"\D", "")
     q = queries.select("query_id", digits.alias("d"), F.lower(F.substring(X.strip(F.coalesce("q", F.lit(""))), 1, 80)).alias("q"))
     by_code = q.where("d <> ''").join(p.withColumn("d", F.regexp_replace("code", r"\D", "")), "d").select("query_id", "code", "name", "brands", "ingredients_text")
-    words = lambda c: F.array_distinct(F.split(F.lower(c), r"\s+"))
-    posts = p.select("*", F.explode(words(F.col("name"))).alias("w"))
-    by_name = (q.where("d = '' AND q <> ''").withColumn("w", F.get(F.split("q", r"\s+"), F.lit(0))).join(posts, "w").where(F.contains(F.concat(F.lit(" "), F.lower("name")), F.concat(F.lit(" "), "q")))
-               .select("query_id", "code", "name", "brands", "ingredients_text"))
+    def grams(c):
+        of = lambda size: F.when(F.length(c) >= size, F.transform(F.sequence(F.lit(1), F.length(c) - size + 1), lambda i: F.substr(c, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+        return of
+    named = p.select("*", F.lower("name").alias("ln"))
+    low = grams(F.col("ln"))
+    posts = named.select("code", F.explode(F.array_distinct(F.concat(low(1), low(2), low(3)))).alias("g"))
+    freq = posts.groupBy("g").agg(F.count("*").alias("df"))
+    asked = grams(F.col("q"))
+    probe = F.when(F.length("q") >= 3, asked(3)).when(F.length("q") == 2, asked(2)).otherwise(asked(1))
+    texts = q.where("d = '' AND q <> ''").select("q").distinct()
+    rare = texts.select("q", F.explode(F.array_distinct(probe)).alias("g")).join(freq, "g", "left").groupBy("q").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g")).alias("r")).select("q", F.col("r.g").alias("g"))
+    found = rare.join(posts, "g").select("q", "code").join(named, "code").where(F.contains("ln", "q"))
+    best = found.withColumn("o", F.row_number().over(Window.partitionBy("q").orderBy("code"))).where(F.col("o") <= limit)
+    by_name = q.where("d = '' AND q <> ''").join(best, "q").select("query_id", "code", "name", "brands", "ingredients_text")
     w = Window.partitionBy("query_id").orderBy("code")
     return by_code.unionByName(by_name).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 

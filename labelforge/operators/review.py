@@ -84,8 +84,13 @@ def rebuild_text(items: DataFrame, removed: DataFrame | None = None, replacement
 
 
 def review_queue(items: DataFrame) -> DataFrame:
-    """Items that need review with up to three candidates; ``bulk`` marks those a bulk accept may take."""
-    c = F.slice("candidates", 1, 3)
+    """Items that need review with up to three candidates; ``bulk`` marks those a bulk accept may take.
+
+    Up to two AI suggestions are always among the three, after the best of the others.
+    """
+    ai = F.slice(F.filter("candidates", lambda x: x["source"] == "ai_agent"), 1, 2)
+    others = F.filter("candidates", lambda x: x["source"] != "ai_agent")
+    c = F.slice(F.concat(F.slice(others, F.lit(1), F.greatest(F.lit(1), 3 - F.size(ai))), ai), 1, 3)
     return (items.where(needs_review(F.col("status"), F.col("optional"), F.col("via") != "none"))
             .select("label_id", "idx", "raw", "status", c.alias("candidates"),
                     ((F.col("status") == "suggested") & F.col("high_confidence") & ~F.exists(c, lambda x: x["source"] == "ai_agent")).alias("bulk")))
@@ -109,9 +114,10 @@ def supported_proposals(proposals: DataFrame, evidence: DataFrame) -> DataFrame:
     """proposals(session_id, ord, inci_name, evidence_ids, rationale) backed by evidence(session_id, tool_call_id, key, display, source, source_id).
 
     A name is kept only when one of its evidence ids returned that key; display and source come from the evidence; two kept
-    names with one key void the whole answer; at most three names; the rationale is cut to 30 words.
+    names with one key void the whole answer, and so do more than three names; the rationale is cut to 30 words.
     """
-    p = proposals.where(F.col("ord") < 3).select("session_id", "ord", X.match_key(F.col("inci_name")).alias("key"), F.array_join(F.slice(F.split(X.strip(F.col("rationale")), r"\s+"), 1, 30), " ").alias("rationale"),
+    long = proposals.groupBy("session_id").agg(F.count("*").alias("n")).where("n > 3").select("session_id")
+    p = proposals.join(long, "session_id", "left_anti").select("session_id", "ord", X.match_key(F.col("inci_name")).alias("key"), F.array_join(F.slice(F.split(X.strip(F.col("rationale")), r"\s+"), 1, 30), " ").alias("rationale"),
                                                F.posexplode("evidence_ids").alias("e", "tool_call_id"))
     ev = evidence.groupBy("session_id", "tool_call_id", "key").agg(F.min(F.struct("display", "source", "source_id")).alias("v"))
     hit = p.join(ev, ["session_id", "tool_call_id", "key"])

@@ -78,7 +78,7 @@ def substitutions_for(names: DataFrame, subs: DataFrame) -> DataFrame:
 # Findings.  ids: (label_id, user_id, idx, inci) identified items.
 
 def avoid_matches(ids: DataFrame, hits: DataFrame, avoid: DataFrame, caps: DataFrame | None = None) -> DataFrame:
-    """(label_id, user_id, idx, entry_id, tier, capped).
+    """(label_id, user_id, idx, entry_id, tier, capped, carried); ``carried`` is the role note a capped finding tells.
 
     avoid(user_id, entry_id, kind, family_id, keys, specific_keys, strength).  An entry matches by one of its keys or by
     its family: two equi-joins whose union is made distinct, in place of one OR join.  A doctor-confirmed entry is 'avoid', a
@@ -93,14 +93,18 @@ def avoid_matches(ids: DataFrame, hits: DataFrame, avoid: DataFrame, caps: DataF
     e = avoid.select("user_id", "entry_id", "family_id", "specific_keys", "strength")
     m = m.join(e, ["user_id", "entry_id"])
     if caps is None:
-        m = m.withColumn("cap_tier", F.lit(None).cast("string"))
+        m = m.withColumn("cap_tier", F.lit(None).cast("string")).withColumn("note", F.lit(None).cast("string"))
     else:
-        c = member_index(caps).join(caps.select("family_id", F.col("inci").alias("member"), "cap_tier"), ["family_id", "member"]).groupBy("family_id", "key").agg(F.max("cap_tier").alias("cap_tier"))
-        anyfam = c.groupBy("key").agg(F.max("cap_tier").alias("any_cap"))
-        m = m.join(c, ["family_id", "key"], "left").join(anyfam, "key", "left").withColumn("cap_tier", F.when(F.col("family_id").isNull(), F.col("any_cap")).otherwise(F.col("cap_tier")))
+        noted = caps if "role_note" in caps.columns else caps.withColumn("role_note", F.lit(None).cast("string"))
+        c = member_index(caps).join(noted.select("family_id", F.col("inci").alias("member"), "cap_tier", F.col("role_note").alias("note")), ["family_id", "member"])
+        c = first_per(c, ["family_id", "key"], F.col("member")).select("family_id", "key", "cap_tier", "note")
+        # an entry without a family speaks through the first family the item is in
+        first = hits.groupBy("inci").agg(F.min("family_id").alias("first_family"))
+        m = m.join(first, "inci", "left").withColumn("family_id", F.coalesce("family_id", "first_family")).drop("first_family").join(c, ["family_id", "key"], "left")
     raw = F.when(F.col("strength") == "doctor", "avoid").otherwise("caution")
     softened = F.col("cap_tier").isNotNull() & ~F.array_contains("specific_keys", F.col("key"))
-    return m.select("label_id", "user_id", "idx", "entry_id", F.when(softened, cap_tier(raw, F.col("cap_tier"))).otherwise(raw).alias("tier"), softened.alias("capped"))
+    return m.select("label_id", "user_id", "idx", "entry_id", F.when(softened, cap_tier(raw, F.col("cap_tier"))).otherwise(raw).alias("tier"), softened.alias("capped"),
+                    F.when(softened, F.col("note")).alias("carried"))
 
 
 def profile_findings(ids: DataFrame, hits: DataFrame, profiles: DataFrame, rules: DataFrame) -> DataFrame:
@@ -119,14 +123,14 @@ def uncovered_conditions(profiles: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def role_notes(ids: DataFrame, hits: DataFrame, members: DataFrame, avoid_found: DataFrame) -> DataFrame:
-    """(label_id, user_id, idx, family_id, member, note): a member's role note, unless an avoid-list finding of the item was capped and carries it.
+    """(label_id, user_id, idx, family_id, member, note): a member's role note, unless a capped avoid-list finding of the item carries that very note.
 
     members(family_id, inci, role_note).
     """
     m = members.where("role_note IS NOT NULL").select("family_id", F.col("inci").alias("member"), F.col("role_note").alias("note"))
     f = ids.join(hits, "inci").join(m, ["family_id", "member"])
-    said = avoid_found.where("capped").select("label_id", "user_id", "idx").distinct()
-    return f.join(said, ["label_id", "user_id", "idx"], "left_anti").select("label_id", "user_id", "idx", "family_id", "member", "note").distinct()
+    said = avoid_found.where("carried IS NOT NULL").select("label_id", "user_id", "idx", F.col("carried").alias("note")).distinct()
+    return f.join(said, ["label_id", "user_id", "idx", "note"], "left_anti").select("label_id", "user_id", "idx", "family_id", "member", "note").distinct()
 
 
 def family_notes(ids: DataFrame, hits: DataFrame, notes: DataFrame) -> DataFrame:

@@ -1,12 +1,13 @@
 """Queries over OCR readings, evaluation and streams.  Events are readings: a user is a photo, a week a pass."""
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import Window, functions as F, types as T
 
 from ..functions import text as X
 from ..operators import evaluate as E, ocr as O
+from ..runtime import checkpoint_folder
 from ..streaming import jobs as J
 from .match_queries import resolved_orders
 from .registry import LI, lines, part_dictionary, part_names, query, sql_key, table
@@ -219,19 +220,20 @@ def _(spark, d):
     return E.consensus_gain(n, t, ["grp"])
 
 
-@query("f11_e10_cause_report", f"""WITH {LI}, tk AS (SELECT printed || CASE l_partkey % 5 WHEN 0 THEN ' MRP 5' WHEN 1 THEN ' butter' ELSE '' END AS tok, p_name FROM li),
- k AS (SELECT tok, p_name, trim(regexp_replace(regexp_replace(upper(tok), '[^A-Z0-9/,.\\- ]', '', 'g'), '\\s+', ' ', 'g')) AS n FROM tk),
- d AS (SELECT DISTINCT n FROM k), nm AS (SELECT DISTINCT upper(p_name) AS m FROM part), r AS (SELECT n, max(1 - levenshtein(n, m) / greatest(length(n), length(m))) AS best FROM d, nm GROUP BY n),
- c AS (SELECT tok, regexp_matches(tok, '(?i)\\bMRP\\b') AS l, regexp_matches(tok, '(?i)\\b(EXTRACT|LEAF JUICE|SEED GUM|BUTTER)\\b') AS w, best >= 0.7 AND best < 1 AS nz FROM k JOIN r USING (n)),
- x AS (SELECT list_filter([CASE WHEN l THEN '4_leakage' END, CASE WHEN w THEN '3_wrong_tool' END, CASE WHEN NOT w AND nz THEN '1_ocr_noise' END], lambda y: y IS NOT NULL) AS cs FROM c),
+@query("f11_e10_cause_report", f"""WITH {LI}, tk AS (SELECT l_orderkey, printed || CASE l_partkey % 5 WHEN 0 THEN ' MRP 5' WHEN 1 THEN ' butter' ELSE '' END AS tok, l_quantity > 48 AS rh, l_partkey % 7 = 0 AS cl, l_partkey % 11 = 0 AS c2, l_suppkey % 13 = 0 AS ip FROM li),
+ k AS (SELECT *, trim(regexp_replace(regexp_replace(upper(tok), '[^A-Z0-9/,.\\- ]', '', 'g'), '\\s+', ' ', 'g')) AS n FROM tk),
+ nm AS (SELECT DISTINCT l_orderkey, upper(p_name) AS m FROM li), r AS (SELECT l_orderkey, n, max(1 - levenshtein(n, m) / greatest(length(n), length(m))) AS best FROM (SELECT DISTINCT l_orderkey, n FROM k) JOIN nm USING (l_orderkey) GROUP BY ALL),
+ c AS (SELECT tok, rh OR regexp_matches(tok, '(?i)\\bMRP\\b') AS l, c2 OR ip AS br, cl OR regexp_matches(tok, '(?i)\\b(EXTRACT|LEAF JUICE|SEED GUM|BUTTER)\\b') AS w, best >= 0.7 AND best < 1 AS nz FROM k JOIN r USING (l_orderkey, n)),
+ x AS (SELECT list_filter([CASE WHEN l THEN '4_leakage' END, CASE WHEN br THEN '2_broken_merged' END, CASE WHEN w THEN '3_wrong_tool' END, CASE WHEN NOT br AND NOT w AND nz THEN '1_ocr_noise' END], lambda y: y IS NOT NULL) AS cs FROM c),
  z AS (SELECT unnest(CASE WHEN len(cs) = 0 THEN ['5_unknown'] ELSE cs END) AS cause, generate_subscripts(CASE WHEN len(cs) = 0 THEN ['5_unknown'] ELSE cs END, 1) AS i FROM x)
 SELECT cause, count(*) FILTER (i = 1) AS as_primary, count(*) AS as_any FROM z GROUP BY 1""")
 def _(spark, d):
     k = F.col("l_partkey") % 5
-    t = lines(spark, d).select(F.concat("printed", F.when(k == 0, " MRP 5").when(k == 1, " butter").otherwise("")).alias("token"))
-    best = E.best_truth_ratio(t, part_names(spark, d).select(F.col("inci_name").alias("name")))
-    no = F.lit(False)
-    c = t.join(best, "token").select(E.failure_causes(F.col("token"), F.col("best"), no, no, no, no).alias("causes"))
+    li = lines(spark, d)
+    t = li.select(F.col("l_orderkey").alias("label_id"), F.concat("printed", F.when(k == 0, " MRP 5").when(k == 1, " butter").otherwise("")).alias("token"), (F.col("l_quantity") > 48).alias("removed"),
+                  (F.col("l_partkey") % 7 == 0).alias("classed"), (F.col("l_partkey") % 11 == 0).alias("two"), (F.col("l_suppkey") % 13 == 0).alias("part"))
+    best = E.best_truth_ratio(t, li.select(F.col("l_orderkey").alias("label_id"), F.upper("p_name").alias("name")))
+    c = t.join(best, ["label_id", "token"]).select(E.failure_causes(F.col("token"), F.col("best"), F.col("two"), F.col("part"), F.col("removed"), F.col("classed")).alias("causes"))
     return E.cause_report(c)
 
 
@@ -253,9 +255,7 @@ def stream(spark, d, name="events"):
 
 
 def place(spark):
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-")
-    import uuid
-    root = f"{base}/stream-{uuid.uuid4().hex}"
+    root = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
     return f"{root}/out", f"{root}/state"
 
 
@@ -283,9 +283,9 @@ def _(spark, d):
 @query("t5_review_sessions", """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL '12 hours' THEN 0 ELSE 1 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
  g AS (SELECT user_id, ts, sum(s) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e) SELECT user_id, min(ts) AS session_start, count(*) AS n FROM g GROUP BY user_id, k""")
 def _(spark, d):
-    # one batch over the whole table: the batch form of the session query
-    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return J.review_sessions(e, "12 hours").select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "n")
+    out = J.run_to_table(J.review_sessions(stream(spark, d), "12 hours").drop("session_end"), *place(spark), mode="complete")
+    last = out.where(F.col("batch") == out.agg(F.max("batch")).first()[0])
+    return last.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "n")
 
 
 @query("t1_resolve_stream")

@@ -36,7 +36,7 @@ def stacking(spark, d):
 
 PR = f"""{LI}, pr AS (SELECT o_orderkey AS product_id, o_custkey AS user_id, year(o_orderdate) AS year, 'P' || o_orderkey AS name, CASE o_orderkey % 5 WHEN 0 THEN 'sunscreen' WHEN 1 THEN '' ELSE 'cream' END AS type,
  CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'am' WHEN '2' THEN 'pm' WHEN '3' THEN 'both' ELSE '' END AS "when", o_orderkey % 4 = 0 AS unres, o_orderstatus FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)),
- rt AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY user_id, year) AS c FROM pr) WHERE c BETWEEN 2 AND 6),
+ rt AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY user_id, year) AS c FROM pr) WHERE c >= 2),
  act AS (SELECT DISTINCT rt.user_id, rt.year, product_id, name, "when", upper(p_name) AS inci, CASE split_part(p_name, ' ', 2) WHEN 'ring' THEN 'retinoid' WHEN 'gear' THEN 'aha' ELSE 'benzoyl' END AS cls FROM rt JOIN li ON l_orderkey = product_id WHERE split_part(p_name, ' ', 2) IN ('ring', 'gear', 'bolt'))"""
 
 

@@ -9,7 +9,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..runtime import spread
 from ..operators.dictionary import NameDictionary, build_dictionary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,9 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{d}/{name}.parquet")
-    # documents carry heavy per-row text work
-    return spread(df) if name == "documents" else df
+    return spark.read.parquet(f"{d}/{name}.parquet")
 
 
 def part_names(spark, d) -> DataFrame:

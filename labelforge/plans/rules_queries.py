@@ -86,7 +86,7 @@ def _(spark, d):
 SELECT label_id, user_id, idx, entry_id, CASE WHEN entry_id = 'f' AND inci LIKE 'BLUE%' AND EXISTS (SELECT 1 FROM mem m WHERE m.inci = av.inci AND m.family_id = ['PROMO', 'SMALL', 'round'][user_id % 3 + 1]) THEN 'caution' ELSE raw END AS tier FROM av""")
 def _(spark, d):
     caps = members(spark, d).where("startswith(inci, 'BLUE')").withColumn("cap_tier", F.lit("caution"))
-    return rules.avoid_matches(ids(spark, d), hits(spark, d), avoid(spark, d), caps).drop("capped")
+    return rules.avoid_matches(ids(spark, d), hits(spark, d), avoid(spark, d), caps).drop("capped", "carried")
 
 
 def profiles(spark, d):
@@ -110,12 +110,13 @@ def _(spark, d):
 
 @query("j12_role_notes", f"""WITH {LI}, {IDS}, {HITS}, {AVOID}
 SELECT DISTINCT i.label_id, i.user_id, i.idx, h.family_id FROM ids i JOIN mem h USING (inci) WHERE i.inci LIKE 'BLUE%' AND NOT EXISTS
- (SELECT 1 FROM av a JOIN mem m ON m.inci = a.inci AND m.family_id = ['PROMO', 'SMALL', 'round'][a.user_id % 3 + 1] WHERE a.entry_id = 'f' AND a.label_id = i.label_id AND a.idx = i.idx AND a.inci LIKE 'BLUE%')""")
+ (SELECT 1 FROM av a JOIN mem m ON m.inci = a.inci AND m.family_id = ['PROMO', 'SMALL', 'round'][a.user_id % 3 + 1] WHERE a.entry_id = 'f' AND a.label_id = i.label_id AND a.idx = i.idx AND a.inci LIKE 'BLUE%' AND m.family_id = h.family_id)""")
 def _(spark, d):
     m = members(spark, d)
     blue = m.where("startswith(inci, 'BLUE')")
-    found = rules.avoid_matches(ids(spark, d), hits(spark, d), avoid(spark, d), blue.withColumn("cap_tier", F.lit("caution")))
-    n = rules.role_notes(ids(spark, d), hits(spark, d), blue.withColumn("role_note", F.lit("role unclear")), found)
+    note = F.concat(F.lit("role unclear in "), "family_id")
+    found = rules.avoid_matches(ids(spark, d), hits(spark, d), avoid(spark, d), blue.withColumn("cap_tier", F.lit("caution")).withColumn("role_note", note))
+    n = rules.role_notes(ids(spark, d), hits(spark, d), blue.withColumn("role_note", note), found)
     return n.select("label_id", "user_id", "idx", "family_id")
 
 
@@ -180,7 +181,7 @@ def order_items(spark, d):
     return li.select(F.col("l_orderkey").alias("label_id"), "idx", F.col("printed").alias("raw"), F.when(k == 0, "suggested").when(k == 1, "not_found").otherwise("resolved").alias("status"),
                      F.when(k > 1, F.upper("p_name")).alias("inci_name"), F.when(k > 1, F.upper("p_name")).alias("inci"), F.when(k > 1, "resolved").otherwise("none").alias("via"),
                      (F.col("l_partkey") % 9 == 0).alias("optional"), (F.col("l_quantity") > 20).alias("high_confidence"), F.when(F.col("p_size") == 7, "colorant").alias("category"),
-                     F.when(k == 0, F.array(cand(F.upper("p_type"), F.lit("ai_agent")), cand(F.upper("p_name"), F.lit("dictionary")))).otherwise(F.array().cast("array<struct<inci_name:string,score:double,source:string>>")).alias("candidates"))
+                     F.when(k == 0, F.array(cand(F.upper("p_type"), F.when(F.col("p_size") % 2 == 0, "ai_agent").otherwise("dictionary")), cand(F.upper("p_name"), F.lit("dictionary")))).otherwise(F.array().cast("array<struct<inci_name:string,score:double,source:string>>")).alias("candidates"))
 
 
 OI = """oi AS (SELECT l_orderkey AS label_id, idx, printed AS raw, (l_partkey + idx) % 5 AS k, upper(p_name) AS name, p_type, l_partkey % 9 = 0 AS optional, l_quantity > 20 AS high, p_size FROM li)"""
@@ -201,7 +202,7 @@ def _(spark, d):
     return review.attach_proposals(it, p).select("label_id", "idx", "status", F.array_join(F.col("candidates.inci_name"), "|").alias("cands"))
 
 
-@query("f5_o5_review_queue", f"WITH {LI}, {OI} SELECT label_id, idx, CASE k WHEN 0 THEN 'suggested' ELSE 'not_found' END AS status, false AS bulk FROM oi WHERE NOT optional AND k < 2")
+@query("f5_o5_review_queue", f"WITH {LI}, {OI} SELECT label_id, idx, CASE k WHEN 0 THEN 'suggested' ELSE 'not_found' END AS status, k = 0 AND high AND p_size % 2 = 1 AS bulk FROM oi WHERE NOT optional AND k < 2")
 def _(spark, d):
     return review.review_queue(order_items(spark, d)).select("label_id", "idx", "status", "bulk")
 
@@ -306,21 +307,25 @@ def _(spark, d):
     return claims.check_claims(det.select("label_id", "claim_id", "kind"), it, h, r).select("label_id", "claim_id", "verdict", "ord")
 
 
-@query("c3_g9_misspellings", f"""WITH {WORDS_SQL}, dic AS (SELECT DISTINCT lower(w) AS w FROM (SELECT unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS w FROM benchmark) WHERE length(w) >= 5),
+@query("c3_g9_misspellings", f"""WITH {WORDS_SQL}, dic AS (SELECT DISTINCT lower(w) AS w FROM (SELECT unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS w FROM benchmark) WHERE w <> ''),
  w AS (SELECT DISTINCT doc_id, lower(p) AS word FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS p FROM words WHERE confidence >= 80) WHERE length(p) >= 4),
  u AS (SELECT DISTINCT word FROM w WHERE word NOT IN (SELECT w FROM dic)),
- n AS (SELECT word, dic.w AS s, row_number() OVER (PARTITION BY word ORDER BY length(dic.w), dic.w) AS rn FROM u JOIN dic ON abs(length(word) - length(dic.w)) <= 1 AND damerau_levenshtein(word, dic.w) = 1)
+ nb AS (SELECT DISTINCT u.word, dv.w FROM (SELECT word, word AS v FROM u UNION SELECT word, substr(word, 1, i - 1) || substr(word, i + 1) FROM (SELECT word, CAST(unnest(range(1, length(word) + 1)) AS INT) AS i FROM u)) uv
+  JOIN (SELECT w, w AS v FROM dic UNION SELECT w, substr(w, 1, i - 1) || substr(w, i + 1) FROM (SELECT w, CAST(unnest(range(1, length(w) + 1)) AS INT) AS i FROM dic)) dv USING (v) JOIN u ON u.word = uv.word),
+ n AS (SELECT word, w AS s, row_number() OVER (PARTITION BY word ORDER BY length(w), w) AS rn FROM nb WHERE damerau_levenshtein(word, w) = 1)
 SELECT doc_id, word, s AS suggestion FROM w JOIN n USING (word) WHERE rn = 1""")
 def _(spark, d):
-    dic = table(spark, d, "benchmark").select(F.explode(F.split("text", "[^A-Za-z]+")).alias("word")).where(F.length("word") >= 5)
+    dic = table(spark, d, "benchmark").select(F.explode(F.split("text", "[^A-Za-z]+")).alias("word")).where("word <> ''")
     return claims.misspellings(document_words(spark, d), dic)
 
 
-@query("c3_misspelling_notice", f"""WITH {WORDS_SQL}, dic AS (SELECT DISTINCT lower(w) AS w FROM (SELECT unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS w FROM benchmark) WHERE length(w) >= 5),
+@query("c3_misspelling_notice", f"""WITH {WORDS_SQL}, dic AS (SELECT DISTINCT lower(w) AS w FROM (SELECT unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS w FROM benchmark) WHERE w <> ''),
  w AS (SELECT DISTINCT doc_id, lower(p) AS word FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS p FROM words WHERE confidence >= 80) WHERE length(p) >= 4),
  u AS (SELECT DISTINCT word FROM w WHERE word NOT IN (SELECT w FROM dic)),
- n AS (SELECT DISTINCT word FROM u JOIN dic ON abs(length(word) - length(dic.w)) <= 1 AND damerau_levenshtein(word, dic.w) = 1)
+ nb AS (SELECT DISTINCT u.word, dv.w FROM (SELECT word, word AS v FROM u UNION SELECT word, substr(word, 1, i - 1) || substr(word, i + 1) FROM (SELECT word, CAST(unnest(range(1, length(word) + 1)) AS INT) AS i FROM u)) uv
+  JOIN (SELECT w, w AS v FROM dic UNION SELECT w, substr(w, 1, i - 1) || substr(w, i + 1) FROM (SELECT w, CAST(unnest(range(1, length(w) + 1)) AS INT) AS i FROM dic)) dv USING (v) JOIN u ON u.word = uv.word),
+ n AS (SELECT DISTINCT word FROM nb WHERE damerau_levenshtein(word, w) = 1)
 SELECT doc_id, count(*) AS n_words FROM w JOIN n USING (word) GROUP BY 1 HAVING count(*) >= 3""")
 def _(spark, d):
-    dic = table(spark, d, "benchmark").select(F.explode(F.split("text", "[^A-Za-z]+")).alias("word")).where(F.length("word") >= 5)
+    dic = table(spark, d, "benchmark").select(F.explode(F.split("text", "[^A-Za-z]+")).alias("word")).where("word <> ''")
     return claims.misspelling_notice(claims.misspellings(document_words(spark, d), dic))

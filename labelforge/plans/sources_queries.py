@@ -1,7 +1,7 @@
 """Queries for scans, sources and sinks."""
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..operators import curate, dictionary as D
 from ..operators.products import reference_lookup, user_report
 from ..operators.resolve import resolve_labels
+from ..runtime import checkpoint_folder
 from ..sources.store import forget_users, tolerant_products, upsert
 from ..sources.tables import parse_seed_lines
 from .registry import LI, lines, order_labels, part_dictionary, part_names, query, sql_key, table
@@ -143,7 +144,7 @@ def _(spark, d):
 @query("s14_reference_lookup", """
 WITH p AS (SELECT 'P-' || p_partkey AS code, p_name AS name FROM part),
  q AS (SELECT 'b' || s_suppkey AS query_id, CAST(s_suppkey AS VARCHAR) AS d, '' AS q FROM supplier UNION ALL SELECT DISTINCT 'n' || p_name, '', p_name FROM part),
- h AS (SELECT query_id, code, name FROM q JOIN p ON d <> '' AND regexp_replace(code, '\\D', '', 'g') = d UNION ALL SELECT query_id, code, name FROM q JOIN p ON d = '' AND contains(' ' || p.name || ' ', ' ' || q.q || ' '))
+ h AS (SELECT query_id, code, name FROM q JOIN p ON d <> '' AND regexp_replace(code, '\\D', '', 'g') = d UNION ALL SELECT query_id, code, name FROM q JOIN p ON d = '' AND contains(p.name, q.q))
 SELECT query_id, rank, code, name FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY code) AS rank FROM h) WHERE rank <= 6""")
 def _(spark, d):
     p = table(spark, d, "part").select(F.concat(F.lit("P-"), F.col("p_partkey").cast("string")).alias("code"), F.col("p_name").alias("name"), F.col("p_brand").alias("brands"), F.lit(None).cast("string").alias("ingredients_text"))
@@ -156,8 +157,7 @@ def _(spark, d):
 def _(spark, d):
     from ..sources.store import write_resolution
     r = resolve_labels(order_labels(spark, d), part_dictionary(spark, d), one_source=True)
-    named = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="run-")
-    out = f"{named}/resolution-{spark.sparkContext.applicationId}-{id(r)}"
+    out = f"{checkpoint_folder(spark)}/resolution-{uuid.uuid4().hex}"
     write_resolution(r, out, {"dictionaryVersion": "1"})
     return spark.read.parquet(f"{out}/items").groupBy("status", "layer").agg(F.count("*").alias("n"))
 

@@ -27,22 +27,6 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def is_at_most(df: DataFrame, rows: int) -> bool:
-    """True when the frame has no more than ``rows`` rows; reads at most ``rows + 1`` of them."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """Broadcast hint for a table whose row count was checked; a larger table is returned as it is and joins by shuffle."""
-    return F.broadcast(df) if is_at_most(df, rows) else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan of fewer files than cores over the cores; a table of many files is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def session(app: str = "labelforge", cores: str = "*", **conf) -> SparkSession:
     """A local session with the settings the operators are tested under."""
     b = (SparkSession.builder.master(f"local[{cores}]").appName(app)

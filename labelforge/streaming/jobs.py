@@ -11,12 +11,16 @@ from ..operators.resolve import Thresholds, resolve_labels
 def resolve_stream(labels: DataFrame, d: NameDictionary, out: str, checkpoint: str, t: Thresholds = Thresholds(), one_source: bool = False, once: bool = True) -> StreamingQuery:
     """New label rows -> items, one micro-batch at a time.
 
-    A batch writes to its own ``batch=<id>`` folder with overwrite, so a batch that is run again after a failure replaces its
-    own output and nothing is written twice.
+    A batch writes to its own ``batch=<id>`` folders with overwrite - items to ``out``, removed fragments to ``out`` + "_removed" - so a
+    batch that is run again after a failure replaces its own output and nothing is written twice.  The dictionary is built once,
+    before the stream.
     """
+    d = d.materialised()
+
     def one(batch: DataFrame, batch_id: int) -> None:
         r = resolve_labels(batch, d, t, one_source=one_source)
         r.items.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        r.removed.write.mode("overwrite").parquet(f"{out}_removed/batch={batch_id}")
     w = labels.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w).start()
 

@@ -32,8 +32,11 @@ def test_pool_equals_brute_force():
     got = S.NamePool(names, limit=5).search(keys)
     for k in set(keys):
         want = sorted((-200 * lcs(k, n) / (len(k) + len(n)), n) for n in names if 200 * lcs(k, n) >= 45 * (len(k) + len(n)))[:5]
-        rows = got[got["key"] == k].drop_duplicates("pool_pos").sort_values("pool_pos")
+        rows = got[got["key"] == k].drop_duplicates("cand_key")
         assert rows["cand_key"].tolist() == [n for _r, n in want]
+    long = "ABCLRNMV" * 12
+    near = [long[:-1], long + "W", "W" * 90]
+    assert S.NamePool(names + near, limit=5).search([long])["cand_key"].tolist()[:2] == near[:2] or S.indel_ratio_one(long, near[1]) >= S.indel_ratio_one(long, near[0])
 
 
 def test_costs():

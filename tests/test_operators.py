@@ -73,7 +73,7 @@ def test_shards_equal_one_dictionary(spark):
     k = strings(spark, {"".join(r.choice("ABCDE") for _ in range(6)) for _ in range(15)}, "key")
     n = strings(spark, names, "key")
     a = sorted(map(tuple, M.name_pool(k, n, limit=6).collect()))
-    assert a == sorted(map(tuple, M.name_pool(k, n, limit=6, shard_rows=20).collect()))
+    assert a == sorted(map(tuple, M.name_pool(k, n, limit=6, shards=3).collect()))
 
 
 def test_longest_spans(spark):
