@@ -1,6 +1,7 @@
 """Tables read by OCR: segments from words, quality triage, junk trimming, consensus of passes, stitching of photos."""
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as X
@@ -98,18 +99,36 @@ def trim_junk_prefix(segments: DataFrame, names: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------------------------------
 # Consensus of passes over one photo
 
+def greedy_keep(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """pairs(by, better, worse) of one photo's keys -> (by, worse, better): each key that goes, with the best kept key that takes it.
+
+    Only a kept key takes another, best first.  A round keeps the keys that no open key is better than and takes what they are
+    better than; rounds end when no pair is open, as many as the longest chain of keys.
+    """
+    open_, gone = durable(pairs.select(*by, "better", "worse").distinct()), None
+    while not open_.isEmpty():
+        beaten = open_.select(*by, F.col("worse").alias("better")).distinct()
+        sure = open_.join(beaten, [*by, "better"], "left_anti")
+        taken = durable(sure.groupBy(*by, "worse").agg(F.min("better").alias("better")))
+        gone = taken if gone is None else gone.unionByName(taken)
+        out = taken.select(*by, "worse")
+        open_ = durable(open_.join(out, [*by, "worse"], "left_anti").join(out.withColumnRenamed("worse", "better"), [*by, "better"], "left_anti"))
+    return gone if gone is not None else open_.select(*by, "worse", "better")
+
+
 def cluster_readings(readings: DataFrame, raw_sim: float = RAW_SIM) -> DataFrame:
     """readings(photo_id, pass_id, idx, text, conf, name, sim) -> the same with ``cluster``.
 
-    The k-th reading of a name in each pass joins cluster (name, k).  Unnamed readings join the smallest reading text within
-    similarity reach (one hop), compared once per distinct text key of a photo by the segment join; the k-th reading of one
-    cluster in a pass opens occurrence k, so a pass votes once per cluster.
+    The k-th reading of a name in each pass joins cluster (name, k).  Unnamed readings join the smallest similar text that is a
+    cluster's own, compared once per distinct text key of a photo by the segment join; the k-th reading of one cluster in a pass
+    opens occurrence k, so a pass votes once per cluster.
     """
     named = readings.where("name IS NOT NULL").withColumn("base", F.concat(F.lit("n:"), "name"))
     raw = readings.where("name IS NULL").withColumn("k", plain_key(F.col("text")))
     keys = raw.where("k <> ''").select("photo_id", "k").distinct()
-    near = similar_pairs(keys, keys, raw_sim, ["photo_id"]).groupBy("photo_id", F.col("left_key").alias("k")).agg(F.min("right_key").alias("root"))
-    raw = raw.join(near, ["photo_id", "k"], "left").withColumn("base", F.concat(F.lit("r:"), F.coalesce("root", "text"))).drop("k", "root")
+    pairs = similar_pairs(keys, keys, raw_sim, ["photo_id"]).where("left_key < right_key")
+    near = greedy_keep(pairs.select("photo_id", F.col("left_key").alias("better"), F.col("right_key").alias("worse")), ["photo_id"]).select("photo_id", F.col("worse").alias("k"), F.col("better").alias("root"))
+    raw = raw.join(near, ["photo_id", "k"], "left").withColumn("base", F.concat(F.lit("r:"), F.coalesce("root", F.when(F.col("k") != "", F.col("k")), F.col("text")))).drop("k", "root")
     every = named.unionByName(raw)
     occ = F.row_number().over(Window.partitionBy("photo_id", "pass_id", "base").orderBy("idx"))
     return every.withColumn("cluster", F.concat("base", F.lit("#"), occ.cast("string"))).drop("base")
@@ -164,9 +183,9 @@ def consensus(readings: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(items: DataFrame) -> DataFrame:
-    """Keep the better of two similar readings of one photo.
+    """Keep the better of two similar readings of one photo; only a reading that stays can drop another.
 
-    Texts of one key are ranked first, so only distinct keys meet; the weaker of a similar pair goes.
+    Texts of one key are ranked first, so only distinct keys meet.
     """
     rank = [F.desc("sim"), F.desc("votes"), F.desc("conf"), F.col("pos"), F.col("cluster")]
     it = items.withColumn("q", F.row_number().over(Window.partitionBy("photo_id").orderBy(*rank)))
@@ -176,14 +195,15 @@ def drop_near_duplicates(items: DataFrame) -> DataFrame:
     side = lambda s: keys.select("photo_id", F.col("k").alias(f"{s}_key"), F.col("q").alias(f"{s}_q"), F.col("name").alias(f"{s}_name"))
     p = pairs.join(side("left"), ["photo_id", "left_key"]).join(side("right"), ["photo_id", "right_key"])
     different = F.col("left_name").isNotNull() & F.col("right_name").isNotNull() & (F.col("left_name") != F.col("right_name"))
-    lost = p.where(((F.col("sim") >= 0.85) | ~different) & (F.col("left_q") > F.col("right_q"))).select("photo_id", F.col("left_key").alias("k"))
+    lost = p.where(((F.col("sim") >= 0.85) | ~different) & (F.col("left_q") > F.col("right_q"))).select("photo_id", F.col("right_q").alias("better"), F.col("left_q").alias("worse"))
     # one inside the other (six or more characters)
     six = keys.where(F.length("k") >= 6)
     posts = six.select("photo_id", F.col("k").alias("wk"), F.col("q").alias("wq"), F.col("name").alias("wn"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("k") - 5), lambda i: F.substr("k", i, F.lit(6))))).alias("g"))
     con = six.withColumn("g", F.substring("k", 1, 6)).join(posts, ["photo_id", "g"]).where((F.col("wk") != F.col("k")) & F.contains("wk", F.col("k")) & ~(F.col("name").isNotNull() & F.col("wn").isNotNull() & (F.col("name") != F.col("wn"))))
-    lost2 = con.select("photo_id", F.when(F.col("q") > F.col("wq"), F.col("k")).otherwise(F.col("wk")).alias("k"))
+    lost2 = con.select("photo_id", F.least("q", "wq").alias("better"), F.greatest("q", "wq").alias("worse"))
     same = it.join(keys.select("photo_id", "k", F.col("q").alias("kq")), ["photo_id", "k"], "left").where("kq IS NULL OR q = kq").drop("kq")
-    return same.join(lost.unionByName(lost2).distinct(), ["photo_id", "k"], "left_anti").drop("q", "k")
+    gone = greedy_keep(lost.unionByName(lost2), ["photo_id"]).select("photo_id", F.col("worse").alias("q"))
+    return same.join(gone, ["photo_id", "q"], "left_anti").drop("q", "k")
 
 
 def fuse_passes(readings: DataFrame, min_sim: float = 0.7, drop_below: float = 45, min_votes: int = 2) -> DataFrame:
@@ -202,35 +222,55 @@ def fuse_passes(readings: DataFrame, min_sim: float = 0.7, drop_below: float = 4
 # ---------------------------------------------------------------------------------------------------
 # Stitching photos that overlap
 
+def _chain(pdf: pd.DataFrame) -> list[tuple[int, int]]:
+    """Longest chain of matches rising in both lists; of equal chains the one that ends earliest."""
+    best: list[tuple[int, int, int]] = []  # length, index of the last match, previous
+    m = sorted(set(zip(pdf["i"], pdf["j"])))
+    for n, (i, j) in enumerate(m):
+        before = [(best[p][0], -p) for p in range(n) if m[p][0] < i and m[p][1] < j]
+        top = max(before, default=(0, 1))
+        best.append((top[0] + 1, n, -top[1]))
+    at = max(best, key=lambda x: (x[0], -x[1]))[1] if best else -1
+    out = []
+    while at >= 0:
+        out.append((int(m[at][0]), int(m[at][1])))
+        at = best[at][2]
+    return out[::-1]
+
+
 def stitch_overlaps(a: DataFrame, b: DataFrame, by: str = "product_id") -> DataFrame:
     """a, b(by, i, text, conf) -> (by, ord, text, conf, side, overlap): two readings of one list joined at their overlap.
 
-    Matches (similarity >= .75) on one diagonal form runs; the longest run of two or more accepts the overlap and fixes the
-    offset; matched places keep the better-read text.  Without such a run the second list simply follows the first.
+    A run of two or more matches (similarity >= .75) in a row accepts the overlap; then the longest chain of matches that
+    rises in both lists is joined, so an item that one photo missed leaves no gap.  Matched places keep the better-read text; what
+    only the second list has follows the match before it.  Without such a run the second list simply follows the first.
+    The chain is worked out per list pair, over its matches only.
     """
     ka, kb = a.withColumn("k", plain_key(F.col("text"))), b.withColumn("k", plain_key(F.col("text")))
     sim = similar_pairs(ka.where("k <> ''").select(by, "k").distinct(), kb.where("k <> ''").select(by, "k").distinct(), MATCH_SIM, [by])
     # one place per key and occurrence on each side keeps repeated names from multiplying
     occ = lambda d, s: d.withColumn("o", F.row_number().over(Window.partitionBy(by, "k").orderBy("i"))).select(by, F.col("k").alias(f"{s}_key"), F.col("i").alias(f"{s}_i"), "o")
     m = sim.join(occ(ka, "left"), [by, "left_key"]).join(occ(kb, "right"), [by, "right_key", "o"]).select(by, F.col("left_i").alias("i"), F.col("right_i").alias("j"))
-    m = durable(m).withColumn("dg", F.col("i") - F.col("j"))
-    m = m.withColumn("run", F.col("i") - F.row_number().over(Window.partitionBy(by, "dg").orderBy("i")))
-    runs = m.groupBy(by, "dg", "run").agg(F.count("*").alias("n"), F.min("i").alias("i0"))
-    best = runs.groupBy(by).agg(F.max(F.struct("n", (-F.col("i0")).alias("x"), (-F.col("dg")).alias("y"))).alias("b")).where(f"b.n >= {MIN_RUN}").select(by, (-F.col("b.y")).alias("shift"), F.lit(True).alias("overlap"))
-    best = durable(best)
-    pairs = m.join(best, by).where("dg = shift").select(by, "i", "j")
+    m = durable(m)
+    run = m.withColumn("dg", F.col("i") - F.col("j")).withColumn("run", F.col("i") - F.row_number().over(Window.partitionBy(by, "dg").orderBy("i")))
+    best = durable(run.groupBy(by, "dg", "run").agg(F.count("*").alias("n")).where(f"n >= {MIN_RUN}").select(by).distinct().withColumn("overlap", F.lit(True)))
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = _chain(pdf)
+        return pd.DataFrame({by: [pdf[by].iloc[0]] * len(rows), "i": [i for i, _ in rows], "j": [j for _, j in rows]})
+    kind = a.schema[by].dataType.simpleString()
+    pairs = durable(m.join(best, by, "left_semi").groupBy(by).applyInPandas(chain, f"{by} {kind}, i int, j int"))
     la = a.groupBy(by).agg(F.max("i").alias("last_a"))
-    left = a.select(by, "i", F.col("text").alias("ta"), F.col("conf").alias("ca")).join(pairs, [by, "i"], "left")
     right = b.select(by, F.col("i").alias("j"), F.col("text").alias("tb"), F.col("conf").alias("cb")).join(pairs.withColumnRenamed("i", "at"), [by, "j"], "left")
-    matched = right.where("at IS NOT NULL").select(by, "j", "tb", "cb")
-    left = left.join(matched, [by, "j"], "left")
+    left = a.select(by, "i", F.col("text").alias("ta"), F.col("conf").alias("ca")).join(pairs, [by, "i"], "left").join(right.where("at IS NOT NULL").select(by, "j", "tb", "cb"), [by, "j"], "left")
     use_b = F.col("tb").isNotNull() & (F.col("cb") > F.col("ca"))
-    out_a = left.select(by, F.col("i").cast("double").alias("place"), F.lit(0).alias("t"), F.when(use_b, F.col("tb")).otherwise(F.col("ta")).alias("text"), F.when(use_b, F.col("cb")).otherwise(F.col("ca")).alias("conf"),
+    out_a = left.select(by, F.col("i").cast("double").alias("place"), F.lit(-1).alias("t"), F.when(use_b, F.col("tb")).otherwise(F.col("ta")).alias("text"), F.when(use_b, F.col("cb")).otherwise(F.col("ca")).alias("conf"),
                         F.when(F.col("tb").isNotNull(), "both").otherwise("a").alias("side"))
-    only_b = right.where("at IS NULL").join(best, by, "left").join(la, by, "left")
-    place = F.when(F.col("overlap"), F.col("j") + F.col("shift") + F.lit(0.0)).otherwise(F.coalesce("last_a", F.lit(-1)) + 1 + F.col("j") + F.lit(0.0))
-    out_b = only_b.select(by, place.alias("place"), F.lit(1).alias("t"), F.col("tb").alias("text"), F.col("cb").alias("conf"), F.lit("b").alias("side"))
-    out = out_a.unionByName(out_b).join(best.select(by, "overlap"), by, "left")
+    behind = F.max("at").over(Window.partitionBy(by).orderBy("j").rowsBetween(Window.unboundedPreceding, -1))
+    only_b = right.withColumn("behind", behind).where("at IS NULL").join(best, by, "left").join(la, by, "left")
+    place = F.when(F.col("overlap"), F.coalesce(F.col("behind") + 0.5, F.lit(-0.5))).otherwise(F.coalesce("last_a", F.lit(-1)) + 1.0)
+    out_b = only_b.select(by, place.alias("place"), F.col("j").alias("t"), F.col("tb").alias("text"), F.col("cb").alias("conf"), F.lit("b").alias("side"))
+    out = out_a.unionByName(out_b).join(best, by, "left")
     return out.select(by, (F.row_number().over(Window.partitionBy(by).orderBy("place", "t", "text")) - 1).alias("ord"), "text", "conf", "side", F.coalesce("overlap", F.lit(False)).alias("overlap"))
 
 

@@ -24,3 +24,20 @@ def test_consensus_keeps_better_reading(spark):
     r = spark.createDataFrame(rows, "photo_id int, pass_id string, idx int, text string, conf double, name string, sim double")
     got = {x.name: (x.text, x.from_, x.votes) for x in O.consensus(r).collect()}
     assert got == {"AQUA": ("AQUA", "base", 2), "GLYCERIN": ("GLYCERIN", "better", 2), "PARFUM": ("PARFUM", "base", 1)}
+
+
+def test_stitch_leaves_no_gap_and_nothing_twice(spark):
+    a = spark.createDataFrame([("p", i, f"item {w}", 80.0) for i, w in enumerate("alpha bravo charlie delta echo foxtrot golf".split())], "product_id string, i int, text string, conf double")
+    b = spark.createDataFrame([("p", i, f"item {w}", 90.0) for i, w in enumerate("bravo charlie echo foxtrot golf hotel".split())], "product_id string, i int, text string, conf double")
+    got = [(r.text.split()[1], r.side) for r in O.stitch_overlaps(a, b).orderBy("ord").collect()]
+    assert got == [("alpha", "a"), ("bravo", "both"), ("charlie", "both"), ("delta", "a"), ("echo", "both"), ("foxtrot", "both"), ("golf", "both"), ("hotel", "b")]
+
+
+def test_only_a_kept_reading_drops_another(spark):
+    p = spark.createDataFrame([("f", 1, 2), ("f", 2, 3), ("g", 1, 2)], "photo_id string, better int, worse int")
+    assert sorted(map(tuple, O.greedy_keep(p, ["photo_id"]).select("photo_id", "worse", "better").collect())) == [("f", 2, 1), ("g", 2, 1)]
+
+
+def test_word_recall_of_empty_photos(spark):
+    p = spark.createDataFrame([("a", "glycerin aqua", None), ("b", "of to", "glycerin"), ("c", "glycerin", "glycerine")], "photo_id string, truth string, ocr string")
+    assert {r.photo_id: r.recall for r in E.word_recall(p).collect()} == {"a": 0.0, "b": 0.0, "c": 1.0}
