@@ -105,15 +105,18 @@ def greedy_keep(pairs: DataFrame, by: list[str]) -> DataFrame:
     Only a kept key takes another, best first.  A round keeps the keys that no open key is better than and takes what they are
     better than; rounds end when no pair is open, as many as the longest chain of keys.
     """
-    open_, gone = durable(pairs.select(*by, "better", "worse").distinct()), None
+    pairs = durable(pairs.select(*by, "better", "worse").distinct())
+    open_, gone = pairs, None
     while not open_.isEmpty():
         beaten = open_.select(*by, F.col("worse").alias("better")).distinct()
-        sure = open_.join(beaten, [*by, "better"], "left_anti")
-        taken = durable(sure.groupBy(*by, "worse").agg(F.min("better").alias("better")))
-        gone = taken if gone is None else gone.unionByName(taken)
-        out = taken.select(*by, "worse")
+        out = durable(open_.join(beaten, [*by, "better"], "left_anti").select(*by, "worse").distinct())
+        gone = out if gone is None else gone.unionByName(out)
         open_ = durable(open_.join(out, [*by, "worse"], "left_anti").join(out.withColumnRenamed("worse", "better"), [*by, "better"], "left_anti"))
-    return gone if gone is not None else open_.select(*by, "worse", "better")
+    if gone is None:
+        return pairs.select(*by, "worse", "better")
+    # which kept key takes it is only known once all are decided
+    kept = pairs.join(gone.withColumnRenamed("worse", "better"), [*by, "better"], "left_anti")
+    return kept.join(gone, [*by, "worse"], "left_semi").groupBy(*by, "worse").agg(F.min("better").alias("better"))
 
 
 def cluster_readings(readings: DataFrame, raw_sim: float = RAW_SIM) -> DataFrame:
@@ -222,20 +225,22 @@ def fuse_passes(readings: DataFrame, min_sim: float = 0.7, drop_below: float = 4
 # ---------------------------------------------------------------------------------------------------
 # Stitching photos that overlap
 
-def _chain(pdf: pd.DataFrame) -> list[tuple[int, int]]:
-    """Longest chain of matches rising in both lists; of equal chains the one that ends earliest."""
-    best: list[tuple[int, int, int]] = []  # length, index of the last match, previous
-    m = sorted(set(zip(pdf["i"], pdf["j"])))
-    for n, (i, j) in enumerate(m):
-        before = [(best[p][0], -p) for p in range(n) if m[p][0] < i and m[p][1] < j]
-        top = max(before, default=(0, 1))
-        best.append((top[0] + 1, n, -top[1]))
-    at = max(best, key=lambda x: (x[0], -x[1]))[1] if best else -1
-    out = []
-    while at >= 0:
-        out.append((int(m[at][0]), int(m[at][1])))
-        at = best[at][2]
-    return out[::-1]
+@F.pandas_udf("array<struct<i:int,j:int>>")
+def longest_chain(matches: pd.Series) -> pd.Series:
+    """Longest chain of a pair's matches (i, j) that rises in both lists; of equal chains the one that ends earliest."""
+    def one(pairs) -> list[dict]:
+        m = sorted({(p["i"], p["j"]) for p in pairs})
+        best: list[tuple[int, int]] = []  # length of the best chain that ends here, match before
+        for n, (i, j) in enumerate(m):
+            length, before = max(((best[p][0], -p) for p in range(n) if m[p][0] < i and m[p][1] < j), default=(0, 1))
+            best.append((length + 1, -before))
+        at = max(range(len(m)), key=lambda n: (best[n][0], -n), default=-1)
+        out = []
+        while at >= 0:
+            out.append({"i": m[at][0], "j": m[at][1]})
+            at = best[at][1]
+        return out
+    return matches.map(one)
 
 
 def stitch_overlaps(a: DataFrame, b: DataFrame, by: str = "product_id") -> DataFrame:
@@ -255,11 +260,8 @@ def stitch_overlaps(a: DataFrame, b: DataFrame, by: str = "product_id") -> DataF
     run = m.withColumn("dg", F.col("i") - F.col("j")).withColumn("run", F.col("i") - F.row_number().over(Window.partitionBy(by, "dg").orderBy("i")))
     best = durable(run.groupBy(by, "dg", "run").agg(F.count("*").alias("n")).where(f"n >= {MIN_RUN}").select(by).distinct().withColumn("overlap", F.lit(True)))
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = _chain(pdf)
-        return pd.DataFrame({by: [pdf[by].iloc[0]] * len(rows), "i": [i for i, _ in rows], "j": [j for _, j in rows]})
-    kind = a.schema[by].dataType.simpleString()
-    pairs = durable(m.join(best, by, "left_semi").groupBy(by).applyInPandas(chain, f"{by} {kind}, i int, j int"))
+    lists = m.join(best, by, "left_semi").groupBy(by).agg(F.collect_list(F.struct(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"))).alias("m"))
+    pairs = durable(lists.select(by, F.explode(longest_chain("m")).alias("c")).select(by, "c.i", "c.j"))
     la = a.groupBy(by).agg(F.max("i").alias("last_a"))
     right = b.select(by, F.col("i").alias("j"), F.col("text").alias("tb"), F.col("conf").alias("cb")).join(pairs.withColumnRenamed("i", "at"), [by, "j"], "left")
     left = a.select(by, "i", F.col("text").alias("ta"), F.col("conf").alias("ca")).join(pairs, [by, "i"], "left").join(right.where("at IS NOT NULL").select(by, "j", "tb", "cb"), [by, "j"], "left")

@@ -26,8 +26,10 @@ def readings(spark, d):
 
 RD = """rd AS (SELECT user_id AS photo_id, 'p' || CAST((day(ts) - 1) // 7 AS INT) AS pass_id, event_id, event_type || ' ' || substr(md5(CAST(event_id % 40 AS VARCHAR)), 1, 5) AS text, CAST(30 + event_id % 60 AS DOUBLE) AS conf,
  CASE WHEN event_id % 3 <> 0 THEN 'N' || (event_id % 25) END AS name, row_number() OVER (PARTITION BY user_id, (day(ts) - 1) // 7 ORDER BY event_id) - 1 AS idx FROM events)"""
-CL = f"""{RD}, rk AS (SELECT *, {sql_key('text', False)} AS k FROM rd), ks AS (SELECT DISTINCT photo_id, k FROM rk WHERE name IS NULL),
- rt AS (SELECT a.photo_id, a.k, min(b.k) AS root FROM ks a JOIN ks b ON a.photo_id = b.photo_id AND 1 - levenshtein(a.k, b.k) / greatest(length(a.k), length(b.k)) >= 0.75 GROUP BY ALL),
+CL = f"""{RD}, rk AS (SELECT *, {sql_key('text', False)} AS k FROM rd), ks AS (SELECT photo_id, k, row_number() OVER (PARTITION BY photo_id ORDER BY k) AS rn FROM (SELECT DISTINCT photo_id, k FROM rk WHERE name IS NULL)),
+ rt AS (WITH RECURSIVE s AS (SELECT photo_id, 0::BIGINT AS rn, ''::VARCHAR AS k, ''::VARCHAR AS root, []::VARCHAR[] AS roots FROM (SELECT DISTINCT photo_id FROM ks) UNION ALL
+  SELECT photo_id, rn, k, coalesce(hit, k), CASE WHEN hit IS NULL THEN list_append(roots, k) ELSE roots END FROM (SELECT ks.photo_id, ks.rn, ks.k, s.roots, list_filter(s.roots, lambda x: 1 - levenshtein(x, ks.k) / greatest(length(x), length(ks.k)) >= 0.75)[1] AS hit FROM s JOIN ks ON ks.photo_id = s.photo_id AND ks.rn = s.rn + 1))
+  SELECT photo_id, k, root FROM s WHERE rn > 0),
  cl AS (SELECT rk.*, base || '#' || row_number() OVER (PARTITION BY photo_id, pass_id, base ORDER BY idx) AS cluster FROM (SELECT rk.*, CASE WHEN name IS NOT NULL THEN 'n:' || name ELSE 'r:' || root END AS base FROM rk LEFT JOIN rt USING (photo_id, k)) rk)"""
 
 
@@ -48,8 +50,10 @@ def _(spark, d):
     return r.select("photo_id", "cluster", "text", "name", F.round("sim", 3).alias("sim"), "votes", "from_", F.round("pos", 5).alias("pos"))
 
 
-@query("w9_fuse_passes", f"""WITH {RD}, rk AS (SELECT *, {sql_key('text', False)} AS k, count(*) OVER (PARTITION BY photo_id, pass_id) AS n FROM rd), ks AS (SELECT DISTINCT photo_id, k FROM rk),
- rt AS (SELECT a.photo_id, a.k, min(b.k) AS root FROM ks a JOIN ks b ON a.photo_id = b.photo_id AND 1 - levenshtein(a.k, b.k) / greatest(length(a.k), length(b.k)) >= 0.7 GROUP BY ALL),
+@query("w9_fuse_passes", f"""WITH {RD}, rk AS (SELECT *, {sql_key('text', False)} AS k, count(*) OVER (PARTITION BY photo_id, pass_id) AS n FROM rd), ks AS (SELECT photo_id, k, row_number() OVER (PARTITION BY photo_id ORDER BY k) AS rn FROM (SELECT DISTINCT photo_id, k FROM rk)),
+ rt AS (WITH RECURSIVE s AS (SELECT photo_id, 0::BIGINT AS rn, ''::VARCHAR AS k, ''::VARCHAR AS root, []::VARCHAR[] AS roots FROM (SELECT DISTINCT photo_id FROM ks) UNION ALL
+  SELECT photo_id, rn, k, coalesce(hit, k), CASE WHEN hit IS NULL THEN list_append(roots, k) ELSE roots END FROM (SELECT ks.photo_id, ks.rn, ks.k, s.roots, list_filter(s.roots, lambda x: 1 - levenshtein(x, ks.k) / greatest(length(x), length(ks.k)) >= 0.7)[1] AS hit FROM s JOIN ks ON ks.photo_id = s.photo_id AND ks.rn = s.rn + 1))
+  SELECT photo_id, k, root FROM s WHERE rn > 0),
  cl AS (SELECT rk.*, 'r:' || root || '#' || row_number() OVER (PARTITION BY photo_id, pass_id, root ORDER BY idx) AS cluster, conf * least(1.0, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / 6) AS q, CASE WHEN n > 1 THEN idx / (n - 1) ELSE 0.5 END AS pos FROM rk JOIN rt USING (photo_id, k)),
  g AS (SELECT photo_id, cluster, first(text ORDER BY q DESC, pass_id, idx) AS text, first(conf ORDER BY q DESC, pass_id, idx) AS conf, count(*) AS votes, round(avg(pos), 5) AS pos, count(DISTINCT text) > 1 AS conflict FROM cl GROUP BY ALL)
 SELECT * FROM g WHERE conf >= 45 OR votes >= 2""")
