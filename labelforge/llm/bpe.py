@@ -23,7 +23,7 @@ from .common import TooLarge, batch, map_texts
 #: Largest vocabulary file that is broadcast.
 MAX_RANK_BYTES = 64 << 20
 #: Pre-tokens and words that a worker remembers before it forgets those not in its present batch.
-CACHE = 250_000
+CACHE = 120_000
 #: Pieces longer than this are never remembered.
 CACHE_CHARS = 40
 _GROUP = 256

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..runtime import checkpoint_folder, durable  # noqa: F401  (re-exported to the operators)
 
 #: Text bytes that one step of a Python task works on at a time.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
