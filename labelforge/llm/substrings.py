@@ -135,7 +135,7 @@ def passages(docs: DataFrame, heavy) -> DataFrame:
     def make():
         def step(b):
             w = Windows(b.column(1).to_pylist())
-            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = pa.compute.fill_null(b.column(0), 0).to_numpy(zero_copy_only=False)
             prints = [zlib.crc32((t or "").encode()) - (1 << 31) for t in b.column(1).to_pylist()]
             hot = _member(w.value, heavy.value)
             use = hot.copy()
@@ -145,6 +145,7 @@ def passages(docs: DataFrame, heavy) -> DataFrame:
                 if known is not None and len(known):
                     a, z = edges[d], edges[d + 1]
                     use[a:z] |= _member(w.value[a:z], np.sort(known.to_numpy()))
+            use &= b.column(0).is_valid().to_numpy(zero_copy_only=False)[w.doc]
             at = np.flatnonzero(use)
             whole = _grams(w.hash, WINDOW).view(np.int64)
             # windows of one anchor place are neighbours; each hot window stands alone
@@ -253,8 +254,8 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # an anchor that is not heavy has a bounded share of the rows, so its window of ids fits one task
     w = Window.partitionBy("h")
     known = anchors.select("h", "id", (F.min("id").over(w) < F.max("id").over(w)).alias("again")).filter("again").groupBy("id").agg(F.collect_list("h").alias("known"))
-    candidates = docs.join(known, "id", "left").filter("id is not null and text is not null")
-    gone = repeats(passages(candidates, heavy)).groupBy("id").agg(F.collect_list(F.struct("print", "start", "n")).alias("gone"))
+    # both joins take the documents dealt by id in the same form, so Spark shuffles them once
+    gone = repeats(passages(docs.join(known, "id", "left"), heavy)).groupBy("id").agg(F.collect_list(F.struct("print", "start", "n")).alias("gone"))
     joined = docs.join(gone, "id", "left")
 
     def make():
