@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import text as X
 from ..runtime import durable
@@ -225,7 +225,7 @@ def fuse_passes(readings: DataFrame, min_sim: float = 0.7, drop_below: float = 4
 # ---------------------------------------------------------------------------------------------------
 # Stitching photos that overlap
 
-@F.pandas_udf("array<struct<i:int,j:int>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType())])))
 def longest_chain(matches: pd.Series) -> pd.Series:
     """Longest chain of a pair's matches (i, j) that rises in both lists; of equal chains the one that ends earliest."""
     def one(pairs) -> list[dict]:

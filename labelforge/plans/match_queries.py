@@ -16,11 +16,11 @@ NAMES = "names AS (SELECT DISTINCT upper(p_name) AS name FROM part)"
 
 @query("entry_known_ingredients", f"""
 WITH base AS (SELECT doc_id, {SQL_CLEAN} AS t FROM documents), {SPLIT_SQL}, {NAMES},
- k AS (SELECT doc_id, {sql_key('p')} AS key FROM pc WHERE regexp_replace(p, '^\\s+|\\s+$', '', 'g') <> ''), d AS (SELECT DISTINCT {sql_key("substr(text, 1, position(' ' IN text) - 1)")} AS key FROM benchmark)
+ k AS (SELECT doc_id, {sql_key('p')} AS key FROM pc WHERE regexp_replace(p, '^\\s+|\\s+$', '', 'g') <> ''), d AS (SELECT DISTINCT {sql_key("w")} AS key FROM (SELECT unnest(regexp_split_to_array(text, '\\s+')) AS w FROM benchmark))
 SELECT doc_id, count(*) AS n_items, count(d.key) AS n_known FROM k LEFT JOIN d ON k.key = d.key GROUP BY doc_id""")
 def _(spark, d):
-    # the dictionary of this query: first words of the benchmark texts
-    n = table(spark, d, "benchmark").select(F.upper(F.split_part("text", F.lit(" "), F.lit(1))).alias("inci_name")).distinct()
+    # the dictionary of this query: the words of the benchmark texts
+    n = table(spark, d, "benchmark").select(F.explode(F.split("text", r"\s+")).alias("w")).select(F.upper("w").alias("inci_name")).distinct()
     from ..operators.dictionary import build_dictionary
     dic = build_dictionary(n, n.select("inci_name", F.lit("x").alias("alias"), F.lit("x").alias("kind")).where("false"), {})
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("label_id"), F.col("text").alias("raw"))
@@ -130,20 +130,27 @@ def _(spark, d):
 
 
 PHRASE_SQL = r"""
-WITH ph AS (SELECT DISTINCT array_to_string(regexp_split_to_array(text, '\s+')[1:2], ' ') AS phrase FROM benchmark),
+WITH ph AS (SELECT DISTINCT array_to_string(ws[i:i + 1], ' ') AS phrase FROM (SELECT ws, unnest(range(1, len(ws))) AS i FROM (SELECT regexp_split_to_array(text, '\s+') AS ws FROM benchmark))),
  pn AS (SELECT phrase, trim(regexp_replace(regexp_replace(lower(phrase), '[’''`]', '', 'g'), '[^a-z0-9%]+', ' ', 'g')) AS pw FROM ph),
  pk AS (SELECT phrase, regexp_replace(pw, '[^a-z0-9]', '', 'g') AS key, len(string_split(pw, ' ')) AS nw FROM pn),
  p AS (SELECT *, CASE WHEN length(key) < 10 THEN 0 WHEN length(key) < 16 THEN 1 ELSE 2 END AS budget FROM pk WHERE length(key) >= 5),
  w AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '[’''`]', '', 'g'), '[^a-z0-9%]+', ' ', 'g')), ' '), lambda x: x <> '') AS ws FROM documents),
- x AS (SELECT doc_id, n, unnest(range(0, CAST(len(ws) AS BIGINT) - n + 1)) AS i, ws FROM w, (SELECT DISTINCT unnest([greatest(1, nw - 1), nw, nw + 1]) AS n FROM p)),
+ pe AS (SELECT phrase, key, budget, n, substr(key, 1, 1) AS c1, unnest(range(length(key) - budget, length(key) + budget + 1)) AS len FROM (SELECT *, unnest(range(greatest(1, nw - 1), nw + 2)) AS n FROM p)),
+ x AS (SELECT doc_id, n, unnest(range(0, CAST(len(ws) AS BIGINT) - n + 1)) AS i, ws FROM w, (SELECT DISTINCT n FROM pe)),
  y AS (SELECT doc_id, n, i, array_to_string(ws[i + 1:i + n], ' ') AS matched, regexp_replace(array_to_string(ws[i + 1:i + n], ''), '[^a-z0-9]', '', 'g') AS j FROM x),
- h AS (SELECT doc_id, phrase, n, i, matched, levenshtein(j, key) AS edits FROM y JOIN p ON substr(j, 1, 1) = substr(key, 1, 1) AND n BETWEEN greatest(1, nw - 1) AND nw + 1 AND abs(length(j) - length(key)) <= budget WHERE levenshtein(j, key) <= budget)
+ h AS (SELECT doc_id, phrase, y.n, i, matched, levenshtein(j, key) AS edits FROM y JOIN pe ON y.n = pe.n AND substr(j, 1, 1) = c1 AND length(j) = len WHERE levenshtein(j, key) <= budget)
 SELECT doc_id, phrase, matched, edits FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, phrase ORDER BY n, i) rn FROM h) WHERE rn = 1"""
 
 
+def benchmark_phrases(spark, d):
+    """(item_id, phrase): every two-word window of the benchmark texts."""
+    ws = F.split("text", r"\s+")
+    return table(spark, d, "benchmark").select("item_id", ws.alias("ws")).where("size(ws) > 1").select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("ws") - 1), lambda i: F.array_join(F.slice("ws", i, 2), " "))).alias("phrase"))
+
+
 @query("m5_find_phrases", PHRASE_SQL)
 def _(spark, d):
-    ph = table(spark, d, "benchmark").select(F.array_join(F.slice(F.split("text", r"\s+"), 1, 2), " ").alias("phrase")).distinct()
+    ph = benchmark_phrases(spark, d).select("phrase").distinct()
     return M.find_phrases(table(spark, d, "documents"), ph)
 
 

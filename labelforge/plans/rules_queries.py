@@ -273,13 +273,13 @@ def _(spark, d):
     return rules.evaluate_findings(a, n).drop("user_id")
 
 
-@query("c1_extract_claims", f"""WITH hit AS ({PHRASE_SQL}), cl AS (SELECT 'c' || (item_id % 10) AS claim_id, CASE WHEN item_id % 2 = 0 THEN 'free_from' ELSE 'ingredient' END AS kind, item_id AS ord, array_to_string(regexp_split_to_array(text, '\\s+')[1:2], ' ') AS phrase FROM benchmark),
+@query("c1_extract_claims", f"""WITH hit AS ({PHRASE_SQL}), cl AS (SELECT 'c' || (item_id % 10) AS claim_id, CASE WHEN item_id % 2 = 0 THEN 'free_from' ELSE 'ingredient' END AS kind, item_id AS ord, array_to_string(ws[i:i + 1], ' ') AS phrase FROM (SELECT item_id, ws, unnest(range(1, len(ws))) AS i FROM (SELECT item_id, regexp_split_to_array(text, '\\s+') AS ws FROM benchmark))),
  j AS (SELECT doc_id, claim_id, kind, matched, edits, row_number() OVER (PARTITION BY doc_id, claim_id ORDER BY CASE kind WHEN 'free_from' THEN 1 ELSE 4 END, ord, matched) AS rn FROM hit JOIN cl USING (phrase))
 SELECT doc_id, claim_id, kind, matched, edits FROM j WHERE rn = 1""")
 def _(spark, d):
-    b = table(spark, d, "benchmark")
-    ph = b.select(F.concat(F.lit("c"), (F.col("item_id") % 10).cast("string")).alias("claim_id"), F.when(F.col("item_id") % 2 == 0, "free_from").otherwise("ingredient").alias("kind"), F.col("item_id").cast("int").alias("ord"),
-                  F.array_join(F.slice(F.split("text", r"\s+"), 1, 2), " ").alias("phrase"))
+    from .match_queries import benchmark_phrases
+    ph = benchmark_phrases(spark, d).select(F.concat(F.lit("c"), (F.col("item_id") % 10).cast("string")).alias("claim_id"), F.when(F.col("item_id") % 2 == 0, "free_from").otherwise("ingredient").alias("kind"), F.col("item_id").cast("int").alias("ord"),
+                  "phrase")
     return claims.extract_claims(table(spark, d, "documents"), ph)
 
 
