@@ -9,10 +9,16 @@ UNSURE = r"(?i)occlud|low confidence|unclear|smudg|faint|illegible|partially|\?"
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 PAO_MONTHS = [3, 6, 9, 12, 18, 24, 30, 36]
 
+# The printed forms of dates, periods after opening and prices.
 _THREE = r"(\d{1,2})\s*[/\-.]\s*(\d{1,2})\s*[/\-.]\s*(\d{4}|\d{2})(?!\d)"
 _TWO = r"(\d{1,2})\s*[/\-.]\s*(\d{4}|\d{2})(?!\d)"
 _MON = r"(?i)\b(" + "|".join(MONTHS) + r")[a-z]*\.?\s*[-'/]?\s*(\d{4}|\d{2})\b"
 
+_PAO = r"(?i)(?:\bPAO\b[^0-9]{0,12})?\b(\d{1,2})\s?(?:M|months?)\b"
+_PER_UNIT = r"(?i)(?:rs\.?|inr|₹)\s*(\d+(?:\.\d+)?)\s*/\s*(?:ml|g)\b"
+_MRP = r"(?i)(?:mrp|m\.r\.p\.?|price)?[^\d\n]{0,12}?(?:rs\.?|inr|₹)\s*(\d+(?:\.\d+)?)(?!\s*/)"
+_VOLUME = r"(?i)(\d+(?:\.\d+)?)\s*(ml|g|gm|gms)\b"
+
 
 def _year(text: Column) -> Column:
     n = text.try_cast("int")
@@ -71,8 +77,7 @@ def date_passed(kind: Column, day: Column, month: Column, year: Column, needs_co
 
 def pao_months(c: Column) -> Column:
     """Months of the period-after-opening mark; null unless it is one of the usual periods and is really such a mark."""
-    rx = r"(?i)(?:\bPAO\b[^0-9]{0,12})?\b(\d{1,2})\s?(?:M|months?)\b"
-    whole, n = F.regexp_extract(c, rx, 0), F.regexp_extract(c, rx, 1).try_cast("int")
+    whole, n = F.regexp_extract(c, _PAO, 0), F.regexp_extract(c, _PAO, 1).try_cast("int")
     real = whole.rlike(r"(?i)PAO|months?") | whole.rlike(r"\b\d{1,2}M\b")
     return F.when(n.isin(*PAO_MONTHS) & real, n)
 
@@ -85,9 +90,9 @@ def add_months_overflow(d: Column, n: Column) -> Column:
 def parse_price(c: Column) -> Column:
     """Struct of printed retail price, volume and per-unit price; whatever is not printed stays null."""
     t = F.replace(c, F.lit(","), F.lit(""))
-    per = F.regexp_extract(t, r"(?i)(?:rs\.?|inr|₹)\s*(\d+(?:\.\d+)?)\s*/\s*(?:ml|g)\b", 1)
-    mrp = F.regexp_extract(t, r"(?i)(?:mrp|m\.r\.p\.?|price)?[^\d\n]{0,12}?(?:rs\.?|inr|₹)\s*(\d+(?:\.\d+)?)(?!\s*/)", 1)
-    vol = F.regexp_extract(t, r"(?i)(\d+(?:\.\d+)?)\s*(ml|g|gm|gms)\b", 1)
+    per = F.regexp_extract(t, _PER_UNIT, 1)
+    mrp = F.regexp_extract(t, _MRP, 1)
+    vol = F.regexp_extract(t, _VOLUME, 1)
     num = lambda x: F.nullif(x, F.lit("")).try_cast("double")
     return F.struct(num(mrp).alias("mrp"), num(vol).alias("volume_ml"), num(per).alias("per_unit_printed"))
 

@@ -118,6 +118,7 @@ MARKETING_WORDS = [
     "RESULTS", "WEEK", "WEEKS",
 ]
 
+# Plant parts of an extract name.
 _PLANT_PART = (
     r"(?:(?:AERIAL PARTS|WHOLE PLANT|SEED|LEAF|FRUIT|ROOT|FLOWER|BARK|STEM|PEEL|KERNEL|BUD|CONE|RHIZOME|HERB|"
     r"FLOWER/LEAF/STEM|BULB|NUT|PULP|SHELL)\s+)*"

@@ -17,6 +17,7 @@ from .matching import compound_lookup, fuzzy_key, fuzzy_topk, static_ladder, wor
 from .segment import segment_labels
 
 
+# The calibrated thresholds of the resolver.
 @dataclass(frozen=True)
 class Thresholds:
     """Decision thresholds; the defaults are the calibrated ones."""

@@ -109,6 +109,7 @@ def reference_names(c: Column) -> Column:
     return F.filter(parts, lambda p: F.length(p) > 1)
 
 
+# How vitamins are written.
 _VITAMINS = (r"(?i)\b(pro-?\s?)?vitamins?\s+([a-z]\d?)\b"
              r"((?:\s*(?:,|&|\+|\band\b)\s*(?:pro-?\s?vitamins?\s*)?[a-z]\d?\b)*)")
 _VITAMIN_SEP = r"(?i)\s*(?:,|&|\+|\band\b)\s*"
