@@ -145,7 +145,8 @@ class NamePool:
         chunk = max(1, self.step // n_names)
         short, long = [k for k in keys if len(k) < LANE], [k for k in keys if len(k) >= LANE]
         parts = [self._search_chunk(short[i : i + chunk]) for i in range(0, len(short), chunk)]
-        return pd.concat(parts + [self._search_long(k) for k in long], ignore_index=True)
+        found = pd.concat(parts + [self._search_long(k) for k in long], ignore_index=True)
+        return found.astype({"key": object, "cand_key": object})  # one Arrow chunk per column
 
     def _search_long(self, key: str) -> pd.DataFrame:
         """The same for a key that is longer than a lane, with whole-number subsequences."""

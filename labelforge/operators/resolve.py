@@ -145,7 +145,12 @@ def resolve_labels(labels: DataFrame, d: NameDictionary, t: Thresholds = Thresho
 
     # ---- merge neighbouring fragments
     both = quick.select(F.col("text").alias("joined"), F.when(F.col("static"), 1.0).otherwise(F.col("score")).alias("together")).where("together > 0")
-    states = states.join(alone, "raw", "left").withColumn("own", F.coalesce("own", F.lit(0.0))).join(both, "joined", "left")
+    # rows that ask nothing - resolved ones, and those without a neighbour to join - get a key of their own, so that neither nulls nor the
+    # names on most labels meet in one partition
+    aside = F.concat(F.lit("\u0001"), F.xxhash64("label_id", "position").cast("string"))
+    states = states.withColumn("_raw", F.when(F.col("pending"), F.col("raw")).otherwise(aside)).withColumn("_joined", F.coalesce("joined", aside))
+    states = states.join(alone.withColumnRenamed("raw", "_raw"), "_raw", "left").withColumn("own", F.coalesce("own", F.lit(0.0)))
+    states = states.join(both.withColumnRenamed("joined", "_joined"), "_joined", "left").drop("_raw", "_joined")
     nxt_own = F.lead("own").over(w)
     states = states.withColumn("gain", F.col("together") - F.greatest(F.col("own"), nxt_own))
     states = greedy_pairs(states, ["label_id"], "position", (F.col("together") >= t.merge_score) & (F.col("gain") >= t.merge_gain),
@@ -174,7 +179,8 @@ def resolve_labels(labels: DataFrame, d: NameDictionary, t: Thresholds = Thresho
         plain = X.strip_parens(X.strip_nano(F.col("text")))
         states = states.withColumn("lookup_text", F.when(open_, F.when(plain == "", F.col("text")).otherwise(plain)))
         found = compound_lookup(states.where("lookup_text IS NOT NULL").select(F.col("lookup_text").alias("text")), compounds)
-        states = states.join(found.select(F.col("text").alias("lookup_text"), F.col("status").alias("c_status"), "cid", F.col("names").alias("c_names")), "lookup_text", "left")
+        found = found.select(F.col("text").alias("_look"), F.col("status").alias("c_status"), "cid", F.col("names").alias("c_names"))
+        states = states.withColumn("_look", F.coalesce("lookup_text", aside)).join(found, "_look", "left").drop("_look")
         # an unreadable glyph keeps a text out of the compound layer
         states = states.withColumn("c_status", F.when(~F.col("text").contains("?") & (F.length(X.fold_key(F.col("text"))) >= 4), F.col("c_status")))
     else:
