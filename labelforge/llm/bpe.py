@@ -18,12 +18,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import TooLarge, batch, map_texts
+from .common import SLICE_BYTES, TooLarge, batch, map_texts
 
 #: Largest vocabulary file that is broadcast.
 MAX_RANK_BYTES = 64 << 20
 #: Pre-tokens and words that a worker remembers before it forgets those not in its present batch.
-CACHE = 120_000
+CACHE = 250_000
 #: Pieces longer than this are never remembered.
 CACHE_CHARS = 40
 _GROUP = 256
@@ -252,5 +252,5 @@ def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
         return step
     cols = [id_col, text_col]
     named = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
-    out = map_texts(named, ["id", "text"], "text", make, f"id {kind}, n_tokens long, ids binary, decoded binary")
+    out = map_texts(named, ["id", "text"], "text", make, f"id {kind}, n_tokens long, ids binary, decoded binary", 2 * SLICE_BYTES)
     return out.withColumnRenamed("id", cols[0])

@@ -38,7 +38,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = SLICE_BYTES
         yield b.slice(start)
 
 
-def map_texts(df: DataFrame, columns: list[str], text: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
+def map_texts(df: DataFrame, columns: list[str], text: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, size: int = SLICE_BYTES) -> DataFrame:
     """Apply a function of record batches to the named columns of ``df``; other columns are not read.
 
     ``make`` runs once per task and returns the function; batches are cut by text bytes first, so a task's memory does not
@@ -46,7 +46,7 @@ def map_texts(df: DataFrame, columns: list[str], text: str, make: Callable[[], C
     """
     def run(batches):
         step = make()
-        for b in slices(batches, text):
+        for b in slices(batches, text, size):
             out = step(b)
             if out is not None and out.num_rows:
                 yield out
