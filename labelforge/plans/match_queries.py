@@ -142,10 +142,11 @@ WITH ph AS (SELECT DISTINCT array_to_string(ws[i:i + 1], ' ') AS phrase FROM (SE
 SELECT doc_id, phrase, matched, edits FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, phrase ORDER BY n, i) rn FROM h) WHERE rn = 1"""
 
 
-def benchmark_phrases(spark, d):
-    """(item_id, phrase): every two-word window of the benchmark texts."""
-    ws = F.split("text", r"\s+")
-    return table(spark, d, "benchmark").select("item_id", ws.alias("ws")).where("size(ws) > 1").select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("ws") - 1), lambda i: F.array_join(F.slice("ws", i, 2), " "))).alias("phrase"))
+def benchmark_phrases(spark, d, sizes=(2,)):
+    """(item_id, phrase): every window of the benchmark texts of so many words."""
+    ws = table(spark, d, "benchmark").select("item_id", F.split("text", r"\s+").alias("ws"))
+    of = lambda n: F.when(F.size("ws") >= n, F.transform(F.sequence(F.lit(1), F.size("ws") - (n - 1)), lambda i: F.array_join(F.slice("ws", i, n), " "))).otherwise(F.array().cast("array<string>"))
+    return ws.select("item_id", F.explode(F.concat(*map(of, sizes))).alias("phrase"))
 
 
 @query("m5_find_phrases", PHRASE_SQL)
@@ -154,6 +155,16 @@ def _(spark, d):
     return M.find_phrases(table(spark, d, "documents"), ph)
 
 
+# the SQL above fixes two-word windows; this is the same search for the windows of two and of three words
+ALL_PHRASE_SQL = PHRASE_SQL.replace("array_to_string(ws[i:i + 1], ' ') AS phrase FROM (SELECT ws, unnest(range(1, len(ws))) AS i FROM (", "array_to_string(ws[i:i + k], ' ') AS phrase FROM (SELECT ws, k, unnest(range(1, CAST(len(ws) AS BIGINT) - k + 1)) AS i FROM (VALUES (1), (2)) t(k), (")
+
+
+@query("m5_find_phrases_all", ALL_PHRASE_SQL)
+def _(spark, d):
+    ph = benchmark_phrases(spark, d, (2, 3)).select("phrase").distinct()
+    return M.find_phrases(table(spark, d, "documents"), ph)
+
+
 @query("m6_character_error_rate", f"""
 WITH b AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nx FROM conversations)
 SELECT conv_id, turn, round(levenshtein({sql_key('text')}, {sql_key('nx')}) / greatest(1, length({sql_key('nx')})), 6) AS cer FROM b WHERE nx IS NOT NULL""")

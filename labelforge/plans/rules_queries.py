@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 from ..functions import text as X
 from ..operators import claims, review, rules
 from ..operators.segment import split_ingredients
-from .match_queries import PHRASE_SQL
+from .match_queries import ALL_PHRASE_SQL, PHRASE_SQL, benchmark_phrases
 from .registry import LI, lines, part_names, query, sql_key, table
 from .text_queries import WORDS_SQL, document_words, sql_case, term_col, TERM, ROLE
 
@@ -277,10 +277,20 @@ def _(spark, d):
  j AS (SELECT doc_id, claim_id, kind, matched, edits, row_number() OVER (PARTITION BY doc_id, claim_id ORDER BY CASE kind WHEN 'free_from' THEN 1 ELSE 4 END, ord, matched) AS rn FROM hit JOIN cl USING (phrase))
 SELECT doc_id, claim_id, kind, matched, edits FROM j WHERE rn = 1""")
 def _(spark, d):
-    from .match_queries import benchmark_phrases
-    ph = benchmark_phrases(spark, d).select(F.concat(F.lit("c"), (F.col("item_id") % 10).cast("string")).alias("claim_id"), F.when(F.col("item_id") % 2 == 0, "free_from").otherwise("ingredient").alias("kind"), F.col("item_id").cast("int").alias("ord"),
-                  "phrase")
-    return claims.extract_claims(table(spark, d, "documents"), ph)
+    return claims.extract_claims(table(spark, d, "documents"), benchmark_claims(spark, d, (2,)))
+
+
+def benchmark_claims(spark, d, sizes):
+    """Claims whose phrases are the windows of the benchmark texts of so many words."""
+    claim, kind = F.concat(F.lit("c"), (F.col("item_id") % 10).cast("string")), F.when(F.col("item_id") % 2 == 0, "free_from").otherwise("ingredient")
+    return benchmark_phrases(spark, d, sizes).select(claim.alias("claim_id"), kind.alias("kind"), F.col("item_id").cast("int").alias("ord"), "phrase")
+
+
+@query("c1_extract_claims_all", f"""WITH hit AS ({ALL_PHRASE_SQL}), cl AS (SELECT 'c' || (item_id % 10) AS claim_id, CASE WHEN item_id % 2 = 0 THEN 'free_from' ELSE 'ingredient' END AS kind, item_id AS ord, array_to_string(ws[i:i + k], ' ') AS phrase FROM (SELECT item_id, ws, k, unnest(range(1, CAST(len(ws) AS BIGINT) - k + 1)) AS i FROM (VALUES (1), (2)) t(k), (SELECT item_id, regexp_split_to_array(text, '\\s+') AS ws FROM benchmark))),
+ j AS (SELECT doc_id, claim_id, kind, matched, edits, row_number() OVER (PARTITION BY doc_id, claim_id ORDER BY CASE kind WHEN 'free_from' THEN 1 ELSE 4 END, ord, matched) AS rn FROM hit JOIN cl USING (phrase))
+SELECT doc_id, claim_id, kind, matched, edits FROM j WHERE rn = 1""")
+def _(spark, d):
+    return claims.extract_claims(table(spark, d, "documents"), benchmark_claims(spark, d, (2, 3)))
 
 
 CLAIM_SQL = f"""WITH {LI}, {HITS}, {OI}, h2 AS (SELECT inci, CASE family_id WHEN 'round' THEN 'fragrance_mixtures' WHEN 'PROMO' THEN 'eu_fragrance_allergens' WHEN 'SMALL' THEN 'solvent_alcohols' ELSE family_id END AS f FROM hits),

@@ -12,6 +12,7 @@ from ..operators.resolve import resolve_labels
 from ..runtime import checkpoint_folder
 from ..sources.store import forget_users, tolerant_products, upsert
 from ..sources.tables import parse_seed_lines
+from .match_queries import benchmark_phrases
 from .registry import LI, lines, order_labels, part_dictionary, part_names, query, sql_key, table
 
 
@@ -84,10 +85,9 @@ def _(spark, d):
 
 @query("s7_longest_span_names")
 def _(spark, d):
-    # phrases of the benchmark texts (their first two words) are looked for in every document
-    b = table(spark, d, "benchmark").select(F.array_join(F.slice(F.split("text", r"\s+"), 1, 2), " ").alias("name"))
-    single = table(spark, d, "benchmark").select(F.get(F.split("text", r"\s+"), F.lit(2)).alias("name"))
-    r = curate.longest_span_names(table(spark, d, "documents"), b.unionByName(single).where("name IS NOT NULL"), "doc_id", "text")
+    # every word and every two- and three-word window of the benchmark texts is looked for in every document
+    names = benchmark_phrases(spark, d, (1, 2, 3)).select("phrase").distinct()
+    r = curate.longest_span_names(table(spark, d, "documents"), names, "doc_id", "text")
     return r.select("doc_id", F.array_join("names", "|").alias("names"))
 
 
