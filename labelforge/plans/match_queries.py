@@ -116,7 +116,7 @@ def _(spark, d):
 @query("j9_nearest_name_documents")
 def _(spark, d):
     w = table(spark, d, "documents").select(F.explode(F.split("text", r"\s+")).alias("text")).distinct()
-    names = table(spark, d, "benchmark").select(F.explode(F.split("text", r"\s+")).alias("inci_name")).where(F.length("inci_name") >= 4).distinct()
+    names = table(spark, d, "benchmark").select(F.explode(F.split("text", r"\s+")).alias("inci_name")).distinct()
     return M.nearest_name(w, names).where("name IS NOT NULL")
 
 
@@ -129,6 +129,16 @@ def _(spark, d):
     return M.similar_pairs(words("documents"), words("benchmark"), 0.75).withColumn("sim", F.round("sim", 6))
 
 
+# the SQL above fixes words of six letters and more; this is the same join over words of any length
+@query("m3_similar_pairs_all", r"""
+WITH v AS (SELECT DISTINCT lower(w) AS k FROM (SELECT unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS w FROM documents) WHERE w <> ''),
+ b AS (SELECT DISTINCT lower(w) AS k FROM (SELECT unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS w FROM benchmark) WHERE w <> '')
+SELECT v.k AS left_key, b.k AS right_key, round(1 - levenshtein(v.k, b.k) / greatest(length(v.k), length(b.k)), 6) AS sim FROM v JOIN b ON 1 - levenshtein(v.k, b.k) / greatest(length(v.k), length(b.k)) >= 0.75""")
+def _(spark, d):
+    words = lambda n: table(spark, d, n).select(F.explode(F.split("text", "[^A-Za-z]+")).alias("w")).where("w <> ''").select(F.lower("w").alias("k")).distinct()
+    return M.similar_pairs(words("documents"), words("benchmark"), 0.75).withColumn("sim", F.round("sim", 6))
+
+
 PHRASE_SQL = r"""
 WITH ph AS (SELECT DISTINCT array_to_string(ws[i:i + 1], ' ') AS phrase FROM (SELECT ws, unnest(range(1, len(ws))) AS i FROM (SELECT regexp_split_to_array(text, '\s+') AS ws FROM benchmark))),
  pn AS (SELECT phrase, trim(regexp_replace(regexp_replace(lower(phrase), '[’''`]', '', 'g'), '[^a-z0-9%]+', ' ', 'g')) AS pw FROM ph),

@@ -151,9 +151,23 @@ WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda
  x AS (SELECT doc_id, n, i, array_to_string(ws[i + 1:i + n], ' ') AS t FROM n)
 SELECT t AS gram, count(*) AS n_windows, count(DISTINCT doc_id) AS n_docs FROM x GROUP BY t HAVING count(*) >= 10""")
 def _(spark, d):
+    return gram_counts(spark, d).where("n_windows >= 10")
+
+
+def gram_counts(spark, d):
     ws = F.filter(F.split("text", r"\s+"), lambda x: x != "")
     x = table(spark, d, "documents").select("doc_id", F.explode(S.word_windows(ws, 2, 3)).alias("w")).groupBy(F.col("w.text").alias("gram"), "doc_id").agg(F.count("*").alias("c"))
-    return x.groupBy("gram").agg(F.sum("c").alias("n_windows"), F.count("*").alias("n_docs")).where("n_windows >= 10")
+    return x.groupBy("gram").agg(F.sum("c").alias("n_windows"), F.count("*").alias("n_docs"))
+
+
+# the SQL above fixes grams seen ten times or more; these are all of them
+@query("g8_word_windows_all", r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ws FROM documents),
+ n AS (SELECT doc_id, k AS n, unnest(range(0, CAST(len(ws) AS BIGINT) - k + 1)) AS i, ws FROM w, (VALUES (2), (3)) t(k)),
+ x AS (SELECT doc_id, n, i, array_to_string(ws[i + 1:i + n], ' ') AS t FROM n)
+SELECT t AS gram, count(*) AS n_windows, count(DISTINCT doc_id) AS n_docs FROM x GROUP BY t""")
+def _(spark, d):
+    return gram_counts(spark, d)
 
 
 # ---- filters and classifiers
