@@ -54,6 +54,34 @@ def rank_alternatives(pairs: DataFrame, avoid_hits: DataFrame, top: int = 5) ->
     return ranked, stats
 
 
+def saved_alternatives(products: DataFrame, avoid_hits: DataFrame, top: int = 5) -> tuple[DataFrame, DataFrame]:
+    """As ``rank_alternatives``, with every other product of the same user as a candidate.
+
+    products(user_id, product_id, ingredients). Two products that share MIN_SHARED keys share one among all but the MIN_SHARED - 1
+    most common ones of each: only those rarest keys are joined, and the row of the first shared one is kept, so a pair is
+    produced once. The counts need no pairs of too few: they are what is left of the user's products.
+    """
+    bad = avoid_hits.select(F.col("cand_id").alias("product_id")).distinct().withColumn("bad", F.lit(True))
+    p = products.select("user_id", "product_id", "ingredients").join(bad, "product_id", "left").withColumn("bad", F.coalesce("bad", F.lit(False)))
+    k = p.select("user_id", "product_id", "bad", F.explode(F.array_distinct(fold_all(F.col("ingredients")))).alias("key"))
+    df = k.groupBy("user_id", "key").agg(F.count("*").alias("df"))
+    keys = k.join(df, ["user_id", "key"]).groupBy("user_id", "product_id", "bad").agg(F.array_sort(F.collect_list(F.struct("df", "key")))["key"].alias("ks")).where(F.size("ks") >= MIN_SHARED)
+    rare = keys.select("user_id", "product_id", "bad", F.slice("ks", F.lit(1), F.size("ks") - (MIN_SHARED - 1)).alias("ks")).select("*", F.explode("ks").alias("key"))
+    a = rare.select("user_id", "key", F.col("product_id").alias("base_id"), F.col("ks").alias("a"))
+    b = rare.where(~F.col("bad")).select("user_id", "key", F.col("product_id").alias("cand_id"), F.col("ks").alias("b"))
+    met = a.join(b, ["user_id", "key"]).where((F.col("base_id") != F.col("cand_id")) & (F.element_at(F.array_intersect("a", "b"), 1) == F.col("key"))).select("base_id", "cand_id")
+    of = lambda side: p.select(F.col("product_id").alias(f"{side}_id"), F.col("ingredients").alias(f"{side}_ingredients"))
+    pairs = met.join(of("base"), "base_id").join(of("cand"), "cand_id")
+    ranked = rank_alternatives(pairs, avoid_hits, top)[0]
+    n = overlap(F.col("base_ingredients"), F.col("cand_ingredients"))["n_shared"]
+    usable = pairs.where(n >= MIN_SHARED).groupBy("base_id").agg(F.count("*").alias("usable"))
+    users = p.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if("bad").alias("n_bad")).where("n > 1")
+    own = F.col("bad").cast("int")
+    stats = p.join(users, "user_id").withColumnRenamed("product_id", "base_id").join(usable, "base_id", "left")
+    stats = stats.select("base_id", (F.col("n_bad") - own).alias("excluded"), (F.col("n") - F.col("n_bad") - 1 + own - F.coalesce("usable", F.lit(0))).alias("too_few"))
+    return ranked, stats
+
+
 def routine_gate(products: DataFrame, by: list[str]) -> DataFrame:
     """Products of routines with two or more products; of any size, since what a user may select at once is the caller's matter.
 

@@ -93,6 +93,26 @@ def user_pairs(spark, d):
     return x, p.where("product_id % 6 = 0").select(F.col("product_id").alias("cand_id"))
 
 
+# the SQL above fixes the next three products as candidates; here every other product of the user is one
+ALL_ALT = ALT.replace("y.r BETWEEN x.r + 1 AND x.r + 3", "y.product_id <> x.product_id")
+
+
+@query("o2_rank_alternatives_all", f"""WITH {PR}, {PAIRS}, {ALL_ALT}
+SELECT base_id, rank, cand_id, c AS n_shared, round(sim, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY base_id ORDER BY sim DESC, cand_id) AS rank FROM s WHERE NOT bad AND c >= 3) WHERE rank <= 5""")
+def _(spark, d):
+    return saved_alternatives(spark, d)[0].withColumn("similarity", F.round("similarity", 6))
+
+
+@query("o2_alternative_counts_all", f"WITH {PR}, {PAIRS}, {ALL_ALT} SELECT base_id, count(*) FILTER (bad) AS excluded, count(*) FILTER (NOT bad AND c < 3) AS too_few FROM s GROUP BY 1")
+def _(spark, d):
+    return saved_alternatives(spark, d)[1]
+
+
+def saved_alternatives(spark, d):
+    p = products(spark, d).select("user_id", "product_id", "ingredients")
+    return P.saved_alternatives(p, p.where("product_id % 6 = 0").select(F.col("product_id").alias("cand_id")))
+
+
 @query("j17_stacking_conflicts", f"""WITH {PR}, p AS (SELECT DISTINCT user_id, year, product_id, "when", cls FROM act)
 SELECT a.user_id, a.year, 's-' || b.cls AS rule_id, a.product_id AS a_id, b.product_id AS b_id, (a."when" = '' OR b."when" = '' OR (a."when" IN ('am', 'both') AND b."when" IN ('am', 'both')) OR (a."when" IN ('pm', 'both') AND b."when" IN ('pm', 'both'))) AS overlap,
  CASE WHEN (a."when" = '' OR b."when" = '' OR (a."when" IN ('am', 'both') AND b."when" IN ('am', 'both')) OR (a."when" IN ('pm', 'both') AND b."when" IN ('pm', 'both'))) THEN 'caution' ELSE 'note' END AS tier

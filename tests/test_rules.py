@@ -1,4 +1,6 @@
 """Hand-worked cases of rules, review and products where a cut or a wrong drop would show."""
+import random
+
 from pyspark.sql import functions as F
 
 from labelforge.operators import matching as M, products as P, review, rules
@@ -52,3 +54,20 @@ def test_lookup_inside_names_and_long_names(spark):
     snap = spark.createDataFrame([(1, long + "S", None)], "cid long, name string, cas string")
     got = M.compound_lookup(spark.createDataFrame([(long,)], "text string"), snap).select("status", F.get("names", F.lit(0)).alias("n")).first()
     assert tuple(got) == ("ambiguous", long + "S")
+
+
+def test_alternatives_among_all_products_of_a_user(spark):
+    r = random.Random(3)
+    held = [(u, 100 * u + i, [f"I{x}" for x in r.sample(range(12), r.randint(0, 8))]) for u, n in ((1, 15), (2, 6), (3, 1)) for i in range(n)]
+    bad = {i for _, i, _ in held if i % 4 == 0}
+    p = spark.createDataFrame(held, "user_id int, product_id int, ingredients array<string>")
+    ranked, stats = P.saved_alternatives(p, spark.createDataFrame([(i,) for i in bad], "cand_id int"))
+    best, counts = set(), {}
+    for u, i, a in held:
+        others = [(j, set(a) & set(b), set(a) | set(b)) for v, j, b in held if v == u and j != i]
+        good = sorted((-len(x) / len(y), j, len(x)) for j, x, y in others if j not in bad and len(x) >= 3)
+        best |= {(i, k, j, n) for k, (_, j, n) in enumerate(good[:5], 1)}
+        if others:
+            counts[i] = (sum(j in bad for j, *_ in others), sum(j not in bad and len(x) < 3 for j, x, _ in others))
+    assert {(x.base_id, x.rank, x.cand_id, x.n_shared) for x in ranked.collect()} == best
+    assert {x.base_id: (x.excluded, x.too_few) for x in stats.collect()} == counts
