@@ -29,14 +29,14 @@ PENALTY = 3.0
 LEAST_SHARE = 0.02
 UNDETERMINED = "und"
 
-_LETTER = np.array([chr(c).isalpha() for c in range(0x10000)])
+_LETTER = np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
 def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Document number and bucket of every trigram whose middle is a letter."""
     low = [t.lower() if t else "" for t in texts]
     points = np.frombuffer(("\n" + "\n".join(low) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = np.where(points < 0x10000, _LETTER[np.minimum(points, 0xFFFF)], True)
+    letter = _LETTER[points]
     c = np.where(letter, points, 32).astype(np.uint64)
     h = c[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ c[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ c[2:] * np.uint64(0x165667B19E3779F9)
     h = (h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(49)

@@ -53,6 +53,14 @@ def test_language(spark):
     assert language.identify(docs(spark, ["x"]).limit(0), model).count() == 0
 
 
+def test_astral_symbols_are_no_letters(spark):
+    train = spark.createDataFrame([("the cat is in the garden \U0001F600\U0001F600", "en"), ("der hund ist nicht da", "de")], "text string, lang string")
+    got = language.identify(docs(spark, ["\U0001F600\U0001F680", "12 \U0001F600 34", "\U0001D7D8\U0001F0A1", "the cat \U0001F600", "\U00020000\U00020001"]), language.learn(train)).orderBy("doc_id").collect()
+    assert [(r["lang_pred"], r["score"]) for r in got[:3]] == [("und", 0.0)] * 3
+    assert got[3]["lang_pred"] == "en" and got[4]["lang_pred"] != "und"
+    assert len(language.trigrams(["a\U0001F600b"])[0]) == 2
+
+
 def test_language_held_out(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
     got = queries.op1_language_mixture(spark, SF).join(d, "doc_id").filter("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
