@@ -28,9 +28,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 
 _SEPARATOR = re.compile(r":=|=>|=(?!=)|:(?!:)")
-#: A name that ends before the separator; longer ones are no names.
-_NAME_CHARS = 128
-_NAME = re.compile(r"""([A-Za-z_$][\w$.\-]*)["'\]]{0,2}[ \t]*$""", re.A)
+#: A name of any length that ends before the separator, in the reversed text.
+_EMAN = re.compile(r"""[ \t]*["'\]]{0,2}([\w$.\-]*[A-Za-z_$])""", re.A)
 _VALUE = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|\$\{?([A-Za-z_]\w*)\}?|([A-Za-z0-9_$+/.=\-]+))""", re.A)
 _PLUS = re.compile(r"[ \t]*\+(?=[ \t]*[\"'`$A-Za-z_])")
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -55,28 +54,81 @@ def name_weight(name: str) -> float:
 
 def literal_weight(text: str) -> float:
     """How random a literal looks, from 0 to 1: length and entropy; placeholders and very short values score low."""
-    if len(text) < 6 or len(set(text)) < 4 or text.strip("xX*.<>-_ ") == "":
-        return 0.0
-    n = len(text)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(text).values())
-    kinds = sum(map(bool, (re.search("[a-z]", text), re.search("[A-Z]", text), re.search("[0-9]", text), re.search(r"[^A-Za-z0-9\s]", text))))
-    return min(1.0, 0.2 + 0.1 * kinds + min(entropy, 4.0) / 8 + (0.1 if n >= 16 else 0.0) - (0.3 if " " in text else 0.0))
+    return _weight(Counter(text), len(text))
 
 
-def _value(text: str, at: int, known: dict) -> list[tuple[str, int, int, bool]]:
-    """Pieces (text, start, end, propagated) of the value that begins at ``at``."""
+def _weight(counts: dict, n: float) -> float:
+    """``literal_weight`` of a text of these characters."""
+    chars = "".join(counts)
+    if n < 6 or len(counts) < 4 or chars.strip("xX*.<>-_ ") == "":
+        return 0.0
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values() if c / n)
+    kinds = sum(map(bool, (re.search("[a-z]", chars), re.search("[A-Z]", chars), re.search("[0-9]", chars), re.search(r"[^A-Za-z0-9\s]", chars))))
+    return min(1.0, 0.2 + 0.1 * kinds + min(entropy, 4.0) / 8 + (0.1 if n >= 16 else 0.0) - (0.3 if " " in counts else 0.0))
+
+
+class _Value:
+    """A value as its pieces in order: spans of the text, and the values of constants, which are shared and never copied."""
+
+    __slots__ = ("parts", "counts", "reported")
+
+    def __init__(self, parts: list):
+        self.parts, self.counts, self.reported = parts, None, 0.0
+
+    def weigh(self, text: str) -> float:
+        """``literal_weight`` of the joined pieces. Counts are (character to count, length, power of two): a value may double on every line."""
+        todo = [self]
+        while todo:
+            v = todo[-1]
+            inner = [p for p in v.parts if isinstance(p, _Value) and p.counts is None] if v.counts is None else []
+            if inner:
+                todo += inner
+                continue
+            todo.pop()
+            if v.counts is None:
+                power = max([p.counts[2] for p in v.parts if isinstance(p, _Value)], default=0)
+                all_, n = {}, 0.0
+                for p in v.parts:
+                    c, m, e = p.counts if isinstance(p, _Value) else (Counter(text[p[0]:p[1]]), p[1] - p[0], 0)
+                    for k, x in c.items():
+                        all_[k] = all_.get(k, 0.0) + math.ldexp(x, e - power)
+                    n += math.ldexp(m, e - power)
+                while n > 2.0 ** 50:
+                    all_, n, power = {k: x / 2.0 ** 25 for k, x in all_.items()}, n / 2.0 ** 25, power + 25
+                v.counts = all_, n, power
+        return _weight(*self.counts[:2])
+
+    def report(self, score: float, name: str, out: dict) -> None:
+        """Record every span once under its best score; values all of whose spans have this score already are passed over."""
+        todo, seen = [self], {id(self)}
+        while todo:
+            v = todo.pop()
+            if v.reported >= score:
+                continue
+            v.reported = round(score, 4)
+            for p in v.parts:
+                if isinstance(p, _Value):
+                    if id(p) not in seen:
+                        seen.add(id(p))
+                        todo.append(p)
+                elif p[1] > p[0] and (p not in out or out[p][3] < score):
+                    out[p] = ("named" if v is self else "constant", *p, round(score, 4), name)
+
+
+def _value(text: str, at: int, known: dict) -> list:
+    """Pieces of the value that begins at ``at``: spans, and values of constants."""
     out = []
     while m := _VALUE.match(text, at):
         k = m.lastindex
         name = m[k]
         if k == 4 or k == 5 and name in known:
-            out += [(*p[:3], True) for p in known.get(name, [])]
+            out += [known[name]] if name in known else []
         elif k == 5 and "." in name and not any(c.isdigit() for c in name):
             pass  # an attribute or a file name, no literal
         else:
-            out.append((name, m.start(k), m.end(k), False))
+            out.append(m.span(k))
         more = _PLUS.match(text, m.end())
-        if not more or len(out) > 64:
+        if not more:
             break
         at = more.end()
     return out
@@ -84,26 +136,24 @@ def _value(text: str, at: int, known: dict) -> list[tuple[str, int, int, bool]]:
 
 def assignments(text: str) -> list[tuple[str, int, int, float, str]]:
     """Spans (kind, start, end, score, name) of the literals that sensitive names get, directly or through constants."""
-    known: dict[str, list[tuple[str, int, int, bool]]] = {}
+    known: dict[str, _Value] = {}
     out: dict[tuple[int, int], tuple[str, int, int, float, str]] = {}
+    back = text[::-1]
     for sep in _SEPARATOR.finditer(text):
-        s = sep.start()
-        line = max(text.rfind("\n", 0, s) + 1, s - _NAME_CHARS)
-        m = _NAME.search(text, line, s)
+        m = _EMAN.match(back, len(text) - sep.start())
         if not m:
             continue
         pieces = _value(text, sep.end(), known)
         if not pieces:
             continue
-        known[m[1]] = pieces
-        weight = name_weight(m[1])
+        name = m[1][::-1]
+        value = known[name] = _Value(pieces)
+        weight = name_weight(name)
         if not weight:
             continue
-        score = weight * literal_weight("".join(p[0] for p in pieces))
+        score = weight * value.weigh(text)
         if score >= THRESHOLD:
-            for _, a, z, through in pieces:
-                if z > a and ((a, z) not in out or out[a, z][3] < score):
-                    out[a, z] = ("constant" if through else "named", a, z, round(score, 4), m[1])
+            value.report(score, name, out)
     return list(out.values())
 
 

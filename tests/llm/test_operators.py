@@ -226,6 +226,20 @@ def test_secrets_lexing(spark):
     assert secrets.scan_secrets(d.limit(0)).count() == 0
 
 
+def test_secrets_of_many_pieces_and_long_names():
+    parts = [f"Zx{i}Kq" for i in range(200)]
+    spans = [f for f in secrets.scan("part = " + " + ".join(f'"{p}"' for p in parts) + '\nauth_token = part + part + "Lm4Tr8Vw"\n') if f[0] in ("named", "constant")]
+    assert len(spans) == 201 and {f[0] for f in spans} == {"named", "constant"}
+    named = [f for f in secrets.scan("secret_key = " + "+".join(f'"{p}"' for p in parts)) if f[0] == "named"]
+    assert len(named) == 200
+    long = "password_" + "x" * 150
+    assert [f[4] for f in secrets.scan(f'{long} = "Zx9Kq2Lm4Tr8"') if f[0] == "named"] == [long]
+    twice = 'k = "aB3$x"\npassword = k + k'  # the value is scored as it reads, ten characters long
+    assert [f[0] for f in secrets.scan(twice) if f[0] != "assign"] == ["constant"]
+    growing = 'token = "Zx9Kq2Lm"\n' + "token = token + token\n" * 3000 + "".join(f'key{i} = token + "p{i}"\ntoken = key{i} + token\n' for i in range(1000))
+    assert len([f for f in secrets.scan(growing) if f[0] in ("named", "constant")]) == 1001
+
+
 # ---- top k
 def test_top_k(spark):
     rng = np.random.default_rng(2)
