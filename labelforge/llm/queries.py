@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from . import bpe, chat, decontaminate, language, lines, near, quality, secrets, substrings, topk
+from . import bpe, chat, decontaminate, exact, language, lines, near, quality, secrets, substrings, topk
 from .common import crc_mod, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -137,5 +137,14 @@ def op10_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
     return e.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_mixture, op2_quality_pu, op3_simhash, op4_chat_paths, op5_phrase_automata, op6_line_windows, op7_secret_scan, op8_top_k, op9_decontaminate, op10_byte_bpe)}
-ORACLES = {"op4_chat_paths": OP4_SQL, "op5_phrase_automata": OP5_SQL, "op6_line_windows": OP6_SQL, "op8_top_k": OP8_SQL, "op9_decontaminate": OP9_SQL}
+def op13_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
+    e = exact.exact_duplicates(table(spark, d, "documents"))
+    return e.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+OP13_SQL = """
+SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id, count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
+ doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept, sha256(coalesce(text, '')) AS text_sha256 FROM documents"""
+
+QUERIES = {f.__name__: f for f in (op1_language_mixture, op2_quality_pu, op3_simhash, op4_chat_paths, op5_phrase_automata, op6_line_windows, op7_secret_scan, op8_top_k, op9_decontaminate, op10_byte_bpe, op13_exact_dedup)}
+ORACLES = {"op4_chat_paths": OP4_SQL, "op5_phrase_automata": OP5_SQL, "op6_line_windows": OP6_SQL, "op8_top_k": OP8_SQL, "op9_decontaminate": OP9_SQL, "op13_exact_dedup": OP13_SQL}
