@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from . import bpe, chat, decontaminate, exact, language, lines, near, quality, secrets, substrings, topk
+from . import bpe, chat, decontaminate, exact, language, lines, near, periodic, quality, secrets, substrings, topk
 from .common import crc_mod, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -137,6 +137,62 @@ def op10_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
     return e.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+BLANKS = r"[\x20\x09-\x0D]+"
+
+
+def repeat_tails(docs: DataFrame) -> DataFrame:
+    """Documents whose text is made periodic from word ``a`` on, with period ``p``, where ten divides the crc32 ``h`` of the id; the other texts unchanged."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    ws = F.filter(F.split("text", BLANKS, -1), lambda w: w != "")
+    hit = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, ws).alias("ws"))
+    hit = hit.select("*", F.size("ws").cast("long").alias("n"), F.floor(F.col("h") / 10).alias("g"))
+    a = F.pmod(F.col("g"), F.col("n"))
+    hit = hit.select("*", F.when(F.col("n") > 0, a).cast("int").alias("a"))
+    p = 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.pmod(F.col("g"), F.lit(8))))
+    hit = hit.select("*", p.cast("int").alias("p"))
+    times = (F.floor((F.col("n") - F.col("a")) / F.col("p")) + 1).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("ws", F.col("a") + 1, F.col("p")), times)), F.lit(1), (F.col("n") - F.col("a")).cast("int"))
+    made = F.array_join(F.concat(F.slice("ws", F.lit(1), F.col("a")), tail), " ")
+    return hit.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), made).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, d: str) -> DataFrame:
+    r = periodic.periodic_runs(repeat_tails(table(spark, d, "documents")))
+    best = F.array_min(F.transform("runs", lambda x: F.struct((-x["length"]).alias("k"), x["start"].alias("start"), x["period"].alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda x: F.concat(F.concat_ws(",", x["start"].cast("string"), x["length"].cast("string"), x["period"].cast("string")), F.lit("\n"))), "")
+    r = r.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), listed.alias("listed"), "collapsed")
+    length = -F.col("best.k")
+    return r.select("doc_id", "n_runs", F.col("best.start").alias("start"), length.alias("length"), F.col("best.period").alias("period"),
+                    F.floor(1000 * length / F.col("best.period")).alias("exponent_milli"), F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def sql_crc32(text: str) -> str:
+    """CRC-32 of an ASCII expression as SQL: the bits of each character go through the register one at a time."""
+    bits = f"flatten(list_transform(string_split({text}, ''), lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bits}), lambda x, e: xor(xor(x, e) >> 1, 3988292384 * (xor(x, e) & 1))), CAST(4294967295 AS BIGINT))"
+
+
+OP11_SQL = rf"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, {sql_crc32("CAST(doc_id AS VARCHAR)")} AS h FROM documents),
+a AS (SELECT *, len(ws) AS n, h // 10 AS g, (h // 10) % len(ws) AS a FROM d),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+t0 AS (SELECT doc_id, unnest(range(n)) AS i, unnest(ws) AS word FROM p),
+src AS (SELECT doc_id, unnest(range(n)) AS j, h % 10 = 0 AS made, a, p FROM p),
+t AS (SELECT s.doc_id, j, word FROM src s JOIN t0 ON t0.doc_id = s.doc_id AND t0.i = CASE WHEN made AND j >= a THEN a + (j - a) % p ELSE j END),
+g AS (SELECT doc_id, j, md5(concat_ws(' ', word, lead(word, 1) OVER w, lead(word, 2) OVER w, lead(word, 3) OVER w, lead(word, 4) OVER w, lead(word, 5) OVER w)) AS gram,
+  lead(word, 5) OVER w IS NOT NULL AS whole FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY j)),
+same AS (SELECT x.doc_id, x.j, y.j - x.j AS q FROM g x JOIN g y ON x.doc_id = y.doc_id AND x.gram = y.gram AND x.j < y.j AND x.whole AND y.whole),
+isl AS (SELECT *, j - row_number() OVER (PARTITION BY doc_id, q ORDER BY j) AS k FROM same),
+ext AS (SELECT doc_id, q, min(j) AS s, max(j) + 6 + q AS e FROM isl GROUP BY doc_id, q, k),
+runs AS (SELECT doc_id, s, e - s AS n, min(q) AS q FROM ext WHERE e - s >= greatest(12, 2 * q) GROUP BY doc_id, s, e),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, s, q) AS k, count(*) OVER (PARTITION BY doc_id) AS c FROM runs) WHERE k = 1),
+list AS (SELECT doc_id, string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS l FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + n)) AS j FROM runs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS l FROM t ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(c, 0) AS n_runs, s AS start, n AS length, q AS period, 1000 * n // q AS exponent_milli, sha256(coalesce(list.l, '')) AS runs_sha256, sha256(coalesce(kept.l, '')) AS collapsed_sha256
+FROM documents LEFT JOIN best USING (doc_id) LEFT JOIN list USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
 def op13_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     e = exact.exact_duplicates(table(spark, d, "documents"))
     return e.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -146,5 +202,5 @@ OP13_SQL = """
 SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id, count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
  doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept, sha256(coalesce(text, '')) AS text_sha256 FROM documents"""
 
-QUERIES = {f.__name__: f for f in (op1_language_mixture, op2_quality_pu, op3_simhash, op4_chat_paths, op5_phrase_automata, op6_line_windows, op7_secret_scan, op8_top_k, op9_decontaminate, op10_byte_bpe, op13_exact_dedup)}
-ORACLES = {"op4_chat_paths": OP4_SQL, "op5_phrase_automata": OP5_SQL, "op6_line_windows": OP6_SQL, "op8_top_k": OP8_SQL, "op9_decontaminate": OP9_SQL, "op13_exact_dedup": OP13_SQL}
+QUERIES = {f.__name__: f for f in (op1_language_mixture, op2_quality_pu, op3_simhash, op4_chat_paths, op5_phrase_automata, op6_line_windows, op7_secret_scan, op8_top_k, op9_decontaminate, op10_byte_bpe, op11_periodic_runs, op13_exact_dedup)}
+ORACLES = {"op4_chat_paths": OP4_SQL, "op5_phrase_automata": OP5_SQL, "op6_line_windows": OP6_SQL, "op8_top_k": OP8_SQL, "op9_decontaminate": OP9_SQL, "op11_periodic_runs": OP11_SQL, "op13_exact_dedup": OP13_SQL}
