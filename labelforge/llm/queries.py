@@ -1,10 +1,12 @@
 """One query per operator, over its whole table, and the SQL of those that SQL can state."""
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from . import bpe, chat, decontaminate, exact, language, lines, near, periodic, quality, secrets, substrings, topk
+from . import bpe, chat, decontaminate, exact, language, lines, near, periodic, quality, secrets, substrings, topk, variants
 from .common import crc_mod, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -193,6 +195,44 @@ SELECT documents.doc_id, coalesce(c, 0) AS n_runs, s AS start, n AS length, q AS
 FROM documents LEFT JOIN best USING (doc_id) LEFT JOIN list USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
 
+def slip(doc_id, words: list[bytes]) -> list[bytes]:
+    """Words of a document with a letter left out wherever 31 divides the crc32 of ``id:word``; words too short to count are left as they are."""
+    start = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
+    out = []
+    for w in words:
+        if len(w) >= variants.LEAST:
+            h = zlib.crc32(w if w.isascii() else w.decode("latin-1").encode(), start)
+            if h % 31 == 0:
+                k = h % len(w)
+                w = w[:k] + w[k + 1:]
+        out.append(w)
+    return out
+
+
+def op12_spelling_variants(spark: SparkSession, d: str) -> DataFrame:
+    words = variants.count_words(table(spark, d, "documents"), slip=slip).filter("n >= 2")
+    return variants.spelling_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+_UTF8_BITS = """flatten(list_transform(string_split(CAST(doc_id AS VARCHAR) || ':' || w, ''), lambda c: CASE WHEN ord(c) < 128 THEN [CAST(ord(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]
+ ELSE [CAST(195 AS BIGINT), 0, 0, 0, 0, 0, 0, 0, ord(c) - 64, 0, 0, 0, 0, 0, 0, 0] END))"""
+
+OP12_SQL = rf"""
+WITH RECURSIVE r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS w FROM documents),
+h AS (SELECT w, c, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {_UTF8_BITS}), lambda x, e: xor(xor(x, e) >> 1, 3988292384 * (xor(x, e) & 1))), CAST(4294967295 AS BIGINT)) AS h
+  FROM (SELECT doc_id, w, count(*) AS c FROM r WHERE length(w) >= 7 GROUP BY doc_id, w)),
+words AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM (SELECT c, CASE WHEN h % 31 = 0 THEN substr(w, 1, CAST(h % length(w) AS INT)) || substr(w, CAST(h % length(w) AS INT) + 2) ELSE w END AS word FROM h)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+cut AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT word, rest FROM cut WHERE rest IN (SELECT word FROM words) UNION SELECT rest, word FROM cut WHERE rest IN (SELECT word FROM words)),
+best AS (SELECT * FROM (SELECT near.word, other, w.n, row_number() OVER (PARTITION BY near.word ORDER BY w.n DESC, other) AS k, count(*) OVER (PARTITION BY near.word) AS c FROM near JOIN words w ON w.word = other) WHERE k = 1),
+f AS (SELECT words.word, words.n, coalesce(c, 0) AS n_near, CASE WHEN best.n >= 10 * words.n THEN other END AS form, CASE WHEN best.n >= 10 * words.n THEN best.n END AS form_n FROM words LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS here, 0 AS depth FROM f UNION ALL SELECT walk.word, f.form, depth + 1 FROM walk JOIN f ON f.word = walk.here WHERE f.form IS NOT NULL),
+root AS (SELECT word, arg_max(here, depth) AS root FROM walk GROUP BY word)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN root USING (word)"""
+
+
 def op13_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     e = exact.exact_duplicates(table(spark, d, "documents"))
     return e.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -202,5 +242,5 @@ OP13_SQL = """
 SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id, count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
  doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept, sha256(coalesce(text, '')) AS text_sha256 FROM documents"""
 
-QUERIES = {f.__name__: f for f in (op1_language_mixture, op2_quality_pu, op3_simhash, op4_chat_paths, op5_phrase_automata, op6_line_windows, op7_secret_scan, op8_top_k, op9_decontaminate, op10_byte_bpe, op11_periodic_runs, op13_exact_dedup)}
-ORACLES = {"op4_chat_paths": OP4_SQL, "op5_phrase_automata": OP5_SQL, "op6_line_windows": OP6_SQL, "op8_top_k": OP8_SQL, "op9_decontaminate": OP9_SQL, "op11_periodic_runs": OP11_SQL, "op13_exact_dedup": OP13_SQL}
+QUERIES = {f.__name__: f for f in (op1_language_mixture, op2_quality_pu, op3_simhash, op4_chat_paths, op5_phrase_automata, op6_line_windows, op7_secret_scan, op8_top_k, op9_decontaminate, op10_byte_bpe, op11_periodic_runs, op12_spelling_variants, op13_exact_dedup)}
+ORACLES = {"op4_chat_paths": OP4_SQL, "op5_phrase_automata": OP5_SQL, "op6_line_windows": OP6_SQL, "op8_top_k": OP8_SQL, "op9_decontaminate": OP9_SQL, "op11_periodic_runs": OP11_SQL, "op12_spelling_variants": OP12_SQL, "op13_exact_dedup": OP13_SQL}
