@@ -2,7 +2,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -10,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from ..functions import text as X
 from ..functions.similarity import NamePool, confusion_explain, confusion_score, indel_ratio, indel_ratio_one
 from .dictionary import NameDictionary
+from .phrases import find_phrases  # noqa: F401  (part of this module's interface)
 from .segment import word_windows
 
 POOL_SHARDS = 8               # blocks a dictionary is dealt into; a task holds one
@@ -302,45 +302,3 @@ def lookup_by_cas(queries: DataFrame, names: DataFrame) -> DataFrame:
     """queries(cas) -> first name (in name order) of that CAS number."""
     n = names.where("cas IS NOT NULL").groupBy("cas").agg(F.min("inci_name").alias("inci_name"))
     return queries.join(n, "cas", "left")
-
-
-def find_phrases(texts: DataFrame, phrases: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase_col: str = "phrase") -> DataFrame:
-    """(id, phrase, matched, edits): first word window of a text within the phrase's edit budget.
-
-    A phrase key of 5+ letters may differ by 0, 1 or 2 edits by length; windows have one word less to one more and the same
-    first character.  Windows and phrases meet on (words, first character, length), each phrase entered under the lengths
-    its budget allows; windows of no such shape are never written out, so what is shuffled are plausible pairs only.
-    """
-    letters = lambda c: F.translate(c, "% ", "")  # claim text holds only a-z 0-9 % and blanks
-    p = phrases.select(F.col(phrase_col).alias("phrase")).distinct().withColumn("pw", X.claim_text(F.col("phrase")))
-    p = p.withColumn("key", letters(F.col("pw"))).where(F.length("key") >= 5).withColumn("nw", F.size(F.split("pw", " ")))
-    p = p.withColumn("budget", F.when(F.length("key") < 10, 0).when(F.length("key") < 16, 1).otherwise(2))
-    p = (p.select("phrase", "key", "budget", F.explode(F.sequence(F.greatest(F.lit(1), F.col("nw") - 1), F.col("nw") + 1)).alias("n"))
-         .select("phrase", "key", "budget", "n", F.substr("key", F.lit(1), F.lit(1)).alias("c1"),
-                 F.explode(F.sequence(F.length("key") - F.col("budget"), F.length("key") + F.col("budget"))).alias("len")))
-    # what a window must look like to meet any phrase: a few hundred combinations, since phrases are configuration
-    shapes: dict[int, set[tuple[str, int]]] = {}
-    for r in p.select("n", "c1", "len").distinct().collect():
-        shapes.setdefault(r["n"], set()).add((r["c1"], r["len"]))
-    kind = texts.schema[id_col].dataType.simpleString()
-
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Word windows of a fitting shape; the words of a text are walked once per size and only fitting windows are written out."""
-        for b in batches:
-            rows = []
-            for key, text in zip(b["id"], b["t"]):
-                ws = [x for x in text.split(" ") if x] if text else []
-                plain = [x.replace("%", "") for x in ws]
-                ends = [0, *accumulate(map(len, plain))]
-                for n, fits in shapes.items():
-                    for i in range(len(ws) - n + 1):
-                        first = plain[i][:1] or "".join(plain[i : i + n])[:1]
-                        size = ends[i + n] - ends[i]
-                        if (first, size) in fits:
-                            rows.append((key, n, i, " ".join(ws[i : i + n]), "".join(plain[i : i + n]), first, size))
-            yield pd.DataFrame(rows, columns=["id", "n", "i", "matched", "joined", "c1", "len"])
-    t = texts.select(F.col(id_col).alias("id"), X.nfkc(F.col(text_col)).alias("_nfkc")).select("id", X.claim_text(F.col("_nfkc"), normalise=False).alias("t"))
-    w = t.mapInPandas(windows, f"id {kind}, n int, i int, matched string, joined string, c1 string, len int").withColumnRenamed("id", id_col)
-    hits = w.join(p, ["n", "c1", "len"]).withColumn("edits", F.levenshtein("joined", "key", 2)).where("edits >= 0 AND edits <= budget")
-    best = hits.groupBy(id_col, "phrase").agg(F.min(F.struct("n", "i", "matched", "edits")).alias("b"))
-    return best.select(id_col, "phrase", "b.matched", "b.edits")

@@ -121,16 +121,6 @@ def _(spark, d):
 
 
 @query("m3_similar_pairs", r"""
-WITH v AS (SELECT DISTINCT lower(w) AS k FROM (SELECT unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS w FROM documents) WHERE length(w) >= 6),
- b AS (SELECT DISTINCT lower(w) AS k FROM (SELECT unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS w FROM benchmark) WHERE length(w) >= 6)
-SELECT v.k AS left_key, b.k AS right_key, round(1 - levenshtein(v.k, b.k) / greatest(length(v.k), length(b.k)), 6) AS sim FROM v JOIN b ON 1 - levenshtein(v.k, b.k) / greatest(length(v.k), length(b.k)) >= 0.75""")
-def _(spark, d):
-    words = lambda n: table(spark, d, n).select(F.explode(F.split("text", "[^A-Za-z]+")).alias("w")).where(F.length("w") >= 6).select(F.lower("w").alias("k")).distinct()
-    return M.similar_pairs(words("documents"), words("benchmark"), 0.75).withColumn("sim", F.round("sim", 6))
-
-
-# the SQL above fixes words of six letters and more; this is the same join over words of any length
-@query("m3_similar_pairs_all", r"""
 WITH v AS (SELECT DISTINCT lower(w) AS k FROM (SELECT unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS w FROM documents) WHERE w <> ''),
  b AS (SELECT DISTINCT lower(w) AS k FROM (SELECT unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS w FROM benchmark) WHERE w <> '')
 SELECT v.k AS left_key, b.k AS right_key, round(1 - levenshtein(v.k, b.k) / greatest(length(v.k), length(b.k)), 6) AS sim FROM v JOIN b ON 1 - levenshtein(v.k, b.k) / greatest(length(v.k), length(b.k)) >= 0.75""")
@@ -140,7 +130,7 @@ def _(spark, d):
 
 
 PHRASE_SQL = r"""
-WITH ph AS (SELECT DISTINCT array_to_string(ws[i:i + 1], ' ') AS phrase FROM (SELECT ws, unnest(range(1, len(ws))) AS i FROM (SELECT regexp_split_to_array(text, '\s+') AS ws FROM benchmark))),
+WITH ph AS (SELECT DISTINCT array_to_string(ws[i:i + k], ' ') AS phrase FROM (SELECT ws, k, unnest(range(1, CAST(len(ws) AS BIGINT) - k + 1)) AS i FROM (VALUES (1), (2)) t(k), (SELECT regexp_split_to_array(text, '\s+') AS ws FROM benchmark))),
  pn AS (SELECT phrase, trim(regexp_replace(regexp_replace(lower(phrase), '[’''`]', '', 'g'), '[^a-z0-9%]+', ' ', 'g')) AS pw FROM ph),
  pk AS (SELECT phrase, regexp_replace(pw, '[^a-z0-9]', '', 'g') AS key, len(string_split(pw, ' ')) AS nw FROM pn),
  p AS (SELECT *, CASE WHEN length(key) < 10 THEN 0 WHEN length(key) < 16 THEN 1 ELSE 2 END AS budget FROM pk WHERE length(key) >= 5),
@@ -160,16 +150,6 @@ def benchmark_phrases(spark, d, sizes=(2,)):
 
 
 @query("m5_find_phrases", PHRASE_SQL)
-def _(spark, d):
-    ph = benchmark_phrases(spark, d).select("phrase").distinct()
-    return M.find_phrases(table(spark, d, "documents"), ph)
-
-
-# the SQL above fixes two-word windows; this is the same search for the windows of two and of three words
-ALL_PHRASE_SQL = PHRASE_SQL.replace("array_to_string(ws[i:i + 1], ' ') AS phrase FROM (SELECT ws, unnest(range(1, len(ws))) AS i FROM (", "array_to_string(ws[i:i + k], ' ') AS phrase FROM (SELECT ws, k, unnest(range(1, CAST(len(ws) AS BIGINT) - k + 1)) AS i FROM (VALUES (1), (2)) t(k), (")
-
-
-@query("m5_find_phrases_all", ALL_PHRASE_SQL)
 def _(spark, d):
     ph = benchmark_phrases(spark, d, (2, 3)).select("phrase").distinct()
     return M.find_phrases(table(spark, d, "documents"), ph)

@@ -65,45 +65,18 @@ def _(spark, d):
     return c.select("a_id", "b_id", "n_shared", F.array_join(F.array_sort("shared"), ",").alias("shared"), F.size("only_a").alias("n_only_a"), F.round("similarity", 6).alias("similarity"), "reliability")
 
 
-# the catalogue matches of a product are the user's next three products
-ALT = """b AS (SELECT pr.product_id, pr.user_id, k.ks, row_number() OVER (PARTITION BY user_id ORDER BY product_id) AS r FROM pr JOIN k ON k.id = product_id), s AS (SELECT x.product_id AS base_id, y.product_id AS cand_id, len(list_intersect(x.ks, y.ks)) AS c, len(list_intersect(x.ks, y.ks)) / (len(x.ks) + len(y.ks) - len(list_intersect(x.ks, y.ks))) AS sim, y.product_id % 6 = 0 AS bad
- FROM b x JOIN b y ON x.user_id = y.user_id AND y.r BETWEEN x.r + 1 AND x.r + 3)"""
+# the candidates of a product are every other product of the user
+ALT = """b AS (SELECT pr.product_id, pr.user_id, k.ks FROM pr JOIN k ON k.id = product_id), s AS (SELECT x.product_id AS base_id, y.product_id AS cand_id, len(list_intersect(x.ks, y.ks)) AS c, len(list_intersect(x.ks, y.ks)) / (len(x.ks) + len(y.ks) - len(list_intersect(x.ks, y.ks))) AS sim, y.product_id % 6 = 0 AS bad
+ FROM b x JOIN b y ON x.user_id = y.user_id AND y.product_id <> x.product_id)"""
 
 
 @query("o2_rank_alternatives", f"""WITH {PR}, {PAIRS}, {ALT}
 SELECT base_id, rank, cand_id, c AS n_shared, round(sim, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY base_id ORDER BY sim DESC, cand_id) AS rank FROM s WHERE NOT bad AND c >= 3) WHERE rank <= 5""")
-def _(spark, d):
-    p, bad = user_pairs(spark, d)
-    return P.rank_alternatives(p, bad)[0].withColumn("similarity", F.round("similarity", 6))
-
-
-@query("o2_alternative_counts", f"WITH {PR}, {PAIRS}, {ALT} SELECT base_id, count(*) FILTER (bad) AS excluded, count(*) FILTER (NOT bad AND c < 3) AS too_few FROM s GROUP BY 1")
-def _(spark, d):
-    p, bad = user_pairs(spark, d)
-    return P.rank_alternatives(p, bad)[1]
-
-
-def user_pairs(spark, d):
-    """A product against the user's next three products: a look-up result of fixed size per base, whatever a user holds."""
-    p = products(spark, d).select("user_id", "product_id", "ingredients")
-    w = Window.partitionBy("user_id").orderBy("product_id")
-    me = F.struct("product_id", "ingredients")
-    x = p.select(F.col("product_id").alias("base_id"), F.col("ingredients").alias("base_ingredients"), F.array_compact(F.array(*[F.lead(me, k).over(w) for k in (1, 2, 3)])).alias("c"))
-    x = x.select("base_id", "base_ingredients", F.explode("c").alias("c")).select("base_id", F.col("c.product_id").alias("cand_id"), "base_ingredients", F.col("c.ingredients").alias("cand_ingredients"))
-    return x, p.where("product_id % 6 = 0").select(F.col("product_id").alias("cand_id"))
-
-
-# the SQL above fixes the next three products as candidates; here every other product of the user is one
-ALL_ALT = ALT.replace("y.r BETWEEN x.r + 1 AND x.r + 3", "y.product_id <> x.product_id")
-
-
-@query("o2_rank_alternatives_all", f"""WITH {PR}, {PAIRS}, {ALL_ALT}
-SELECT base_id, rank, cand_id, c AS n_shared, round(sim, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY base_id ORDER BY sim DESC, cand_id) AS rank FROM s WHERE NOT bad AND c >= 3) WHERE rank <= 5""")
 def _(spark, d):
     return saved_alternatives(spark, d)[0].withColumn("similarity", F.round("similarity", 6))
 
 
-@query("o2_alternative_counts_all", f"WITH {PR}, {PAIRS}, {ALL_ALT} SELECT base_id, count(*) FILTER (bad) AS excluded, count(*) FILTER (NOT bad AND c < 3) AS too_few FROM s GROUP BY 1")
+@query("o2_alternative_counts", f"WITH {PR}, {PAIRS}, {ALT} SELECT base_id, count(*) FILTER (bad) AS excluded, count(*) FILTER (NOT bad AND c < 3) AS too_few FROM s GROUP BY 1")
 def _(spark, d):
     return saved_alternatives(spark, d)[1]
 

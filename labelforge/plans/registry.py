@@ -25,7 +25,10 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    """A table of the data folder. Where the session setting ``labelforge.partitions`` is given, its rows are dealt into so many
+    partitions first, for files that cannot be split (one row group)."""
+    df, n = spark.read.parquet(f"{d}/{name}.parquet"), spark.conf.get("labelforge.partitions", None)
+    return df.repartition(int(n)) if n else df
 
 
 def part_names(spark, d) -> DataFrame:

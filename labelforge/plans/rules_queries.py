@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 from ..functions import text as X
 from ..operators import claims, review, rules
 from ..operators.segment import split_ingredients
-from .match_queries import ALL_PHRASE_SQL, PHRASE_SQL, benchmark_phrases
+from .match_queries import PHRASE_SQL, PHRASE_SQL, benchmark_phrases
 from .registry import LI, lines, part_names, query, sql_key, table
 from .text_queries import WORDS_SQL, document_words, sql_case, term_col, TERM, ROLE
 
@@ -173,15 +173,16 @@ def _(spark, d):
     return rules.uncovered_conditions(profiles(spark, d), profile_rules(spark, d))
 
 
-def order_items(spark, d):
-    """Line items as resolved/open items of an order, with the suggestion candidates of the open ones."""
+def order_items(spark, d, first_source=None):
+    """Line items as resolved/open items of an order, with the suggestion candidates of the open ones; the first one is the AI's unless said otherwise."""
+    first_source = F.lit("ai_agent") if first_source is None else first_source
     k = (F.col("l_partkey") + F.col("idx")) % 5
     cand = lambda n, s: F.struct(n.alias("inci_name"), F.lit(0.9).alias("score"), s.alias("source"))
     li = lines(spark, d)
     return li.select(F.col("l_orderkey").alias("label_id"), "idx", F.col("printed").alias("raw"), F.when(k == 0, "suggested").when(k == 1, "not_found").otherwise("resolved").alias("status"),
                      F.when(k > 1, F.upper("p_name")).alias("inci_name"), F.when(k > 1, F.upper("p_name")).alias("inci"), F.when(k > 1, "resolved").otherwise("none").alias("via"),
                      (F.col("l_partkey") % 9 == 0).alias("optional"), (F.col("l_quantity") > 20).alias("high_confidence"), F.when(F.col("p_size") == 7, "colorant").alias("category"),
-                     F.when(k == 0, F.array(cand(F.upper("p_type"), F.when(F.col("p_size") % 2 == 0, "ai_agent").otherwise("dictionary")), cand(F.upper("p_name"), F.lit("dictionary")))).otherwise(F.array().cast("array<struct<inci_name:string,score:double,source:string>>")).alias("candidates"))
+                     F.when(k == 0, F.array(cand(F.upper("p_type"), first_source), cand(F.upper("p_name"), F.lit("dictionary")))).otherwise(F.array().cast("array<struct<inci_name:string,score:double,source:string>>")).alias("candidates"))
 
 
 OI = """oi AS (SELECT l_orderkey AS label_id, idx, printed AS raw, (l_partkey + idx) % 5 AS k, upper(p_name) AS name, p_type, l_partkey % 9 = 0 AS optional, l_quantity > 20 AS high, p_size FROM li)"""
@@ -204,7 +205,8 @@ def _(spark, d):
 
 @query("f5_o5_review_queue", f"WITH {LI}, {OI} SELECT label_id, idx, CASE k WHEN 0 THEN 'suggested' ELSE 'not_found' END AS status, k = 0 AND high AND p_size % 2 = 1 AS bulk FROM oi WHERE NOT optional AND k < 2")
 def _(spark, d):
-    return review.review_queue(order_items(spark, d)).select("label_id", "idx", "status", "bulk")
+    source = F.when(F.col("p_size") % 2 == 0, "ai_agent").otherwise("dictionary")
+    return review.review_queue(order_items(spark, d, source)).select("label_id", "idx", "status", "bulk")
 
 
 @query("f6_apply_choices", f"""WITH {LI}, {OI}, s AS (SELECT label_id, idx, raw, {sql_key('raw', False)} AS key, CASE WHEN k < 2 AND label_id % 3 = 0 AND idx = 0 THEN 'kept' WHEN k = 0 THEN 'suggested' WHEN k = 1 THEN 'not_found' ELSE 'resolved' END AS status FROM oi),
@@ -273,24 +275,17 @@ def _(spark, d):
     return rules.evaluate_findings(a, n).drop("user_id")
 
 
-@query("c1_extract_claims", f"""WITH hit AS ({PHRASE_SQL}), cl AS (SELECT 'c' || (item_id % 10) AS claim_id, CASE WHEN item_id % 2 = 0 THEN 'free_from' ELSE 'ingredient' END AS kind, item_id AS ord, array_to_string(ws[i:i + 1], ' ') AS phrase FROM (SELECT item_id, ws, unnest(range(1, len(ws))) AS i FROM (SELECT item_id, regexp_split_to_array(text, '\\s+') AS ws FROM benchmark))),
- j AS (SELECT doc_id, claim_id, kind, matched, edits, row_number() OVER (PARTITION BY doc_id, claim_id ORDER BY CASE kind WHEN 'free_from' THEN 1 ELSE 4 END, ord, matched) AS rn FROM hit JOIN cl USING (phrase))
-SELECT doc_id, claim_id, kind, matched, edits FROM j WHERE rn = 1""")
-def _(spark, d):
-    return claims.extract_claims(table(spark, d, "documents"), benchmark_claims(spark, d, (2,)))
-
-
-def benchmark_claims(spark, d, sizes):
-    """Claims whose phrases are the windows of the benchmark texts of so many words."""
+def benchmark_claims(spark, d):
+    """Claims whose phrases are the windows of two and three words of the benchmark texts."""
     claim, kind = F.concat(F.lit("c"), (F.col("item_id") % 10).cast("string")), F.when(F.col("item_id") % 2 == 0, "free_from").otherwise("ingredient")
-    return benchmark_phrases(spark, d, sizes).select(claim.alias("claim_id"), kind.alias("kind"), F.col("item_id").cast("int").alias("ord"), "phrase")
+    return benchmark_phrases(spark, d, (2, 3)).select(claim.alias("claim_id"), kind.alias("kind"), F.col("item_id").cast("int").alias("ord"), "phrase")
 
 
-@query("c1_extract_claims_all", f"""WITH hit AS ({ALL_PHRASE_SQL}), cl AS (SELECT 'c' || (item_id % 10) AS claim_id, CASE WHEN item_id % 2 = 0 THEN 'free_from' ELSE 'ingredient' END AS kind, item_id AS ord, array_to_string(ws[i:i + k], ' ') AS phrase FROM (SELECT item_id, ws, k, unnest(range(1, CAST(len(ws) AS BIGINT) - k + 1)) AS i FROM (VALUES (1), (2)) t(k), (SELECT item_id, regexp_split_to_array(text, '\\s+') AS ws FROM benchmark))),
+@query("c1_extract_claims", f"""WITH hit AS ({PHRASE_SQL}), cl AS (SELECT 'c' || (item_id % 10) AS claim_id, CASE WHEN item_id % 2 = 0 THEN 'free_from' ELSE 'ingredient' END AS kind, item_id AS ord, array_to_string(ws[i:i + k], ' ') AS phrase FROM (SELECT item_id, ws, k, unnest(range(1, CAST(len(ws) AS BIGINT) - k + 1)) AS i FROM (VALUES (1), (2)) t(k), (SELECT item_id, regexp_split_to_array(text, '\\s+') AS ws FROM benchmark))),
  j AS (SELECT doc_id, claim_id, kind, matched, edits, row_number() OVER (PARTITION BY doc_id, claim_id ORDER BY CASE kind WHEN 'free_from' THEN 1 ELSE 4 END, ord, matched) AS rn FROM hit JOIN cl USING (phrase))
 SELECT doc_id, claim_id, kind, matched, edits FROM j WHERE rn = 1""")
 def _(spark, d):
-    return claims.extract_claims(table(spark, d, "documents"), benchmark_claims(spark, d, (2, 3)))
+    return claims.extract_claims(table(spark, d, "documents"), benchmark_claims(spark, d))
 
 
 CLAIM_SQL = f"""WITH {LI}, {HITS}, {OI}, h2 AS (SELECT inci, CASE family_id WHEN 'round' THEN 'fragrance_mixtures' WHEN 'PROMO' THEN 'eu_fragrance_allergens' WHEN 'SMALL' THEN 'solvent_alcohols' ELSE family_id END AS f FROM hits),
