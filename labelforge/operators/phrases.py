@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as X
+from ..runtime import durable
 
 #: Letters from which on a key may have one edit, and two; shorter keys than LEAST are not looked for.
 LEAST, ONE, TWO = 5, 10, 16
@@ -27,10 +28,6 @@ _INVERSE = pow(_B, -1, 1 << 64)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
-def budget_of(length: int) -> int:
-    return 0 if length < ONE else 1 if length < TWO else 2
-
-
 def segments(length: int) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the segments of a key of so many letters."""
     if length < ONE:
@@ -56,8 +53,27 @@ class Letters:
         return ((h ^ (h >> np.uint64(29))) * np.uint64(_B)).view(np.int64)
 
 
-def _tag(n, length, kind):
-    return (n * 4 + kind) * (1 << 32) + length
+def _tag(n, length, kind, first):
+    """What a window and a phrase must have in common besides a segment: words, the key's length, the kind of segment, the first letter."""
+    return ((n * 4 + kind) * 256 + first) * (1 << 32) + length
+
+
+class Known:
+    """Membership in a sorted array of hashes; a table of their upper bits turns most others away."""
+    BITS = 24
+
+    def __init__(self, values: np.ndarray):
+        self.values = np.append(values, np.iinfo(np.int64).max)
+        self.table = np.zeros(1 << self.BITS, bool)
+        self.table[self._slot(values)] = True
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return (h.view(np.uint64) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def hits(self, h: np.ndarray) -> np.ndarray:
+        """Places of the hashes that are known."""
+        at = np.flatnonzero(self.table[self._slot(h)])
+        return at[self.values[np.searchsorted(self.values, h[at])] == h[at]]
 
 
 def phrase_segments(phrases: DataFrame, phrase_col: str = "phrase") -> DataFrame:
@@ -66,22 +82,25 @@ def phrase_segments(phrases: DataFrame, phrase_col: str = "phrase") -> DataFrame
     p = p.withColumn("key", F.translate("pw", "% ", "")).where(F.length("key") >= LEAST).select("phrase", "key", F.size(F.split("pw", " ")).alias("nw"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for phrase, key, nw in zip(*(c.to_pylist() for c in b.columns)):
-                text = Letters(np.frombuffer(key.encode(), np.uint8))
-                size = len(key)
-                for n in range(max(1, nw - 1), nw + 2):
-                    for kind, a, z in segments(size):
-                        rows.append((int(text.piece(np.array([a]), np.array([z]), np.array([_tag(n, size, kind)]))[0]), phrase, key, budget_of(size), n))
-            cols = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.int32())],
-                                             ["h", "phrase", "key", "budget", "n"])
+        for b in filter(len, batches):
+            keys = [k.encode() for k in b.column(1).to_pylist()]
+            size, words = np.array([len(k) for k in keys], np.int64), b.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            text = Letters(np.frombuffer(b"".join(keys), np.uint8))
+            at, first = np.cumsum(size) - size, np.array([k[0] for k in keys], np.int64)
+            rows = [(i, kind, a, z) for i, k in enumerate(size.tolist()) for kind, a, z in segments(k)]
+            i, kind, a, z = (np.array(c, np.int64) for c in zip(*rows))
+            for extra in (-1, 0, 1):
+                use = np.flatnonzero(words[i] + extra >= 1)
+                j, n = i[use], words[i[use]] + extra
+                h = text.piece(at[j] + a[use], at[j] + z[use], _tag(n, size[j], kind[use], first[j]))
+                budget = (size[j] >= ONE).astype(np.int32) + (size[j] >= TWO)
+                yield pa.RecordBatch.from_arrays([pa.array(h), b.column(0).take(pa.array(j)), b.column(1).take(pa.array(j)), pa.array(budget, pa.int32()), pa.array(n, pa.int32())], ["h", "phrase", "key", "budget", "n"])
     return p.mapInArrow(run, "h long, phrase string, key string, budget int, n int")
 
 
-def _probes(n: int, a: np.ndarray, z: np.ndarray):
-    """Yields (windows, start, end, tag) of the pieces of windows of ``n`` words from letter ``a`` to ``z`` that may be segments."""
+def _probes(n: int, a: np.ndarray, z: np.ndarray, first: np.ndarray):
+    """Yields (windows, start, end, tag) of the pieces of windows of ``n`` words from letter ``a`` to ``z`` that may be segments;
+    ``first`` is each window's first letter."""
     width = z - a
     for d in (0, -1, 1, -2, 2):  # letters by which the key is longer
         size = width + d
@@ -91,19 +110,19 @@ def _probes(n: int, a: np.ndarray, z: np.ndarray):
             at = np.flatnonzero((size >= low) & (size < high))
             if not len(at):
                 continue
-            s, x, y = size[at], a[at], z[at]
+            s, x, y, c = size[at], a[at], z[at], first[at]
             if budget == 0:
-                yield at, x, y, _tag(n, s, 0)
+                yield at, x, y, _tag(n, s, 0, c)
                 continue
             part = s // (budget + 1)
-            yield at, x, x + part, _tag(n, s, 1)
-            yield at, y - (s - budget * part), y, _tag(n, s, 2)
+            yield at, x, x + part, _tag(n, s, 1, c)
+            yield at, y - (s - budget * part), y, _tag(n, s, 2, c)
             if budget == 2:
                 for shift in (-1, 0, 1):
-                    yield at, x + part + shift, x + 2 * part + shift, _tag(n, s, 3)
+                    yield at, x + part + shift, x + 2 * part + shift, _tag(n, s, 3, c)
 
 
-def _windows(ids: pa.Array, texts: list[bytes], sizes: list[int], known: np.ndarray) -> pa.RecordBatch | None:
+def _windows(ids: pa.Array, texts: list[bytes], sizes: list[int], known: Known) -> pa.RecordBatch | None:
     """Windows of a batch of claim texts that have a piece in the index."""
     raw = b"\n".join(texts) + b"\n"
     chars = np.frombuffer(raw, np.uint8)
@@ -113,22 +132,22 @@ def _windows(ids: pa.Array, texts: list[bytes], sizes: list[int], known: np.ndar
     head = np.flatnonzero(~blank & np.append(True, blank[:-1]))
     tail = np.flatnonzero(~blank & np.append(blank[1:], True)) + 1
     doc = np.cumsum(chars == 10)[head]
-    hashes, at = Letters(chars[letter]), np.append(before[head], before[-1])
-    out = []
+    letters = chars[letter]
+    hashes, at, code = Letters(letters), np.append(before[head], before[-1]), np.append(letters, 0).astype(np.int64)
+    found = [np.zeros((3, 0), np.int64)]
     for n in sizes:
         first = np.flatnonzero(doc[:len(doc) - n + 1] == doc[n - 1:]) if len(doc) >= n else np.zeros(0, np.int64)
         a, z = at[first], at[first + n]
-        for which, x, y, tag in _probes(n, a, z):
+        for which, x, y, tag in _probes(n, a, z, code[a]):
             h = hashes.piece(x, y, tag)
-            hit = np.flatnonzero(np.append(known, 0)[np.searchsorted(known, h)] == h) if len(known) else np.zeros(0, np.int64)
-            out += [(n, int(i), int(k)) for i, k in zip(first[which[hit]], h[hit])]
-    if not out:
+            hit = known.hits(h)
+            found.append(np.stack((np.full(len(hit), n), first[which[hit]], h[hit])))
+    n, i, h = np.unique(np.concatenate(found, axis=1), axis=1)
+    if not len(n):
         return None
-    out = list(set(out))
-    text = [raw[head[i]:tail[i + n - 1]].decode() for n, i, _ in out]
+    text = [raw[a:z].decode() for a, z in zip(head[i].tolist(), tail[i + n - 1].tolist())]
     start = np.searchsorted(doc, doc)  # first word of each word's document
-    cols = {"id": ids.take(pa.array(doc[[i for _, i, _ in out]])), "n": pa.array([n for n, _, _ in out], pa.int32()), "i": pa.array([i - int(start[i]) for _, i, _ in out], pa.int32()),
-            "h": pa.array([k for _, _, k in out], pa.int64()), "matched": pa.array(text, pa.string())}
+    cols = {"id": ids.take(pa.array(doc[i])), "n": pa.array(n, pa.int32()), "i": pa.array(i - start[i], pa.int32()), "h": pa.array(h, pa.int64()), "matched": pa.array(text, pa.string())}
     return pa.RecordBatch.from_pydict(cols)
 
 
@@ -150,7 +169,7 @@ def find_phrases(texts: DataFrame, phrases: DataFrame, id_col: str = "doc_id", t
     edit distance is worked out for those pairs alone. The index is read as numbers, at most ``index_rows`` in a pass over the texts.
     """
     kind = texts.schema[id_col].dataType.simpleString()
-    index = phrase_segments(phrases, phrase_col)
+    index = durable(phrase_segments(phrases, phrase_col))
     keys = index.select("h", "n").distinct()
     passes = -(-keys.count() // index_rows) or 1
     t = texts.select(F.col(id_col).alias("id"), X.claim_text(X.nfkc(F.col(text_col)), normalise=False).alias("t"))
@@ -161,7 +180,8 @@ def find_phrases(texts: DataFrame, phrases: DataFrame, id_col: str = "doc_id", t
         shared = texts.sparkSession.sparkContext.broadcast((np.sort(some["h"].to_numpy(np.int64)), sorted(set(some["n"].tolist()))))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, sizes = shared.value
+            values, sizes = shared.value
+            known = Known(values)
             for b in batches:
                 for s in _slices(b):
                     out = _windows(s.column(0), [x or b"" for x in s.column(1).cast(pa.binary()).to_pylist()], sizes, known)
@@ -170,7 +190,7 @@ def find_phrases(texts: DataFrame, phrases: DataFrame, id_col: str = "doc_id", t
         return t.mapInArrow(run, f"id {kind}, n int, i int, h long, matched string")
 
     w = reduce(DataFrame.unionByName, map(search, range(passes))).withColumn("joined", F.translate("matched", "% ", ""))
-    pairs = w.join(index, ["h", "n"]).where(F.substr("joined", F.lit(1), F.lit(1)) == F.substr("key", F.lit(1), F.lit(1)))
-    hits = pairs.withColumn("edits", F.levenshtein("joined", "key", 2)).where("edits >= 0 AND edits <= budget")
+    same = F.substr("joined", F.lit(1), F.lit(1)) == F.substr("key", F.lit(1), F.lit(1))  # hashes may clash
+    hits = w.join(index, ["h", "n"]).where(same).withColumn("edits", F.levenshtein("joined", "key", 2)).where("edits >= 0 AND edits <= budget")
     best = hits.groupBy("id", "phrase").agg(F.min(F.struct("n", "i", "matched", "edits")).alias("b"))
     return best.select(F.col("id").alias(id_col), "phrase", "b.matched", "b.edits")
