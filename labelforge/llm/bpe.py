@@ -18,13 +18,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import SLICE_BYTES, TooLarge, batch, map_texts
+from .common import TooLarge, batch, map_texts, slices
 
 #: Largest vocabulary file that is broadcast.
 MAX_RANK_BYTES = 64 << 20
-#: Pre-tokens and words that a worker remembers before it forgets those not in its present batch.
+#: Pre-tokens and words that a worker remembers in one generation; what the last two generations have not met is forgotten.
 CACHE = 250_000
-#: Pieces longer than this are never remembered.
+#: Text whose new words share one queue; texts are cut and encoded a smaller slice at a time.
+GROUP_BYTES = 16 << 20
+#: Pieces longer than this are not remembered beyond their group.
 CACHE_CHARS = 40
 _GROUP = 256
 #: Stands for the ids of a word beside which the pattern may cut elsewhere; no list of ids has one byte.
@@ -171,57 +173,106 @@ def merge_pieces(pieces: list[bytes], m: Merges) -> list[bytes]:
     return [packed[4 * a:4 * z] for a, z in zip(cut[:-1], cut[1:])]
 
 
+class Memory(dict):
+    """Packed ids by text. A miss looks in the generation before and notes what is in neither."""
+
+    def __init__(self):
+        super().__init__()
+        self.before: dict[str, bytes] = {}
+        self.unknown: list[str] = []
+
+    def __missing__(self, k: str) -> bytes | None:
+        v = self[k] = self.before.get(k)
+        if v is None:  # stays None until it is learnt
+            self.unknown.append(k)
+        return v
+
+    def take_unknown(self) -> set[str]:
+        out = set(self.unknown)
+        self.unknown.clear()
+        return out
+
+    def turn(self):
+        """Begin a new generation if this one is full."""
+        if len(self) > CACHE:
+            self.before = dict(self)
+            self.clear()
+
+    def forget(self, keys):
+        for k in keys:
+            self.pop(k, None)
+
+
+#: One character of each kind that patterns tell apart.
+_KINDS = "aZ\u00e9\u01321\u0664!'_-\u6f22\u0301\u20ac\U0001F600/s"
+
+
 class Encoder:
     """Encodes texts to packed little-endian 32-bit ids and back; remembers pre-tokens and words it has met."""
 
     def __init__(self, data: bytes, pattern: str):
         self.m = Merges(data)
         self.cut = regex.compile(pattern).findall
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.pieces, self.words = Memory(), Memory()
+        # the words of a text may be cut each on its own only if the pattern always begins a pre-token at a single space
+        self.by_word = all("".join(cut) == x + " " + y + y and len(x) in np.cumsum([len(c) for c in cut])
+                           for x in _KINDS for y in _KINDS if (cut := self.cut(x + " " + y + y)) is not None)
 
     def learn(self, pieces: set[str]):
-        new = [p for p in pieces if p not in self.pieces]
+        list(map(self.pieces.__getitem__, pieces))
+        new = self.pieces.take_unknown()
         whole = [(p, self.m.ranks.get(p.encode())) for p in new]
         self.pieces.update((p, r.to_bytes(4, "little")) for p, r in whole if r is not None)
         rest = [p for p, r in whole if r is None]
         self.pieces.update(zip(rest, merge_pieces([p.encode() for p in rest], self.m)))
 
+    def _cut_text(self, text: str) -> tuple[list[str], list[str], list[bytes | None]]:
+        """Pre-tokens of the text's head, the words behind it, and their ids as far as they are known.
+
+        A single space between two characters that are no white space begins a pre-token, so a text is cut there into words. A text with
+        another kind of space is all head, and so is every text if the pattern does not treat a single space so.
+        """
+        rest = text.split(" ") if self.by_word else [text]
+        head = rest.pop(0)
+        ids = list(map(self.words.__getitem__, rest))
+        if rest and (not head or head[-1].isspace()) or OPEN in ids:
+            return self.cut(text), [], []
+        return self.cut(head), rest, ids
+
+    def note(self, texts: list[str]) -> list[str]:
+        """Collect the new words of some texts; their other pre-tokens are given back."""
+        return [p for t in texts for p in self._cut_text(t)[0]]
+
+    def learn_words(self, others: list[str]):
+        """Merge all words noted and the other pre-tokens, each once and all in one queue."""
+        fresh = self.words.take_unknown()
+        open_ = [w for w in fresh if not w or w[0].isspace() or w[-1].isspace()]
+        self.words.update((w, OPEN) for w in open_)
+        closed = list(fresh.difference(open_))
+        cut = self.cut(" " + " ".join(closed)) if closed else []
+        start = [i for i, p in enumerate(cut) if p[0] == " "]  # no word holds a space
+        if len(start) != len(closed):
+            raise ValueError("the pattern does not begin a pre-token at every single space")
+        self.learn({*cut, *others})
+        known = self.pieces.__getitem__
+        self.words.update((w, known(cut[a]) if z == a + 1 else b"".join(map(known, cut[a:z]))) for w, a, z in zip(closed, start, [*start[1:], len(cut)]))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """A single space between two characters that are no white space begins a pre-token, so texts are cut there into words, and
-        each distinct word of the batch is cut and merged once. A text with another kind of space is cut whole."""
-        split = [t.split(" ") for t in texts]
-        heads = [s.pop(0) for s in split]
-        if len(self.pieces) > CACHE:
-            self.pieces.clear()
-        if len(self.words) > CACHE:  # words of this batch are the likeliest to come again
-            old = self.words
-            self.words = {w: old[w] for s in split for w in s if w in old}
-        get = self.words.get
-        found = [list(map(get, s)) for s in split]
-        fresh = {w for s, ids in zip(split, found) if None in ids for w, i in zip(s, ids) if i is None}
-        self.words.update((w, OPEN) for w in fresh if not w or w[0].isspace() or w[-1].isspace())
-        pieces = {w: self.cut(" " + w) for w in fresh if w not in self.words}
-        whole = []
-        for k, (head, s, ids) in enumerate(zip(heads, split, found)):
-            if None in ids:
-                ids = found[k] = list(map(get, s))
-            whole.append(self.cut(texts[k] if s and (not head or head[-1].isspace()) or OPEN in ids else head))
-        self.learn(set().union(*pieces.values(), *whole))
+        """Packed ids of every text; words that were not learnt before are learnt first."""
+        parts = [self._cut_text(t) for t in texts]
+        if self.words.unknown or any(self.pieces.get(p) is None for ps, _, _ in parts for p in ps):
+            self.learn_words([p for ps, _, _ in parts for p in ps])
+            parts = [(ps, ws, ids) if None not in ids else self._cut_text(t) for (ps, ws, ids), t in zip(parts, texts)]
+            if any(self.pieces.get(p) is None for ps, _, _ in parts for p in ps):  # texts that turned out to be all head
+                self.learn({p for ps, _, _ in parts for p in ps})
         known = self.pieces.__getitem__
-        self.words.update((w, b"".join(map(known, ps))) for w, ps in pieces.items())
-        out = []
-        for head, s, ids, ps in zip(heads, split, found, whole):
-            first = b"".join(map(known, ps))
-            if s and (not head or head[-1].isspace()) or OPEN in ids:
-                out.append(first)
-            else:
-                out.append(first + b"".join(map(get, s) if None in ids else ids))
-        long = [k for group in (fresh, *whole, *pieces.values()) for k in group if len(k) > CACHE_CHARS]
-        for seen in (self.pieces, self.words):
-            for k in long:
-                seen.pop(k, None)
-        return out
+        return [b"".join(map(known, ps)) + b"".join(ids) for ps, _, ids in parts]
+
+    def turn(self):
+        """Begin new generations where the present ones are full, and forget texts too long to keep."""
+        for seen in (self.words, self.pieces):
+            seen.forget([k for k in seen if len(k) > CACHE_CHARS])
+            seen.turn()
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.m.tokens.__getitem__, memoryview(packed).cast("I")))
@@ -245,12 +296,18 @@ def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
     def make():
         enc = encoder(shared.value, pattern)
 
+        def texts(b):
+            return [t or "" for t in b.column(1).to_pylist()]
+
         def step(b):
-            ids = enc.encode([t or "" for t in b.column(1).to_pylist()])
+            enc.turn()
+            parts = list(slices([b], "text"))
+            enc.learn_words([p for part in parts for p in enc.note(texts(part))])
+            ids = [i for part in parts for i in enc.encode(texts(part))]
             return batch(id=b.column(0), n_tokens=pa.array([len(x) // 4 for x in ids], pa.int64()), ids=pa.array(ids, pa.binary()),
                          decoded=pa.array(list(map(enc.decode, ids)), pa.binary()))
         return step
     cols = [id_col, text_col]
     named = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
-    out = map_texts(named, ["id", "text"], "text", make, f"id {kind}, n_tokens long, ids binary, decoded binary", 2 * SLICE_BYTES)
+    out = map_texts(named, ["id", "text"], "text", make, f"id {kind}, n_tokens long, ids binary, decoded binary", GROUP_BYTES)
     return out.withColumnRenamed("id", cols[0])
