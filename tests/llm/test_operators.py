@@ -190,8 +190,8 @@ def test_substring_edges(spark):
 def test_heavy_sketch_finds_hot_anchors(spark):
     long = " ".join(f"w{i}" for i in range(20))
     d = docs(spark, [f"{long} {' '.join(f'u{i}x{k}' for k in range(30))}" for i in range(200)]).select(F.col("doc_id").alias("id"), "text").repartition(7)
-    hot = substrings.heavy_anchors(d, 256)
-    own = set(substrings.Windows([long]).value.tolist())
+    hot = substrings.heavy_anchors(d, 256, 1)
+    own = set(substrings.Windows([long.encode()]).value.tolist())
     assert own & set(hot.tolist()) == own and len(hot) <= 256
 
 
@@ -323,3 +323,26 @@ def test_bpe_rank_order():
 def test_digests(spark):
     got = queries.op10_byte_bpe(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id").collect()
     assert got and all(r["decoded_sha256"] == hashlib.sha256(r["text"].encode()).hexdigest() for r in got)
+
+
+# ---- automata
+def test_automaton_decides(spark, corpus, monkeypatch):
+    """Without the automaton nothing is located, and confirmed phrases are only the recurring ones."""
+    texts = [b"a b c d e f g h i j k l m n", b"x a b c d e f g h i j k l m", b"a b c d e f g h i j k l m"]
+    found, carried = substrings.confirm(texts, [1, 2, 3], [5, 5, 5], {})
+    assert [(r, w) for r, w, _ in found] == [(0, 0)] and found[0][2] == 1 and min(carried.values()) == 1
+    assert substrings.locate(texts, [1, 2, 3], found) == [[], [(1, 1)], [(0, 1)]]
+    assert substrings.locate(texts, [1, 2, 3], []) == [[], [], []]
+    later, _ = substrings.confirm(texts[2:], [9], [5], carried)
+    assert substrings.locate(texts[2:], [9], later) == [[(0, 1)]]
+    monkeypatch.setattr(substrings, "locate", lambda texts, ids, phrases: [[] for _ in texts])
+    got = substrings.dedup_substrings(docs(spark, corpus).repartition(5)).orderBy("doc_id")
+    assert rows(got, "doc_id", "n_words", "n_removed", "kept") != plain_substrings(corpus)
+
+
+def test_substrings_by_small_steps(spark, corpus, monkeypatch):
+    monkeypatch.setattr(substrings, "AUTOMATON_ROWS", 3)
+    heavy = substrings.heavy_anchors
+    monkeypatch.setattr(substrings, "heavy_anchors", lambda d: heavy(d, 64, 1))
+    got = substrings.dedup_substrings(docs(spark, corpus).repartition(2)).orderBy("doc_id")
+    assert rows(got, "doc_id", "n_words", "n_removed", "kept") == plain_substrings(corpus)
