@@ -1,11 +1,13 @@
 """Label text to segments.
 
-A label's whole text is handled inside its row with array expressions; rows multiply only at the final explode,
-so segmentation itself needs no shuffle.
+A label's whole text is handled inside its row: one linear pass marks the commas outside brackets, array expressions do the rest. Rows
+multiply only at the final explode, so segmentation itself needs no shuffle.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import text as X
 
@@ -23,24 +25,36 @@ REFERENCE_LABEL = r"(?i)^\s*(ingredients?\s*[:\-]\s*)"
 _CUT = "\u0001"
 
 
-def split_top_level(c: Column, square_brackets: bool = True) -> Column:
-    """Array of the pieces between commas and semicolons outside brackets; a closer without opener is ignored.
+def _mark(text: str, opens: str, closes: str) -> str:
+    """The text with its commas and semicolons outside brackets replaced by cut marks: the depth at a place is the sum of the brackets
+    before it, less the smallest such sum so far, since a closer without opener counts for nothing."""
+    chars = np.array([text], dtype=f"<U{len(text)}").view(np.uint32)
+    step = np.isin(chars, [ord(c) for c in opens]).astype(np.int32) - np.isin(chars, [ord(c) for c in closes])
+    total = np.cumsum(step)
+    cut = (total == np.minimum(np.minimum.accumulate(total), 0)) & ((chars == ord(",")) | (chars == ord(";")))
+    chars[cut] = ord(_CUT)
+    return chars.tobytes().decode("utf-32-le")
+
+
+@F.pandas_udf(T.StringType())
+def _mark_round(c: pd.Series) -> pd.Series:
+    return c.map(lambda t: _mark(t, "(", ")"), na_action="ignore")
 
-    Text without brackets is a plain split.  Otherwise the text is cut into runs at the characters that matter and one
-    pass over the runs tracks the depth.
-    """
-    opens, closes, cls = (["(", "["], [")", "]"], r"()\[\]") if square_brackets else (["("], [")"], "()")
-    runs = F.regexp_extract_all(c, F.lit(rf"([^{cls},;]+|[{cls},;])"), 1)
 
-    def step(acc, run):
-        depth = (F.when(run.isin(*opens), acc["depth"] + 1)
-                 .when(run.isin(*closes), F.greatest(acc["depth"] - 1, F.lit(0))).otherwise(acc["depth"]))
-        cut = run.isin(",", ";") & (acc["depth"] == 0)
-        return F.struct(depth.alias("depth"), F.concat(acc["out"], F.array(F.when(cut, _CUT).otherwise(run))).alias("out"))
+@F.pandas_udf(T.StringType())
+def _mark_any(c: pd.Series) -> pd.Series:
+    return c.map(lambda t: _mark(t, "([", ")]"), na_action="ignore")
 
-    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("out"))
-    walked = F.aggregate(runs, start, step, lambda acc: F.split(F.array_join(acc["out"], ""), _CUT, -1))
-    return F.when(c.rlike(rf"[{cls}]"), walked).otherwise(F.split(c, "[,;]", -1))
+
+def mark_top_level(c: Column, square_brackets: bool = True) -> Column:
+    """Text with a cut mark for every comma and semicolon outside brackets. Only text with brackets is sent to Python, in batches."""
+    mark, cls = (_mark_any, r"[()\[\]]") if square_brackets else (_mark_round, "[()]")
+    return F.coalesce(mark(F.when(c.rlike(cls), c)), F.translate(c, ",;", _CUT * 2))
+
+
+def split_top_level(c: Column, square_brackets: bool = True) -> Column:
+    """Array of the pieces between commas and semicolons outside brackets; a closer without opener is ignored. Not for use inside a lambda."""
+    return F.split(mark_top_level(c, square_brackets), _CUT, -1)
 
 
 def _trim_dots(c: Column) -> Column:
@@ -52,8 +66,8 @@ def segment_bodies(raw: Column) -> Column:
 
     From the first optional-section marker on, everything is optional; the marker itself goes.
     """
-    def split(text):
-        pieces = F.flatten(F.transform(split_top_level(text), lambda p: F.when(X.strip(p).rlike(FIELD_LABEL), F.array(p)).otherwise(F.split(p, SENTENCE, -1))))
+    def split(marked):
+        pieces = F.flatten(F.transform(F.split(marked, _CUT, -1), lambda p: F.when(X.strip(p).rlike(FIELD_LABEL), F.array(p)).otherwise(F.split(p, SENTENCE, -1))))
         parts = F.flatten(F.transform(pieces, lambda p: F.split(p, BLEND, -1)))
         parts = F.filter(F.transform(parts, _trim_dots), lambda p: p != "")
         return F.transform(parts, lambda p: F.struct(p.alias("p"), p.rlike(MAY_CONTAIN).alias("m")))
@@ -63,7 +77,7 @@ def segment_bodies(raw: Column) -> Column:
             F.when(x["m"], X.strip(F.regexp_replace(x["p"], MAY_CONTAIN, ""))).otherwise(x["p"]).alias("b"),
             ((s["first"] > 0) & (i + 1 >= s["first"])).alias("o")))
 
-    marked = X.let(F.regexp_replace(X.clean_text(raw, normalise=False), LIST_LABEL, ""), split)
+    marked = X.let(mark_top_level(F.regexp_replace(X.clean_text(raw, normalise=False), LIST_LABEL, "")), split)
     both = X.let(marked, lambda m: F.struct(m.alias("marked"), F.array_position(F.transform(m, lambda x: x["m"]), F.lit(True)).alias("first")))
     return F.filter(X.let(both, flag), lambda x: x["b"] != "")
 
