@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import text as X
 from ..runtime import durable
 from .dictionary import first_per
+from .phrases import key_spans
 
 
 def _inner(c: Column, tag: str) -> Column:
@@ -61,38 +62,27 @@ def prohibited_rows(rows: DataFrame, glossary: DataFrame) -> DataFrame:
 def longest_span_names(texts: DataFrame, names: DataFrame, id_col: str = "id", text_col: str = "cell", max_words: int | None = None) -> DataFrame:
     """(id, names): dictionary names found in a text - the whole text; else its comma parts, then the greedy longest word spans.
 
-    Spans enter as (text, start, length) rows, but a text only offers spans whose first word starts some name, and only of
-    the word counts such names have, so the span rows stay near the number of words.  The keys are an equi-join with the
-    dictionary; the greedy left-to-right cover runs over a text's few matches.
+    Spans are looked up a batch of texts at a time (``key_spans``), so only spans that are a name become rows; the greedy left-to-right
+    cover runs over a text's matches. No text is shuffled: texts that are a name as a whole lose their other matches afterwards.
     """
     d = names.select(F.upper(F.col(names.columns[0])).alias("name")).distinct().withColumn("key", X.match_key(F.col("name"))).where("key <> ''")
     d = durable(first_per(d, ["key"], F.col("name").desc()))
     t = texts.select(F.col(id_col).alias("id"), X.nfkc(F.col(text_col)).alias("t"))
-    whole = t.select("id", X.fold_key(F.col("t")).alias("key")).join(d, "key").select("id", F.lit(0).alias("g"), F.lit(0).alias("o"), "name")
-    rest = t.join(whole.select("id"), "id", "left_anti")
-    parts = rest.select("id", F.posexplode(F.split("t", "[;,]")).alias("o", "p")).withColumn("key", X.fold_key(F.col("p"))).join(d, "key").select("id", F.lit(1).alias("g"), "o", "name")
-    # a span matches a name when its words, joined, give the name's key.  Every word offers its next characters (as many as the
-    # longest key has) and where words end in them; only end points at the length of a name with the same first two
-    # characters are cut out, and those keys meet the dictionary in an equi-join.
     reach = d.agg(F.max(F.length("key"))).first()[0] or 0
-    lens = d.select(F.substring("key", 1, 2).alias("h"), F.length("key").alias("len")).distinct().groupBy("h").agg(F.collect_set("len").alias("lens"))
-    words = F.split(X.strip(F.col("t")), r"\s+")
-    keyed = rest.select("id", F.filter(F.transform(words, lambda x: X.fold_key(x)), lambda k: k != "").alias("ks")).where("size(ks) > 0")
-    offs = F.aggregate("ks", F.array(F.lit(0)), lambda acc, k: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(k))))
-    text_key = keyed.select("id", F.struct(F.array_join("ks", "").alias("all"), offs.alias("offs")).alias("s"))
-    def tails(s):
-        return F.transform(F.sequence(F.lit(0), F.size(s["offs"]) - 2), lambda i: F.struct(
-            i.alias("i"), F.substr(s["all"], F.get(s["offs"], i) + 1, F.lit(reach)).alias("tail"),
-            F.transform(F.slice(s["offs"], i + 2, reach), lambda o: o - F.get(s["offs"], i)).alias("ends")))
-    w = text_key.select("id", F.explode(X.let(F.col("s"), tails)).alias("w")).select("id", "w.i", "w.tail", "w.ends").withColumn("h", F.substring("tail", 1, 2))
-    cand = (w.join(lens, "h").select("id", "i", "tail", "ends", F.explode(F.array_intersect("lens", "ends")).alias("n"))
-            .select("id", "i", (F.col("i") + F.array_position("ends", F.col("n"))).cast("int").alias("j"), F.substr("tail", F.lit(1), F.col("n")).alias("key")).join(d, "key"))
+    fits = F.length("key").between(1, reach)
+    whole = t.select("id", X.fold_key(F.col("t")).alias("key")).where(fits).join(d, "key").select("id", F.lit(0).alias("g"), F.lit(0).alias("o"), "name")
+    parts = t.select("id", F.posexplode(F.split("t", "[;,]")).alias("o", "p")).withColumn("key", X.fold_key(F.col("p"))).where(fits).join(d, "key").select("id", F.lit(1).alias("g"), "o", "name")
+    words = F.filter(F.transform(F.split(X.strip(F.col("t")), r"\s+"), lambda x: X.fold_key(x)), lambda k: k != "")
+    cand = key_spans(t.select("id", F.array_join(words, " ").alias("t")), d).join(d, "key")
+    if max_words is not None:
+        cand = cand.where(F.col("j") - F.col("i") <= max_words)
     longest = cand.groupBy("id", "i").agg(F.max(F.struct("j", "name")).alias("b")).select("id", "i", "b.j", "b.name")
     per = longest.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "j", "name"))).alias("m"))
     step = lambda acc, x: F.when(x["i"] >= acc["end"], F.struct(x["j"].alias("end"), F.concat(acc["out"], F.array(F.struct(x["i"].alias("i"), x["name"].alias("name")))).alias("out"))).otherwise(acc)
     cover = F.aggregate("m", F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<i:int,name:string>>").alias("out")), step, lambda acc: acc["out"])
     span = per.select("id", F.explode(cover).alias("c")).select("id", F.lit(2).alias("g"), F.col("c.i").alias("o"), F.col("c.name").alias("name"))
-    every = first_per(whole.unionByName(parts).unionByName(span), ["id", "name"], F.col("g"), F.col("o"))
+    other = parts.unionByName(span).join(whole.select("id"), "id", "left_anti")
+    every = first_per(whole.unionByName(other), ["id", "name"], F.col("g"), F.col("o"))
     return every.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("g", "o", "name"))).alias("m")).select(F.col("id").alias(id_col), F.col("m.name").alias("names"))
 
 

@@ -1,4 +1,4 @@
-"""Phrase search in running text by a segment index.
+"""Phrase search in running text by a segment index, and spans of words that are a key.
 
 A phrase key of fewer than 10 letters has to match exactly, one of fewer than 16 may differ by one edit, a longer one by two. With d edits one of
 d + 1 segments of the key stands unchanged: the first where the window starts, the last where it ends, and a middle one within one
@@ -194,3 +194,65 @@ def find_phrases(texts: DataFrame, phrases: DataFrame, id_col: str = "doc_id", t
     hits = w.join(index, ["h", "n"]).where(same).withColumn("edits", F.levenshtein("joined", "key", 2)).where("edits >= 0 AND edits <= budget")
     best = hits.groupBy("id", "phrase").agg(F.min(F.struct("n", "i", "matched", "edits")).alias("b"))
     return best.select(F.col("id").alias(id_col), "phrase", "b.matched", "b.edits")
+
+
+def _spans(ids: pa.Array, texts: list[bytes], lengths: list[int], known: Known) -> pa.RecordBatch | None:
+    """Spans of whole words of a batch whose joined letters have a known hash."""
+    raw = b"\n".join(texts) + b"\n"
+    chars = np.frombuffer(raw, np.uint8)
+    blank = (chars == 32) | (chars == 10)
+    before = np.append(0, np.cumsum(~blank))
+    head = np.flatnonzero(~blank & np.append(True, blank[:-1]))
+    letters, at, doc = chars[~blank], before[head], np.cumsum(chars == 10)[head]
+    hashes, end = Letters(letters), len(letters)
+    word = np.full(end + max(lengths, default=0) + 1, -1, np.int64)  # number of the word that begins at a letter; one past the last at the end
+    word[at], word[end] = np.arange(len(head)), len(head)
+    found = [np.zeros((3, 0), np.int64)]
+    for n in lengths:
+        j = word[at + n]
+        i = np.flatnonzero(j >= 0)
+        i = i[doc[i] == doc[j[i] - 1]]
+        h = hashes.piece(at[i], at[i] + n, np.full(len(i), n))
+        hit = known.hits(h)
+        found.append(np.stack((i[hit], j[i[hit]], at[i[hit]])))
+    i, j, a = np.concatenate(found, axis=1)
+    if not len(i):
+        return None
+    text, first = letters.tobytes(), np.searchsorted(doc, doc)
+    stop = np.append(at, end)[j]
+    keys = [text[x:z].decode() for x, z in zip(a.tolist(), stop.tolist())]
+    cols = {"id": ids.take(pa.array(doc[i])), "i": pa.array(i - first[i], pa.int32()), "j": pa.array(j - first[i], pa.int32()), "key": pa.array(keys, pa.string())}
+    return pa.RecordBatch.from_pydict(cols)
+
+
+def key_spans(texts: DataFrame, keys: DataFrame, index_rows: int = INDEX_ROWS) -> DataFrame:
+    """texts(id, t: word keys separated by blanks), keys(key, distinct; ASCII) -> (id, i, j, key): words i to j - 1 joined are the key.
+
+    Spans are proposed only at the lengths that keys have and only between word ends, and leave the map only if their hash is a key's;
+    the join that follows compares the keys themselves.
+    """
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def run_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in filter(len, batches):
+            ks = [k.encode() for k in b.column(0).to_pylist()]
+            size = np.array([len(k) for k in ks], np.int64)
+            a = np.cumsum(size) - size
+            yield pa.RecordBatch.from_arrays([pa.array(Letters(np.frombuffer(b"".join(ks), np.uint8)).piece(a, a + size, size)), pa.array(size, pa.int32())], ["h", "n"])
+    index = durable(keys.select("key").mapInArrow(run_hash, "h long, n int").distinct())
+    passes = -(-index.count() // index_rows) or 1
+
+    def search(part: int) -> DataFrame:
+        some = index.where(F.pmod("h", F.lit(passes)) == part).toPandas()
+        shared = texts.sparkSession.sparkContext.broadcast((np.sort(some["h"].to_numpy(np.int64)), sorted(set(some["n"].tolist()))))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            values, lengths = shared.value
+            known = Known(values)
+            for b in batches:
+                for s in _slices(b):
+                    out = _spans(s.column(0), [x or b"" for x in s.column(1).cast(pa.binary()).to_pylist()], lengths, known)
+                    if out is not None:
+                        yield out
+        return texts.select("id", "t").mapInArrow(run, f"id {kind}, i int, j int, key string")
+    return reduce(DataFrame.unionByName, map(search, range(passes))).join(keys.select("key"), "key", "left_semi").select("id", "i", "j", "key")

@@ -62,3 +62,33 @@ def test_against_brute_force(spark, rows):
     got = {(r["doc_id"], r["phrase"]): (r["matched"], r["edits"]) for r in find_phrases(t, p, index_rows=rows).collect()}
     assert got == brute(texts, [x for x in phrases if x])
     assert find_phrases(t, p.limit(0)).count() == 0 and find_phrases(t.limit(0), p).count() == 0
+
+
+def test_longest_spans_against_a_walk(spark):
+    from labelforge.operators.curate import longest_span_names
+    random.seed(7)
+    words = ["".join(random.choice("abc") for _ in range(random.randint(1, 4))) for _ in range(25)]
+    names = sorted({" ".join(random.choice(words) for _ in range(random.randint(1, 3))).upper() for _ in range(40)})
+    texts = [" ".join(random.choice(words + ["-", "x9", "é"]) for _ in range(random.randint(0, 25))) for _ in range(80)] + ["", None, names[0], f"{names[1]}, zz; {names[2].lower()}"]
+
+    def fold(x):
+        return re.sub("[^A-Z0-9?]", "", x.upper())
+    by_key = {}
+    for n in names:
+        by_key[fold(n)] = max(n, by_key.get(fold(n), n))
+
+    def plain(t):
+        if fold(t) in by_key:
+            return [by_key[fold(t)]]
+        out = [by_key[fold(p)] for p in re.split("[;,]", t) if fold(p) in by_key]
+        ks = [k for k in map(fold, t.split()) if k]
+        i = 0
+        while i < len(ks):
+            j = next((j for j in range(len(ks), i, -1) if "".join(ks[i:j]) in by_key), None)
+            if j:
+                out.append(by_key["".join(ks[i:j])])
+            i = j or i + 1
+        return list(dict.fromkeys(out))
+    d = spark.createDataFrame(list(enumerate(texts)), "id long, cell string")
+    got = dict(map(tuple, longest_span_names(d, spark.createDataFrame([(n,) for n in names], "name string")).collect()))
+    assert got == {i: plain(t) for i, t in enumerate(texts) if t and plain(t)}
