@@ -30,10 +30,10 @@ def extract_claims(texts: DataFrame, phrases: DataFrame, vitamins: DataFrame | N
     return best.select(id_col, "claim_id", F.when(F.col("kind") == "vitamin", "ingredient").otherwise(F.col("kind")).alias("kind"), "matched", "edits")
 
 
-def label_flags(items: DataFrame, hits: DataFrame) -> DataFrame:
-    """Per label, what the claim matrix asks about: unreviewed items, colourants, family members by family.
+def label_evidence(items: DataFrame, hits: DataFrame) -> DataFrame:
+    """Per label, what the claim matrix asks about: the number of unreviewed items, and the (idx, name) lists of colourants and family members.
 
-    items(label_id, idx, inci, status, category, optional, via).
+    items(label_id, idx, raw, inci, status, category, optional, via). A list holds items of one label only.
     """
     from .review import NEEDS_REVIEW
     fam = hits.groupBy("inci").agg(F.collect_set("family_id").alias("fams"))  # families of one name: a handful
@@ -41,45 +41,96 @@ def label_flags(items: DataFrame, hits: DataFrame) -> DataFrame:
     has = lambda f: F.array_contains("fams", f)
     benzyl = F.col("key") == "BENZYLALCOHOL"
     colour = (F.col("status") == "resolved") & (F.col("category") == "colorant")
+    named = F.struct(F.col("idx"), X.title_case(F.col("inci")).alias("name"))
+    printed = F.struct(F.col("idx"), F.col("raw").alias("name"))
+
+    def those(cond, shown=named):
+        return F.array_sort(F.collect_list(F.when(cond, shown)))
     return it.groupBy("label_id").agg(
         F.count_if(~F.col("optional") & (F.col("via") == "none") & F.col("status").isin(*NEEDS_REVIEW)).alias("unreviewed"),
-        F.coalesce(F.bool_or(has("fragrance_mixtures")), F.lit(False)).alias("parfum"),
-        F.coalesce(F.bool_or(has("eu_fragrance_allergens") & ~benzyl), F.lit(False)).alias("other_allergen"),
-        F.coalesce(F.bool_or(has("eu_fragrance_allergens") & benzyl), F.lit(False)).alias("benzyl"),
-        F.coalesce(F.bool_or(has("preservatives_annex_v") & ~benzyl), F.lit(False)).alias("other_preservative"),
-        F.coalesce(F.bool_or(has("solvent_alcohols")), F.lit(False)).alias("solvent"),
-        F.coalesce(F.bool_or(colour & ~F.col("optional")), F.lit(False)).alias("colour"),
-        F.coalesce(F.bool_or(colour & F.col("optional")), F.lit(False)).alias("colour_optional"))
-
-
-def check_claims(detected: DataFrame, items: DataFrame, hits: DataFrame, rules: DataFrame) -> DataFrame:
-    """(label_id, claim_id, kind, verdict, ord): each printed claim against the identified ingredients.
-
-    detected(label_id, claim_id, kind); rules(claim_id, logic, family_id, inci array, patterns array): logic is one of
-    fragrance, alcohol, colorant, unsupported, family for free-from claims.
+        those(has("fragrance_mixtures")).alias("parfum"), those(has("eu_fragrance_allergens") & ~benzyl).alias("other_allergen"),
+        those(has("eu_fragrance_allergens") & benzyl).alias("benzyl"), those(has("preservatives_annex_v") & ~benzyl).alias("other_preservative"),
+        those(has("solvent_alcohols")).alias("solvent"), those(has("fatty_alcohols")).alias("fatty"),
+        those(colour & ~F.col("optional"), printed).alias("colour"), those(colour & F.col("optional"), printed).alias("colour_optional"))
+
+
+#: Verdict of each outcome; None: consistent, unless items of the label are still unreviewed.
+OUTCOMES = {
+    "unverifiable": "not_verifiable", "unsupported": "needs_context",
+    "ingredient.named": "matches", "ingredient.open": "needs_context", "ingredient.missing": "contradiction",
+    "fragrance.mixture": "contradiction", "fragrance.allergen": "needs_context", "fragrance.benzyl": "needs_context", "fragrance.preservative": None, "fragrance.none": None,
+    "alcohol.solvent": "contradiction", "alcohol.none": None,
+    "colorant.named": "contradiction", "colorant.optional": "needs_context", "colorant.none": None,
+    "family.member": "contradiction", "family.none": None,
+}
+#: Wording used where the caller gives none: {names}, {label}, {reason}, {note} and {caveat} are filled in.
+WORDING = {
+    "unverifiable": "{reason} Ingredients cannot show whether it holds.", "unsupported": "{reason}",
+    "ingredient.named": "On the list: {names}. {note}", "ingredient.open": "{label} is not among the confirmed ingredients. {caveat}", "ingredient.missing": "{label} is not on the list. {note}",
+    "fragrance.mixture": "{names} on the list stands for a fragrance mixture.", "fragrance.allergen": "No fragrance mixture, but labelled fragrance allergens: {names}. {caveat}",
+    "fragrance.benzyl": "{names} can preserve or scent; no other preservative is named. {caveat}", "fragrance.preservative": "{names}: with another preservative on the list, probably no scent. {caveat}",
+    "fragrance.none": "No fragrance mixture and no labelled allergen among the confirmed ingredients. {caveat}",
+    "alcohol.solvent": "Solvent alcohol on the list: {names}.", "alcohol.none": "No solvent alcohol is named; fatty alcohols do not count: {names}. {caveat}",
+    "colorant.named": "Colourants on the list: {names}.", "colorant.optional": "Colourants only in the optional section: {names}. {caveat}", "colorant.none": "No colourant is named. {caveat}",
+    "family.member": "Members of this family on the list: {names}. {note}", "family.none": "No confirmed ingredient is of this family. {note} {caveat}",
+}
+
+
+def check_claims(detected: DataFrame, items: DataFrame, hits: DataFrame, rules: DataFrame, wording: dict[str, str] | None = None) -> DataFrame:
+    """(label_id, claim_id, kind, verdict, ord, outcome, items, names, explanation, source, confidence): each printed claim against the identified ingredients.
+
+    detected(label_id, claim_id, kind); rules(claim_id, logic, family_id, inci array, patterns array[, label, reason, note, source, confidence]): logic is
+    one of fragrance, alcohol, colorant, unsupported, family for free-from claims. ``items`` are the places of the ingredients that the
+    verdict rests on and ``names`` how they read; the explanation is the outcome's wording with these filled in.
     """
-    d = detected.join(rules, "claim_id", "left").join(label_flags(items, hits), "label_id", "left")
-    members = items.where("inci IS NOT NULL").select("label_id", "inci").join(hits.select("inci", "family_id").distinct(), "inci").select("label_id", "family_id").distinct().withColumn("member", F.lit(True))
+    for c in ("label", "reason", "note", "source", "confidence"):
+        if c not in rules.columns:
+            rules = rules.withColumn(c, F.lit(None).cast("string"))
+    kinds = "array<struct<idx:int,name:string>>"
+    none = F.array().cast(kinds)
+    evidence = label_evidence(items.withColumn("idx", F.col("idx").cast("int")), hits)
+    d = detected.join(rules, "claim_id", "left").join(evidence, "label_id", "left")
+    named = F.struct(F.col("idx").cast("int").alias("idx"), X.title_case(F.col("inci")).alias("name"))
+    members = (items.where("inci IS NOT NULL").join(hits.select("inci", "family_id").distinct(), "inci").groupBy("label_id", "family_id")
+               .agg(F.array_sort(F.collect_list(named)).alias("member")))
     d = d.join(members, ["label_id", "family_id"], "left")
     # ingredient claims: by key (equi-join) or by a pattern of the claim, on that label's identified names
-    ing = detected.where("kind = 'ingredient'").select("label_id", "claim_id").join(rules.select("claim_id", "inci", "patterns"), "claim_id")
-    have = items.where("inci IS NOT NULL").select("label_id", F.col("inci").alias("name")).distinct()
-    keys = F.transform(F.coalesce("inci", F.array().cast("array<string>")), lambda n: X.fold_key(n, False))
+    ing = detected.where("kind = 'ingredient'").select("label_id", "claim_id").join(rules.select("claim_id", F.col("inci").alias("wanted"), "patterns"), "claim_id")
+    have = items.where("inci IS NOT NULL").select("label_id", "idx", "inci")
+    keys = F.transform(F.coalesce("wanted", F.array().cast("array<string>")), lambda n: X.fold_key(n, False))
     found = (ing.join(have, "label_id")
-             .where(F.array_contains(keys, X.fold_key(F.col("name"), False)) | F.exists(F.coalesce("patterns", F.array().cast("array<string>")), lambda p: F.rlike(F.col("name"), F.concat(F.lit("(?i)"), p))))
-             .select("label_id", "claim_id").distinct().withColumn("named", F.lit(True)))
+             .where(F.array_contains(keys, X.fold_key(F.col("inci"), False)) | F.exists(F.coalesce("patterns", F.array().cast("array<string>")), lambda p: F.rlike(F.col("inci"), F.concat(F.lit("(?i)"), p))))
+             .groupBy("label_id", "claim_id").agg(F.array_sort(F.collect_list(named)).alias("named")))
     d = d.join(found, ["label_id", "claim_id"], "left")
+    some = lambda c: F.size(F.coalesce(c, none)) > 0
     open_ = F.coalesce("unreviewed", F.lit(0)) > 0
-    on = lambda c: F.coalesce(c, F.lit(False))
-    clear = F.when(open_, "needs_context").otherwise("consistent")
-    fragrance = (F.when(on("parfum"), "contradiction").when(on("other_allergen") | (on("benzyl") & ~on("other_preservative")), "needs_context").otherwise(clear))
-    verdict = (F.when(F.col("kind") == "unverifiable", "not_verifiable")
-               .when(F.col("kind") == "ingredient", F.when(on("named"), "matches").when(open_, "needs_context").otherwise("contradiction"))
-               .when(F.col("logic") == "unsupported", "needs_context").when(F.col("logic") == "fragrance", fragrance)
-               .when(F.col("logic") == "alcohol", F.when(on("solvent"), "contradiction").otherwise(clear))
-               .when(F.col("logic") == "colorant", F.when(on("colour"), "contradiction").when(on("colour_optional"), "needs_context").otherwise(clear))
-               .otherwise(F.when(on("member"), "contradiction").otherwise(clear)))
-    d = d.select("label_id", "claim_id", "kind", verdict.alias("verdict"))
+    logic = F.col("logic")
+    fragrance = (F.when(some("parfum"), "fragrance.mixture").when(some("other_allergen"), "fragrance.allergen").when(some("benzyl") & ~some("other_preservative"), "fragrance.benzyl")
+                 .when(some("benzyl"), "fragrance.preservative").otherwise("fragrance.none"))
+    outcome = (F.when(F.col("kind") == "unverifiable", "unverifiable")
+               .when(F.col("kind") == "ingredient", F.when(some("named"), "ingredient.named").when(open_, "ingredient.open").otherwise("ingredient.missing"))
+               .when(logic == "unsupported", "unsupported").when(logic == "fragrance", fragrance)
+               .when(logic == "alcohol", F.when(some("solvent"), "alcohol.solvent").otherwise("alcohol.none"))
+               .when(logic == "colorant", F.when(some("colour"), "colorant.named").when(some("colour_optional"), "colorant.optional").otherwise("colorant.none"))
+               .otherwise(F.when(some("member"), "family.member").otherwise("family.none")))
+    d = d.withColumn("outcome", outcome)
+    rests_on = {"ingredient.named": "named", "fragrance.mixture": "parfum", "fragrance.allergen": "other_allergen", "fragrance.benzyl": "benzyl", "alcohol.solvent": "solvent", "alcohol.none": "fatty",
+                "colorant.named": "colour", "colorant.optional": "colour_optional", "family.member": "member"}
+    shown = F.when(F.col("outcome") == "fragrance.preservative", F.concat("benzyl", "other_preservative"))
+    fixed = F.when(F.lit(False), F.lit(None).cast("string"))
+    text = F.when(F.lit(False), F.lit(None).cast("string"))
+    for o, verdict in OUTCOMES.items():
+        is_o = F.col("outcome") == o
+        if o in rests_on:
+            shown = shown.when(is_o, F.col(rests_on[o]))
+        fixed = fixed.when(is_o, F.lit(verdict) if verdict else F.when(open_, "needs_context").otherwise("consistent"))
+        text = text.when(is_o, F.lit((WORDING | (wording or {}))[o]))
+    d = d.withColumn("ev", F.coalesce(shown, none)).withColumn("names", F.array_join(F.col("ev.name"), ", "))
+    n = F.col("unreviewed")
+    caveat = F.when(open_, F.concat(n.cast("string"), F.when(n > 1, " listed ingredients are").otherwise(" listed ingredient is"), F.lit(" not confirmed yet."))).otherwise("")
+    for slot, value in (("names", F.col("names")), ("label", F.coalesce("label", "claim_id")), ("reason", F.coalesce("reason", F.lit(""))), ("note", F.coalesce("note", F.lit(""))), ("caveat", caveat)):
+        text = F.replace(text, F.lit("{" + slot + "}"), value)
+    d = d.select("label_id", "claim_id", "kind", fixed.alias("verdict"), "outcome", F.col("ev.idx").alias("items"), "names", F.trim(F.regexp_replace(text, " {2,}", " ")).alias("explanation"), "source", "confidence")
     w = Window.partitionBy("label_id").orderBy(F.array_position(F.array(*[F.lit(v) for v in VERDICTS]), F.col("verdict")), "claim_id")
     return d.withColumn("ord", F.row_number().over(w) - 1)
 

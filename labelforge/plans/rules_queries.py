@@ -301,6 +301,29 @@ SELECT label_id, claim_id, verdict, row_number() OVER (PARTITION BY label_id ORD
 
 @query("c2_o4_check_claims", CLAIM_SQL)
 def _(spark, d):
+    return checked_claims(spark, d).select("label_id", "claim_id", "verdict", "ord")
+
+
+# what each verdict rests on: the outcome, the places of the ingredients and how they read
+EVIDENCE_SQL = f"""{CLAIM_SQL[:CLAIM_SQL.index("SELECT label_id, claim_id, verdict")].rstrip()},
+ t AS (SELECT oi.*, upper(substr(name, 1, 1)) || lower(split_part(substr(name, 2), ' ', 1)) || ' ' || upper(substr(split_part(name, ' ', 2), 1, 1)) || lower(substr(split_part(name, ' ', 2), 2)) AS shown FROM oi),
+ x AS (SELECT c.label_id, c.claim_id, e.open, CASE c.claim_id WHEN 'gentle' THEN 'unverifiable' WHEN 'unsupported' THEN 'unsupported' WHEN 'gears' THEN CASE WHEN e.ing THEN 'ingredient.named' WHEN e.open THEN 'ingredient.open' ELSE 'ingredient.missing' END
+   WHEN 'fragrance' THEN CASE WHEN e.parfum THEN 'fragrance.mixture' WHEN e.allerg THEN 'fragrance.allergen' ELSE 'fragrance.none' END WHEN 'alcohol' THEN CASE WHEN e.solv THEN 'alcohol.solvent' ELSE 'alcohol.none' END
+   WHEN 'colorant' THEN CASE WHEN e.col THEN 'colorant.named' WHEN e.colo THEN 'colorant.optional' ELSE 'colorant.none' END ELSE CASE WHEN e.fam THEN 'family.member' ELSE 'family.none' END END AS outcome FROM c JOIN e USING (label_id)),
+ ev AS (SELECT x.label_id, x.claim_id, t.idx, CASE WHEN outcome LIKE 'colorant%' THEN t.raw ELSE t.shown END AS n FROM x JOIN t ON t.label_id = x.label_id AND CASE outcome
+   WHEN 'ingredient.named' THEN k > 1 AND (name = 'RED BOLT' OR regexp_matches(name, 'GEAR$')) WHEN 'fragrance.mixture' THEN k > 1 AND EXISTS (SELECT 1 FROM h2 WHERE h2.inci = name AND f = 'fragrance_mixtures')
+   WHEN 'fragrance.allergen' THEN k > 1 AND EXISTS (SELECT 1 FROM h2 WHERE h2.inci = name AND f = 'eu_fragrance_allergens') WHEN 'alcohol.solvent' THEN k > 1 AND EXISTS (SELECT 1 FROM h2 WHERE h2.inci = name AND f = 'solvent_alcohols')
+   WHEN 'colorant.named' THEN k > 1 AND p_size = 7 AND NOT optional WHEN 'colorant.optional' THEN k > 1 AND p_size = 7 AND optional WHEN 'family.member' THEN k > 1 AND EXISTS (SELECT 1 FROM h2 WHERE h2.inci = name AND f = 'LARGE') ELSE false END),
+ l AS (SELECT label_id, claim_id, string_agg(idx, ',' ORDER BY idx) AS items, string_agg(n, ', ' ORDER BY idx) AS names FROM ev GROUP BY ALL)
+SELECT x.label_id, x.claim_id, outcome, coalesce(items, '') AS items, coalesce(names, '') AS names FROM x LEFT JOIN l USING (label_id, claim_id)"""
+
+
+@query("c2_claim_evidence", EVIDENCE_SQL)
+def _(spark, d):
+    return checked_claims(spark, d).select("label_id", "claim_id", "outcome", F.array_join("items", ",").alias("items"), "names")
+
+
+def checked_claims(spark, d):
     it = order_items(spark, d)
     f = F.col("family_id")
     h = hits(spark, d).withColumn("family_id", F.when(f == "round", "fragrance_mixtures").when(f == "PROMO", "eu_fragrance_allergens").when(f == "SMALL", "solvent_alcohols").otherwise(f))
@@ -309,7 +332,7 @@ def _(spark, d):
         ("fragrance", "free_from", "fragrance", None), ("alcohol", "free_from", "alcohol", None), ("colorant", "free_from", "colorant", None), ("family", "free_from", "family", "LARGE"), ("unsupported", "free_from", "unsupported", None), ("gears", "ingredient", "ingredient", None), ("gentle", "unverifiable", "unverifiable", None)]])
     det = it.select("label_id").distinct().select("label_id", F.explode(kinds).alias("c")).select("label_id", "c.*")
     r = det.select("claim_id", "logic", "family_id").distinct().withColumn("inci", F.when(F.col("claim_id") == "gears", F.array(F.lit("Red Bolt"))).otherwise(none)).withColumn("patterns", F.when(F.col("claim_id") == "gears", F.array(F.lit("gear$"))).otherwise(none))
-    return claims.check_claims(det.select("label_id", "claim_id", "kind"), it, h, r).select("label_id", "claim_id", "verdict", "ord")
+    return claims.check_claims(det.select("label_id", "claim_id", "kind"), it, h, r)
 
 
 @query("c3_g9_misspellings", f"""WITH {WORDS_SQL}, dic AS (SELECT DISTINCT lower(w) AS w FROM (SELECT unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS w FROM benchmark) WHERE w <> ''),
