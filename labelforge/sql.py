@@ -14,6 +14,7 @@ from pyspark.sql import SparkSession, functions as F
 from .functions import text as X
 from .functions.similarity import confusion_score, indel_ratio
 from .operators import segment as S
+from .operators.segment import _CUT, _mark  # workers get these by value, without the module
 
 
 def _compile(java: str) -> re.Pattern:
@@ -33,7 +34,7 @@ def segments(raw: str | None) -> Iterator[tuple[int, str, bool, list[str]]]:
     t = unicodedata.normalize("NFKC", raw).replace("­", "")
     t = _GAP.sub(" ", _LINE.sub(" ", _BREAK.sub("", t)).translate(str.maketrans("•·、", ",,,")))
     t = _LIST.sub("", _EDGE.sub("", t), count=1)
-    pieces = S._mark(t, "([", ")]").split(S._CUT) if t else []
+    pieces = _mark(t, "([", ")]").split(_CUT) if t else []
     parts = [b for p in pieces for s in ([p] if _FIELD.search(_EDGE.sub("", p)) else _SENTENCE.split(p)) for b in _BLEND.split(s)]
     position, optional = 0, False
     for body in filter(None, (_DOTS.sub("", p) for p in parts)):
