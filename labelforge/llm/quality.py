@@ -1,7 +1,7 @@
 """Quality classifier by positive-unlabelled learning.
 
 Trusted positives are rows labelled good, unlabelled rows are web text of any quality. A class prior is estimated from how the scores of
-a positive-against-unlabelled model spread over held-back halves, then an additive piecewise-linear model minimises the non-negative
+a positive-against-unlabelled model spread over held-back positives and over all rows, then an additive piecewise-linear model minimises the non-negative
 unbiased risk ``prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)])`` with logistic loss, so that its output is a probability.
 
 Defined cases: a null text counts as the empty text and gets a score like any other; ids labelled both ways are no positives; without
@@ -84,26 +84,48 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
-    """Share of positives among the unlabelled: the least ratio of their tails above a threshold, on rows the ranking was not learned
-    from; only tails that hold half of the positives or more, so that a thin tail cannot win by chance."""
-    rng = np.random.default_rng(0)
-    p, u = p[rng.permutation(len(p))], u[rng.permutation(len(u))]
-    half_p, half_u = len(p) // 2, len(u) // 2
+#: Thresholds at which the tails of positives and unlabelled rows are compared: these shares of the held-back positives lie below them.
+TAILS = np.linspace(0.0, 0.5, 26)
+
+
+def ranking(p: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights that tell positives from unlabelled rows, learned from half of the positives, and the scores of the other half."""
+    p = p[np.random.default_rng(0).permutation(len(p))]
+    half = len(p) // 2
 
     def gradient(w):
-        gp = _sigmoid(p[:half_p] @ w[:-1] + w[-1]) - 1
-        gu = _sigmoid(u[:half_u] @ w[:-1] + w[-1])
-        return np.append(p[:half_p].T @ gp / half_p + u[:half_u].T @ gu / half_u + DECAY * w[:-1], gp.mean() + gu.mean())
+        gp = _sigmoid(p[:half] @ w[:-1] + w[-1]) - 1
+        gu = _sigmoid(u @ w[:-1] + w[-1])
+        return np.append(p[:half].T @ gp / half + u.T @ gu / len(u) + DECAY * w[:-1], gp.mean() + gu.mean())
     w, _ = _descend(gradient, p.shape[1])
-    sp, su = p[half_p:] @ w, u[half_u:] @ w
-    cuts = np.quantile(sp, np.linspace(0.0, 0.5, 26))
-    ratios = [(su >= c).mean() / (sp >= c).mean() for c in cuts]
-    return float(np.clip(min(ratios), 0.02, 0.98))
+    return w, p[half:] @ w
+
+
+def prior_of(held: np.ndarray, cuts: np.ndarray, tails: np.ndarray) -> float:
+    """Share of positives among all unlabelled rows: the least ratio of their tails (shares at or above each cut) to those of the held-back
+    positives; only tails that hold half of the positives or more, so that a thin tail cannot win by chance."""
+    return float(np.clip(min(t / (held >= c).mean() for c, t in zip(cuts, tails)), 0.02, 0.98))
+
 
+def risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float]:
+    """The positive and the negative part of the unbiased risk; the loss is logistic and the last weight is the bias."""
+    zp, zu = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
+    return prior * np.logaddexp(0, -zp).mean(), np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
 
-def fit(positives: np.ndarray, unlabelled: np.ndarray) -> QualityModel:
-    """Minimise the non-negative risk; where its negative part falls below zero, that part alone is climbed back."""
+
+def risk_gradient(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> np.ndarray:
+    """Gradient of the non-negative risk (with weight decay); where its negative part falls below zero, that part alone is climbed back."""
+    sp, su = _sigmoid(p @ w[:-1] + w[-1]), _sigmoid(u @ w[:-1] + w[-1])
+    gn = np.append(u.T @ su / len(u) - prior * (p.T @ sp) / len(p), su.mean() - prior * sp.mean())
+    if risk(w, p, u, prior)[1] < 0:
+        return -gn
+    gp = prior * np.append(p.T @ (sp - 1) / len(p), (sp - 1).mean())
+    return gp + gn + np.append(DECAY * w[:-1], 0.0)
+
+
+def fit(positives: np.ndarray, unlabelled: np.ndarray, tails_of=None) -> QualityModel:
+    """Minimise the non-negative risk on sampled rows. ``tails_of(model, weights, cuts)`` gives the shares of all unlabelled rows that score at or
+    above each cut; without it the sample's are taken."""
     if len(positives) < 2 or len(unlabelled) < 2:
         return QualityModel()
     both = np.concatenate((positives, unlabelled))
@@ -111,21 +133,30 @@ def fit(positives: np.ndarray, unlabelled: np.ndarray) -> QualityModel:
     model = QualityModel(0.5, knots, np.ones(KNOTS * WIDTH))
     model.scale = np.maximum(model.basis(both).std(axis=0), 1e-3)
     p, u = model.basis(positives), model.basis(unlabelled)
-    model.prior = prior = estimate_prior(p, u)
-
-    def gradient(w):
-        zp, zu = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
-        sp, su = _sigmoid(zp), _sigmoid(zu)
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        gn = np.append(u.T @ su / len(u) - prior * (p.T @ sp) / len(p), su.mean() - prior * sp.mean())
-        if negative < 0:
-            return -gn
-        gp = prior * np.append(p.T @ (sp - 1) / len(p), (sp - 1).mean())
-        return gp + gn + np.append(DECAY * w[:-1], 0.0)
-    model.weights, model.bias = _descend(gradient, p.shape[1])
+    w, held = ranking(p, u)
+    cuts = np.quantile(held, TAILS)
+    tails = tails_of(model, w, cuts) if tails_of else np.array([(u @ w >= c).mean() for c in cuts])
+    model.prior = prior_of(held, cuts, tails)
+    model.weights, model.bias = _descend(lambda w: risk_gradient(w, p, u, model.prior), p.shape[1])
     return model
 
 
+def tails(df: DataFrame, model: QualityModel, weights: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Share of all rows that score at or above each cut. A map and one small aggregation."""
+    shared = df.sparkSession.sparkContext.broadcast((model, weights, cuts))
+
+    def make():
+        model, w, cuts = shared.value
+
+        def step(b):
+            z = model.basis(np.array([features(t) for t in b.column(0).to_pylist()]).reshape(-1, WIDTH)) @ w
+            return batch(k=pa.array(np.arange(len(cuts) + 1), pa.int32()), n=pa.array([*((z >= c).sum() for c in cuts), len(z)], pa.int64()))
+        return step
+    counts = map_texts(df.select("text"), ["text"], "text", make, "k int, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    n = {r["k"]: r["n"] for r in counts.collect()}  # one row per cut
+    return np.array([n[k] for k in range(len(cuts))]) / n[len(cuts)]
+
+
 def _feature_rows(df: DataFrame, most: int) -> np.ndarray:
     def make():
         def step(b):
@@ -138,14 +169,15 @@ def _feature_rows(df: DataFrame, most: int) -> np.ndarray:
 def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
           max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED) -> QualityModel:
     """Fit on at most ``max_positives`` labelled and ``max_unlabelled`` other rows, chosen by a hash of the id; their features (a few
-    hundred bytes a row) reach the driver, texts do not."""
+    hundred bytes a row) reach the driver, texts do not. The class prior is estimated over all rows."""
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     good = labels.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("a"), F.max(label_col).alias("b")).filter("a = 1 and b = 1")
     by = F.xxhash64(F.col("id").cast("string"))
     chosen = good.select("id").orderBy(by, "id").limit(max_positives)
-    others = docs.select("id").orderBy(by, "id").limit(max_unlabelled).distinct()
+    others = docs.select("id").distinct().orderBy(by, "id").limit(max_unlabelled)
     # both sides of at most the documented number of ids
-    return fit(_feature_rows(docs.join(F.broadcast(chosen), "id"), max_positives), _feature_rows(docs.join(F.broadcast(others), "id"), max_unlabelled))
+    return fit(_feature_rows(docs.join(F.broadcast(chosen), "id"), max_positives), _feature_rows(docs.join(F.broadcast(others), "id"), max_unlabelled),
+               lambda model, weights, cuts: tails(docs, model, weights, cuts))
 
 
 def score(df: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
