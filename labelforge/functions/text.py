@@ -169,19 +169,19 @@ def classify_category(c: Column) -> Column:
 # ---------------------------------------------------------------------------------------------------
 # Roles: a listed function term is shown under one display family.
 
-# Display families with their plain-language line.
+# Display families in their fixed order, each with a line of our own; callers may bring their own lines (``plain_function``).
 ROLE_BLURB = {
-    "moisture": "Draws in or holds water at the skin's surface.",
-    "soften": "Leaves skin or hair feeling softer or smoother.",
-    "texture": "Gives the product its body, feel and keeps it mixed.",
-    "cleanse": "Lifts dirt and oil, foams, or gently scrubs.",
-    "keep": "Slows spoilage by microbes or air.",
-    "base": "The liquid it is dissolved in, or what sets its acidity.",
-    "sun": "Absorbs or reflects ultraviolet light.",
-    "scent": "Adds or covers up smell.",
-    "colour": "Adds colour or tint.",
-    "care": "Listed as conditioning, soothing or otherwise caring for skin or hair.",
-    "other": "Another role listed for this ingredient.",
+    "moisture": "Binds water in the outer skin.",
+    "soften": "Makes skin or hair soft and supple.",
+    "texture": "Thickens, blends or steadies the mixture.",
+    "cleanse": "Washes, foams or scrubs.",
+    "keep": "Protects the product from spoiling.",
+    "base": "Carries the other ingredients or adjusts the pH.",
+    "sun": "Filters ultraviolet light.",
+    "scent": "Gives or hides a smell.",
+    "colour": "Colours the product.",
+    "care": "Conditions or calms skin or hair.",
+    "other": "Has another listed role.",
 }
 # Function-term patterns in order of precedence (family, pattern).
 ROLE_PATTERNS = [

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from ..functions import text as X
 from ..runtime import durable
@@ -151,3 +151,25 @@ def quality_gate(names: DataFrame, minimum: int = 20_000, allow_small: bool = Fa
     n = names.agg(F.count("*").alias("n_names"))
     ok = (F.col("n_names") >= minimum) | F.lit(allow_small)
     return n.select("n_names", F.assert_true(ok, F.lit("dictionary too small")).isNull().alias("ok"))
+
+
+class GateFailed(ValueError):
+    """A table that was written did not pass its gate; ``metrics`` tells what was seen."""
+
+    def __init__(self, metrics: dict[str, int]):
+        super().__init__(f"gate failed: {metrics}")
+        self.metrics = metrics
+
+
+def write_gated(names: DataFrame, path: str, minimum: int = 20_000, assertions: dict[str, Column] | None = None) -> dict[str, int]:
+    """Write the names and check them in the same pass: at least ``minimum`` rows, and no row that breaks an assertion (a null breaks it too).
+
+    The counts are metrics observed by the write itself, so the table is not read twice. ``GateFailed`` tells the caller not to publish it.
+    """
+    seen = Observation()
+    broken = [F.count_if(~F.coalesce(c, F.lit(False))).alias(n) for n, c in (assertions or {}).items()]
+    names.observe(seen, F.count(F.lit(1)).alias("n_names"), *broken).write.mode("overwrite").parquet(path)
+    metrics = {k: int(v) for k, v in seen.get.items()}
+    if metrics["n_names"] < minimum or any(metrics[n] for n in assertions or {}):
+        raise GateFailed(metrics)
+    return metrics

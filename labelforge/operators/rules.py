@@ -284,11 +284,15 @@ def role_overview(items: DataFrame, roles: DataFrame) -> DataFrame:
     return g.select("label_id", "family", (F.array_position(order, F.col("family")) - 1).cast("int").alias("ord"), "n", F.array_join(F.col("m.n"), ", ").alias("names"))
 
 
-def plain_function(terms: DataFrame, glossary: DataFrame) -> DataFrame:
-    """terms(function) -> plain wording: glossary by full term, then by its last ' - ' part, else the family line."""
+def plain_function(terms: DataFrame, glossary: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """terms(function) -> plain wording: glossary by full term, then by its last ' - ' part, else the family's line, from lines(family, line) if given."""
     g = glossary.select(F.upper("function").alias("gk"), F.col("en")).groupBy("gk").agg(F.max("en").alias("en"))
-    t = terms.select("function").distinct().withColumn("u", F.upper("function")).withColumn("last", F.element_at(F.split("u", " - "), -1))
+    t = terms.select("function").distinct().withColumn("u", F.upper("function")).withColumn("last", F.element_at(F.split("u", " - "), -1)).withColumn("family", X.role_family(F.col("function")))
     a = g.select(F.col("gk").alias("u"), F.col("en").alias("full_en"))
     b = g.select(F.col("gk").alias("last"), F.col("en").alias("last_en"))
-    fam = X.role_family(F.col("function"))
-    return t.join(a, "u", "left").join(b, "last", "left").select("function", X.pretty_function(F.col("function")).alias("pretty"), fam.alias("family"), F.coalesce("full_en", "last_en", X.role_blurb(fam)).alias("plain"))
+    t = t.join(a, "u", "left").join(b, "last", "left")
+    line = X.role_blurb(F.col("family"))
+    if lines is not None:
+        t = t.join(lines.groupBy("family").agg(F.max("line").alias("line")), "family", "left")
+        line = F.coalesce("line", line)
+    return t.select("function", X.pretty_function(F.col("function")).alias("pretty"), "family", F.coalesce("full_en", "last_en", line).alias("plain"))

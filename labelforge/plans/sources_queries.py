@@ -167,6 +167,25 @@ def _(spark, d):
     return D.quality_gate(part_names(spark, d), allow_small=True)
 
 
+GATES = (10, 1_000_000_000)
+
+
+@query("s16_gated_write", f"""
+WITH n AS (SELECT DISTINCT upper(p_name) AS name FROM part), c AS (SELECT count(*) AS n_names, count(*) FILTER (length(name) > 8) AS long FROM n)
+SELECT CAST(m AS BIGINT) AS minimum, a AS asserted, n_names, CASE WHEN a THEN long ELSE 0 END AS broken, n_names >= m AND (NOT a OR long = 0) AS ok FROM c, (VALUES {", ".join(f"({g})" for g in GATES)}) t(m), (VALUES (true), (false)) u(a)""")
+def _(spark, d):
+    n, rows = part_names(spark, d), []
+    for minimum in GATES:
+        for asserted in (True, False):
+            rule = {"broken": F.length("inci_name") <= 8} if asserted else None
+            try:
+                seen, ok = D.write_gated(n, f"{checkpoint_folder(spark)}/names-{uuid.uuid4().hex}", minimum, rule), True
+            except D.GateFailed as e:
+                seen, ok = e.metrics, False
+            rows.append((minimum, asserted, seen["n_names"], seen.get("broken", 0), ok))
+    return spark.createDataFrame(rows, "minimum long, asserted boolean, n_names long, broken long, ok boolean")
+
+
 @query("s17_user_report", """
 WITH p AS (SELECT o_custkey AS user_id, o_orderkey, 'Order ' || o_orderkey AS name, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'Morning' WHEN '2' THEN 'Evening' WHEN '3' THEN 'Morning and evening' ELSE 'Time not set' END AS w, o_orderstatus, o_orderdate FROM orders),
  pr AS (SELECT user_id, count(*) AS n_products, string_agg(name || ' - ' || w, '; ' ORDER BY name || ' - ' || w) AS products FROM p WHERE o_orderstatus <> 'P' GROUP BY 1),
