@@ -12,7 +12,7 @@ from .dictionary import NameDictionary
 from .phrases import find_phrases  # noqa: F401  (part of this module's interface)
 from .segment import word_windows
 
-POOL_SHARDS = 8               # blocks a dictionary is dealt into; a task holds one
+POOL_NAMES = 4_096            # names of one block, on average; a task holds one block
 KEY_BLOCK = 4_096             # keys of one block
 SUGGEST_FLOOR, POOL_LIMIT, POOL_CUTOFF = 0.55, 40, 45.0
 
@@ -57,14 +57,16 @@ def fuzzy_key(text: Column) -> Column:
     return X.fold_key(X.strip_nano(F.when(plain == "", text).otherwise(plain)))
 
 
-def name_pool(keys: DataFrame, corpus_keys: DataFrame, cutoff: float = POOL_CUTOFF, limit: int = POOL_LIMIT, shards: int = POOL_SHARDS) -> DataFrame:
+def name_pool(keys: DataFrame, corpus_keys: DataFrame, cutoff: float = POOL_CUTOFF, limit: int = POOL_LIMIT, shards: int | None = None) -> DataFrame:
     """For each distinct key the ``limit`` names of best Indel ratio (>= cutoff), exactly; (key, cand_key, pool_pos).
 
-    The ratio has no useful equi-join key, so keys meet names in blocks: names are dealt by hash into ``shards`` blocks, keys are
-    packed a batch at a time, each pair of blocks is one row of a join on the shard number, and the shards' lists are merged by
+    The ratio has no useful equi-join key, so keys meet names in blocks: names are dealt by hash into ``shards`` blocks (so many that a
+    block has POOL_NAMES names, unless the caller says otherwise), keys are packed a batch at a time, each pair of blocks is one row of a join on the shard number, and the shards' lists are merged by
     rank.  One plan serves every dictionary size; no name passes through the driver, and a task holds one shard of names.
     """
     names = corpus_keys.select("key").where(F.length("key") > 0).distinct()
+    if shards is None:
+        shards = -(-names.count() // POOL_NAMES) or 1
     names = names.groupBy(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard")).agg(F.collect_list("key").alias("names"))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -87,7 +89,7 @@ def name_pool(keys: DataFrame, corpus_keys: DataFrame, cutoff: float = POOL_CUTO
             .select("key", "cand_key", "pool_pos"))
 
 
-def fuzzy_topk(keys: DataFrame, d: NameDictionary, limit: int = 3, floor: float = SUGGEST_FLOOR, shards: int = POOL_SHARDS) -> DataFrame:
+def fuzzy_topk(keys: DataFrame, d: NameDictionary, limit: int = 3, floor: float = SUGGEST_FLOOR, shards: int | None = None) -> DataFrame:
     """keys(key, distinct) -> (key, cands) with up to ``limit`` candidates (inci_name, score, edits, unexplained), best first.
 
     Cheap ratio pool, glyph-aware score on the pool, best key per name, rank by score step, last-word prior, score, name;

@@ -7,6 +7,7 @@ from pyspark.sql import Window, functions as F, types as T
 
 from ..functions import text as X
 from ..operators import evaluate as E, ocr as O
+from ..operators.stitch import merge_photos
 from ..runtime import checkpoint_folder
 from ..streaming import jobs as J
 from .match_queries import resolved_orders
@@ -92,6 +93,20 @@ def _(spark, d):
     return O.stitch_overlaps(*two_photos(spark, d)).groupBy("product_id").agg(F.bool_or("overlap").alias("overlap"))
 
 
+# three photos of an order: without its last line, and twice without its first; from four lines on every photo overlaps the list before it
+@query("w7_merge_photos", f"""WITH {LI}, x AS (SELECT l_orderkey AS product_id, idx, p_name || ' ' || substr(md5(l_orderkey || '-' || idx), 1, 12) AS t, count(*) OVER (PARTITION BY l_orderkey) AS n FROM li),
+ y AS (SELECT *, unnest(CASE WHEN (n = 3 AND idx = 1) OR (n = 2 AND idx = 1) THEN [1, 2] ELSE [1] END) AS k FROM x)
+SELECT product_id, string_agg(t, '|' ORDER BY idx, k) AS texts, any_value(CASE n WHEN 1 THEN '' WHEN 2 THEN 'false,false' WHEN 3 THEN 'false,true' ELSE 'true,true' END) AS overlaps,
+ any_value(CASE n WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 3 ELSE 2 * n - 3 END) AS matched FROM y GROUP BY 1""")
+def _(spark, d):
+    li = lines(spark, d).withColumn("n", F.count("*").over(Window.partitionBy("l_orderkey")))
+    name = F.concat("p_name", F.lit(" "), F.substring(F.md5(F.concat_ws("-", "l_orderkey", "idx")), 1, 12))
+    words = F.transform(F.split(name, " "), lambda w: F.named_struct(F.lit("text"), w, F.lit("confidence"), 70.0 + F.col("idx")))
+    seen = F.when(F.col("n") == 1, F.array(F.lit(1))).when(F.col("idx") == 0, F.array(F.lit(1))).when(F.col("idx") == F.col("n") - 1, F.array(F.lit(2), F.lit(3))).otherwise(F.array(F.lit(1), F.lit(2), F.lit(3)))
+    r = merge_photos(li.select(F.col("l_orderkey").alias("product_id"), F.explode(seen).alias("photo_id"), "idx", words.alias("words")))
+    return r.select("product_id", F.array_join("items.text", "|").alias("texts"), F.array_join(F.transform("overlaps", lambda x: x.cast("string")), ",").alias("overlaps"), "matched")
+
+
 @query("f10_trim_junk_prefix")
 def _(spark, d):
     li = lines(spark, d)
