@@ -24,6 +24,7 @@ COST_WILDCARD, COST_LOOK_ALIKE, COST_NARROW, COST_SUFFIX, COST_FULL = 0.1, 0.4,
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789?"
 _PAD = len(ALPHABET)
+PAIRS_PER_STEP = 400_000
 LANE = 64  # a key shorter than this fits the bit-parallel lanes
 _CODE = np.full(128, _PAD, dtype=np.uint8)
 for _i, _ch in enumerate(ALPHABET):
@@ -103,96 +104,26 @@ def indel_ratio_one(a: str, b: str) -> float:
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Column form of the Indel ratio (0..100): lanes over the whole batch, whole-number subsequences for long or foreign strings."""
     out = np.full(len(a), np.nan)
-    known = set(ALPHABET)
     there = np.flatnonzero((a.notna() & b.notna()).to_numpy())
-    x, y = a.to_numpy(object)[there], b.to_numpy(object)[there]
-    lane = np.array([0 < len(p) < LANE and 0 < len(q) < 4 * LANE and known.issuperset(p) and known.issuperset(q) for p, q in zip(x, y)], bool)
+    (x, xs), (y, ys) = pd.factorize(a.to_numpy(object)[there]), pd.factorize(b.to_numpy(object)[there])
+    known = set(ALPHABET)
+    fits = lambda values, width: np.fromiter((0 < len(v) < width and known.issuperset(v) for v in values), bool, len(values))
+    # only distinct strings are encoded; those that fit no lane stand as one blank there
+    lane_x, lane_y = fits(xs, LANE), fits(ys, 4 * LANE)
+    lane = lane_x[x] & lane_y[y]
     if lane.any():
-        (cx, lx), (cy, ly) = encode(list(x[lane])), encode(list(y[lane]))
-        i = np.arange(len(lx))
-        out[there[lane]] = 200.0 * lcs_pairs(letter_masks(cx), lx, i, cy, i) / (lx + ly)
-    for i, p, q in zip(there[~lane], x[~lane], y[~lane]):
-        out[i] = indel_ratio_one(p, q)
+        cx, lx = encode([v if ok else "" for v, ok in zip(xs, lane_x)])
+        cy, ly = encode([v if ok else "" for v, ok in zip(ys, lane_y)])
+        masks = letter_masks(cx)
+        pairs = np.flatnonzero(lane)
+        for at in range(0, len(pairs), PAIRS_PER_STEP):
+            i = pairs[at:at + PAIRS_PER_STEP]
+            out[there[i]] = 200.0 * lcs_pairs(masks, lx, x[i], cy, y[i]) / (lx[x[i]] + ly[y[i]])
+    for i in np.flatnonzero(~lane):
+        out[there[i]] = indel_ratio_one(xs[x[i]], ys[y[i]])
     return pd.Series(out).where(~np.isnan(out), None).astype("float64")
 
 
-class NamePool:
-    """Finds, for each key of a batch, the best names by Indel ratio.
-
-    A letter-count bound rules out most names before any subsequence is computed; the bound is exact (a common
-    subsequence is never longer than the letters two keys share), so no qualifying name is lost.
-    """
-
-    def __init__(self, names: list[str], cutoff: float = 45.0, limit: int = 40, pairs_per_step: int = 400_000):
-        self.names = np.array(sorted(names), dtype=object)
-        self.codes, self.lens = encode(list(self.names))
-        self.counts = self._letter_counts(self.codes)
-        self.cutoff, self.limit, self.step = cutoff, limit, pairs_per_step
-
-    @staticmethod
-    def _letter_counts(codes: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(codes), _PAD + 1), dtype=np.uint16)
-        rows = np.arange(len(codes))
-        for j in range(codes.shape[1]):
-            np.add.at(out, (rows, codes[:, j]), 1)
-        return out[:, :_PAD]
-
-    def search(self, keys: list[str]) -> pd.DataFrame:
-        """(key, cand_key, ratio) rows, the ``limit`` best of each key, ties in name order."""
-        n_names = len(self.names)
-        if not n_names or not keys:
-            return pd.DataFrame({"key": [], "cand_key": [], "ratio": []})
-        chunk = max(1, self.step // n_names)
-        short, long = [k for k in keys if len(k) < LANE], [k for k in keys if len(k) >= LANE]
-        parts = [self._search_chunk(short[i : i + chunk]) for i in range(0, len(short), chunk)]
-        found = pd.concat(parts + [self._search_long(k) for k in long], ignore_index=True)
-        return found.astype({"key": object, "cand_key": object})  # one Arrow chunk per column
-
-    def _search_long(self, key: str) -> pd.DataFrame:
-        """The same for a key that is longer than a lane, with whole-number subsequences."""
-        codes, _ = encode([key])
-        shared = np.minimum(self._letter_counts(codes)[0][None, :], self.counts).sum(axis=1)
-        near = np.flatnonzero(200.0 * shared / (len(key) + self.lens) >= self.cutoff)
-        rated = sorted((-indel_ratio_one(key, self.names[i]), self.names[i]) for i in near.tolist())
-        best = [(-r, n) for r, n in rated if -r >= self.cutoff][: self.limit]
-        return pd.DataFrame({"key": [key] * len(best), "cand_key": [n for _, n in best], "ratio": [r for r, _ in best]})
-
-    def _search_chunk(self, keys: list[str]) -> pd.DataFrame:
-        codes, lens = encode(keys)
-        counts = self._letter_counts(codes)
-        shared = np.zeros((len(keys), len(self.names)), dtype=np.int32)
-        for ch in np.flatnonzero(counts.any(axis=0)):
-            shared += np.minimum(counts[:, ch][:, None], self.counts[:, ch][None, :])
-        total = lens[:, None] + self.lens[None, :]
-        bound = 200.0 * shared / total
-        masks = letter_masks(codes)
-
-        def ratios(ki, ni):
-            return 200.0 * lcs_pairs(masks, lens, ki, self.codes, ni) / total[ki, ni]
-
-        floor = np.full(len(keys), self.cutoff)
-        probe = self.limit * 4
-        if bound.shape[1] > probe * 2:
-            # the names with the best bounds give each key a floor; names bounded below it cannot enter its pool
-            best = np.argpartition(-bound, probe, axis=1)[:, :probe]
-            ki = np.repeat(np.arange(len(keys)), probe)
-            got = ratios(ki, best.ravel()).reshape(len(keys), probe)
-            floor = np.maximum(floor, np.partition(got, probe - self.limit, axis=1)[:, probe - self.limit])
-        ki, ni = np.nonzero(bound >= floor[:, None])
-        if not len(ki):
-            return pd.DataFrame({"key": [], "cand_key": [], "ratio": []})
-        ratio = ratios(ki, ni)
-        ok = ratio >= floor[ki]
-        ki, ni, ratio = ki[ok], ni[ok], ratio[ok]
-        order = np.lexsort((ni, -ratio, ki))
-        ki, ni, ratio = ki[order], ni[order], ratio[order]
-        first = np.r_[True, ki[1:] != ki[:-1]] if len(ki) else np.zeros(0, bool)
-        pos = np.arange(len(ki)) - np.maximum.accumulate(np.where(first, np.arange(len(ki)), 0))
-        keep = pos < self.limit
-        karr = np.array(keys, dtype=object)
-        return pd.DataFrame({"key": karr[ki[keep]], "cand_key": self.names[ni[keep]], "ratio": ratio[keep]})
-
-
 # ---------------------------------------------------------------------------------------------------
 # Glyph-aware cost of turning a dictionary key into the printed key
 

@@ -1,19 +1,18 @@
 """Joins between printed text and the name dictionary: static ladder, fuzzy top-k, nearest name, similarity joins."""
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import text as X
-from ..functions.similarity import NamePool, confusion_explain, confusion_score, indel_ratio, indel_ratio_one
+from ..functions.similarity import confusion_explain, confusion_score, indel_ratio, indel_ratio_one
+from ..runtime import durable
 from .dictionary import NameDictionary
 from .phrases import find_phrases  # noqa: F401  (part of this module's interface)
 from .segment import word_windows
 
-POOL_NAMES = 4_096            # names of one block, on average; a task holds one block
-KEY_BLOCK = 4_096             # keys of one block
+POOL_NAMES = 4_096            # names of one block, on average
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SUGGEST_FLOOR, POOL_LIMIT, POOL_CUTOFF = 0.55, 40, 45.0
 
 
@@ -57,39 +56,78 @@ def fuzzy_key(text: Column) -> Column:
     return X.fold_key(X.strip_nano(F.when(plain == "", text).otherwise(plain)))
 
 
-def name_pool(keys: DataFrame, corpus_keys: DataFrame, cutoff: float = POOL_CUTOFF, limit: int = POOL_LIMIT, shards: int | None = None) -> DataFrame:
+def letter_profile(c: Column) -> list[Column]:
+    """Letter counts of a string as three bit maps (nine buckets of seven unary levels each; the last bucket holds all that is
+    not A-Z) and the number of letters beyond seven of a kind.
+
+    ``bit_count`` of two maps' common bits, plus the smaller excess, bounds the letters that two strings share from above.
+    """
+    count = [F.length(c) - F.length(F.replace(c, F.lit(x), F.lit(""))) for x in LETTERS]
+    count.append(F.length(c) - sum(count, F.lit(0)))
+    unary = [F.call_function("shiftleft", F.lit(1).cast("long"), F.least(n, F.lit(7))) - 1 for n in count]
+    maps = [sum((F.shiftleft(unary[9 * m + i], 7 * i) for i in range(9)), F.lit(0).cast("long")).alias(f"m{m}") for m in range(3)]
+    return [*maps, sum((F.greatest(n - 7, F.lit(0)) for n in count), F.lit(0)).alias("over")]
+
+
+def length_band(n: Column) -> Column:
+    """Bands of a quarter octave; a longer string is never in a lower band."""
+    return F.floor(F.log2(n) * 4).cast("int")
+
+
+def pool_floors(keys: DataFrame, names: DataFrame, cutoff: float, limit: int, parts: int) -> DataFrame:
+    """(key, floor): the ``limit``-th best ratio among names that share one of the key's rarest trigrams, where there are so many.
+
+    Any ``limit`` names give a true lower bound of the final ``limit``-th best, so which grams are asked decides work, not results:
+    a key's grams are taken from the rarest on until they list four pools of names.
+    """
+    posts = names.select(F.col("key").alias("cand_key"), F.explode(trigrams(F.col("key"))).alias("g"))
+    freq = posts.groupBy("g").agg(F.count("*").alias("df")).where(F.col("df") <= 32 * limit)
+    w = Window.partitionBy("key").orderBy("df", "g").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    asked = keys.select("key", F.explode(trigrams(F.col("key"))).alias("g")).join(freq, "g")
+    asked = asked.withColumn("before", F.sum("df").over(w) - F.col("df")).where(F.col("before") < 4 * limit).select("key", "g")
+    # one shuffle by key serves the distinct pairs and the lists; its stated width keeps small but costly pairs from being coalesced
+    rated = asked.join(posts, "g").select("key", "cand_key").repartition(parts, "key").distinct().withColumn("ratio", indel_ratio("key", "cand_key"))
+    top = rated.groupBy("key").agg(F.sort_array(F.collect_list("ratio"), asc=False).alias("r"))  # at most 36 pools of numbers
+    return top.select("key", F.get("r", F.lit(limit - 1)).alias("floor")).where(F.col("floor") > cutoff)
+
+
+def name_pool(keys: DataFrame, corpus_keys: DataFrame, cutoff: float = POOL_CUTOFF, limit: int = POOL_LIMIT, block: int = POOL_NAMES) -> DataFrame:
     """For each distinct key the ``limit`` names of best Indel ratio (>= cutoff), exactly; (key, cand_key, pool_pos).
 
-    The ratio has no useful equi-join key, so keys meet names in blocks: names are dealt by hash into ``shards`` blocks (so many that a
-    block has POOL_NAMES names, unless the caller says otherwise), keys are packed a batch at a time, each pair of blocks is one row of a join on the shard number, and the shards' lists are merged by
-    rank.  One plan serves every dictionary size; no name passes through the driver, and a task holds one shard of names.
+    Two rounds.  The first gives each key a floor: what its ``limit`` best among a few near names reach.  In the second, names stand in
+    length bands cut into blocks of about ``block`` names, a key goes to the bands that its floor allows (a ratio r bounds the quotient
+    of the lengths by r / (200 - r)), and the join's condition compares letter counts by bit maps.  Both bounds are exact.  Only pairs
+    that could reach the floor leave the join and are rated.  The shuffles are Spark's: a small dictionary is broadcast by
+    its measured size, a large one meets the keys on (band, block).
     """
+    spark = keys.sparkSession
     names = corpus_keys.select("key").where(F.length("key") > 0).distinct()
-    if shards is None:
-        shards = -(-names.count() // POOL_NAMES) or 1
-    names = names.groupBy(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard")).agg(F.collect_list("key").alias("names"))
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for at in range(0, len(b), KEY_BLOCK):
-                yield pd.DataFrame({"keys": [b["key"].iloc[at:at + KEY_BLOCK].tolist()]})
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, pool = None, None
-        for b in batches:
-            for shard, names, keys in zip(b["shard"], b["names"], b["keys"]):
-                if shard != held:
-                    held, pool = shard, NamePool(list(names), cutoff, limit)
-                yield pool.search(list(keys))
-    blocks = keys.select("key").mapInPandas(pack, "keys array<string>").select("keys", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    pairs = blocks.join(names, "shard").repartition("shard", "keys").sortWithinPartitions("shard")
-    found = pairs.mapInPandas(search, "key string, cand_key string, ratio double")
+    n = names.count()
+    blocks, parts = -(-n // block) or 1, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = keys.select("key").where(F.length("key") > 0).distinct()
+    if n > 8 * limit:  # else a floor costs more than it saves
+        asked = durable(asked)
+        asked = asked.join(pool_floors(asked, names, cutoff, limit, parts), "key", "left").withColumn("floor", F.coalesce("floor", F.lit(cutoff)))
+    else:
+        asked = asked.withColumn("floor", F.lit(cutoff))
+    asked = asked.repartition(parts, "key")
+    a, q = F.length("key"), F.col("floor") / (200 - F.col("floor"))
+    bands = F.sequence(length_band(F.greatest(F.floor(a * q) - 1, F.lit(1))), length_band(F.ceil(a / q) + 1))
+    left = asked.select("key", "floor", *letter_profile(F.col("key"))).select("*", F.explode(bands).alias("band"))
+    left = left.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    right = names.select(F.col("key").alias("cand_key"), *letter_profile(F.col("key")), length_band(F.length("key")).alias("band"),
+                         F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("block"))
+    l, r = left.alias("l"), right.alias("r")
+    shared = sum((F.bit_count(F.col(f"l.m{m}").bitwiseAND(F.col(f"r.m{m}"))) for m in range(3)), F.least("l.over", "r.over"))
+    able = 200.0 * shared / (F.length("l.key") + F.length("r.cand_key")) >= F.col("l.floor")
+    met = l.join(r, (F.col("l.band") == F.col("r.band")) & (F.col("l.block") == F.col("r.block")) & able)
+    found = met.select("key", "cand_key", "floor").withColumn("ratio", indel_ratio("key", "cand_key")).where(F.col("ratio") >= F.col("floor"))
     w = Window.partitionBy("key").orderBy(F.desc("ratio"), "cand_key")
     return (found.withColumn("pool_pos", (F.row_number().over(w) - 1).cast("int")).where(F.col("pool_pos") < limit)
             .select("key", "cand_key", "pool_pos"))
 
 
-def fuzzy_topk(keys: DataFrame, d: NameDictionary, limit: int = 3, floor: float = SUGGEST_FLOOR, shards: int | None = None) -> DataFrame:
+def fuzzy_topk(keys: DataFrame, d: NameDictionary, limit: int = 3, floor: float = SUGGEST_FLOOR, block: int = POOL_NAMES) -> DataFrame:
     """keys(key, distinct) -> (key, cands) with up to ``limit`` candidates (inci_name, score, edits, unexplained), best first.
 
     Cheap ratio pool, glyph-aware score on the pool, best key per name, rank by score step, last-word prior, score, name;
@@ -97,7 +135,7 @@ def fuzzy_topk(keys: DataFrame, d: NameDictionary, limit: int = 3, floor: float
     """
     d = d.materialised()
     usable = keys.select("key").where(F.length("key").between(3, 60))
-    pool = name_pool(usable, d.corpus, shards=shards)
+    pool = name_pool(usable, d.corpus, block=block)
     corpus = d.corpus.select(F.col("key").alias("cand_key"), "inci_name", "prior")
     scored = pool.withColumn("score", confusion_score("key", "cand_key")).where(F.col("score") >= floor).join(corpus, "cand_key")
     # at most one pool (40 rows) per key is gathered

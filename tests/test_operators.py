@@ -67,13 +67,13 @@ def test_one_edit(spark):
     assert got == {("wrold", "world"), ("worlds", "world"), ("word", "world"), ("wold", "world")}
 
 
-def test_shards_equal_one_dictionary(spark):
+def test_blocks_equal_one_dictionary(spark):
     r = random.Random(2)
     names = {"".join(r.choice("ABCDE") for _ in range(r.randint(4, 9))) for _ in range(60)}
     k = strings(spark, {"".join(r.choice("ABCDE") for _ in range(6)) for _ in range(15)}, "key")
     n = strings(spark, names, "key")
     a = sorted(map(tuple, M.name_pool(k, n, limit=6).collect()))
-    assert a == sorted(map(tuple, M.name_pool(k, n, limit=6, shards=3).collect()))
+    assert a == sorted(map(tuple, M.name_pool(k, n, limit=6, block=20).collect()))
 
 
 def test_longest_spans(spark):
