@@ -76,6 +76,46 @@ def layer_report(outcomes: DataFrame) -> DataFrame:
     return outcomes.where("layer IS NOT NULL").groupBy("layer").agg(F.count("*").alias("n"), F.count_if(F.col("outcome").isin(*CORRECT)).alias("n_correct"))
 
 
+def grouped_report(outcomes: DataFrame, group: str = "grp") -> DataFrame:
+    """outcomes(group, layer, outcome, status, high_confidence) -> one table of grouping sets: ``level`` total, group or layer.
+
+    Every level has rows, right ones, false accepts and high-confidence right and wrong, from one aggregation.  Truth rows without an item
+    have no layer and are left out of that level.
+    """
+    o, hc = F.col("outcome"), (F.col("status") == "suggested") & F.col("high_confidence")
+    g = outcomes.groupingSets([[], [group], ["layer"]], group, "layer").agg(
+        F.grouping_id(group, "layer").alias("gid"), F.count("*").alias("n"), F.count_if(o.isin(*CORRECT)).alias("n_correct"),
+        F.count_if(o.isin("resolved_wrong", "category_wrong", "sugg_top1_wrong")).alias("false_accepts"), F.count_if(o == "missing").alias("missing"),
+        F.count_if(hc & (o == "sugg_top1_ok")).alias("high_right"), F.count_if(hc & (o != "sugg_top1_ok")).alias("high_wrong"))
+    level = F.when(F.col("gid") == 3, "total").when(F.col("gid") == 1, "group").otherwise("layer")
+    return g.withColumn("level", level).where("level <> 'layer' OR layer IS NOT NULL").select("level", F.coalesce(group, "layer").alias("name"), *g.columns[3:])
+
+
+def change_report(labels: DataFrame, items: DataFrame, removed: DataFrame, expected_removed: DataFrame, missing: DataFrame, group: str = "grp") -> DataFrame:
+    """What the resolver took out, joined and cut, per group and in total (group null).
+
+    labels(label_id, group), items(label_id, merged, split), removed / expected_removed / missing(label_id, raw) -> labels, expected_removed and
+    how many were removed, wrongly_removed (missing truth rows found among the removed), merges, splits (two items each).
+    A fragment is found when its key holds, or lies in, a removed key of four characters or more (five for truth rows).
+    """
+    key = lambda d, c: d.select("label_id", X.match_key(F.col("raw")).alias(c)).where(F.length(c) > 0)
+
+    def found(wanted: DataFrame, least: int) -> DataFrame:
+        w, x = key(wanted, "w"), key(removed, "x").where(F.length("x") >= least).distinct()
+        d = w.distinct()
+        a = holding(d.withColumnRenamed("w", "n"), x.withColumnRenamed("x", "e"), "label_id", [least]).select("label_id", F.col("n").alias("w"))
+        b = holding(x.withColumnRenamed("x", "n"), d.withColumnRenamed("w", "e"), "label_id", [1, 2, 3, 4]).select("label_id", F.col("e").alias("w"))
+        return w.join(a.unionByName(b).distinct(), ["label_id", "w"], "left_semi")
+    per = lambda d, c: d.groupBy("label_id").agg(F.count("*").alias(c))
+    j = labels.select("label_id", group)
+    for d, c in ((expected_removed, "expected_removed"), (found(expected_removed, 4), "removed_right"), (found(missing, 5), "wrongly_removed")):
+        j = j.join(per(d, c), "label_id", "left")
+    j = j.join(items.groupBy("label_id").agg(F.count_if("merged").alias("merges"), F.count_if("split").alias("cut")), "label_id", "left").na.fill(0, ["expected_removed", "removed_right", "wrongly_removed", "merges", "cut"])
+    j = j.withColumn("splits", F.floor(F.col("cut") / 2))  # halves of a label come in pairs
+    sums = ["expected_removed", "removed_right", "wrongly_removed", "merges", "splits"]
+    return j.rollup(group).agg(F.count("*").alias("labels"), *[F.sum(c).alias(c) for c in sums])
+
+
 # The threshold grid.
 GRID = {"high_score": [0.75, 0.80, 0.85], "high_margin": [0.05, 0.08, 0.12], "max_unexplained": [1, 2], "dominant_score": [0.85, 0.90], "dominant_margin": [0.12, 0.15, 0.20, 0.25]}
 
@@ -202,6 +242,48 @@ def best_truth_ratio(tokens: DataFrame, names: DataFrame, floor: float = 0.7, by
     return tokens.select(by, "token").distinct().withColumn("k", X.label_norm(F.col("token"))).join(p, [by, "k"], "left").select(by, "token", F.coalesce("best", F.lit(0.0)).alias("best"))
 
 
+def holding(longer: DataFrame, shorter: DataFrame, by: str, sizes: list[int]) -> DataFrame:
+    """longer(by, n), shorter(by, e), both distinct -> (by, n, e) where ``n`` contains ``e`` within the same ``by``.
+
+    A contained string brings its start along, so pairs meet on the first ``max(sizes)`` characters of ``e`` (all of it, if shorter)
+    among the windows of ``n``; ``sizes`` names the lengths such starts can have.  Empty strings are contained in nothing.
+    """
+    win = lambda k: F.when(F.length("n") >= k, F.transform(F.sequence(F.lit(1), F.length("n") - k + 1), lambda i: F.substr("n", i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    grams = longer.select(by, "n", F.explode(F.array_distinct(F.concat(*[win(k) for k in sizes]))).alias("g"))
+    heads = shorter.select(by, "e", F.substring("e", 1, max(sizes)).alias("g"))
+    return grams.join(heads, [by, "g"]).where(F.contains("n", F.col("e"))).select(by, "n", "e")
+
+
+def token_causes(tokens: DataFrame, truth: DataFrame, removed: DataFrame, by: str = "label_id") -> DataFrame:
+    """tokens(by, token), truth(by, ord, raw, inci, category), removed(by, raw) -> (by, token, causes), a row per distinct token.
+
+    The causes come from the label's own truth: the token holds a fragment that should have been removed (leakage), holds two names
+    of which neither lies in a longer one it holds, or is one part of a 'A + B' entry (broken or merged), is an entry known by
+    class only (wrong tool), or is close to a name (noise).  A token whose label has no truth is judged by its text alone.
+    """
+    norm = lambda c: X.label_norm(F.col(c))
+    t = tokens.select(by, "token").distinct().withColumn("n", norm("token"))
+    k = t.select(by, "n").where("n IS NOT NULL").distinct()
+    parts = truth.select(by, F.explode(F.split("raw", r" \+ ")).alias("part"), F.contains("raw", F.lit(" + ")).alias("joined")).select(by, norm("part").alias("e"), "joined")
+    named = parts.where(F.length("e") > 5).groupBy(by, "e").agg(F.count("*").alias("times"))
+    hits = holding(k, named.select(by, "e"), by, [6]).join(named, [by, "e"])
+    inner = holding(named.select(by, F.col("e").alias("n")), named.select(by, "e"), by, [6]).where("n <> e").select(by, "e", F.col("n").alias("o"))
+    covered = hits.join(inner, [by, "e"]).join(hits.select(by, "n", F.col("e").alias("o")), [by, "n", "o"]).select(by, "n", "e").distinct()
+    two = hits.join(covered, [by, "n", "e"], "left_anti").groupBy(by, "n").agg((F.sum("times") >= 2).alias("two"))
+    part = parts.where("joined").select(by, F.col("e").alias("n")).distinct().withColumn("part", F.lit(True))
+    gone = removed.select(by, norm("raw").alias("e")).where("e <> ''").distinct()
+    leak = holding(k, gone, by, [1, 2, 3]).select(by, "n").distinct().withColumn("leak", F.lit(True))
+    only_class = F.col("inci").isNull() & (F.coalesce("category", F.lit("")) != "")
+    classed = truth.select(by, "ord", norm("raw").alias("n"), only_class.alias("c")).groupBy(by, "n").agg(F.min_by("c", "ord").alias("classed"))
+    best = best_truth_ratio(tokens, truth.where("inci IS NOT NULL").select(by, F.col("inci").alias("name")), by=by)
+    j = t
+    for flag in (two, part, leak, classed):
+        j = j.join(flag, [by, "n"], "left")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    j = j.join(best, [by, "token"], "left").withColumn("best", F.coalesce("best", F.lit(0.0)))
+    return j.select(by, "token", failure_causes(F.col("token"), F.col("best"), yes("two"), yes("part"), yes("leak"), yes("classed")).alias("causes"))
+
+
 def cause_report(causes: DataFrame) -> DataFrame:
     """causes(cause array) -> (cause, as_primary, as_any)."""
     return causes.select(F.posexplode("causes").alias("i", "cause")).groupBy("cause").agg(F.count_if(F.col("i") == 0).alias("as_primary"), F.count("*").alias("as_any"))

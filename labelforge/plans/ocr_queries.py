@@ -167,6 +167,27 @@ def _(spark, d):
     return E.layer_report(order_outcomes(spark, d))
 
 
+@query("e2_grouped_report")
+def _(spark, d):
+    return E.grouped_report(order_outcomes(spark, d).withColumn("grp", F.when(F.col("label_id") % 10 == 0, "golden").when(F.col("label_id") % 3 == 0, "synthetic").otherwise("clean")))
+
+
+# removed fragments, changes and missing rows stated by the lines of an order
+@query("e2_change_report", f"""WITH {LI}, l AS (SELECT l_orderkey, CASE WHEN l_orderkey % 3 = 0 THEN 'synthetic' ELSE 'clean' END AS grp, count(*) FILTER (l_returnflag = 'A') AS merges, count(*) FILTER (l_returnflag = 'R') // 2 AS splits FROM li GROUP BY 1),
+ rm AS (SELECT l_orderkey, {sql_key('printed')} AS x FROM li WHERE l_quantity > 30), er AS (SELECT l_orderkey, {sql_key('p_name')} AS w FROM li WHERE l_quantity > 25),
+ ms AS (SELECT l_orderkey, {sql_key("split_part(p_name, ' ', 1)")} AS w FROM li WHERE l_quantity <= 10),
+ p AS (SELECT grp, merges, splits, (SELECT count(*) FROM er WHERE er.l_orderkey = l.l_orderkey) AS expected_removed,
+  (SELECT count(*) FROM er WHERE er.l_orderkey = l.l_orderkey AND EXISTS (SELECT 1 FROM rm WHERE rm.l_orderkey = er.l_orderkey AND length(x) >= 4 AND (contains(x, w) OR contains(w, x)))) AS removed_right,
+  (SELECT count(*) FROM ms WHERE ms.l_orderkey = l.l_orderkey AND EXISTS (SELECT 1 FROM rm WHERE rm.l_orderkey = ms.l_orderkey AND length(x) >= 5 AND (contains(x, w) OR contains(w, x)))) AS wrongly_removed FROM l)
+SELECT grp, count(*) AS labels, CAST(sum(expected_removed) AS BIGINT) AS expected_removed, CAST(sum(removed_right) AS BIGINT) AS removed_right, CAST(sum(wrongly_removed) AS BIGINT) AS wrongly_removed, CAST(sum(merges) AS BIGINT) AS merges, CAST(sum(splits) AS BIGINT) AS splits FROM p GROUP BY ROLLUP (grp)""")
+def _(spark, d):
+    li = lines(spark, d).withColumnRenamed("l_orderkey", "label_id")
+    labels = li.select("label_id").distinct().withColumn("grp", F.when(F.col("label_id") % 3 == 0, "synthetic").otherwise("clean"))
+    items = li.select("label_id", (F.col("l_returnflag") == "A").alias("merged"), (F.col("l_returnflag") == "R").alias("split"))
+    raw = lambda where, c: li.where(where).select("label_id", c.alias("raw"))
+    return E.change_report(labels, items, raw("l_quantity > 30", F.col("printed")), raw("l_quantity > 25", F.col("p_name")), raw("l_quantity <= 10", F.split_part("p_name", F.lit(" "), F.lit(1))))
+
+
 @query("e3_threshold_sweep", """
 WITH s AS (SELECT o_totalprice / 500000 AS score, (o_custkey % 40) / 100.0 AS margin, o_orderkey % 4 AS un, o_orderkey % 3 AS ex, o_orderstatus = 'F' AS ok FROM orders),
  g AS (SELECT * FROM (VALUES (0.75), (0.80), (0.85)) a(high_score), (VALUES (0.05), (0.08), (0.12)) b(high_margin), (VALUES (1), (2)) c(max_unexplained), (VALUES (0.85), (0.90)) e(dominant_score), (VALUES (0.12), (0.15), (0.20), (0.25)) f(dominant_margin))
@@ -256,6 +277,36 @@ def _(spark, d):
     return E.cause_report(c)
 
 
+# an order as a label with truth: some tokens hold two lines' names, some entries are "A + B", some are known by class only
+TRUTH = f"""{LI}, nx AS (SELECT *, lead(p_name) OVER (PARTITION BY l_orderkey ORDER BY idx) AS nxt FROM li),
+ tk AS (SELECT DISTINCT l_orderkey, CASE WHEN l_partkey % 11 = 0 AND nxt IS NOT NULL THEN printed || ' ' || nxt ELSE printed || CASE l_partkey % 5 WHEN 0 THEN ' MRP 5' WHEN 1 THEN ' butter' ELSE '' END END AS tok FROM nx),
+ tr AS (SELECT l_orderkey, idx, CASE WHEN l_suppkey % 13 = 0 AND nxt IS NOT NULL THEN p_name || ' + ' || nxt ELSE p_name END AS raw, CASE WHEN l_partkey % 7 <> 0 THEN upper(p_name) END AS inci FROM nx),
+ rm AS (SELECT DISTINCT l_orderkey, upper(split_part(p_name, ' ', 1)) AS e FROM nx WHERE l_quantity > 48)"""
+SQL_NORM = "trim(regexp_replace(regexp_replace(upper({}), '[^A-Z0-9/,.\\- ]', '', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query("f11_e10_causes_from_truth", f"""WITH {TRUTH}, k AS (SELECT l_orderkey, tok, {SQL_NORM.format('tok')} AS n FROM tk),
+ pt AS (SELECT l_orderkey, contains(raw, ' + ') AS j, {SQL_NORM.format("unnest(string_split(raw, ' + '))")} AS e FROM tr),
+ h AS (SELECT k.l_orderkey, k.tok, e FROM k JOIN pt ON k.l_orderkey = pt.l_orderkey AND length(e) > 5 AND contains(n, e)),
+ b2 AS (SELECT l_orderkey, tok FROM h WHERE NOT EXISTS (SELECT 1 FROM h o WHERE o.l_orderkey = h.l_orderkey AND o.tok = h.tok AND o.e <> h.e AND contains(o.e, h.e)) GROUP BY ALL HAVING count(*) >= 2),
+ f AS (SELECT k.*, regexp_matches(tok, '(?i)\\bMRP\\b') OR EXISTS (SELECT 1 FROM rm WHERE rm.l_orderkey = k.l_orderkey AND contains(k.n, rm.e)) AS l,
+  EXISTS (SELECT 1 FROM b2 WHERE b2.l_orderkey = k.l_orderkey AND b2.tok = k.tok) OR EXISTS (SELECT 1 FROM pt WHERE pt.l_orderkey = k.l_orderkey AND j AND e = k.n) AS br,
+  regexp_matches(tok, '(?i)\\bBUTTER\\b') OR coalesce((SELECT arg_min(inci IS NULL, idx) FROM tr WHERE tr.l_orderkey = k.l_orderkey AND {SQL_NORM.format('raw')} = k.n), false) AS w,
+  coalesce((SELECT max(1 - levenshtein(k.n, inci) / greatest(length(k.n), length(inci))) FROM tr WHERE tr.l_orderkey = k.l_orderkey AND inci IS NOT NULL), 0) AS best FROM k),
+ x AS (SELECT list_filter([CASE WHEN l THEN '4_leakage' END, CASE WHEN br THEN '2_broken_merged' END, CASE WHEN w THEN '3_wrong_tool' END, CASE WHEN NOT br AND NOT w AND best >= 0.7 AND best < 1 THEN '1_ocr_noise' END], lambda y: y IS NOT NULL) AS cs FROM f),
+ z AS (SELECT unnest(CASE WHEN len(cs) = 0 THEN ['5_unknown'] ELSE cs END) AS cause, generate_subscripts(CASE WHEN len(cs) = 0 THEN ['5_unknown'] ELSE cs END, 1) AS i FROM x)
+SELECT cause, count(*) FILTER (i = 1) AS as_primary, count(*) AS as_any FROM z GROUP BY 1""")
+def _(spark, d):
+    k, nxt = F.col("l_partkey"), F.col("nxt")
+    li = lines(spark, d).withColumn("nxt", F.lead("p_name").over(Window.partitionBy("l_orderkey").orderBy("idx"))).withColumnRenamed("l_orderkey", "label_id")
+    end = F.when(k % 5 == 0, " MRP 5").when(k % 5 == 1, " butter").otherwise("")
+    tokens = li.select("label_id", F.when((k % 11 == 0) & nxt.isNotNull(), F.concat_ws(" ", "printed", nxt)).otherwise(F.concat("printed", end)).alias("token"))
+    truth = li.select("label_id", F.col("idx").alias("ord"), F.when((F.col("l_suppkey") % 13 == 0) & nxt.isNotNull(), F.concat_ws(" + ", "p_name", nxt)).otherwise(F.col("p_name")).alias("raw"),
+                      F.when(k % 7 != 0, F.upper("p_name")).alias("inci"), F.when(k % 7 == 0, "polymer").alias("category"))
+    gone = li.where("l_quantity > 48").select("label_id", F.split_part("p_name", F.lit(" "), F.lit(1)).alias("raw"))
+    return E.cause_report(E.token_causes(tokens, truth, gone))
+
+
 @query("e11_truth_coverage", f"""WITH {LI}, n AS (SELECT DISTINCT upper(p_name) AS m FROM part) SELECT DISTINCT printed AS raw, CASE WHEN m IS NOT NULL THEN true ELSE false END AS covered, coalesce(m, upper(printed)) AS inci FROM li LEFT JOIN n ON {sql_key('m')} = {sql_key('printed')}""")
 def _(spark, d):
     t = lines(spark, d).select(F.col("printed").alias("raw")).distinct()
@@ -292,6 +343,13 @@ def _(spark, d):
     return out.groupBy("user_id", "key").agg(F.max_by("first_product", "batch").alias("first_product"), F.max_by("second_product", "batch").alias("second_product"))
 
 
+@query("t3_reaction_alerts_once", """WITH o AS (SELECT user_id, event_type AS key, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events WHERE value > 25)
+SELECT a.user_id, a.key, a.event_id AS first_product, b.event_id AS second_product FROM o a JOIN o b ON a.user_id = b.user_id AND a.key = b.key AND a.n = 1 AND b.n = 2""")
+def _(spark, d):
+    s = stream(spark, d).where("value > 25").select("user_id", F.col("event_id").alias("product_id"), F.col("event_type").alias("key"), "ts")
+    return J.run_to_table(J.reaction_alerts_once(s, "400 days"), *place(spark), mode="append").drop("batch", "alerted")
+
+
 @query("t4_needs_review_rate", "SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, count(*) AS n, count(*) FILTER (event_type = 'error') AS n_review FROM events GROUP BY 1")
 def _(spark, d):
     s = stream(spark, d).withColumn("needs_review", F.col("event_type") == "error")

@@ -1,8 +1,12 @@
 """Continuous forms of the batch operators."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.dictionary import NameDictionary
 from ..operators.resolve import Thresholds, resolve_labels
@@ -53,6 +57,40 @@ def reaction_alerts(pairs: DataFrame) -> DataFrame:
     return g.where("first_product <> second_product")
 
 
+def reaction_alerts_once(pairs: DataFrame, horizon: str = "90 days", ts: str = "ts", late: str = "1 day") -> DataFrame:
+    """pairs(user_id, product_id, key, ts) of reacted products -> one row per (user_id, key) and spell, in append mode.
+
+    A spell is a run of reactions with no pause longer than ``horizon``; its alert comes with the first reaction to a second product
+    and tells both.  State is four values per (user, key); an event-time timer drops it once the watermark passes the last reaction
+    by the horizon, when no later row could belong to the spell, so eviction never changes a result.  Rows of one batch are
+    taken in the order of time and product; rows later than the watermark may still join the spell that is open.
+    """
+    span = int(pd.Timedelta(horizon) / pd.Timedelta("1ms"))
+    rows = pairs.where("product_id IS NOT NULL").withWatermark(ts, late).select("user_id", "key", "product_id", ts, F.unix_millis(ts).alias("at"))
+
+    def step(who: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        first, last, told, out = state.get + ([],) if state.exists else (None, None, False, [])
+        seen = sorted((int(a), int(p)) for b in batches for a, p in zip(b["at"], b["product_id"]))
+        for at, product in seen:
+            if last is None or at - last > span:
+                first, told = product, False
+            elif product != first and not told:
+                out.append((*who, first, product, at))
+                told = True
+            last = at if last is None else max(last, at)
+        state.update((first, last, told))
+        state.setTimeoutTimestamp(max(last + span, state.getCurrentWatermarkMs()) + 1)
+        if out:
+            yield pd.DataFrame(out, columns=["user_id", "key", "first_product", "second_product", "at"])
+    types = dict(rows.dtypes)
+    found = rows.groupBy("user_id", "key").applyInPandasWithState(
+        step, f"user_id {types['user_id']}, key {types['key']}, first_product long, second_product long, at long", "first long, last long, told boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select("user_id", "key", "first_product", "second_product", F.timestamp_millis("at").alias("alerted"))
+
+
 def run_to_table(stream: DataFrame, out: str, checkpoint: str, mode: str = "update") -> DataFrame:
     """Drive a stream over the available input into a Parquet table, one folder per micro-batch, and read it back.
 
