@@ -136,7 +136,7 @@ def timing_notes(actives: DataFrame, by: list[str], class_id: str = "retinoid")
 
 
 def check_routine(products: DataFrame, members: DataFrame, classes: DataFrame, stacking: DataFrame, by: list[str], gate: bool = True) -> DataFrame:
-    """All notes of every routine: (by..., kind, tier, title), one row per title and kind.
+    """All notes of every routine: (by..., kind, tier, title), one row per title and kind: the first, by rule and then by product pair.
 
     members(class_id, member), classes(class_id, name, sun_sensitising), stacking(rule_id, a, b, tier).
     """
@@ -147,7 +147,7 @@ def check_routine(products: DataFrame, members: DataFrame, classes: DataFrame, s
     cls = stacking.join(classes.select(F.col("class_id").alias("a"), F.col("name").alias("an")), "a").join(classes.select(F.col("class_id").alias("b"), F.col("name").alias("bn")), "b").select("rule_id", "an", "bn")
     st = (st.join(cls, "rule_id").join(names.select(*by, F.col("product_id").alias("a_id"), F.col("pname").alias("ap")), [*by, "a_id"])
           .join(names.select(*by, F.col("product_id").alias("b_id"), F.col("pname").alias("bp")), [*by, "b_id"]))
-    st = st.select(*by, F.lit("stacking").alias("kind"), "tier", F.concat(F.col("an"), F.lit(" with "), F.col("bn"), F.lit(": "), F.col("ap"), F.lit(" and "), F.col("bp")).alias("title"))
+    st = st.select(*by, F.lit("stacking").alias("kind"), "tier", F.struct("rule_id", "a_id", "b_id").alias("rule"), F.concat(F.col("an"), F.lit(" with "), F.col("bn"), F.lit(": "), F.col("ap"), F.lit(" and "), F.col("bp")).alias("title"))
     one, fam = duplicate_actives(act, by)
     d1 = one.select(*by, F.lit("duplicate").alias("kind"), F.lit("note").alias("tier"), F.concat("inci", F.lit(" appears in "), F.col("n_products").cast("string"), F.lit(" products")).alias("title"))
     d2 = fam.join(classes.select("class_id", F.col("name").alias("cn")), "class_id").select(*by, F.lit("duplicate").alias("kind"), F.lit("note").alias("tier"), F.concat(F.lit("More than one "), F.lower("cn"), F.lit(" product")).alias("title"))
@@ -156,8 +156,8 @@ def check_routine(products: DataFrame, members: DataFrame, classes: DataFrame, s
     s = sun.select(*by, F.lit("sunscreen").alias("kind"), "tier", title.alias("title"))
     t = timing_notes(act, by).select(*by, F.lit("timing").alias("kind"), F.lit("note").alias("tier"), F.concat("name", F.lit(": you set it for the morning")).alias("title"))
     cov = p.where(F.size("unresolved") > 0).select(*by).distinct().select(*by, F.lit("coverage").alias("kind"), F.lit("note").alias("tier"), F.lit("Some ingredients are not confirmed").alias("title"))
-    every = st.unionByName(d1).unionByName(d2).unionByName(s).unionByName(t).unionByName(cov)
-    return first_per(every, [*by, "title", "kind"], F.col("tier"))
+    every = st.unionByName(d1.unionByName(d2).unionByName(s).unionByName(t).unionByName(cov), allowMissingColumns=True)
+    return first_per(every, [*by, "title", "kind"], F.struct("rule", "tier")).drop("rule")
 
 
 def routine_slots(products: DataFrame, by: list[str], gate: bool = True) -> DataFrame:
@@ -194,6 +194,24 @@ def reaction_patterns(products: DataFrame, reactions: DataFrame, members: DataFr
     return out.withColumn("ord", F.row_number().over(w) - 1)
 
 
+def reaction_pattern_products(products: DataFrame, reactions: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """The products behind every pattern of ``reaction_patterns``: (user_id, kind, label, product_id, name, reacted), a row per product.
+
+    Rows instead of lists keep a pattern that runs through very many products out of any single row.
+    """
+    hit = reactions.select("user_id", "product_id").distinct().withColumn("reacted", F.lit(True))
+    p = products.select("user_id", "product_id", "name", "ingredients").join(hit, ["user_id", "product_id"], "left").withColumn("reacted", F.coalesce("reacted", F.lit(False)))
+    x = p.select("user_id", "product_id", "name", "reacted", F.explode("ingredients").alias("inci")).withColumn("key", X.fold_key(F.col("inci"), False))
+    shown = x.groupBy("user_id", "key").agg(X.title_case(F.min("inci")).alias("label"))
+    rows = x.join(shown, ["user_id", "key"]).select("user_id", F.lit("ingredient").alias("kind"), "label", "product_id", "name", "reacted")
+    if members is not None:
+        from .rules import member_index
+        f = x.join(member_index(members).select("key", "family_id").distinct(), "key")
+        rows = rows.unionByName(f.select("user_id", F.lit("family").alias("kind"), F.col("family_id").alias("label"), "product_id", "name", "reacted"))
+    found = reaction_patterns(products, reactions, members).select("user_id", "kind", "label")
+    return rows.distinct().join(found, ["user_id", "kind", "label"], "left_semi")
+
+
 def reference_compare(pack: DataFrame, reference: DataFrame, by: str = "label_id") -> DataFrame:
     """pack(by, idx, name), reference(by, idx, name) -> shared / only_on_pack / only_in_reference names in order, and counts; nothing de-duplicated."""
     pk = pack.withColumn("key", X.fold_key(F.col("name"), False))

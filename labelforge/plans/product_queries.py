@@ -144,6 +144,18 @@ def _(spark, d):
     return r.select("user_id", "kind", F.lower("label").alias("label"), "reacted", "unreacted")
 
 
+@query("a12_reaction_products", f"""WITH {PR}, fm AS (SELECT DISTINCT upper(p_name) AS inci, p_type AS f FROM part WHERE p_size < 5), x AS (SELECT DISTINCT user_id, product_id, o_orderstatus = 'F' AS r, upper(p_name) AS inci FROM pr JOIN li ON l_orderkey = product_id),
+ ab AS (SELECT user_id FROM pr WHERE o_orderstatus = 'F' GROUP BY 1 HAVING count(*) >= 2), y AS (SELECT * FROM x WHERE user_id IN (SELECT user_id FROM ab)),
+ i AS (SELECT user_id, 'ingredient' AS kind, inci AS label, count(*) FILTER (r) AS reacted, count(*) FILTER (NOT r) AS unreacted FROM y GROUP BY ALL HAVING count(*) FILTER (r) >= 2),
+ f AS (SELECT user_id, 'family' AS kind, f AS label, count(DISTINCT product_id) FILTER (r) AS reacted, count(DISTINCT product_id) FILTER (NOT r) AS unreacted FROM y JOIN fm USING (inci) GROUP BY user_id, f HAVING count(DISTINCT product_id) FILTER (r) >= 2 AND count(DISTINCT inci) FILTER (r) >= 2)
+SELECT DISTINCT user_id, kind, lower(label) AS label, product_id, 'P' || product_id AS name, r AS reacted FROM (SELECT i.user_id, kind, label, product_id, r FROM i JOIN y ON y.user_id = i.user_id AND y.inci = i.label
+ UNION ALL SELECT f.user_id, kind, label, product_id, r FROM f JOIN fm ON fm.f = f.label JOIN y ON y.user_id = f.user_id AND y.inci = fm.inci)""")
+def _(spark, d):
+    p = products(spark, d)
+    m = table(spark, d, "part").where("p_size < 5").select(F.col("p_type").alias("family_id"), F.upper("p_name").alias("inci")).distinct().withColumn("aliases", F.array().cast("array<string>"))
+    return P.reaction_pattern_products(p, p.where("o_orderstatus = 'F'").select("user_id", "product_id"), m).withColumn("label", F.lower("label"))
+
+
 @query("a13_function_coverage", f"""WITH {LI} SELECT l_orderkey AS label_id, count(*) AS identified, count(*) FILTER (p_name NOT LIKE 'red%') AS with_role FROM li GROUP BY 1 UNION ALL SELECT NULL, count(*), count(*) FILTER (p_name NOT LIKE 'red%') FROM li""")
 def _(spark, d):
     from ..operators.evaluate import function_coverage

@@ -71,3 +71,11 @@ def test_alternatives_among_all_products_of_a_user(spark):
             counts[i] = (sum(j in bad for j, *_ in others), sum(j not in bad and len(x) < 3 for j, x, _ in others))
     assert {(x.base_id, x.rank, x.cand_id, x.n_shared) for x in ranked.collect()} == best
     assert {x.base_id: (x.excluded, x.too_few) for x in stats.collect()} == counts
+
+
+def test_products_behind_a_reaction_pattern(spark):
+    p = spark.createDataFrame([(1, 1, "a", ["PARFUM", "AQUA"]), (1, 2, "b", ["Parfum", "MICA"]), (1, 3, "c", ["PARFUM", "PARFUM"]), (1, 4, "d", ["MICA"]), (2, 5, "e", ["PARFUM"])],
+                              "user_id int, product_id int, name string, ingredients array<string>")
+    r = spark.createDataFrame([(1, 1), (1, 2), (2, 5)], "user_id int, product_id int")
+    got = sorted(tuple(x) for x in P.reaction_pattern_products(p, r).select("user_id", "kind", "label", "name", "reacted").collect())
+    assert got == [(1, "ingredient", "Parfum", "a", True), (1, "ingredient", "Parfum", "b", True), (1, "ingredient", "Parfum", "c", False)]
