@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as X
+from ..runtime import shuffled
 from .dictionary import first_per
 
 MIN_PRODUCTS, MIN_SHARED, LOW_SHARE = 2, 3, 0.25
@@ -236,21 +237,24 @@ def reference_lookup(queries: DataFrame, products: DataFrame, limit: int = 6) ->
     p = products.select("code", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("name", "brands", "ingredients_text")])
     digits = F.regexp_replace(F.coalesce("barcode", F.lit("")), r"\D", "")
     q = queries.select("query_id", digits.alias("d"), F.lower(F.substring(X.strip(F.coalesce("q", F.lit(""))), 1, 80)).alias("q"))
-    by_code = q.where("d <> ''").join(p.withColumn("d", F.regexp_replace("code", r"\D", "")), "d").select("query_id", "code", "name", "brands", "ingredients_text")
+    by_code = q.where("d <> ''").join(shuffled(p.withColumn("d", F.regexp_replace("code", r"\D", ""))), "d").select("query_id", "code", "name", "brands", "ingredients_text")
     def grams(c):
         of = lambda size: F.when(F.length(c) >= size, F.transform(F.sequence(F.lit(1), F.length(c) - size + 1), lambda i: F.substr(c, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
         return of
+    # of the products of one name only the first ``limit`` codes can be listed, so the text side works on distinct names
     named = p.select("*", F.lower("name").alias("ln"))
+    named = named.withColumn("o", F.row_number().over(Window.partitionBy("ln").orderBy("code"))).where(F.col("o") <= limit).drop("o")
     low = grams(F.col("ln"))
-    posts = named.select("code", F.explode(F.array_distinct(F.concat(low(1), low(2), low(3)))).alias("g"))
+    posts = p.select(F.lower("name").alias("ln")).distinct().select("ln", F.explode(F.array_distinct(F.concat(low(1), low(2), low(3)))).alias("g"))
     freq = posts.groupBy("g").agg(F.count("*").alias("df"))
     asked = grams(F.col("q"))
     probe = F.when(F.length("q") >= 3, asked(3)).when(F.length("q") == 2, asked(2)).otherwise(asked(1))
     texts = q.where("d = '' AND q <> ''").select("q").distinct()
-    rare = texts.select("q", F.explode(F.array_distinct(probe)).alias("g")).join(freq, "g", "left").groupBy("q").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g")).alias("r")).select("q", F.col("r.g").alias("g"))
-    found = rare.join(posts, "g").select("q", "code").join(named, "code").where(F.contains("ln", "q"))
+    rare = texts.select("q", F.explode(F.array_distinct(probe)).alias("g")).join(shuffled(freq), "g", "left").groupBy("q").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g")).alias("r")).select("q", F.col("r.g").alias("g"))
+    hits = rare.join(shuffled(posts), "g").where(F.contains("ln", "q")).select("q", "ln")
+    found = hits.join(shuffled(named), "ln")
     best = found.withColumn("o", F.row_number().over(Window.partitionBy("q").orderBy("code"))).where(F.col("o") <= limit)
-    by_name = q.where("d = '' AND q <> ''").join(best, "q").select("query_id", "code", "name", "brands", "ingredients_text")
+    by_name = q.where("d = '' AND q <> ''").join(shuffled(best), "q").select("query_id", "code", "name", "brands", "ingredients_text")
     w = Window.partitionBy("query_id").orderBy("code")
     return by_code.unionByName(by_name).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
