@@ -1,12 +1,15 @@
 """Tables read by OCR: segments from words, quality triage, junk trimming, consensus of passes, stitching of photos."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import text as X
-from ..runtime import durable
-from .matching import edit_similarity, nearest_name, similar_pairs
+from ..runtime import durable, shuffled
+from .matching import block_pairs, edit_similarity, nearest_name, similar_pairs
 
 # Calibrated photo and reading thresholds.
 BLUR_MIN, GLARE_BLOB_MAX, GLARE_MAX_SHARE, WHITE_PAGE, LONG_SIDE_MIN, TEXT_HEIGHT_MIN = 40, 0.10, 0.5, 250, 300, 8
@@ -99,24 +102,52 @@ def trim_junk_prefix(segments: DataFrame, names: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------------------------------
 # Consensus of passes over one photo
 
-def greedy_keep(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """pairs(by, better, worse) of one photo's keys -> (by, worse, better): each key that goes, with the best kept key that takes it.
+def greedy_keep(pairs: DataFrame, by: list[str], most: int = 1 << 17) -> DataFrame:
+    """pairs(by, better, worse) of one photo's keys, ``better`` before ``worse`` in the keys' order -> (by, worse, better): each key that goes,
+    with the first kept key that takes it.
 
-    Only a kept key takes another, best first.  A round keeps the keys that no open key is better than and takes what they are
-    better than; rounds end when no pair is open, as many as the longest chain of keys.
+    Only a kept key takes another.  A photo's pairs are read in the order of ``worse``, so whether a better key is kept is known when it is
+    asked; a task remembers the keys of one photo that go.  Photos of more than ``most`` pairs are settled by rounds of joins.
     """
-    pairs = durable(pairs.select(*by, "better", "worse").distinct())
+    pairs = durable(pairs.select(*by, "better", "worse").distinct().withColumn("n", F.count("*").over(Window.partitionBy(*by))))
+    few, many = pairs.where(F.col("n") <= most).drop("n"), pairs.where(F.col("n") > most).drop("n")
+    k = len(by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        photo, gone = None, set()
+        for b in batches:
+            at, taker = [], []
+            for i, (*key, better, worse) in enumerate(zip(*(c.to_pylist() for c in b.columns))):
+                if key != photo:
+                    photo, gone = key, set()
+                if worse not in gone and better not in gone:
+                    gone.add(worse)
+                    at.append(i)
+                    taker.append(better)
+            rows = b.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns[:k], rows.column(k + 1), pa.array(taker, b.schema.field(k).type)], [*by, "worse", "better"])
+    kind = {f.name: f.dataType.simpleString() for f in few.schema}
+    # the first kept key in the order of ``better`` is the best one; a key is settled before it is asked, since it is smaller
+    settled = few.repartition(*by).sortWithinPartitions(*by, "worse", "better").mapInArrow(run, ", ".join(f"`{c}` {kind[c]}" for c in (*by, "worse", "better")))
+    return settled if many.isEmpty() else settled.unionByName(greedy_rounds(many, by))
+
+
+def greedy_rounds(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """``greedy_keep`` by joins: a round keeps the keys that no open key is better than and takes what they are better than; rounds end when no
+    pair is open, as many as the longest chain of keys."""
+    # an identity map: a checkpoint passes on what Spark inferred about columns that are no longer there, and a union of such tables fails
+    pairs = durable(pairs.mapInArrow(lambda batches: batches, pairs.schema))
     open_, gone = pairs, None
     while not open_.isEmpty():
         beaten = open_.select(*by, F.col("worse").alias("better")).distinct()
-        out = durable(open_.join(beaten, [*by, "better"], "left_anti").select(*by, "worse").distinct())
+        out = durable(open_.join(shuffled(beaten), [*by, "better"], "left_anti").select(*by, "worse").distinct())
         gone = out if gone is None else gone.unionByName(out)
-        open_ = durable(open_.join(out, [*by, "worse"], "left_anti").join(out.withColumnRenamed("worse", "better"), [*by, "better"], "left_anti"))
+        open_ = durable(open_.join(shuffled(out), [*by, "worse"], "left_anti").join(shuffled(out.withColumnRenamed("worse", "better")), [*by, "better"], "left_anti"))
     if gone is None:
         return pairs.select(*by, "worse", "better")
     # which kept key takes it is only known once all are decided
-    kept = pairs.join(gone.withColumnRenamed("worse", "better"), [*by, "better"], "left_anti")
-    return kept.join(gone, [*by, "worse"], "left_semi").groupBy(*by, "worse").agg(F.min("better").alias("better"))
+    kept = pairs.join(shuffled(gone.withColumnRenamed("worse", "better")), [*by, "better"], "left_anti")
+    return kept.join(shuffled(gone), [*by, "worse"], "left_semi").groupBy(*by, "worse").agg(F.min("better").alias("better"))
 
 
 def cluster_readings(readings: DataFrame, raw_sim: float = RAW_SIM) -> DataFrame:
@@ -131,7 +162,7 @@ def cluster_readings(readings: DataFrame, raw_sim: float = RAW_SIM) -> DataFrame
     keys = raw.where("k <> ''").select("photo_id", "k").distinct()
     pairs = similar_pairs(keys, keys, raw_sim, ["photo_id"]).where("left_key < right_key")
     near = greedy_keep(pairs.select("photo_id", F.col("left_key").alias("better"), F.col("right_key").alias("worse")), ["photo_id"]).select("photo_id", F.col("worse").alias("k"), F.col("better").alias("root"))
-    raw = raw.join(near, ["photo_id", "k"], "left").withColumn("base", F.concat(F.lit("r:"), F.coalesce("root", F.when(F.col("k") != "", F.col("k")), F.col("text")))).drop("k", "root")
+    raw = raw.join(shuffled(near), ["photo_id", "k"], "left").withColumn("base", F.concat(F.lit("r:"), F.coalesce("root", F.when(F.col("k") != "", F.col("k")), F.col("text")))).drop("k", "root")
     every = named.unionByName(raw)
     occ = F.row_number().over(Window.partitionBy("photo_id", "pass_id", "base").orderBy("idx"))
     return every.withColumn("cluster", F.concat("base", F.lit("#"), occ.cast("string"))).drop("base")
@@ -140,9 +171,8 @@ def cluster_readings(readings: DataFrame, raw_sim: float = RAW_SIM) -> DataFrame
 def base_pass(clustered: DataFrame) -> DataFrame:
     """(photo_id, pass_id): the pass with the most named clusters, then the higher mean confidence."""
     s = clustered.groupBy("photo_id", "pass_id").agg(F.count_distinct(F.when(F.col("name").isNotNull(), F.col("cluster"))).alias("named"), F.avg("conf").alias("conf"))
-    best = s.groupBy("photo_id").agg(F.max(F.struct((F.col("named") * 1000 + F.col("conf")).alias("score"), F.col("pass_id"))).alias("b"))
-    top = s.join(best.select("photo_id", F.col("b.score").alias("score")), "photo_id").where(F.col("named") * 1000 + F.col("conf") == F.col("score"))
-    return top.groupBy("photo_id").agg(F.min("pass_id").alias("base_pass"))
+    s = s.withColumn("score", F.col("named") * 1000 + F.col("conf")).where("score IS NOT NULL")
+    return s.groupBy("photo_id").agg(F.min_by("pass_id", F.struct(-F.col("score"), "pass_id")).alias("base_pass"))
 
 
 def consensus(readings: DataFrame) -> DataFrame:
@@ -155,7 +185,7 @@ def consensus(readings: DataFrame) -> DataFrame:
     c = durable(cluster_readings(readings))
     n_in_pass = F.count("*").over(Window.partitionBy("photo_id", "pass_id"))
     c = c.withColumn("n", n_in_pass).withColumn("pos", F.when(F.col("n") > 1, F.col("idx") / (F.col("n") - 1)).otherwise(0.5))
-    c = c.join(base_pass(c), "photo_id").withColumn("mine", F.col("pass_id") == F.col("base_pass"))
+    c = c.join(shuffled(base_pass(c)), "photo_id").withColumn("mine", F.col("pass_id") == F.col("base_pass"))
     row = F.struct("text", "conf", "name", "sim", "pass_id", "idx")
     best = F.min_by(row, F.struct((-F.col("sim")).alias("a"), (-F.col("conf")).alias("b"), F.col("pass_id"), F.col("idx")))
     g = c.groupBy("photo_id", "cluster").agg(
@@ -168,20 +198,23 @@ def consensus(readings: DataFrame) -> DataFrame:
     base_items = g.where(own.isNotNull() & keep).select("photo_id", "cluster", "votes", F.when(better, b).otherwise(own).alias("r"), F.when(better, "better").otherwise("base").alias("from_"), F.col("own_pos").alias("pos"))
     added = g.where(own.isNull() & (named | (F.col("votes") >= 3))).select("photo_id", "cluster", "votes", b.alias("r"), F.lit("added").alias("from_"), F.col("avg_pos").alias("pos"))
     have = base_items.where("r.name IS NOT NULL").select("photo_id", F.col("r.name").alias("hn")).distinct()
-    added = added.join(have, (added["photo_id"] == have["photo_id"]) & (F.col("r.name") == have["hn"]), "left_anti")
+    added = added.join(shuffled(have), (added["photo_id"] == have["photo_id"]) & (F.col("r.name") == have["hn"]), "left_anti")
     it = base_items.unionByName(added).select("photo_id", "cluster", "votes", "from_", "pos", "r.text", "r.name", "r.sim", "r.conf")
     w = Window.partitionBy("photo_id", "name").orderBy(F.desc("sim"), F.desc("votes"), "pos")
     it = durable(it.withColumn("rn", F.row_number().over(w)).where("name IS NULL OR rn = 1").drop("rn").withColumn("k", plain_key(F.col("text"))))
-    # an unnamed fragment inside a longer kept reading: share the fragment's first four characters, then contain it
+    # an unnamed fragment inside a longer kept reading; in a photo of very many readings they share the fragment's first four characters, then
+    # the reading contains it
     grams = lambda c, n: F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, F.lit(n))))).otherwise(F.array(c))
-    whole = it.select("photo_id", F.col("k").alias("wk"), "cluster").withColumnRenamed("cluster", "wc")
+    lone = it.where("name IS NULL AND k <> ''").select("photo_id", "k").distinct()
+    within = (F.length("wk") > F.length("k")) & F.contains("wk", F.col("k"))
+    dense, frag, whole = block_pairs(lone.withColumnRenamed("k", "a"), it.select("photo_id", F.col("k").alias("b")).distinct(), ["photo_id"])
+    frag, whole = frag.select("photo_id", F.col("a").alias("k"), F.substring("a", 1, 4).alias("g")), whole.withColumnRenamed("b", "wk")
     posts = whole.select("photo_id", "wk", F.explode(grams(F.col("wk"), 4)).alias("g")).distinct()
     short = whole.select("photo_id", "wk", F.explode(F.array_distinct(F.concat(*[grams(F.col("wk"), n) for n in (1, 2, 3)]))).alias("g")).distinct()
-    frag = it.where("name IS NULL").select("photo_id", "cluster", "k").withColumn("g", F.substring("k", 1, 4))
-    inside = (frag.where(F.length("k") >= 4).join(posts, ["photo_id", "g"]).unionByName(frag.where(F.length("k").between(1, 3)).join(short, ["photo_id", "g"]))
-              .where((F.length("wk") > F.length("k")) & F.contains("wk", F.col("k"))).select("photo_id", "cluster").distinct())
-    blank = it.where("name IS NULL AND k = ''").select("photo_id", "cluster")
-    it = it.join(inside, ["photo_id", "cluster"], "left_anti").join(blank, ["photo_id", "cluster"], "left_anti")
+    met = frag.where(F.length("k") >= 4).join(shuffled(posts), ["photo_id", "g"]).unionByName(frag.where(F.length("k") < 4).join(shuffled(short), ["photo_id", "g"])).select("photo_id", "k", "wk")
+    inside = dense.select("photo_id", F.col("a").alias("k"), F.col("b").alias("wk")).unionByName(met).where(within).select("photo_id", "k").distinct()
+    open_ = it.where("name IS NULL AND (k IS NULL OR k <> '')").join(shuffled(inside), ["photo_id", "k"], "left_anti")
+    it = it.where("name IS NOT NULL").unionByName(open_)
     return drop_near_duplicates(durable(it))
 
 
@@ -196,17 +229,20 @@ def drop_near_duplicates(items: DataFrame) -> DataFrame:
     ks = keys.select("photo_id", "k")
     pairs = similar_pairs(ks, ks, 0.72, ["photo_id"]).where("left_key <> right_key")
     side = lambda s: keys.select("photo_id", F.col("k").alias(f"{s}_key"), F.col("q").alias(f"{s}_q"), F.col("name").alias(f"{s}_name"))
-    p = pairs.join(side("left"), ["photo_id", "left_key"]).join(side("right"), ["photo_id", "right_key"])
+    p = pairs.join(shuffled(side("left")), ["photo_id", "left_key"]).join(shuffled(side("right")), ["photo_id", "right_key"])
     different = F.col("left_name").isNotNull() & F.col("right_name").isNotNull() & (F.col("left_name") != F.col("right_name"))
     lost = p.where(((F.col("sim") >= 0.85) | ~different) & (F.col("left_q") > F.col("right_q"))).select("photo_id", F.col("right_q").alias("better"), F.col("left_q").alias("worse"))
     # one inside the other (six or more characters)
-    six = keys.where(F.length("k") >= 6)
-    posts = six.select("photo_id", F.col("k").alias("wk"), F.col("q").alias("wq"), F.col("name").alias("wn"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("k") - 5), lambda i: F.substr("k", i, F.lit(6))))).alias("g"))
-    con = six.withColumn("g", F.substring("k", 1, 6)).join(posts, ["photo_id", "g"]).where((F.col("wk") != F.col("k")) & F.contains("wk", F.col("k")) & ~(F.col("name").isNotNull() & F.col("wn").isNotNull() & (F.col("name") != F.col("wn"))))
-    lost2 = con.select("photo_id", F.least("q", "wq").alias("better"), F.greatest("q", "wq").alias("worse"))
-    same = it.join(keys.select("photo_id", "k", F.col("q").alias("kq")), ["photo_id", "k"], "left").where("kq IS NULL OR q = kq").drop("kq")
+    six = keys.where(F.length("k") >= 6).select("photo_id", F.struct("k", "q", "name").alias("a"))
+    dense, some, whole = block_pairs(six, six.withColumnRenamed("a", "b"), ["photo_id"])
+    posts = whole.select("photo_id", "b", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("b.k") - 5), lambda i: F.substr("b.k", i, F.lit(6))))).alias("g"))
+    met = some.withColumn("g", F.substring("a.k", 1, 6)).join(shuffled(posts), ["photo_id", "g"]).select("photo_id", "a", "b")
+    apart = F.coalesce(F.col("a.name") != F.col("b.name"), F.lit(False))
+    con = dense.unionByName(met).where((F.col("a.k") != F.col("b.k")) & F.contains("b.k", F.col("a.k")) & ~apart)
+    lost2 = con.select("photo_id", F.least("a.q", "b.q").alias("better"), F.greatest("a.q", "b.q").alias("worse"))
+    same = it.join(shuffled(keys.select("photo_id", "k", F.col("q").alias("kq"))), ["photo_id", "k"], "left").where("kq IS NULL OR q = kq").drop("kq")
     gone = greedy_keep(lost.unionByName(lost2), ["photo_id"]).select("photo_id", F.col("worse").alias("q"))
-    return same.join(gone, ["photo_id", "q"], "left_anti").drop("q", "k")
+    return same.join(shuffled(gone), ["photo_id", "q"], "left_anti").drop("q", "k")
 
 
 def fuse_passes(readings: DataFrame, min_sim: float = 0.7, drop_below: float = 45, min_votes: int = 2) -> DataFrame:

@@ -1,5 +1,18 @@
 """What must not depend on how small the input looks before a run."""
-from labelforge.operators import products as P
+import random
+
+from pyspark.sql import functions as F
+
+from labelforge.operators import matching as M, ocr as O, products as P
+
+
+def near(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
 
 
 def plan(df) -> str:
@@ -12,3 +25,28 @@ def test_reference_lookup_broadcasts_no_products(spark):
     r = P.reference_lookup(q, p)
     assert "Broadcast" not in plan(r)
     assert [(x.query_id, x.rank, x.code) for x in r.orderBy("query_id", "rank").collect()] == [("c", 1, "0003")] + [("n", k + 1, c) for k, c in enumerate(["0000", "0001", "0003", "0004", "0006", "0007"])]
+
+
+def test_readings_meet_without_broadcast_and_by_every_path(spark):
+    keys = [(photo, "".join(random.choice("AB") for _ in range(random.randint(1, 9)))) for photo in (1, 1, 1, 2) for _ in range(12)]
+    d = spark.createDataFrame(sorted(set(keys)), "photo_id int, k string")
+    want = {(p, a, b, round(1 - near(a, b) / max(len(a), len(b)), 6)) for p, a in keys for o, b in keys if p == o and 1 - near(a, b) / max(len(a), len(b)) >= 0.7}
+    for most in (0, 150, 1 << 14):  # by segments, by both, pair by pair
+        r = M.similar_pairs(d, d, 0.7, ["photo_id"], most)
+        assert "Broadcast" not in plan(r)
+        assert {(x.photo_id, x.left_key, x.right_key, round(x.sim, 6)) for x in r.collect()} == want
+    pairs = r.where("left_key < right_key").select("photo_id", F.col("left_key").alias("better"), F.col("right_key").alias("worse"))
+    kept = [sorted(map(tuple, O.greedy_keep(pairs, ["photo_id"], most).select("photo_id", "worse", "better").collect())) for most in (0, 40, 1 << 17)]
+    assert kept[0] == kept[1] == kept[2] and kept[0]
+    assert {(p, w) for p, w, _ in kept[0]}.isdisjoint({(p, b) for p, _, b in kept[0]})
+
+
+def test_settling_readings_takes_one_pass(spark):
+    chain = spark.createDataFrame([(1, i, i + 1) for i in range(30)], "photo_id int, better int, worse int")
+    def jobs():
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
+    spark.sparkContext.setJobGroup("chain", "chain")
+    got = sorted(map(tuple, O.greedy_keep(chain, ["photo_id"]).collect()))
+    n = jobs()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == [(1, i + 1, i) for i in range(0, 30, 2)] and n < 15
