@@ -8,7 +8,7 @@ from pyspark.sql import Window, functions as F, types as T
 from ..functions import text as X
 from ..operators import evaluate as E, ocr as O
 from ..operators.stitch import merge_photos
-from ..runtime import checkpoint_folder
+from ..runtime import checkpoint_folder, shuffled
 from ..streaming import jobs as J
 from .match_queries import resolved_orders
 from .registry import LI, lines, part_dictionary, part_names, query, sql_key, table
@@ -207,7 +207,7 @@ def _(spark, d):
 @query("e4_noisy_distance", "SELECT CAST(c AS INT) AS copy, count(*) AS n, 0 AS too_far FROM part, (SELECT unnest(range(1, 6)) AS c) GROUP BY ALL")
 def _(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.upper("p_name").alias("raw"))
-    n = E.noisy_copies(p, 5).join(p.withColumnRenamed("raw", "orig"), "id")
+    n = E.noisy_copies(p, 5).join(shuffled(p.withColumnRenamed("raw", "orig")), "id")
     return n.groupBy("copy").agg(F.count("*").alias("n"), F.count_if(F.levenshtein("raw", "orig") > 4).alias("too_far"))
 
 

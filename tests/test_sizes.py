@@ -3,7 +3,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from labelforge.operators import matching as M, ocr as O, products as P
+from labelforge.operators import evaluate as E, matching as M, ocr as O, products as P
+from labelforge.plans import catalog
 
 
 def near(a, b):
@@ -50,3 +51,7 @@ def test_settling_readings_takes_one_pass(spark):
     n = jobs()
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert got == [(1, i + 1, i) for i in range(0, 30, 2)] and n < 15
+
+
+def test_noisy_distance_broadcasts_no_names(spark):
+    assert "Broadcast" not in plan(catalog.QUERIES["e4_noisy_distance"](spark, "/root/testdata/sf0.001"))
