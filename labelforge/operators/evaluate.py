@@ -5,7 +5,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as X
 from ..functions.similarity import indel_ratio
-from .matching import edit_similarity, similar_pairs
+from ..runtime import shuffled
+from .matching import block_pairs, edit_similarity, similar_pairs
 
 OUTCOMES = ["resolved_ok", "resolved_wrong", "category_ok", "category_wrong", "sugg_top1_ok", "sugg_top3_only", "sugg_top1_wrong", "unresolved_ok", "not_found", "unavailable", "missing"]
 CORRECT = ["resolved_ok", "category_ok", "sugg_top1_ok", "unresolved_ok"]
@@ -15,21 +16,30 @@ def match_truth(truth: DataFrame, items: DataFrame, by: str = "label_id") -> Dat
     """truth(by, ord, raw), items(by, idx, raw) -> (by, ord, idx): the first item with the truth's key, else the first that
     contains it or lies in it at 80% of the length (both five characters or more).
 
-    A contained pair of that length ratio shares a five-character start of the shorter one, so the leftovers meet on
-    five-character windows instead of all against all.
+    The rows of a label are compared pair by pair.  In a label of very many rows a contained pair of that length ratio shares a five-character
+    start of the shorter one, so what is not equal meets on five-character windows instead of all against all.
     """
     want = X.match_key(F.replace(F.regexp_replace("raw", r"(?i)^(?:may contain\s*:?|\+/-)\s*", ""), F.lit(" + "), F.lit("")))
     t = truth.select(by, "ord", want.alias("want"))
     it = items.select(by, "idx", X.match_key(F.col("raw")).alias("key"))
-    exact = t.join(it, (t[by] == it[by]) & (t["want"] == it["key"])).groupBy(t[by], "ord").agg(F.min("idx").alias("idx"))
-    left = t.join(exact, [by, "ord"], "left_anti").where(F.length("want") >= 5)
-    open_items = it.where(F.length("key") >= 5)
+    rate = lambda w, k: F.least(F.length(w), F.length(k)) / F.greatest(F.length(w), F.length(k))
+    a, b = t.where("want IS NOT NULL").select(by, F.struct("ord", "want").alias("a")), it.where("key IS NOT NULL").select(by, F.struct("idx", "key").alias("b"))
+    dense, t_far, it_far = block_pairs(a, b, [by])
+    want, key = F.col("a.want"), F.col("b.key")
+    within = (F.least(F.length(want), F.length(key)) >= 5) & (rate(want, key) >= 0.8) & (F.contains(want, key) | F.contains(key, want))
+    rank = F.when(want == key, 0).when(within, 1)
+    few = dense.withColumn("rank", rank).where("rank IS NOT NULL").groupBy(by, F.col("a.ord").alias("ord")).agg(F.min(F.struct("rank", "b.idx")).alias("m")).select(by, "ord", "m.idx")
+    # labels of very many rows meet by content
+    tf, itf = t_far.select(by, "a.*"), it_far.select(by, "b.*")
+    exact = tf.join(shuffled(itf.withColumnRenamed("key", "want")), [by, "want"]).groupBy(by, "ord").agg(F.min("idx").alias("idx"))
+    left = tf.join(shuffled(exact), [by, "ord"], "left_anti").where(F.length("want") >= 5)
+    open_items = itf.where(F.length("key") >= 5)
     win = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 4), lambda i: F.substr(c, i, F.lit(5))))
-    a = left.withColumn("g", F.substring("want", 1, 5)).join(open_items.withColumn("g", F.explode(win(F.col("key")))), [by, "g"]).where(F.contains("key", F.col("want")))
-    b = left.withColumn("g", F.explode(win(F.col("want")))).join(open_items.withColumn("g", F.substring("key", 1, 5)), [by, "g"]).where(F.contains("want", F.col("key")))
-    near = a.select(by, "ord", "idx", "want", "key").unionByName(b.select(by, "ord", "idx", "want", "key"))
-    near = near.where(F.least(F.length("want"), F.length("key")) / F.greatest(F.length("want"), F.length("key")) >= 0.8).groupBy(by, "ord").agg(F.min("idx").alias("idx"))
-    return t.select(by, "ord").join(exact.unionByName(near), [by, "ord"], "left")
+    x = left.withColumn("g", F.substring("want", 1, 5)).join(shuffled(open_items.withColumn("g", F.explode(win(F.col("key"))))), [by, "g"]).where(F.contains("key", F.col("want")))
+    y = left.withColumn("g", F.explode(win(F.col("want")))).join(shuffled(open_items.withColumn("g", F.substring("key", 1, 5))), [by, "g"]).where(F.contains("want", F.col("key")))
+    near = x.select(by, "ord", "idx", "want", "key").unionByName(y.select(by, "ord", "idx", "want", "key"))
+    near = near.where(rate("want", "key") >= 0.8).groupBy(by, "ord").agg(F.min("idx").alias("idx"))
+    return t.select(by, "ord").join(shuffled(few.unionByName(exact).unionByName(near)), [by, "ord"], "left")
 
 
 def resolution_outcome(found: Column, status: Column, layer: Column, inci: Column, item_category: Column, candidates: Column,
@@ -57,7 +67,7 @@ def truth_outcomes(truth: DataFrame, items: DataFrame) -> DataFrame:
     i = items.select("label_id", "idx", "status", "layer", "high_confidence", X.match_key(F.col("inci_name")).alias("inci_key"), F.col("category").alias("item_category"),
                      F.transform("candidates", lambda c: X.fold_key(c["inci_name"])).alias("cand_keys"))
     t = truth.select("label_id", "ord", X.match_key(F.col("inci")).alias("want"), F.transform(F.coalesce("suggested_any_of", F.array().cast("array<string>")), lambda x: X.fold_key(x)).alias("any_of"), "category")
-    j = t.join(m, ["label_id", "ord"]).join(i, ["label_id", "idx"], "left")
+    j = t.join(shuffled(m), ["label_id", "ord"]).join(shuffled(i), ["label_id", "idx"], "left")
     o = resolution_outcome(F.col("idx").isNotNull(), F.col("status"), F.col("layer"), F.col("inci_key"), F.col("item_category"), F.col("cand_keys"), F.col("want"), F.col("any_of"), F.col("category"))
     return j.select("label_id", "ord", o.alias("outcome"), "layer", "status", F.coalesce("high_confidence", F.lit(False)).alias("high_confidence"))
 
@@ -105,11 +115,11 @@ def change_report(labels: DataFrame, items: DataFrame, removed: DataFrame, expec
         d = w.distinct()
         a = holding(d.withColumnRenamed("w", "n"), x.withColumnRenamed("x", "e"), "label_id", [least]).select("label_id", F.col("n").alias("w"))
         b = holding(x.withColumnRenamed("x", "n"), d.withColumnRenamed("w", "e"), "label_id", [1, 2, 3, 4]).select("label_id", F.col("e").alias("w"))
-        return w.join(a.unionByName(b).distinct(), ["label_id", "w"], "left_semi")
+        return w.join(shuffled(a.unionByName(b).distinct()), ["label_id", "w"], "left_semi")
     per = lambda d, c: d.groupBy("label_id").agg(F.count("*").alias(c))
     j = labels.select("label_id", group)
     for d, c in ((expected_removed, "expected_removed"), (found(expected_removed, 4), "removed_right"), (found(missing, 5), "wrongly_removed")):
-        j = j.join(per(d, c), "label_id", "left")
+        j = j.join(shuffled(per(d, c)), "label_id", "left")
     j = j.join(items.groupBy("label_id").agg(F.count_if("merged").alias("merges"), F.count_if("split").alias("cut")), "label_id", "left").na.fill(0, ["expected_removed", "removed_right", "wrongly_removed", "merges", "cut"])
     j = j.withColumn("splits", F.floor(F.col("cut") / 2))  # halves of a label come in pairs
     sums = ["expected_removed", "removed_right", "wrongly_removed", "merges", "splits"]
@@ -239,19 +249,23 @@ def best_truth_ratio(tokens: DataFrame, names: DataFrame, floor: float = 0.7, by
     """tokens(by, token), names(by, name) -> (by, token, best): best edit similarity of at least ``floor`` over the names of the same label."""
     k = lambda d, c: d.select(by, X.label_norm(F.col(c)).alias("k")).where("k <> ''").distinct()
     p = similar_pairs(k(tokens, "token"), k(names, "name"), floor, [by]).groupBy(by, F.col("left_key").alias("k")).agg(F.max("sim").alias("best"))
-    return tokens.select(by, "token").distinct().withColumn("k", X.label_norm(F.col("token"))).join(p, [by, "k"], "left").select(by, "token", F.coalesce("best", F.lit(0.0)).alias("best"))
+    return tokens.select(by, "token").distinct().withColumn("k", X.label_norm(F.col("token"))).join(shuffled(p), [by, "k"], "left").select(by, "token", F.coalesce("best", F.lit(0.0)).alias("best"))
 
 
 def holding(longer: DataFrame, shorter: DataFrame, by: str, sizes: list[int]) -> DataFrame:
     """longer(by, n), shorter(by, e), both distinct -> (by, n, e) where ``n`` contains ``e`` within the same ``by``.
 
     A contained string brings its start along, so pairs meet on the first ``max(sizes)`` characters of ``e`` (all of it, if shorter)
-    among the windows of ``n``; ``sizes`` names the lengths such starts can have.  Empty strings are contained in nothing.
+    among the windows of ``n``; ``sizes`` names the lengths such starts can have.  Empty strings are contained in nothing.  Labels of few
+    strings are compared pair by pair.
     """
-    win = lambda k: F.when(F.length("n") >= k, F.transform(F.sequence(F.lit(1), F.length("n") - k + 1), lambda i: F.substr("n", i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-    grams = longer.select(by, "n", F.explode(F.array_distinct(F.concat(*[win(k) for k in sizes]))).alias("g"))
-    heads = shorter.select(by, "e", F.substring("e", 1, max(sizes)).alias("g"))
-    return grams.join(heads, [by, "g"]).where(F.contains("n", F.col("e"))).select(by, "n", "e")
+    dense, longer, shorter = block_pairs(longer.withColumnRenamed("n", "a").where("a <> ''"), shorter.withColumnRenamed("e", "b").where("b <> ''"), [by])
+    win = lambda k: F.when(F.length("a") >= k, F.transform(F.sequence(F.lit(1), F.length("a") - k + 1), lambda i: F.substr("a", i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    grams = longer.select(by, "a", F.explode(F.array_distinct(F.concat(*[win(k) for k in sizes]))).alias("g"))
+    heads = shorter.select(by, "b", F.substring("b", 1, max(sizes)).alias("g"))
+    met = grams.join(shuffled(heads), [by, "g"]).select(by, "a", "b")
+    start = F.length(F.substring("b", 1, max(sizes))).isin(*sizes)
+    return dense.where(start).unionByName(met).where(F.contains("a", F.col("b"))).select(by, F.col("a").alias("n"), F.col("b").alias("e"))
 
 
 def token_causes(tokens: DataFrame, truth: DataFrame, removed: DataFrame, by: str = "label_id") -> DataFrame:
@@ -266,10 +280,10 @@ def token_causes(tokens: DataFrame, truth: DataFrame, removed: DataFrame, by: st
     k = t.select(by, "n").where("n IS NOT NULL").distinct()
     parts = truth.select(by, F.explode(F.split("raw", r" \+ ")).alias("part"), F.contains("raw", F.lit(" + ")).alias("joined")).select(by, norm("part").alias("e"), "joined")
     named = parts.where(F.length("e") > 5).groupBy(by, "e").agg(F.count("*").alias("times"))
-    hits = holding(k, named.select(by, "e"), by, [6]).join(named, [by, "e"])
+    hits = holding(k, named.select(by, "e"), by, [6]).join(shuffled(named), [by, "e"])
     inner = holding(named.select(by, F.col("e").alias("n")), named.select(by, "e"), by, [6]).where("n <> e").select(by, "e", F.col("n").alias("o"))
-    covered = hits.join(inner, [by, "e"]).join(hits.select(by, "n", F.col("e").alias("o")), [by, "n", "o"]).select(by, "n", "e").distinct()
-    two = hits.join(covered, [by, "n", "e"], "left_anti").groupBy(by, "n").agg((F.sum("times") >= 2).alias("two"))
+    covered = hits.join(shuffled(inner), [by, "e"]).join(shuffled(hits.select(by, "n", F.col("e").alias("o"))), [by, "n", "o"]).select(by, "n", "e").distinct()
+    two = hits.join(shuffled(covered), [by, "n", "e"], "left_anti").groupBy(by, "n").agg((F.sum("times") >= 2).alias("two"))
     part = parts.where("joined").select(by, F.col("e").alias("n")).distinct().withColumn("part", F.lit(True))
     gone = removed.select(by, norm("raw").alias("e")).where("e <> ''").distinct()
     leak = holding(k, gone, by, [1, 2, 3]).select(by, "n").distinct().withColumn("leak", F.lit(True))
@@ -278,9 +292,9 @@ def token_causes(tokens: DataFrame, truth: DataFrame, removed: DataFrame, by: st
     best = best_truth_ratio(tokens, truth.where("inci IS NOT NULL").select(by, F.col("inci").alias("name")), by=by)
     j = t
     for flag in (two, part, leak, classed):
-        j = j.join(flag, [by, "n"], "left")
+        j = j.join(shuffled(flag), [by, "n"], "left")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    j = j.join(best, [by, "token"], "left").withColumn("best", F.coalesce("best", F.lit(0.0)))
+    j = j.join(shuffled(best), [by, "token"], "left").withColumn("best", F.coalesce("best", F.lit(0.0)))
     return j.select(by, "token", failure_causes(F.col("token"), F.col("best"), yes("two"), yes("part"), yes("leak"), yes("classed")).alias("causes"))
 
 

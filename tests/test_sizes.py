@@ -55,3 +55,18 @@ def test_settling_readings_takes_one_pass(spark):
 
 def test_noisy_distance_broadcasts_no_names(spark):
     assert "Broadcast" not in plan(catalog.QUERIES["e4_noisy_distance"](spark, "/root/testdata/sf0.001"))
+
+
+def test_labels_are_judged_alike_by_every_path(spark, monkeypatch):
+    word = lambda: "".join(random.choice("AB") for _ in range(random.randint(5, 9)))
+    t = spark.createDataFrame([(label, i, word()) for label in (1, 2) for i in range(12)] + [(3, 0, None)], "label_id int, ord int, raw string")
+    i = spark.createDataFrame([(label, i, word()) for label in (1, 2) for i in range(9 * label)], "label_id int, idx int, raw string")
+    a, b = (d.select("label_id", F.col("raw").alias(c)).where("raw IS NOT NULL").distinct() for d, c in ((t, "n"), (i, "e")))
+    pairs = M.block_pairs
+    got = []
+    for most in (0, 120, 1 << 14):
+        monkeypatch.setattr(E, "block_pairs", lambda l, r, by, most=most: pairs(l, r, by, most))
+        r, h = E.match_truth(t, i), E.holding(a, b, "label_id", [1, 2, 3, 4]).unionByName(E.holding(a, b, "label_id", [6]))
+        assert "Broadcast" not in plan(r) + plan(h)
+        got.append((sorted(map(str, r.collect())), sorted(map(str, h.collect()))))
+    assert got[0] == got[1] == got[2] and len(got[0][0]) == 25 and got[0][1]
