@@ -319,8 +319,9 @@ EVENTS = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("t
 
 
 def stream(spark, d, name="events"):
+    """A table as a stream; the pattern matches its name alone, be it one file or a folder of files (a stream takes no single file)."""
     schema = table(spark, d, name).schema
-    s = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    s = spark.readStream.schema(schema).parquet(f"{d}/{name}.parque[t]")
     return s.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in s.columns else s
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from labelforge.operators import evaluate as E, matching as M, ocr as O, products as P
 from labelforge.plans import catalog
+from labelforge.plans.ocr_queries import stream
 
 
 def near(a, b):
@@ -70,3 +71,12 @@ def test_labels_are_judged_alike_by_every_path(spark, monkeypatch):
         assert "Broadcast" not in plan(r) + plan(h)
         got.append((sorted(map(str, r.collect())), sorted(map(str, h.collect()))))
     assert got[0] == got[1] == got[2] and len(got[0][0]) == 25 and got[0][1]
+
+
+def test_a_table_streams_from_one_file_or_a_folder(spark, tmp_path):
+    whole = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    whole.repartition(3).write.parquet(f"{tmp_path}/d/conversations.parquet")
+    for n, d in enumerate(("/root/testdata/sf0.001", f"{tmp_path}/d")):
+        seen = []
+        stream(spark, d, "conversations").writeStream.foreachBatch(lambda b, i: seen.append(b.count())).option("checkpointLocation", f"{tmp_path}/state{n}").trigger(availableNow=True).start().awaitTermination()
+        assert sum(seen) == whole.count()
