@@ -23,9 +23,9 @@ from .common import TooLarge, batch, map_texts, slices
 #: Largest vocabulary file that is broadcast.
 MAX_RANK_BYTES = 64 << 20
 #: Pre-tokens and words that a worker remembers in one generation; what the last two generations have not met is forgotten.
-CACHE = 250_000
+CACHE = 120_000
 #: Text whose new words share one queue; texts are cut and encoded a smaller slice at a time.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 #: Pieces longer than this are not remembered beyond their group.
 CACHE_CHARS = 40
 _GROUP = 256

@@ -23,6 +23,8 @@ BUCKETS = 1 << 15
 MAX_LANGUAGES = 256
 SMOOTHING = 0.5
 STEPS = 15
+#: Text bytes that are counted or judged at a time; the arrays of a slice take about fifty times as much.
+SLICE = 512 << 10
 #: Penalty per further language, times the logarithm of the number of trigrams; overlapping trigrams are no independent draws.
 PENALTY = 3.0
 #: A language whose estimated proportion is below this is never added.
@@ -61,7 +63,7 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Lang
                 at = np.flatnonzero(n)
                 yield batch(lang=pa.array([lang] * len(at), pa.string()), bucket=pa.array(at.astype(np.int32)), n=pa.array(n[at]))
             seen.clear()
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE):
             langs = b.column(0).to_pylist()
             names = sorted(set(langs))
             number = np.array([names.index(x) for x in langs])
@@ -150,4 +152,4 @@ def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_c
             return batch(id=b.column(0), lang_pred=pa.array(pred, pa.string()), score=pa.array(score, pa.float64()), mixture=pa.array(mixture, pa.map_(pa.string(), pa.float64())))
         return step
     named = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return map_texts(named, ["id", "text"], "text", make, f"id {kind}, lang_pred string, score double, mixture map<string,double>").withColumnRenamed("id", id_col)
+    return map_texts(named, ["id", "text"], "text", make, f"id {kind}, lang_pred string, score double, mixture map<string,double>", SLICE).withColumnRenamed("id", id_col)
