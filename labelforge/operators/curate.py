@@ -4,9 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
-from ..runtime import durable
 from .dictionary import first_per
-from .phrases import key_spans
+from .phrases import name_spans
 
 
 def _inner(c: Column, tag: str) -> Column:
@@ -62,28 +61,11 @@ def prohibited_rows(rows: DataFrame, glossary: DataFrame) -> DataFrame:
 def longest_span_names(texts: DataFrame, names: DataFrame, id_col: str = "id", text_col: str = "cell", max_words: int | None = None) -> DataFrame:
     """(id, names): dictionary names found in a text - the whole text; else its comma parts, then the greedy longest word spans.
 
-    Spans are looked up a batch of texts at a time (``key_spans``), so only spans that are a name become rows; the greedy left-to-right
-    cover runs over a text's matches. No text is shuffled: texts that are a name as a whole lose their other matches afterwards.
+    A row is a text of its own, settled where it is read (``name_spans``): no text and none of its matches is shuffled.
     """
     d = names.select(F.upper(F.col(names.columns[0])).alias("name")).distinct().withColumn("key", X.match_key(F.col("name"))).where("key <> ''")
-    d = durable(first_per(d, ["key"], F.col("name").desc()))
-    t = texts.select(F.col(id_col).alias("id"), X.nfkc(F.col(text_col)).alias("t"))
-    reach = d.agg(F.max(F.length("key"))).first()[0] or 0
-    fits = F.length("key").between(1, reach)
-    whole = t.select("id", X.fold_key(F.col("t")).alias("key")).where(fits).join(d, "key").select("id", F.lit(0).alias("g"), F.lit(0).alias("o"), "name")
-    parts = t.select("id", F.posexplode(F.split("t", "[;,]")).alias("o", "p")).withColumn("key", X.fold_key(F.col("p"))).where(fits).join(d, "key").select("id", F.lit(1).alias("g"), "o", "name")
-    words = F.filter(F.transform(F.split(X.strip(F.col("t")), r"\s+"), lambda x: X.fold_key(x)), lambda k: k != "")
-    cand = key_spans(t.select("id", F.array_join(words, " ").alias("t")), d).join(d, "key")
-    if max_words is not None:
-        cand = cand.where(F.col("j") - F.col("i") <= max_words)
-    longest = cand.groupBy("id", "i").agg(F.max(F.struct("j", "name")).alias("b")).select("id", "i", "b.j", "b.name")
-    per = longest.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "j", "name"))).alias("m"))
-    step = lambda acc, x: F.when(x["i"] >= acc["end"], F.struct(x["j"].alias("end"), F.concat(acc["out"], F.array(F.struct(x["i"].alias("i"), x["name"].alias("name")))).alias("out"))).otherwise(acc)
-    cover = F.aggregate("m", F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<i:int,name:string>>").alias("out")), step, lambda acc: acc["out"])
-    span = per.select("id", F.explode(cover).alias("c")).select("id", F.lit(2).alias("g"), F.col("c.i").alias("o"), F.col("c.name").alias("name"))
-    other = parts.unionByName(span).join(whole.select("id"), "id", "left_anti")
-    every = first_per(whole.unionByName(other), ["id", "name"], F.col("g"), F.col("o"))
-    return every.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("g", "o", "name"))).alias("m")).select(F.col("id").alias(id_col), F.col("m.name").alias("names"))
+    t = texts.select(F.col(id_col).alias("id"), F.upper(X.nfkc(F.col(text_col))).alias("t"))
+    return name_spans(t, first_per(d, ["key"], F.col("name").desc()), max_words).withColumnRenamed("id", id_col)
 
 
 # Wording of the labelling duty; curated families whose members are literal names.

@@ -2,6 +2,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from labelforge.operators.phrases import find_phrases, segments
@@ -92,3 +94,32 @@ def test_longest_spans_against_a_walk(spark):
     d = spark.createDataFrame(list(enumerate(texts)), "id long, cell string")
     got = dict(map(tuple, longest_span_names(d, spark.createDataFrame([(n,) for n in names], "name string")).collect()))
     assert got == {i: plain(t) for i, t in enumerate(texts) if t and plain(t)}
+
+
+def test_names_in_slices_and_of_one_hash(spark, monkeypatch):
+    """A dictionary read in several slices gives what one slice gives, also where all keys of a length share a hash."""
+    from labelforge.operators import phrases as P
+    random.seed(11)
+    words = ["".join(random.choice("AB") for _ in range(random.randint(1, 3))) for _ in range(8)]
+    names = sorted({"".join(random.choice(words) for _ in range(random.randint(1, 3))) for _ in range(30)})
+    texts = [" ".join(random.choice(words + ["C,", ";"]) for _ in range(random.randint(0, 30))) for _ in range(40)]
+    t = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    n = spark.createDataFrame([(x, f"N {x}") for x in names], "key string, name string")
+    one = dict(map(tuple, P.name_spans(t, n).collect()))
+    assert one and dict(map(tuple, P.name_spans(t, n, index_rows=7).collect())) == one
+    raw = [x.encode() for x in texts]
+    keys = pa.array(names), pa.array([f"N {x}" for x in names])
+    want = sorted(map(tuple, P._settled(P._named(raw, P.Names(*keys), None)).T.tolist()))
+    monkeypatch.setattr(P.Letters, "piece", lambda self, a, z, tag: np.asarray(z - a, np.int64))
+    index = P.Names(*keys)
+    assert index.alike > 1
+    names_of = lambda x: [(d, index.names[e].as_py()) for d, e in x]
+    assert sorted(names_of(P._settled(P._named(raw, index, None)).T.tolist())) == sorted((d, x) for d, xs in one.items() for x in xs) and len(want) == sum(map(len, one.values()))
+
+
+def test_long_text_is_settled_without_a_shuffle(spark):
+    from labelforge.operators.curate import longest_span_names
+    d = spark.createDataFrame([(1, "red ring, blue " * 20000)], "id long, cell string")
+    r = longest_span_names(d, spark.createDataFrame([("red ring",), ("blue",)], "name string"))
+    assert r.first()["names"] == ["RED RING", "BLUE"]
+    assert "Exchange" not in r._jdf.queryExecution().executedPlan().toString()
