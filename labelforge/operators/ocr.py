@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import text as X
 from ..runtime import durable, shuffled
-from .matching import block_pairs, edit_similarity, nearest_name, similar_pairs
+from .matching import DENSE_PAIRS, block_pairs, edit_similarity, nearest_name, similar_pairs
 
 # Calibrated photo and reading thresholds.
 BLUR_MIN, GLARE_BLOB_MAX, GLARE_MAX_SHARE, WHITE_PAGE, LONG_SIDE_MIN, TEXT_HEIGHT_MIN = 40, 0.10, 0.5, 250, 300, 8
@@ -261,32 +261,116 @@ def fuse_passes(readings: DataFrame, min_sim: float = 0.7, drop_below: float = 4
 # ---------------------------------------------------------------------------------------------------
 # Stitching photos that overlap
 
+def rising_chain(matches) -> list[tuple[int, int]]:
+    """Longest chain of a pair's matches (i, j) that rises in both lists, from its end; of equal chains the one that ends earliest."""
+    m = sorted(set(matches))
+    best: list[tuple[int, int]] = []  # length of the best chain that ends here, match before
+    for n, (i, j) in enumerate(m):
+        length, before = max(((best[p][0], -p) for p in range(n) if m[p][0] < i and m[p][1] < j), default=(0, 1))
+        best.append((length + 1, -before))
+    at = max(range(len(m)), key=lambda n: (best[n][0], -n), default=-1)
+    out = []
+    while at >= 0:
+        out.append(m[at])
+        at = best[at][1]
+    return out
+
+
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType())])))
 def longest_chain(matches: pd.Series) -> pd.Series:
-    """Longest chain of a pair's matches (i, j) that rises in both lists; of equal chains the one that ends earliest."""
-    def one(pairs) -> list[dict]:
-        m = sorted({(p["i"], p["j"]) for p in pairs})
-        best: list[tuple[int, int]] = []  # length of the best chain that ends here, match before
-        for n, (i, j) in enumerate(m):
-            length, before = max(((best[p][0], -p) for p in range(n) if m[p][0] < i and m[p][1] < j), default=(0, 1))
-            best.append((length + 1, -before))
-        at = max(range(len(m)), key=lambda n: (best[n][0], -n), default=-1)
-        out = []
-        while at >= 0:
-            out.append({"i": m[at][0], "j": m[at][1]})
-            at = best[at][1]
-        return out
-    return matches.map(one)
+    """``rising_chain`` of each row's matches."""
+    return matches.map(lambda pairs: [{"i": i, "j": j} for i, j in rising_chain((p["i"], p["j"]) for p in pairs)])
 
 
-def stitch_overlaps(a: DataFrame, b: DataFrame, by: str = "product_id") -> DataFrame:
+def _joined(a: list[tuple], b: list[tuple], like) -> tuple[list[tuple[int, str]], bool]:
+    """Two lists of (row, i, key, text, conf) in their order -> (row whose text and confidence stand, side) in the joined order, overlap."""
+    def places(rows):
+        out: dict[str, list[int]] = {}
+        for _, i, k, *_ in rows:
+            if k:
+                out.setdefault(k, []).append(i)
+        return out
+    # one place per key and occurrence on each side keeps repeated names from multiplying
+    other = places(b)
+    m = {p for x, at in places(a).items() for y, to in other.items() if like(x, y) is not None for p in zip(at, to)}
+    overlap = any((i + 1, j + 1) in m for i, j in m)
+    chain = rising_chain(m) if overlap else []
+    to_b, to_a = dict(chain), {j: i for i, j in chain}
+    read = {j: (row, conf) for row, j, _, _, conf in b}
+    out = []
+    for row, i, _, text, conf in a:
+        both = read[to_b[i]] if i in to_b else None
+        surer = both is not None and both[1] is not None and conf is not None and both[1] > conf
+        out.append((float(i), -1, text is not None, text, both[0] if surer else row, "a" if both is None else "both"))
+    last, behind = max((i for _, i, *_ in a), default=-1), None
+    for row, j, _, text, _ in b:
+        if j in to_a:
+            behind = to_a[j] if behind is None else max(behind, to_a[j])
+            continue
+        place = last + 1.0 if not overlap else -0.5 if behind is None else behind + 0.5
+        out.append((place, j, text is not None, text, row, "b"))
+    return [(x[4], x[5]) for x in sorted(out)], overlap
+
+
+def stitch_overlaps(a: DataFrame, b: DataFrame, by: str = "product_id", most: int = DENSE_PAIRS) -> DataFrame:
     """a, b(by, i, text, conf) -> (by, ord, text, conf, side, overlap): two readings of one list joined at their overlap.
 
     A run of two or more matches (similarity >= .75) in a row accepts the overlap; then the longest chain of matches that
     rises in both lists is joined, so an item that one photo missed leaves no gap.  Matched places keep the better-read text; what
     only the second list has follows the match before it.  Without such a run the second list simply follows the first.
-    The chain is worked out per list pair, over its matches only.
+    One shuffle brings a product's two lists together and a task joins them as they pass; lists of more than ``most`` pairs or
+    items are joined by ``stitch_wide`` instead.
     """
+    from .stitch import similarity
+    side = lambda d, n: d.select(by, F.lit(n).alias("s"), "i", "text", "conf")
+    both = side(a, 0).unionByName(side(b, 1))
+    large = both.groupBy(by).agg(F.count("*").alias("n"), F.sum("s").alias("nb")).where((F.col("n") > most) | (F.col("nb") * (F.col("n") - F.col("nb")) > most) | F.col(by).isNull()).select(by)
+    few, wide = both, None
+    if not large.isEmpty():
+        few = both.where(F.col(by).isNotNull()).join(shuffled(large), by, "left_anti")
+        wide = durable(both.join(shuffled(large), by, "left_semi").unionByName(both.where(F.col(by).isNull())))
+    listed = few.repartition(by).sortWithinPartitions(by, "s", "i").select(by, "s", "i", "text", "conf", plain_key(F.col("text")).alias("k"))
+    kind = {f.name: f.dataType.simpleString() for f in listed.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def joined(t: pa.Table) -> pa.RecordBatch:
+            t = t.combine_chunks()
+            key, s, i, text, conf, k = (c.to_pylist() for c in t.columns)
+            rows = list(zip(range(len(key)), i, k, text, conf))
+            at, number, sides, overlaps, first = [], [], [], [], 0
+            while first < len(key):
+                stop = first
+                while stop < len(key) and key[stop] == key[first]:
+                    stop += 1
+                cut = first + sum(x == 0 for x in s[first:stop])
+                out, overlap = _joined(rows[first:cut], rows[cut:stop], similarity)
+                at += [row for row, _ in out]
+                sides += [x for _, x in out]
+                number += range(len(out))
+                overlaps += [overlap] * len(out)
+                first = stop
+            t = t.take(pa.array(at, pa.int64())).combine_chunks()
+            column = lambda c: t[c].chunk(0) if t[c].num_chunks else pa.array([], t[c].type)
+            return pa.RecordBatch.from_arrays([column(by), pa.array(number, pa.int32()), column("text"), column("conf"), pa.array(sides, pa.string()), pa.array(overlaps, pa.bool_())],
+                                              [by, "ord", "text", "conf", "side", "overlap"])
+        held = None  # the last product of a batch may go on in the next
+        for b in filter(len, batches):
+            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            key = t[by].to_pylist()
+            cut = len(key) - 1
+            while cut and key[cut - 1] == key[-1]:
+                cut -= 1
+            held = t.slice(cut)
+            if cut:
+                yield joined(t.slice(0, cut))
+        if held is not None:
+            yield joined(held)
+    done = listed.mapInArrow(run, f"`{by}` {kind[by]}, ord int, text {kind['text']}, conf {kind['conf']}, side string, overlap boolean")
+    return done if wide is None else done.unionByName(stitch_wide(wide.where("s = 0").drop("s"), wide.where("s = 1").drop("s"), by))
+
+
+def stitch_wide(a: DataFrame, b: DataFrame, by: str) -> DataFrame:
+    """``stitch_overlaps`` by joins, for lists of very many items; a product's chain is worked out over its matches only."""
     ka, kb = a.withColumn("k", plain_key(F.col("text"))), b.withColumn("k", plain_key(F.col("text")))
     sim = similar_pairs(ka.where("k <> ''").select(by, "k").distinct(), kb.where("k <> ''").select(by, "k").distinct(), MATCH_SIM, [by])
     # one place per key and occurrence on each side keeps repeated names from multiplying

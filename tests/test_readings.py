@@ -1,4 +1,6 @@
 """Hand-worked cases of the reading operators that have no SQL oracle."""
+import random
+
 from labelforge.operators import evaluate as E, ocr as O
 
 
@@ -41,3 +43,15 @@ def test_only_a_kept_reading_drops_another(spark):
 def test_word_recall_of_empty_photos(spark):
     p = spark.createDataFrame([("a", "glycerin aqua", None), ("b", "of to", "glycerin"), ("c", "glycerin", "glycerine")], "photo_id string, truth string, ocr string")
     assert {r.photo_id: r.recall for r in E.word_recall(p).collect()} == {"a": 0.0, "b": 0.0, "c": 1.0}
+
+
+def test_stitching_in_a_task_equals_joins(spark):
+    """Lists that a task joins and lists that go by joins give the same rows."""
+    r = random.Random(5)
+    words = ["Aqua", "Glycerin", "Glycer1n", "Panthenol", "Cetyl Alcohol", "Cetyl Alc0hol", "Mica", "", "Talc"]
+    mk = lambda seed: [(p, i, r.choice(words), float(r.choice([40, 60, 80])) if r.random() < 0.9 else None) for p in range(60) for i in range(r.randint(0, 6))]
+    s = "product_id int, i int, text string, conf double"
+    a, b = spark.createDataFrame(mk(1), s), spark.createDataFrame(mk(2), s)
+    rows = lambda d: sorted(map(repr, d.collect()))
+    got = rows(O.stitch_overlaps(a, b))
+    assert got == rows(O.stitch_overlaps(a, b, most=0)) and "overlap=True" in "".join(got)
