@@ -82,3 +82,16 @@ def test_letter_profile_bounds_the_common_subsequence(spark):
     shared = sum((M.F.bit_count(p[m].bitwiseAND(q[m])) for m in range(3)), M.F.least(p[3], q[3]))
     for r in rows.select("a", "b", shared.alias("s")).collect():
         assert r.s >= S.indel_ratio_one(r.a, r.b) * (len(r.a) + len(r.b)) / 200 - 1e-9
+
+
+def test_near_names_settle_numbered_names(spark):
+    """Names that share all letters but their number are met by what is left of them; the pool equals all pairs."""
+    r = random.Random(9)
+    names = sorted({f"SUPPLIER{r.randrange(3000):09d}" for _ in range(700)} | {f"S{n}" for n in range(40)})
+    keys = noisy(names, 50, 10) + ["ZQ17WVXY", "S1", "SUPPLIER0000012347", "Q"]
+    for limit, cutoff in ((5, 75.0), (3, 90.0)):
+        assert set(pool(spark, keys, names, cutoff=cutoff, limit=limit, near=3)) == brute(names, keys, cutoff, limit)
+    one = lambda xs: spark.createDataFrame([(x,) for x in xs], "key string")
+    done, open_ = M.near_names(one(names[:1] + [n + "7" for n in names[-50:]]), one(names), 75.0, 5, 3)
+    assert open_.count() <= 2 and done.count() >= 5 * 49
+    assert M.reaching(one(["ZQ17WVXY", "SUPPLIER0000012347"]), one(names[-50:]), 75.0).collect() == [("SUPPLIER0000012347",)]
