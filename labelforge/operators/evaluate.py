@@ -1,12 +1,16 @@
 """Measuring the pipeline against truth tables."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as X
-from ..functions.similarity import indel_ratio
-from ..runtime import shuffled
-from .matching import block_pairs, edit_similarity, similar_pairs
+from ..functions.similarity import indel_ratio, indel_ratio_one
+from ..runtime import durable, shuffled
+from .matching import DENSE_PAIRS, block_pairs, edit_similarity, similar_pairs
 
 OUTCOMES = ["resolved_ok", "resolved_wrong", "category_ok", "category_wrong", "sugg_top1_ok", "sugg_top3_only", "sugg_top1_wrong", "unresolved_ok", "not_found", "unavailable", "missing"]
 CORRECT = ["resolved_ok", "category_ok", "sugg_top1_ok", "unresolved_ok"]
@@ -324,22 +328,47 @@ def missing_roles(names: DataFrame, roles: DataFrame) -> DataFrame:
     return names.join(roles.select("inci").distinct(), "inci", "left_anti").groupBy("inci").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "inci")
 
 
-def word_recall(pairs: DataFrame, by: str = "photo_id", cutoff: float = 80.0) -> DataFrame:
+def word_recall(pairs: DataFrame, by: str = "photo_id", cutoff: float = 80.0, most: int = DENSE_PAIRS) -> DataFrame:
     """pairs(by, truth, ocr) -> (by, recall): share of truth words (4+ letters) with a similar OCR word (Indel ratio >= cutoff).
 
+    A photo's words are compared where its row is; equal words are settled by a look-up.  Photos of more than ``most`` pairs of words are
+    left to ``similar_words``.  A photo without truth words or without OCR words has recall 0.
+    """
+    none = F.array().cast("array<string>")
+    up = lambda c, n: F.coalesce(F.when(F.col(by).isNotNull(), F.regexp_extract_all(F.upper(c), F.lit(f"([A-Za-z]{{{n},}})"), 1)), none)
+    p = pairs.select(by, up("truth", 4).alias("t"), F.array_distinct(up("ocr", 3)).alias("o"))
+    p = p.groupBy(by).agg(F.flatten(F.collect_list("t")).alias("t"), F.array_distinct(F.flatten(F.collect_list("o"))).alias("o"))
+    many = F.size("t").cast("long") * F.size("o") > most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # words recur from photo to photo
+        alike = lru_cache(1 << 16)(lambda a, b: 200.0 * min(len(a), len(b)) / (len(a) + len(b)) >= cutoff and indel_ratio_one(a, b) >= cutoff)
+        for b in batches:
+            words, found = [], []
+            for t, o in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                read = set(o)
+                words.append(len(t))
+                found.append(sum(w in read or any(alike(w, x) for x in o) for w in t))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.int64()), pa.array(found, pa.int64())], [by, "words", "found"])
+    large = p.where(many)
+    some = not large.isEmpty()
+    full = (p.where(~many) if some else p).mapInArrow(run, f"`{by}` {pairs.schema[by].dataType.simpleString()}, words long, found long")
+    if some:
+        full = full.unionByName(similar_words(durable(large), by, cutoff))
+    return full.select("*", F.when(F.col("words") > 0, F.col("found") / F.col("words")).otherwise(0.0).alias("recall"))
+
+
+def similar_words(photos: DataFrame, by: str, cutoff: float) -> DataFrame:
+    """photos(by, t, o) -> (by, words, found) by joins.
+
     Equal words are settled by a semi join.  For the rest, a ratio of 80 means an edit similarity of at least .6 of the
-    longer word, so candidates come from the segment join within the photo and the ratio is computed for those only.  A photo
-    without truth words or without OCR words has recall 0.
+    longer word, so candidates come from the segment join within the photo and the ratio is computed for those only.
     """
-    up = lambda c, n: F.regexp_extract_all(F.upper(c), F.lit(f"([A-Za-z]{{{n},}})"), 1)
-    t = pairs.select(by, F.explode(up("truth", 4)).alias("k"))
-    o = pairs.select(by, F.explode(up("ocr", 3)).alias("k")).distinct()
-    tk = t.groupBy(by, "k").agg(F.count("*").alias("n"))
+    tk = photos.select(by, F.explode("t").alias("k")).groupBy(by, "k").agg(F.count("*").alias("n"))
+    o = photos.select(by, F.explode("o").alias("k"))
     hit = tk.join(o, [by, "k"], "left_semi")
     rest = tk.join(o, [by, "k"], "left_anti")
     near = similar_pairs(rest.select(by, "k"), o, 0.6, [by]).withColumn("ratio", indel_ratio("left_key", "right_key")).where(F.col("ratio") >= cutoff)
     near_hit = rest.join(near.select(by, F.col("left_key").alias("k")).distinct(), [by, "k"]).select(by, "k", "n")
-    got = hit.unionByName(near_hit).groupBy(by).agg(F.sum("n").alias("got"))
-    words = tk.groupBy(by).agg(F.sum("n").alias("words"))
-    full = pairs.select(by).distinct().join(words, by, "left").join(got, by, "left").select(by, F.coalesce("words", F.lit(0)).alias("words"), F.coalesce("got", F.lit(0)).alias("found"))
-    return full.select("*", F.when(F.col("words") > 0, F.col("found") / F.col("words")).otherwise(0.0).alias("recall"))
+    got = hit.unionByName(near_hit).groupBy(by).agg(F.sum("n").alias("found"))
+    return tk.groupBy(by).agg(F.sum("n").alias("words")).join(got, by, "left").select(by, "words", F.coalesce("found", F.lit(0)).alias("found"))

@@ -55,3 +55,13 @@ def test_stitching_in_a_task_equals_joins(spark):
     rows = lambda d: sorted(map(repr, d.collect()))
     got = rows(O.stitch_overlaps(a, b))
     assert got == rows(O.stitch_overlaps(a, b, most=0)) and "overlap=True" in "".join(got)
+
+
+def test_word_recall_in_a_row_equals_joins(spark):
+    """Photos compared in their row and photos left to joins give the same counts, also where a photo has several rows."""
+    r = random.Random(3)
+    words = ["glycerin", "glycerln", "aqua", "panthenol", "panthen0l", "panthnol", "mica", "cetyl", "cety", "of"]
+    some = lambda: " ".join(r.choice(words) for _ in range(r.randint(0, 7)))
+    p = spark.createDataFrame([(r.choice([None, *range(25)]), some(), r.choice([None, some(), some()])) for _ in range(60)], "photo_id int, truth string, ocr string")
+    rows = lambda **how: sorted(map(repr, E.word_recall(p, **how).collect()))
+    assert rows() == rows(most=0) == rows(most=6) and len(set(rows())) > 10
