@@ -7,6 +7,7 @@ from ..functions import text as X
 from ..operators import claims, review, rules
 from ..operators.segment import split_ingredients
 from .match_queries import PHRASE_SQL, PHRASE_SQL, benchmark_phrases
+from ..runtime import dealt
 from .registry import LI, lines, part_names, query, sql_key, table
 from .text_queries import WORDS_SQL, document_words, sql_case, term_col, TERM, ROLE
 
@@ -285,7 +286,7 @@ def benchmark_claims(spark, d):
  j AS (SELECT doc_id, claim_id, kind, matched, edits, row_number() OVER (PARTITION BY doc_id, claim_id ORDER BY CASE kind WHEN 'free_from' THEN 1 ELSE 4 END, ord, matched) AS rn FROM hit JOIN cl USING (phrase))
 SELECT doc_id, claim_id, kind, matched, edits FROM j WHERE rn = 1""")
 def _(spark, d):
-    return claims.extract_claims(table(spark, d, "documents"), benchmark_claims(spark, d))
+    return claims.extract_claims(dealt(table(spark, d, "documents"), "doc_id"), benchmark_claims(spark, d))
 
 
 CLAIM_SQL = f"""WITH {LI}, {HITS}, {OI}, h2 AS (SELECT inci, CASE family_id WHEN 'round' THEN 'fragrance_mixtures' WHEN 'PROMO' THEN 'eu_fragrance_allergens' WHEN 'SMALL' THEN 'solvent_alcohols' ELSE family_id END AS f FROM hits),

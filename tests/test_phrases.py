@@ -123,3 +123,30 @@ def test_long_text_is_settled_without_a_shuffle(spark):
     r = longest_span_names(d, spark.createDataFrame([("red ring",), ("blue",)], "name string"))
     assert r.first()["names"] == ["RED RING", "BLUE"]
     assert "Exchange" not in r._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_made_plain_as_columns_are(spark):
+    from labelforge.functions import text as X
+    from labelforge.operators.phrases import _plain
+    from pyspark.sql import functions as F
+    texts = ["Free-From’s `x` 50%", "ＦＲＥＥ ﬁne Å̊① ½ KK İ", "a\n\nb\r\n'c'", "", None, "ß·é­ x�\U0001f600y", "%%  %a"]
+    t = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select(X.claim_text(F.col("t")).alias("t")).collect()
+    got = bytes(_plain(texts)).decode().split("\n")[:-1]
+    assert [" ".join(x.split()) for x in got] == [r["t"] or "" for r in t]
+
+
+def test_a_file_of_one_row_group_is_dealt_out(spark, tmp_path):
+    """A row group is never split, so one task would search all the texts."""
+    from labelforge.plans.catalog import QUERIES
+    from labelforge.runtime import dealt
+    spark.range(5000).selectExpr("id AS doc_id", "concat('green lamp oil ', id) AS text").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "green lamp")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    rows = [n for n in dealt(docs, "doc_id").rdd.glom().map(len).collect() if n]
+    cores = spark.sparkContext.defaultParallelism
+    assert sum(rows) == 5000 and (cores == 1 or max(rows) * cores <= 2 * 5000)
+    even = docs.repartition(4 * cores)
+    assert dealt(even, "doc_id") is even
+    for name in ("m5_find_phrases", "c1_extract_claims"):
+        q = QUERIES[name](spark, str(tmp_path))
+        assert q.count() == 5000 and (cores == 1 or "REPARTITION_BY_NUM" in q._jdf.queryExecution().executedPlan().toString())
