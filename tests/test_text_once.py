@@ -25,3 +25,20 @@ def test_a_label_is_not_cleaned_three_times(spark):
     plan = segs._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ingredientes") <= 2
     assert [r["raw"] for r in segs.where("label_id = 1").orderBy("position").collect()] == ["a", "b (c, d) 1"]
+
+
+def test_a_documents_windows_are_counted_where_it_is(spark, tmp_path):
+    """One shuffle of the texts and one of the grams' counts, none of a row per gram and document; rows that share an id are one document."""
+    from labelforge.operators import segment as S
+    from labelforge.plans.catalog import QUERIES
+    from pyspark.sql import functions as F
+    rows = [(1, "a b c a b"), (1, "a b"), (2, " a  b\n"), (3, "x"), (4, ""), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    q = QUERIES["g8_word_windows"](spark, str(tmp_path))
+    assert {tuple(r) for r in q.collect()} == {("a b", 4, 2), ("b c", 1, 1), ("c a", 1, 1), ("a b c", 1, 1), ("b c a", 1, 1), ("c a b", 1, 1)}
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[-1].count("Exchange hashpartitioning") == 2
+    ws = spark.createDataFrame([([],), (["a"],), (["a", "b"],), (["a", "b", "c", "d"],), (None,)], "w array<string>")
+    for lo, hi in ((1, 1), (2, 3), (1, 4)):
+        got = ws.select(S.window_texts(F.col("w"), lo, hi).alias("t"), F.transform(S.word_windows(F.col("w"), lo, hi), lambda x: x["text"]).alias("u")).collect()
+        assert all((r["t"] or []) == (r["u"] or []) for r in got)
