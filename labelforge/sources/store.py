@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.dictionary import first_per
 from ..operators.resolve import Resolution
-from ..runtime import durable
+from ..runtime import by_rows, durable
 
 BUCKETS = 256
 
@@ -67,7 +67,7 @@ def write_resolution(r: Resolution, path: str, meta: dict[str, str] | None = Non
     counts = {}
     for name, df in (("items", r.items), ("removed", r.removed)):
         order = "idx" if name == "items" else "position"
-        df.repartition("label_id").sortWithinPartitions("label_id", order).write.mode("overwrite").format(fmt).save(f"{path}/{name}")
+        by_rows(df, r.segments, "label_id").sortWithinPartitions("label_id", order).write.mode("overwrite").format(fmt).save(f"{path}/{name}")
         counts[name] = spark.read.format(fmt).load(f"{path}/{name}").count()
     rows = sorted((meta or {}).items())
     spark.createDataFrame(rows or [("", "")], "key string, value string").where("key <> ''").write.mode("overwrite").format(fmt).save(f"{path}/meta")

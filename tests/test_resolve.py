@@ -115,3 +115,18 @@ def test_compounds(spark, dictionary):
     assert got["Squalene"] == ("resolved", "compound_match", "CID 7")
     assert got["Bisabolal"][:2] == ("ambiguous", "compound_match")
     assert got["Qwxyzkj"][0] == "not_found"
+
+
+def test_rows_are_dealt_by_their_number(spark, dictionary, monkeypatch, tmp_path):
+    """Labels that compress well are not joined into one large task: the windows' partitions and the written files follow the number of segments."""
+    from labelforge import runtime
+    from labelforge.sources.store import write_resolution
+    monkeypatch.setattr(runtime, "TASK_ROWS", 10)
+    t = spark.range(100).selectExpr("id AS label_id", "0 AS source_index", "'Aqua, Glycerin, Aqua' AS raw", "CAST(NULL AS DOUBLE) AS ocr_conf")
+    r = resolve_labels(t, dictionary, one_source=True)
+    assert r.segments == 300
+    assert "REPARTITION_BY_NUM" in r.items._jdf.queryExecution().executedPlan().toString()
+    assert r.items.rdd.getNumPartitions() == 30
+    assert write_resolution(r, str(tmp_path / "out"))["items"] == 300
+    written = [n for n in spark.read.parquet(str(tmp_path / "out/items")).rdd.glom().map(len).collect() if n]
+    assert len(list((tmp_path / "out/items").glob("*.parquet"))) > 15 and sum(written) == 300
