@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .text import let
+
 # Label words that introduce a date, month names, months accepted as a period after opening.
 DATE_LABEL = r"(?i)\b(mfg|mfd|manufactur\w*|manuf|date of manufacture|exp(?:iry|ires|\.)?|use\s+before|use\s+by|best\s+before|bb)\b\.?\s*(?:date)?\s*[:\-]?"
 UNSURE = r"(?i)occlud|low confidence|unclear|smudg|faint|illegible|partially|\?"
@@ -21,8 +23,10 @@ _VOLUME = r"(?i)(\d+(?:\.\d+)?)\s*(ml|g|gm|gms)\b"
 
 
 def _year(text: Column) -> Column:
-    n = text.try_cast("int")
-    return F.when(F.length(text) == 2, n + 2000).otherwise(n)
+    def of(t):
+        n = t.try_cast("int")
+        return F.when(F.length(t) == 2, n + 2000).otherwise(n)
+    return let(text, of)
 
 
 def date_in_line(line: Column, typed: Column, low_confidence: Column) -> Column:
@@ -30,18 +34,7 @@ def date_in_line(line: Column, typed: Column, low_confidence: Column) -> Column:
 
     Day/month/year is tried first, then month/day/year (flagged), month/year, month name and year.
     """
-    label = F.regexp_extract(line, DATE_LABEL, 1)
-    # text after the label: everything up to and including the first label occurrence is cut off
-    rest = F.regexp_replace(line, r"(?i)^.*?" + DATE_LABEL.replace("(?i)", ""), "")
-    three = [F.regexp_extract(rest, _THREE, i) for i in range(4)]
-    two = [F.regexp_extract(rest, _TWO, i) for i in range(3)]
-    mon = [F.regexp_extract(rest, _MON, i) for i in range(3)]
-    a, b = three[1].try_cast("int"), three[2].try_cast("int")
-    m2 = two[1].try_cast("int")
-    low = rest.rlike(UNSURE) | (~typed & low_confidence)
-    kind = F.when(label.rlike(r"(?i)^(mfg|mfd|manuf|date of manufacture)"), "mfg").otherwise("expiry")
-
-    def found(raw, day, month, year, fmt, swapped):
+    def found(kind, low, raw, day, month, year, fmt, swapped):
         return F.struct(
             kind.alias("kind"), raw.alias("raw"), day.try_cast("int").alias("day"), month.try_cast("int").alias("month"),
             year.try_cast("int").alias("year"), fmt.alias("format"),
@@ -51,17 +44,38 @@ def date_in_line(line: Column, typed: Column, low_confidence: Column) -> Column:
         )
 
     none = F.lit(None)
-    return (
-        F.when(label == "", none)
-        .when((three[0] != "") & (b <= 12) & (a <= 31),
-              found(three[0], a, b, _year(three[3]), F.when(F.length(three[3]) == 2, "DD/MM/YY").otherwise("DD/MM/YYYY"), False))
-        .when((three[0] != "") & (a <= 12) & (b <= 31),
-              found(three[0], b, a, _year(three[3]), F.lit("DD/MM/YY"), True))
-        .when((two[0] != "") & m2.between(1, 12),
-              found(two[0], none, m2, _year(two[2]), F.when(F.length(two[2]) == 2, "MM/YY").otherwise("MM/YYYY"), False))
-        .when(mon[0] != "",
-              found(mon[0], none, F.array_position(F.array(*[F.lit(x) for x in MONTHS]), F.lower(mon[1])), _year(mon[2]), F.lit("MON YYYY"), False))
-    )
+
+    def dated(kind, rest):
+        # each pattern is searched once, and only if those before it gave no date; its numbers are the digits of what it found
+        low = rest.rlike(UNSURE) | (~typed & low_confidence)
+        parts = lambda whole, fn: let(F.split(whole, r"\D+"), lambda p: fn(*(F.get(p, F.lit(i)) for i in range(3))))
+
+        def three(raw):
+            def of(x, y, z):
+                a, b = x.try_cast("int"), y.try_cast("int")
+                return (F.when((b <= 12) & (a <= 31), found(kind, low, raw, a, b, _year(z), F.when(F.length(z) == 2, "DD/MM/YY").otherwise("DD/MM/YYYY"), False))
+                        .when((a <= 12) & (b <= 31), found(kind, low, raw, b, a, _year(z), F.lit("DD/MM/YY"), True))
+                        .otherwise(let(F.regexp_extract(rest, _TWO, 0), two)))
+            return parts(raw, of)
+
+        def two(raw):
+            def of(x, y, _):
+                m = x.try_cast("int")
+                return (F.when(m.between(1, 12), found(kind, low, raw, none, m, _year(y), F.when(F.length(y) == 2, "MM/YY").otherwise("MM/YYYY"), False))
+                        .otherwise(let(F.regexp_extract(rest, _MON, 0), named)))
+            return parts(raw, of)
+
+        def named(raw):
+            month = F.array_position(F.array(*[F.lit(x) for x in MONTHS]), F.lower(F.substring(raw, 1, 3)))
+            return F.when(raw != "", found(kind, low, raw, none, month, _year(F.regexp_extract(raw, r"\d+$", 0)), F.lit("MON YYYY"), False))
+        return let(F.regexp_extract(rest, _THREE, 0), three)
+
+    def labelled(label):
+        kind = F.when(label.rlike(r"(?i)^(mfg|mfd|manuf|date of manufacture)"), "mfg").otherwise("expiry")
+        # text after the label: everything up to and including the first label occurrence is cut off
+        rest = F.regexp_replace(line, r"(?i)^.*?" + DATE_LABEL.replace("(?i)", ""), "")
+        return F.when(label != "", let(rest, lambda r: dated(kind, r)))
+    return let(F.regexp_extract(line, DATE_LABEL, 1), labelled)
 
 
 def last_valid_day(day: Column, month: Column, year: Column) -> Column:

@@ -42,3 +42,14 @@ def test_a_documents_windows_are_counted_where_it_is(spark, tmp_path):
     for lo, hi in ((1, 1), (2, 3), (1, 4)):
         got = ws.select(S.window_texts(F.col("w"), lo, hi).alias("t"), F.transform(S.word_windows(F.col("w"), lo, hi), lambda x: x["text"]).alias("u")).collect()
         assert all((r["t"] or []) == (r["u"] or []) for r in got)
+
+
+def test_a_line_is_searched_once_for_each_form_of_a_date(spark):
+    from labelforge.functions.pack import date_in_line
+    from pyspark.sql import functions as F
+    t = spark.createDataFrame([("EXP 04/29 use before 05/30",), ("Mfg. 31-12-24?",), ("bb 5.13.2026",), ("best before Sept. 2027",), ("use by 7",), (None,)], "s string")
+    q = t.select(date_in_line(F.col("s"), F.lit(False), F.lit(False)).alias("d"))
+    assert q._jdf.queryExecution().analyzed().toString().count("regexp_extract(") == 5  # the label, three forms and a year
+    got = [r["d"] and tuple(r["d"])[:6] + (r["d"]["needs_confirm"],) for r in q.collect()]
+    assert got == [("expiry", "04/29", None, 4, 2029, "MM/YY", False), ("mfg", "31-12-24", 31, 12, 2024, "DD/MM/YY", True), ("expiry", "5.13.2026", 13, 5, 2026, "DD/MM/YY", True),
+                   ("expiry", "Sept. 2027", None, 9, 2027, "MON YYYY", False), None, None]
