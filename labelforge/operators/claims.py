@@ -88,20 +88,23 @@ def check_claims(detected: DataFrame, items: DataFrame, hits: DataFrame, rules:
             rules = rules.withColumn(c, F.lit(None).cast("string"))
     kinds = "array<struct<idx:int,name:string>>"
     none = F.array().cast(kinds)
+    # a label's rows meet by the label alone, so that the claims with all that is known of their label are never shuffled
     evidence = label_evidence(items.withColumn("idx", F.col("idx").cast("int")), hits)
-    d = detected.join(rules, "claim_id", "left").join(evidence, "label_id", "left")
-    named = F.struct(F.col("idx").cast("int").alias("idx"), X.title_case(F.col("inci")).alias("name"))
-    members = (items.where("inci IS NOT NULL").join(hits.select("inci", "family_id").distinct(), "inci").groupBy("label_id", "family_id")
-               .agg(F.array_sort(F.collect_list(named)).alias("member")))
-    d = d.join(members, ["label_id", "family_id"], "left")
-    # ingredient claims: by key (equi-join) or by a pattern of the claim, on that label's identified names
-    ing = detected.where("kind = 'ingredient'").select("label_id", "claim_id").join(rules.select("claim_id", F.col("inci").alias("wanted"), "patterns"), "claim_id")
-    have = items.where("inci IS NOT NULL").select("label_id", "idx", "inci")
-    keys = F.transform(F.coalesce("wanted", F.array().cast("array<string>")), lambda n: X.fold_key(n, False))
-    found = (ing.join(have, "label_id")
-             .where(F.array_contains(keys, X.fold_key(F.col("inci"), False)) | F.exists(F.coalesce("patterns", F.array().cast("array<string>")), lambda p: F.rlike(F.col("inci"), F.concat(F.lit("(?i)"), p))))
-             .groupBy("label_id", "claim_id").agg(F.array_sort(F.collect_list(named)).alias("named")))
-    d = d.join(found, ["label_id", "claim_id"], "left")
+    identified = items.where("inci IS NOT NULL").withColumn("idx", F.col("idx").cast("int"))
+    members = (identified.join(hits.select("inci", "family_id").distinct(), "inci").groupBy("label_id")
+               .agg(F.collect_list(F.struct("family_id", "idx", "inci")).alias("members")))
+    have = identified.groupBy("label_id").agg(F.collect_list(F.struct("idx", "inci")).alias("have"))
+    wanted = rules.groupBy("claim_id").agg(F.collect_list(F.struct("inci", "patterns")).alias("wanted"))
+    named = lambda x: F.struct(x["idx"].alias("idx"), X.title_case(x["inci"]).alias("name"))
+    d = detected.join(rules, "claim_id", "left").join(wanted, "claim_id", "left").join(evidence, "label_id", "left").join(members, "label_id", "left").join(have, "label_id", "left")
+    d = d.withColumn("member", F.array_sort(F.transform(F.filter("members", lambda x: x["family_id"] == F.col("family_id")), named)))
+
+    # ingredient claims: by key or by a pattern of the claim, on that label's identified names
+    def found(rule):
+        keys = F.transform(F.coalesce(rule["inci"], F.array().cast("array<string>")), lambda n: X.fold_key(n, False))
+        fits = lambda x: F.array_contains(keys, X.fold_key(x["inci"], False)) | F.exists(F.coalesce(rule["patterns"], F.array().cast("array<string>")), lambda p: F.rlike(x["inci"], F.concat(F.lit("(?i)"), p)))
+        return F.transform(F.filter("have", fits), named)
+    d = d.withColumn("named", F.when(F.col("kind") == "ingredient", F.array_sort(F.flatten(F.transform("wanted", found))))).drop("members", "have", "wanted")
     some = lambda c: F.size(F.coalesce(c, none)) > 0
     open_ = F.coalesce("unreviewed", F.lit(0)) > 0
     logic = F.col("logic")

@@ -80,3 +80,18 @@ def test_a_table_streams_from_one_file_or_a_folder(spark, tmp_path):
         seen = []
         stream(spark, d, "conversations").writeStream.foreachBatch(lambda b, i: seen.append(b.count())).option("checkpointLocation", f"{tmp_path}/state{n}").trigger(availableNow=True).start().awaitTermination()
         assert sum(seen) == whole.count()
+
+
+def test_claims_meet_a_labels_items_by_the_label_alone(spark, tmp_path):
+    """Claims with all that is known of their label are not shuffled again by family and by claim."""
+    from labelforge.operators.claims import check_claims
+    items = spark.createDataFrame([(1, 0, "red ring", "resolved", "RED RING", None, False, "resolved"), (1, 1, "oil", "resolved", "OIL", None, False, "resolved"), (1, 2, "x", "not_found", None, None, False, "none"),
+                                   (2, 0, "oil", "resolved", "OIL", None, False, "resolved")], "label_id int, idx int, raw string, status string, inci string, category string, optional boolean, via string")
+    hits = spark.createDataFrame([("RED RING", "metal"), ("RED RING", "metal"), ("OIL", "fat")], "inci string, family_id string")
+    rules = spark.createDataFrame([("m", "family", "metal", None, None), ("n", "family", None, None, None), ("o", "ingredient", None, ["Oil"], ["^red"])], "claim_id string, logic string, family_id string, inci array<string>, patterns array<string>")
+    det = spark.createDataFrame([(1, "m", "free_from"), (1, "n", "free_from"), (1, "o", "ingredient"), (2, "m", "free_from"), (2, "o", "ingredient"), (3, "o", "ingredient"), (2, "zz", "ingredient")], "label_id int, claim_id string, kind string")
+    q = check_claims(det, items, hits, rules)
+    got = {(r["label_id"], r["claim_id"]): (r["outcome"], r["items"], r["names"]) for r in q.collect()}
+    assert got == {(1, "m"): ("family.member", [0], "Red Ring"), (1, "n"): ("family.none", [], ""), (1, "o"): ("ingredient.named", [0, 1], "Red Ring, Oil"),
+                   (2, "m"): ("family.none", [], ""), (2, "o"): ("ingredient.named", [0], "Oil"), (3, "o"): ("ingredient.missing", [], ""), (2, "zz"): ("ingredient.missing", [], "")}
+    assert not [x for x in plan(q).split("hashpartitioning(")[1:] if x.startswith("label_id") and ("claim_id" in x.split(")")[0] or "family_id" in x.split(")")[0])]
