@@ -95,3 +95,9 @@ def test_near_names_settle_numbered_names(spark):
     done, open_ = M.near_names(one(names[:1] + [n + "7" for n in names[-50:]]), one(names), 75.0, 5, 3)
     assert open_.count() <= 2 and done.count() >= 5 * 49
     assert M.reaching(one(["ZQ17WVXY", "SUPPLIER0000012347"]), one(names[-50:]), 75.0).collect() == [("SUPPLIER0000012347",)]
+
+
+def test_words_of_a_file_of_one_row_group_are_read_by_many_tasks(spark):
+    from labelforge.plans.catalog import QUERIES
+    q = QUERIES["j3_fuzzy_pool_documents"](spark, "/root/testdata/sf0.001")
+    assert spark.sparkContext.defaultParallelism == 1 or "hashpartitioning(doc_id" in q._jdf.queryExecution().executedPlan().toString()
