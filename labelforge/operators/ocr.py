@@ -92,6 +92,7 @@ def trim_junk_prefix(segments: DataFrame, names: DataFrame) -> DataFrame:
     s = s.join(stop, "seg_id", "left").withColumn("k", F.coalesce("stop", F.greatest(F.lit(0), F.least(F.lit(8), F.col("n") - 1))).cast("int"))
     text = lambda ws: F.trim(F.regexp_replace(F.array_join(F.transform(ws, lambda w: w["text"]), " "), r"\s+", " "))
     s = s.withColumn("full", text(F.col("words"))).withColumn("rest", text(F.slice("words", F.col("k") + 1, F.greatest(F.col("n"), F.lit(1)))))
+    s = durable(s.select("seg_id", "k", "full", "rest"))  # read three times below, and made from three readings of the segments
     both = s.where("k > 0").select(F.explode(F.array("full", "rest")).alias("text")).distinct()
     sims = nearest_name(both, names, 0.55).select("text", F.coalesce("sim", F.lit(0.0)).alias("sim"))
     s = s.join(sims.select(F.col("text").alias("full"), F.col("sim").alias("before")), "full", "left").join(sims.select(F.col("text").alias("rest"), F.col("sim").alias("after")), "rest", "left")

@@ -95,3 +95,10 @@ def test_claims_meet_a_labels_items_by_the_label_alone(spark, tmp_path):
     assert got == {(1, "m"): ("family.member", [0], "Red Ring"), (1, "n"): ("family.none", [], ""), (1, "o"): ("ingredient.named", [0, 1], "Red Ring, Oil"),
                    (2, "m"): ("family.none", [], ""), (2, "o"): ("ingredient.named", [0], "Oil"), (3, "o"): ("ingredient.missing", [], ""), (2, "zz"): ("ingredient.missing", [], "")}
     assert not [x for x in plan(q).split("hashpartitioning(")[1:] if x.startswith("label_id") and ("claim_id" in x.split(")")[0] or "family_id" in x.split(")")[0])]
+
+
+def test_trimmed_segments_are_made_once(spark):
+    s = spark.createDataFrame([("a", [("zxqv", 20.0), ("red", 50.0), ("ring", 50.0)]), ("b", [("red", 50.0), ("ring", 50.0)]), ("c", [])], "seg_id string, words array<struct<text:string,confidence:double>>")
+    q = O.trim_junk_prefix(s, spark.createDataFrame([("RED RING",), ("RED",)], "inci_name string"))
+    assert {tuple(r) for r in q.where("seg_id <> 'a'").collect()} == {("b", 0, "red ring"), ("c", 0, "")} and q.count() == 3
+    assert "posexplode" not in plan(q)
