@@ -230,23 +230,28 @@ def consensus_gain(names: DataFrame, truth: DataFrame, groups: list[str]) -> Dat
 
 # What a failed token looks like.
 LEAK = r"(?i)\bFIL\d+|\bMRP\b|\bRS\.?\s*\d|\bB\.?NO\b|\bMFG\b|\bEXP\b|SHAKE WELL|MADE IN|NET WT|\d+\s?ML\b"
-WRONG_TOOL = [
-    r"(?i)\bCI\s?\d{5}\b", r"(?i)\b(PARFUM|FRAGRANCE|AROMA)\b", r"(?i)\+/-|MAY CONTAIN", r"(?i)(?=.*/.*/).*(AQUA|WATER)", r"(?i)\(NANO\)",
-    r"(?i)\b(EXTRACT|LEAF JUICE|SEED GUM|BUTTER)\b", r"^[A-Z][a-z]+ [A-Z][a-z]+ (\([^)]*\) )?.*(Oil|Butter)$", r"(?i)\b(POLYMER|CROSSPOLYMER|COPOLYMER)\b",
+WRONG_WORDS = r"(?i)\b(?:CI\s?\d{5}|PARFUM|FRAGRANCE|AROMA|EXTRACT|LEAF JUICE|SEED GUM|BUTTER|POLYMER|CROSSPOLYMER|COPOLYMER)\b|MAY CONTAIN"
+WRONG_TOOL = [  # a sign that the pattern needs, the pattern
+    ("+/-", r"\+/-"), ("/", r"(?i)(?=.*/.*/).*(AQUA|WATER)"), ("(", r"(?i)\(NANO\)"), ("", r"^[A-Z][a-z]+ [A-Z][a-z]+ (\([^)]*\) )?.*(Oil|Butter)$"),
 ]
 
 
 def failure_causes(raw: Column, best_ratio: Column, contains_two: Column, is_part: Column, removed_hit: Column, classed: Column) -> Column:
     """Ordered array of causes of an unresolved token: 4_leakage, 2_broken_merged, 3_wrong_tool, 1_ocr_noise, else 5_unknown."""
+    # every pattern is searched once, and a pattern that needs a certain sign only where a plain search finds it
+    needs = lambda sign, rx: F.contains(raw, F.lit(sign)) & raw.rlike(rx)
     leak = raw.rlike(LEAK) | removed_hit
-    broken = raw.rlike(r"-\s+\S") | contains_two | is_part
-    tool = classed
-    for p in WRONG_TOOL:
-        tool = tool | raw.rlike(p)
+    broken = needs("-", r"-\s+\S") | contains_two | is_part
+    tool = classed | raw.rlike(WRONG_WORDS)
+    for sign, p in WRONG_TOOL:
+        tool = tool | (needs(sign, p) if sign else raw.rlike(p))
     near = (best_ratio >= 0.7) & (best_ratio < 1)
-    noise = ~broken & ~tool & near
-    first = F.array_compact(F.array(F.when(leak, F.lit("4_leakage")), F.when(broken, F.lit("2_broken_merged")), F.when(tool, F.lit("3_wrong_tool")), F.when(noise, F.lit("1_ocr_noise"))))
-    return F.when(F.size(first) == 0, F.array(F.lit("5_unknown"))).otherwise(first)
+
+    def causes(x):
+        noise = ~x["broken"] & ~x["tool"] & x["near"]
+        first = F.array_compact(F.array(F.when(x["leak"], F.lit("4_leakage")), F.when(x["broken"], F.lit("2_broken_merged")), F.when(x["tool"], F.lit("3_wrong_tool")), F.when(noise, F.lit("1_ocr_noise"))))
+        return X.let(first, lambda f: F.when(F.size(f) == 0, F.array(F.lit("5_unknown"))).otherwise(f))
+    return X.let(F.struct(leak.alias("leak"), broken.alias("broken"), tool.alias("tool"), near.alias("near")), causes)
 
 
 def best_truth_ratio(tokens: DataFrame, names: DataFrame, floor: float = 0.7, by: str = "label_id") -> DataFrame:
@@ -272,14 +277,68 @@ def holding(longer: DataFrame, shorter: DataFrame, by: str, sizes: list[int]) ->
     return dense.where(start).unionByName(met).where(F.contains("a", F.col("b"))).select(by, F.col("a").alias("n"), F.col("b").alias("e"))
 
 
-def token_causes(tokens: DataFrame, truth: DataFrame, removed: DataFrame, by: str = "label_id") -> DataFrame:
+def token_causes(tokens: DataFrame, truth: DataFrame, removed: DataFrame, by: str = "label_id", most: int = DENSE_PAIRS) -> DataFrame:
     """tokens(by, token), truth(by, ord, raw, inci, category), removed(by, raw) -> (by, token, causes), a row per distinct token.
 
     The causes come from the label's own truth: the token holds a fragment that should have been removed (leakage), holds two names
     of which neither lies in a longer one it holds, or is one part of a 'A + B' entry (broken or merged), is an entry known by
     class only (wrong tool), or is close to a name (noise).  A token whose label has no truth is judged by its text alone.
+
+    All that is known of a label meets its tokens in one row, by one shuffle.  Labels whose rows make more than ``most`` pairs are
+    left to ``token_causes_by_joins``.
     """
     norm = lambda c: X.label_norm(F.col(c))
+    sides = [tokens.select(by, "token"), truth.select(by, "ord", "raw", "inci", "category"), removed.select(by, "raw")]
+    per = [d.where(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("n")) for d in sides]
+    large = per[0].unionByName(per[1]).unionByName(per[2]).groupBy(by).agg(F.sum("n").alias("n")).where(F.col("n") * F.col("n") > most).select(by)
+    some = not large.isEmpty()
+    if some:
+        large = shuffled(durable(large))
+        few, many = ([d.join(large, by, how) for d in sides] for how in ("left_anti", "left_semi"))
+    else:
+        few = sides
+    t, u, g = few
+    only_class = F.col("inci").isNull() & (F.coalesce("category", F.lit("")) != "")
+    joined = F.contains("raw", F.lit(" + "))
+    entry = X.let(norm("raw"), lambda n: F.struct("ord", n.alias("n"), only_class.alias("c"), joined.alias("joined"), norm("inci").alias("name"),
+                                                  F.when(joined, F.transform(F.split("raw", r" \+ "), X.label_norm)).when(~joined, F.array(n)).alias("parts")))
+    known = F.col(by).isNotNull()
+    t = t.select(by, F.struct("token", norm("token").alias("n")).alias("t"))
+    both = (t.where(known)
+            .unionByName(u.where(known).select(by, entry.alias("u")), allowMissingColumns=True)
+            .unionByName(g.where(known).select(by, norm("raw").alias("g")), allowMissingColumns=True))
+    # tokens of no label are judged by their text alone, so they need not meet
+    apart = t.where(~known).distinct().select(by, F.array("t").alias("t"), *[F.array().cast(both.schema[c].dataType.simpleString().join(("array<", ">"))).alias(c) for c in ("u", "g")])
+    rows = both.repartition(by).groupBy(by).agg(F.collect_set("t").alias("t"), F.collect_list("u").alias("u"), F.collect_set("g").alias("g")).where(F.size("t") > 0).unionByName(apart)
+    parts = F.flatten(F.filter("u.parts", lambda p: p.isNotNull()))
+    rows = rows.select(by, "t", F.filter(parts, lambda e: F.length(e) > 5).alias("named"), F.flatten(F.transform(F.filter("u", lambda x: x["joined"]), lambda x: x["parts"])).alias("joined"),
+                       F.filter("g", lambda e: e != "").alias("gone"), F.transform(F.filter("u", lambda x: x["ord"].isNotNull() & x["n"].isNotNull()), lambda x: F.struct(x["ord"], x["c"], x["n"])).alias("entries"),
+                       F.array_distinct(F.filter("u.name", lambda m: m != "")).alias("names"))
+
+    def judged(x):
+        n = x["n"]
+        inside = lambda e: F.contains(n, e)
+        hits = F.filter("named", inside)
+        two = X.let(hits, lambda hs: (F.size(hs) >= 2) & (F.size(F.filter(hs, lambda e: ~F.exists(hs, lambda o: (o != e) & F.contains(o, e)))) >= 2))
+        first = F.array_min(F.filter("entries", lambda u: u["n"] == n))
+        return F.struct(x["token"].alias("token"), two.alias("two"), F.array_contains("joined", n).alias("part"), ((n != "") & F.exists("gone", inside)).alias("leak"),
+                        first["c"].alias("classed"), F.when(n != "", F.array_max(F.transform("names", lambda m: near_ratio(n, m)))).alias("best"))
+    j = rows.select(by, F.explode(F.transform("t", judged)).alias("j")).select(by, "j.*")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    out = j.select(by, "token", failure_causes(F.col("token"), F.coalesce("best", F.lit(0.0)), yes("two"), yes("part"), yes("leak"), yes("classed")).alias("causes"))
+    return out.unionByName(token_causes_by_joins(*many, by)) if some else out
+
+
+def near_ratio(a: Column, b: Column, floor: float = 0.7) -> Column:
+    """Edit similarity of two texts that are not both empty, null below ``floor``."""
+    longest = F.greatest(F.length(a), F.length(b))
+    edits = F.call_function("levenshtein", a, b, F.floor((1 - floor) * longest + 1e-9).cast("int"))  # -1 beyond the last number
+    return F.when(edits >= 0, 1 - edits / longest)
+
+
+def token_causes_by_joins(tokens: DataFrame, truth: DataFrame, removed: DataFrame, by: str = "label_id") -> DataFrame:
+    """``token_causes`` where texts meet by content: labels of very many rows."""
+    norm = lambda c: X.label_norm(F.col(c))
     t = tokens.select(by, "token").distinct().withColumn("n", norm("token"))
     k = t.select(by, "n").where("n IS NOT NULL").distinct()
     parts = truth.select(by, F.explode(F.split("raw", r" \+ ")).alias("part"), F.contains("raw", F.lit(" + ")).alias("joined")).select(by, norm("part").alias("e"), "joined")
