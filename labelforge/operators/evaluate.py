@@ -16,6 +16,21 @@ OUTCOMES = ["resolved_ok", "resolved_wrong", "category_ok", "category_wrong", "s
 CORRECT = ["resolved_ok", "category_ok", "sugg_top1_ok", "unresolved_ok"]
 
 
+def truth_key(raw: Column) -> Column:
+    """Matching key of a truth row, without its mark of an optional entry."""
+    return X.match_key(F.replace(F.regexp_replace(raw, r"(?i)^(?:may contain\s*:?|\+/-)\s*", ""), F.lit(" + "), F.lit("")))
+
+
+def length_rate(want: Column, key: Column) -> Column:
+    return F.least(F.length(want), F.length(key)) / F.greatest(F.length(want), F.length(key))
+
+
+def truth_rank(want: Column, key: Column) -> Column:
+    """0 for equal keys, 1 for one that lies in the other at 80% of the length (both five characters or more), else null."""
+    within = (F.least(F.length(want), F.length(key)) >= 5) & (length_rate(want, key) >= 0.8) & (F.contains(want, key) | F.contains(key, want))
+    return F.when(want == key, 0).when(within, 1)
+
+
 def match_truth(truth: DataFrame, items: DataFrame, by: str = "label_id") -> DataFrame:
     """truth(by, ord, raw), items(by, idx, raw) -> (by, ord, idx): the first item with the truth's key, else the first that
     contains it or lies in it at 80% of the length (both five characters or more).
@@ -23,16 +38,12 @@ def match_truth(truth: DataFrame, items: DataFrame, by: str = "label_id") -> Dat
     The rows of a label are compared pair by pair.  In a label of very many rows a contained pair of that length ratio shares a five-character
     start of the shorter one, so what is not equal meets on five-character windows instead of all against all.
     """
-    want = X.match_key(F.replace(F.regexp_replace("raw", r"(?i)^(?:may contain\s*:?|\+/-)\s*", ""), F.lit(" + "), F.lit("")))
-    t = truth.select(by, "ord", want.alias("want"))
+    t = truth.select(by, "ord", truth_key(F.col("raw")).alias("want"))
     it = items.select(by, "idx", X.match_key(F.col("raw")).alias("key"))
-    rate = lambda w, k: F.least(F.length(w), F.length(k)) / F.greatest(F.length(w), F.length(k))
     a, b = t.where("want IS NOT NULL").select(by, F.struct("ord", "want").alias("a")), it.where("key IS NOT NULL").select(by, F.struct("idx", "key").alias("b"))
     dense, t_far, it_far = block_pairs(a, b, [by])
     want, key = F.col("a.want"), F.col("b.key")
-    within = (F.least(F.length(want), F.length(key)) >= 5) & (rate(want, key) >= 0.8) & (F.contains(want, key) | F.contains(key, want))
-    rank = F.when(want == key, 0).when(within, 1)
-    few = dense.withColumn("rank", rank).where("rank IS NOT NULL").groupBy(by, F.col("a.ord").alias("ord")).agg(F.min(F.struct("rank", "b.idx")).alias("m")).select(by, "ord", "m.idx")
+    few = dense.withColumn("rank", truth_rank(want, key)).where("rank IS NOT NULL").groupBy(by, F.col("a.ord").alias("ord")).agg(F.min(F.struct("rank", "b.idx")).alias("m")).select(by, "ord", "m.idx")
     # labels of very many rows meet by content
     tf, itf = t_far.select(by, "a.*"), it_far.select(by, "b.*")
     exact = tf.join(shuffled(itf.withColumnRenamed("key", "want")), [by, "want"]).groupBy(by, "ord").agg(F.min("idx").alias("idx"))
@@ -42,7 +53,7 @@ def match_truth(truth: DataFrame, items: DataFrame, by: str = "label_id") -> Dat
     x = left.withColumn("g", F.substring("want", 1, 5)).join(shuffled(open_items.withColumn("g", F.explode(win(F.col("key"))))), [by, "g"]).where(F.contains("key", F.col("want")))
     y = left.withColumn("g", F.explode(win(F.col("want")))).join(shuffled(open_items.withColumn("g", F.substring("key", 1, 5))), [by, "g"]).where(F.contains("want", F.col("key")))
     near = x.select(by, "ord", "idx", "want", "key").unionByName(y.select(by, "ord", "idx", "want", "key"))
-    near = near.where(rate("want", "key") >= 0.8).groupBy(by, "ord").agg(F.min("idx").alias("idx"))
+    near = near.where(length_rate(F.col("want"), F.col("key")) >= 0.8).groupBy(by, "ord").agg(F.min("idx").alias("idx"))
     return t.select(by, "ord").join(shuffled(few.unionByName(exact).unionByName(near)), [by, "ord"], "left")
 
 
@@ -65,12 +76,46 @@ def resolution_outcome(found: Column, status: Column, layer: Column, inci: Colum
     return F.when(~found, "missing").when(want.isNotNull(), named).when(F.size(any_of) > 0, either).otherwise(classed)
 
 
-def truth_outcomes(truth: DataFrame, items: DataFrame) -> DataFrame:
-    """truth(label_id, ord, raw, inci, category, suggested_any_of), resolved items -> (label_id, ord, outcome, layer, status, high_confidence)."""
+def truth_outcomes(truth: DataFrame, items: DataFrame, most: int = DENSE_PAIRS) -> DataFrame:
+    """truth(label_id, ord, raw, inci, category, suggested_any_of), resolved items -> (label_id, ord, outcome, layer, status, high_confidence).
+
+    A label's truth meets its items in one row, so that the items are worked out and shuffled once; a truth row takes the item that
+    ``match_truth`` gives it.  What is kept is the outcomes.  Labels of more than ``most`` pairs are left to the joins of ``match_truth``.
+    """
+    i = items.select("label_id", F.struct("idx", X.match_key(F.col("raw")).alias("key"), *item_facts(), "status", "layer", "high_confidence").alias("i"))
+    t = truth.where("ord IS NOT NULL").select("label_id", F.struct("ord", truth_key(F.col("raw")).alias("name"), *truth_facts()).alias("t"))
+    w = Window.partitionBy("label_id")
+    both = t.unionByName(i, allowMissingColumns=True).where("label_id IS NOT NULL").repartition("label_id").withColumn("large", F.count("t").over(w) * F.count("i").over(w) > most)
+    some = lambda c: F.collect_list(F.when(~F.col("large"), F.col(c))).alias(c)
+    rows = both.groupBy("label_id").agg(F.max("large").alias("large"), some("t"), some("i"))
+
+    def met(x):
+        rated = F.transform("i", lambda y: F.struct(truth_rank(x["name"], y["key"]).alias("rank"), y["idx"].alias("idx"), y.alias("i")))
+        return F.struct(x.alias("t"), F.array_min(F.filter(rated, lambda r: r["rank"].isNotNull()))["i"].alias("i"))
+    pairs = rows.select("label_id", "large", F.explode(F.when(F.col("large"), F.transform(F.array(F.lit(None).cast(rows.schema["t"].dataType.elementType)), met)).otherwise(F.transform("t", met))).alias("p")).select("label_id", "large", "p.*")
+    o = resolution_outcome(F.col("i").isNotNull(), *[F.col(f"i.{c}") for c in ("status", "layer", "inci_key", "item_category", "cand_keys")], *[F.col(f"t.{c}") for c in ("want", "any_of", "category")])
+    out = durable(pairs.select("label_id", "t.ord", o.alias("outcome"), "i.layer", "i.status", F.coalesce("i.high_confidence", F.lit(False)).alias("high_confidence"), "large"))
+    large = out.where("large").select("label_id").distinct()
+    full = out.where("NOT large").drop("large")
+    if large.isEmpty():
+        return full
+    large = shuffled(large)
+    return full.unionByName(truth_outcomes_by_joins(truth.join(large, "label_id", "left_semi"), items.join(large, "label_id", "left_semi")))
+
+
+def item_facts() -> list[Column]:
+    return [X.match_key(F.col("inci_name")).alias("inci_key"), F.col("category").alias("item_category"), F.transform("candidates", lambda c: X.fold_key(c["inci_name"])).alias("cand_keys")]
+
+
+def truth_facts() -> list[Column]:
+    return [X.match_key(F.col("inci")).alias("want"), F.transform(F.coalesce("suggested_any_of", F.array().cast("array<string>")), lambda x: X.fold_key(x)).alias("any_of"), F.col("category")]
+
+
+def truth_outcomes_by_joins(truth: DataFrame, items: DataFrame) -> DataFrame:
+    """``truth_outcomes`` of labels of very many rows."""
     m = match_truth(truth, items)
-    i = items.select("label_id", "idx", "status", "layer", "high_confidence", X.match_key(F.col("inci_name")).alias("inci_key"), F.col("category").alias("item_category"),
-                     F.transform("candidates", lambda c: X.fold_key(c["inci_name"])).alias("cand_keys"))
-    t = truth.select("label_id", "ord", X.match_key(F.col("inci")).alias("want"), F.transform(F.coalesce("suggested_any_of", F.array().cast("array<string>")), lambda x: X.fold_key(x)).alias("any_of"), "category")
+    i = items.select("label_id", "idx", "status", "layer", "high_confidence", *item_facts())
+    t = truth.select("label_id", "ord", *truth_facts())
     j = t.join(shuffled(m), ["label_id", "ord"]).join(shuffled(i), ["label_id", "idx"], "left")
     o = resolution_outcome(F.col("idx").isNotNull(), F.col("status"), F.col("layer"), F.col("inci_key"), F.col("item_category"), F.col("cand_keys"), F.col("want"), F.col("any_of"), F.col("category"))
     return j.select("label_id", "ord", o.alias("outcome"), "layer", "status", F.coalesce("high_confidence", F.lit(False)).alias("high_confidence"))

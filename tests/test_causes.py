@@ -81,3 +81,21 @@ def test_a_labels_tokens_meet_its_truth_in_one_row(spark):
     assert got[0] == got[1] == got[2] and len(got[0]) == len(set((a, b) for a, b, _ in got[0])) == t.distinct().count()
     assert {c for _, _, cs in got[0] for c in cs} == {"4_leakage", "2_broken_merged", "3_wrong_tool", "1_ocr_noise", "5_unknown"}
     assert q._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning(label_id") <= 2  # the tokens without a label are made distinct apart
+
+
+def test_a_labels_truth_meets_its_items_in_one_row(spark):
+    """Outcomes are kept, so nothing of the items is worked out again; labels of many pairs are judged by joins, alike."""
+    import random
+    rng = random.Random(7)
+    word = lambda: rng.choice([None, "", "abcdef", "abcdefg", "xabcdef", "zz", "+/- zz", "may contain: abcdef", "qwerty uiop", "Qwerty + uiop"])
+    label = lambda: rng.choice([None, *range(8)])
+    cand = lambda: [(w,) for w in rng.sample(["ABCDEF", "ZZ", "QWERTY UIOP"], rng.randint(0, 3))]
+    truth = spark.createDataFrame([(label(), i, word(), word(), rng.choice([None, "trade name", "Botanical"]), rng.choice([None, ["zz"], ["abcdef", "zz"]])) for i in range(60)],
+                                  "label_id int, ord int, raw string, inci string, category string, suggested_any_of array<string>")
+    items = spark.createDataFrame([(label(), i, word(), rng.choice(["resolved", "suggested", "not_found", "lookup_unavailable"]), rng.choice(["inci_exact", "fuzzy"]), rng.choice([True, False, None]), word(), rng.choice([None, "botanical"]), cand()) for i in range(70)],
+                                  "label_id int, idx int, raw string, status string, layer string, high_confidence boolean, inci_name string, category string, candidates array<struct<inci_name:string>>")
+    q = E.truth_outcomes(truth, items)
+    got = [sorted(map(str, x.collect())) for x in (q, E.truth_outcomes(truth, items, most=60), E.truth_outcomes_by_joins(truth, items))]
+    assert got[0] == got[1] == got[2] and len(got[0]) == truth.where("label_id IS NOT NULL").count()
+    assert len({r["outcome"] for r in q.collect()}) >= 6
+    assert "Join" not in q._jdf.queryExecution().optimizedPlan().toString()
