@@ -198,19 +198,28 @@ def reaction_patterns(products: DataFrame, reactions: DataFrame, members: DataFr
 def reaction_pattern_products(products: DataFrame, reactions: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """The products behind every pattern of ``reaction_patterns``: (user_id, kind, label, product_id, name, reacted), a row per product.
 
-    Rows instead of lists keep a pattern that runs through very many products out of any single row.
+    Rows instead of lists keep a pattern that runs through very many products out of any single row.  The rows of a user's ingredient (or
+    family) meet once, where they are counted, and those of no pattern go no further: no pattern is joined back to the products.
     """
     hit = reactions.select("user_id", "product_id").distinct().withColumn("reacted", F.lit(True))
     p = products.select("user_id", "product_id", "name", "ingredients").join(hit, ["user_id", "product_id"], "left").withColumn("reacted", F.coalesce("reacted", F.lit(False)))
-    x = p.select("user_id", "product_id", "name", "reacted", F.explode("ingredients").alias("inci")).withColumn("key", X.fold_key(F.col("inci"), False))
-    shown = x.groupBy("user_id", "key").agg(X.title_case(F.min("inci")).alias("label"))
-    rows = x.join(shown, ["user_id", "key"]).select("user_id", F.lit("ingredient").alias("kind"), "label", "product_id", "name", "reacted")
+    able = hit.join(products.select("user_id", "product_id"), ["user_id", "product_id"], "left_semi").groupBy("user_id").agg(F.count("*").alias("n")).where("n >= 2").select("user_id")
+    x = p.join(able, "user_id", "left_semi").select("user_id", "product_id", "name", "reacted", F.explode("ingredients").alias("inci")).withColumn("key", X.fold_key(F.col("inci"), False)).where("key IS NOT NULL")
+    of = ["user_id", "key"]
+    every, x = x, x.repartition(*of).groupBy(*of, "product_id", "reacted").agg(F.min("inci").alias("inci"), F.collect_set(F.struct("name")).alias("names"))
+    w = Window.partitionBy(*of)
+    rows = x.withColumn("n", F.count_if("reacted").over(w)).withColumn("label", F.min("inci").over(w)).where("n >= 2")
+    rows = rows.select("user_id", F.lit("ingredient").alias("kind"), X.title_case(F.col("label")).alias("label"), "product_id", F.explode("names.name").alias("name"), "reacted")
     if members is not None:
         from .rules import member_index
-        f = x.join(member_index(members).select("key", "family_id").distinct(), "key")
+        m = member_index(members).where("family_id IS NOT NULL").select("key", "family_id").distinct()
+        # a product's members of a family are put together where the product is; two different ones are a least and a greatest that differ
+        f = every.join(m, "key").groupBy("user_id", "product_id", "family_id", "reacted", "name").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
+        f, w = f.repartition("user_id", "family_id"), Window.partitionBy("user_id", "family_id")
+        two = lambda lo, hi: F.min(F.when(F.col("reacted"), F.col(lo))).over(w) != F.max(F.when(F.col("reacted"), F.col(hi))).over(w)
+        f = f.withColumn("shared", two("product_id", "product_id") & two("lo", "hi")).where("shared")
         rows = rows.unionByName(f.select("user_id", F.lit("family").alias("kind"), F.col("family_id").alias("label"), "product_id", "name", "reacted"))
-    found = reaction_patterns(products, reactions, members).select("user_id", "kind", "label")
-    return rows.distinct().join(found, ["user_id", "kind", "label"], "left_semi")
+    return rows
 
 
 def reference_compare(pack: DataFrame, reference: DataFrame, by: str = "label_id") -> DataFrame:

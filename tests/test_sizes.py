@@ -102,3 +102,22 @@ def test_trimmed_segments_are_made_once(spark):
     q = O.trim_junk_prefix(s, spark.createDataFrame([("RED RING",), ("RED",)], "inci_name string"))
     assert {tuple(r) for r in q.where("seg_id <> 'a'").collect()} == {("b", 0, "red ring"), ("c", 0, "")} and q.count() == 3
     assert "posexplode" not in plan(q)
+
+
+def test_reaction_products_meet_once_by_ingredient(spark):
+    """Rows of no pattern are not made distinct and joined back by the pattern's label."""
+    rng = random.Random(4)
+    names = ["Red Ring", "red ring", "Oil", "Hot-Bolt", "bolt", "é", None]
+    p = spark.createDataFrame([(rng.choice([None, 1, 2, 3]), rng.choice([None, *range(9)]), rng.choice(["P1", "P2", None]), rng.choices(names, k=rng.randint(0, 4))) for _ in range(90)], "user_id int, product_id int, name string, ingredients array<string>")
+    r = spark.createDataFrame([(u, i) for u in (None, 1, 2) for i in (None, 1, 2, 4, 4, 77)] + [(3, 1)], "user_id int, product_id int")
+    m = spark.createDataFrame([("metal", "RED RING", []), ("metal", "bolt", []), ("fat", "OIL", []), (None, "OIL", []), ("fat", "hot bolt", ["Oil"])], "family_id string, inci string, aliases array<string>")
+    q = P.reaction_pattern_products(p, r, m)
+    found = P.reaction_patterns(p, r, m).select("user_id", "kind", "label")
+    x = p.join(r.distinct().withColumn("reacted", F.lit(True)), ["user_id", "product_id"], "left").na.fill(False, ["reacted"]).select("*", F.explode("ingredients").alias("inci")).withColumn("key", F.regexp_replace(F.upper("inci"), "[^A-Z0-9]", ""))
+    of = spark.createDataFrame([("REDRING", "metal"), ("BOLT", "metal"), ("OIL", "fat"), ("HOTBOLT", "fat")], "key string, family_id string")
+    title = F.initcap(F.replace(F.lower("inci"), F.lit("-"), F.lit("- ")))
+    rows = (x.withColumn("label", F.replace(title, F.lit("- "), F.lit("-"))).select("user_id", F.lit("ingredient").alias("kind"), "label", "product_id", "name", "reacted")
+            .union(x.join(of, "key").select("user_id", F.lit("family").alias("kind"), "family_id", "product_id", "name", "reacted")))
+    want = sorted(map(str, rows.distinct().join(found, ["user_id", "kind", "label"], "left_semi").collect()))
+    assert sorted(map(str, q.collect())) == want and {k for k in ("ingredient", "family") if any(k in w for w in want)} == {"ingredient", "family"}
+    assert "hashpartitioning(user_id" in plan(q) and not [e for e in plan(q).split("hashpartitioning(")[1:] if "label" in e.split(")")[0]]
