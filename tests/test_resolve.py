@@ -130,3 +130,21 @@ def test_rows_are_dealt_by_their_number(spark, dictionary, monkeypatch, tmp_path
     assert write_resolution(r, str(tmp_path / "out"))["items"] == 300
     written = [n for n in spark.read.parquet(str(tmp_path / "out/items")).rdd.glom().map(len).collect() if n]
     assert len(list((tmp_path / "out/items").glob("*.parquet"))) > 15 and sum(written) == 300
+
+
+def test_small_lookups_leave_the_rows_where_they_are(spark, monkeypatch):
+    """Items are the same by broadcast and by shuffle, with texts that are like no name among them; small look-ups move no rows by their text."""
+    from labelforge import runtime
+    from labelforge.operators.resolve import resolve_labels as resolve
+    names = spark.createDataFrame([("GLYCERIN",), ("CETYL ALCOHOL",), ("SODIUM BENZOATE",)], "inci_name string")
+    d = build_dictionary(names, names.selectExpr("inci_name", "concat(inci_name, ' X') AS alias", "'common_name' AS kind"), {})
+    rows = [(1, 0, "Glycerin, Cetyl Alcoho1, zzzz qqqq wwww, CETYL, ALCOHOL, qq"), (2, 0, "Glycerin Sodium Benzoate, MRP Rs. 50, vvvv"), (3, 0, "")]
+    labels = spark.createDataFrame(rows, "label_id int, source_index int, raw string")
+    got = []
+    for few in (1 << 15, -1):
+        monkeypatch.setattr(runtime, "FEW_ROWS", few)
+        items = resolve(labels, d, one_source=True).items
+        plan = items._jdf.queryExecution().executedPlan().toString()
+        got.append((sorted(map(str, items.collect())), [k for k in ("_raw", "_joined", "text") if f"hashpartitioning({k}#" in plan]))
+    assert got[0][0] == got[1][0] and len(got[0][0]) >= 8
+    assert not {"_raw", "_joined"} & set(got[0][1]) and "_raw" in got[1][1]
